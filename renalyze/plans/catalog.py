@@ -309,3 +309,8 @@ FROM measurements_b""")
 def q_rename(spark, sf):
     return _meas(spark, sf).withColumnsRenamed({"creatinine_date": "measurement_date",
                                                 "creatinine_result": "measurement_value"})
+
+
+# the other parts register themselves on import
+from . import catalog_features as _cf  # noqa: E402,F401
+from . import catalog_tables as _ct  # noqa: E402,F401
