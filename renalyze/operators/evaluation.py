@@ -41,6 +41,19 @@ def fbeta(df: DataFrame, beta: float = 3.0, zero_division: float = 0.0,
                      .otherwise(num.cast("double") / den.cast("double")).alias("fbeta"))
 
 
+def metrics(df: DataFrame, beta: float = 3.0, zero_division: float = 0.0,
+            label: str = "label", pred: str = "prediction") -> DataFrame:
+    """M4 / metrics_table: accuracy, F-beta and row count in one aggregate."""
+    y, p = F.col(label), F.col(pred)
+    b2 = beta * beta
+    tp = F.count_if((y == 1) & (p == 1))
+    den = (1 + b2) * tp + b2 * F.count_if((y == 1) & (p == 0)) + F.count_if((y == 0) & (p == 1))
+    return df.agg(
+        (F.count_if(y == p) / F.count(F.lit(1))).alias("accuracy"),
+        F.when(den == 0, F.lit(float(zero_division))).otherwise(((1 + b2) * tp).cast("double") / den).alias("fbeta"),
+        F.count(F.lit(1)).alias("n_rows"))
+
+
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for each distinct score, high to low, plus
     the origin (threshold +inf).  Ties in score form one point."""

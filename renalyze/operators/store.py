@@ -135,9 +135,12 @@ def is_populated(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def load_gate(rows: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """Keep ``rows`` only if every target table is empty (one-row flag join)."""
+    """Keep ``rows`` only if every target table is empty.
+
+    The flag is a scalar subquery (each probe reads at most one row), so the
+    rows are filtered in place: no join, no shuffle of ``rows``."""
     flag = is_populated(targets)
-    return rows.crossJoin(F.broadcast(flag)).where(~F.col("populated")).drop("populated")
+    return rows.where(~flag.scalar())
 
 
 def write_snapshot(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -314,3 +314,4 @@ def q_rename(spark, sf):
 # the other parts register themselves on import
 from . import catalog_features as _cf  # noqa: E402,F401
 from . import catalog_tables as _ct  # noqa: E402,F401
+from . import catalog_io as _cio  # noqa: E402,F401
