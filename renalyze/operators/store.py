@@ -18,8 +18,10 @@ from ..schemas import SEX_VALUES
 from ..session import scratch_path
 
 
-def _ordered(df: DataFrame, batch: int, order: str | None) -> DataFrame:
-    o = F.col(order).cast("bigint") if order else F.lit(0).cast("bigint")
+def _ordered(df: DataFrame, batch: int, order: str | None, order_type: str) -> DataFrame:
+    """Attach ``_ord`` = (side, arrival); any orderable arrival type works
+    (a number, a timestamp, or a struct such as (message time, control id))."""
+    o = F.col(order).cast(order_type) if order else F.lit(None).cast(order_type)
     return df.withColumn("_ord", F.struct(F.lit(batch).alias("b"), o.alias("a")))
 
 
@@ -31,9 +33,10 @@ def upsert(current: DataFrame, updates: DataFrame, keys: list[str], values: list
     ``order`` (arrival) breaks ties.  New NULLs overwrite old values, as an
     ``ON DUPLICATE KEY UPDATE`` does.
     """
+    order_type = updates.schema[order].dataType.simpleString() if order else "bigint"
     cur = _ordered(current.select(*keys, *values, *([current_order] if current_order else [])),
-                   0, current_order)
-    upd = _ordered(updates.select(*keys, *values, *([order] if order else [])), 1, order)
+                   0, current_order, order_type)
+    upd = _ordered(updates.select(*keys, *values, *([order] if order else [])), 1, order, order_type)
     both = cur.select(*keys, *values, "_ord").unionByName(upd.select(*keys, *values, "_ord"))
     row = F.struct(*[F.col(v) for v in values])
     out = both.groupBy(*keys).agg(F.max_by(row, F.col("_ord")).alias("_row"))
