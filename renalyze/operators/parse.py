@@ -23,14 +23,22 @@ def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
     clock; here it is a column, e.g. the arrival time, so runs repeat).
     ``as_of`` is the date ages are computed at (default: the MSH-7 time).
     """
-    segs_fields = hl7.fields(hl7.segments(F.col("raw")))
     dt = F.col(default_time) if isinstance(default_time, str) else (
         default_time if default_time is not None else F.lit(None).cast("string"))
-    st = hl7.parse_state(segs_fields, dt)
-    df = raw.withColumn("_st", st)
-    msh_time = hl7.hl7_time(F.get(F.try_element_at(
-        F.filter(hl7.fields(hl7.segments(F.col("raw"))), lambda f: f[0] == F.lit("MSH")), F.lit(-1)), 6))
-    age_at = (F.col(as_of) if isinstance(as_of, str) else as_of) if as_of is not None else msh_time
+    # Evaluation boundaries: a one-element ``inline`` makes each stage's
+    # struct a generated column, so the optimizer cannot substitute the
+    # (large) fold into every later filter and projection that reads it.
+    keep = [c for c in raw.columns]
+    split_once = raw.select(*keep, F.inline(F.array(F.struct(
+        hl7.fields(hl7.segments(F.col("raw"))).alias("_f"),
+        hl7.default_time_text(dt).alias("_dt")))))
+    msh = F.try_element_at(F.filter(F.col("_f"), lambda f: f[0] == F.lit("MSH")), F.lit(-1))
+    msh_time = hl7.hl7_time(F.get(msh, 6))
+    df = split_once.select(*keep, F.inline(F.array(F.struct(
+        hl7.parse_state(F.col("_f"), F.col("_dt")).alias("_st"),
+        hl7.control_id(F.col("raw")).alias("_cid"),
+        msh_time.alias("_msh_time")))))
+    age_at = (F.col(as_of) if isinstance(as_of, str) else as_of) if as_of is not None else F.col("_msh_time")
     mtype = F.col("_st.mtype")
     reason = (F.when(F.col("_st.bad_mrn"), F.lit("bad_mrn"))
                .when(mtype.isNull() | ~mtype.isin(hl7.KNOWN_TYPES), F.lit("unknown_type"))
@@ -48,7 +56,7 @@ def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
         hl7.age_from_dob(F.col("_st.dob"), age_at).alias("age"),
         F.col("_st.sex").alias("sex"),
         F.col("_st.tests").alias("tests"),
-        hl7.control_id(F.col("raw")).alias("control_id"),
+        F.col("_cid").alias("control_id"),
         route.alias("route"),
         reason.alias("reason"),
     )
