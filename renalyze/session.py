@@ -71,3 +71,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the checkpoint root for a written table."""
     root = checkpoint_root(spark)
     return os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def spread_for_cpu(df):
+    """Round-robin ``df`` over the cluster's cores when its scan yields fewer
+    partitions than there are cores (e.g. one small unsplittable file), so
+    CPU-heavy row-local work (HL7 parsing) uses every core.  Large inputs
+    already have many splits and are returned unchanged: no extra shuffle
+    at scale.  Streaming frames are left alone."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - planning failure: leave as is
+        return df
+    return df.repartition(cores) if n < cores else df
