@@ -316,3 +316,4 @@ from . import catalog_features as _cf  # noqa: E402,F401
 from . import catalog_tables as _ct  # noqa: E402,F401
 from . import catalog_io as _cio  # noqa: E402,F401
 from . import catalog_stream as _cs  # noqa: E402,F401
+from . import catalog_ml as _cm  # noqa: E402,F401
