@@ -122,3 +122,31 @@ def q_stream_alerts(spark, sf):
     feats = state.history_stream(ingest.parsed_stream(spark, landing), B.patients(spark, sf))
     sinks.run_available_now(feats, ck, foreach_batch=sinks.alert_writer(out))
     return spark.read.parquet(out).select("mrn", "alert_ts", "payload").dropDuplicates()
+
+
+def _chunks(spark, sf):
+    """All messages as one connection's byte stream (the hottest possible
+    key), cut so that every chunk holds the second half of one frame and the
+    first half of the next: chunk k = tail(frame k) + head(frame k+1), with
+    head(frame 0) alone as chunk -1.  Built with an equi-join on the next
+    message number, so no per-connection string is ever assembled."""
+    raw = B.hl7_raw(spark, sf)
+    fr = raw.select("msg_id", F.concat(F.lit(hl7.START_BLOCK), "raw", F.lit(hl7.END_BLOCK)).alias("f"))
+    parts = fr.select("msg_id", F.expr("substring(f, 1, int(floor(length(f) / 2)))").alias("head"),
+                      F.expr("substring(f, int(floor(length(f) / 2)) + 1)").alias("tail"))
+    nxt = parts.select((F.col("msg_id") - 1).alias("msg_id"), F.col("head").alias("next_head"))
+    body = parts.join(nxt, "msg_id", "left").select(
+        F.lit(0).cast("bigint").alias("conn_id"), F.col("msg_id").alias("seq"),
+        F.concat(F.col("tail"), F.coalesce(F.col("next_head"), F.lit(""))).alias("bytes"))
+    first = parts.where(F.col("msg_id") == parts.agg(F.min("msg_id")).scalar()).select(
+        F.lit(0).cast("bigint").alias("conn_id"), F.lit(-1).cast("bigint").alias("seq"), F.col("head").alias("bytes"))
+    return body.unionByName(first)
+
+
+@query("stream_reassemble", f"WITH {S.MSG} SELECT msg_id AS frame_no, control_id, message_type, 'ok' AS status FROM msg")
+def q_reassemble(spark, sf):
+    from ..operators.reassemble import reassemble
+    fr = reassemble(_chunks(spark, sf), block=256)
+    m = F.col("message")
+    return fr.select(F.col("frame_no").cast("bigint").alias("frame_no"), hl7.control_id(m).alias("control_id"),
+                     hl7.message_type(hl7.fields(hl7.segments(m))).alias("message_type"), "status")

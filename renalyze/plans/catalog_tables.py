@@ -263,3 +263,36 @@ SELECT mrn, age, sex, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS msg
 UNION ALL SELECT mrn, age, sex, name, msg_id FROM adm""")
 def q_append_rows(spark, sf):
     return B.patients(spark, sf).unionByName(P.admissions(_parsed(spark, sf)), allowMissingColumns=True)
+
+
+@query("what_if_history", f"""
+WITH {S.PATIENTS}, {S.mrows("h_rows", "second", ("click", "view"))}, {S.keyed("hist", "h_rows")},
+cand AS (SELECT CAST(user_id AS VARCHAR) AS mrn, arg_max(date_trunc('second', ts), event_id) AS creatinine_date,
+                arg_max(value, event_id) AS creatinine_result
+         FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+known AS (SELECT c.* FROM cand c WHERE c.mrn IN (SELECT mrn FROM patients_b)),
+slots AS (SELECT k.mrn, CAST(count(h.mrn) AS INTEGER) AS next_slot FROM known k LEFT JOIN hist h ON h.mrn = k.mrn GROUP BY k.mrn),
+merged AS (SELECT mrn, creatinine_date, creatinine_result FROM hist WHERE mrn IN (SELECT mrn FROM known)
+           UNION ALL SELECT mrn, creatinine_date, creatinine_result FROM known),
+pk AS (SELECT * FROM patients_b WHERE mrn IN (SELECT mrn FROM known)),
+{S.serving('pk', 'merged')}
+SELECT f.mrn, s.next_slot, f.n_readings, {S.r9()} FROM feat f JOIN slots s ON f.mrn = s.mrn""")
+def q_what_if(spark, sf):
+    """Each known patient's stored history plus one unsaved candidate
+    reading (the latest purchase event) in the next slot, with the features
+    of that combined history; unknown patients give no row."""
+    from ..operators import features as feat
+    from ..functions.numeric import round9
+    hist = _meas(spark, sf, "second", ["click", "view"])
+    rows = B.measurement_rows(spark, sf, "second", ["purchase"])
+    cand = rows.groupBy("mrn").agg(F.max_by("creatinine_date", "arrival").alias("creatinine_date"),
+                                   F.max_by("creatinine_result", "arrival").alias("creatinine_result"))
+    pk = B.patients(spark, sf).join(cand.select("mrn"), "mrn", "left_semi")
+    known = cand.join(pk.select("mrn"), "mrn", "left_semi")
+    hk = hist.join(known.select("mrn"), "mrn", "left_semi")
+    slots = known.select("mrn").join(hk.groupBy("mrn").agg(F.count(F.lit(1)).alias("n")), "mrn", "left") \
+                 .select("mrn", F.coalesce(F.col("n"), F.lit(0)).cast("int").alias("next_slot"))
+    merged = hk.unionByName(known.select("mrn", "creatinine_date", "creatinine_result"))
+    f = feat.features_serving(pk, merged, keep_counts=True)
+    f = f.withColumns({c: round9(F.col(c)) for c in feat.FEATURE_COLUMNS})
+    return f.join(slots, "mrn").select("mrn", "next_slot", "n_readings", *feat.FEATURE_COLUMNS)
