@@ -72,7 +72,7 @@ def dob_text(user_id: Column) -> Column:
     return F.date_format(F.date_add(F.lit(DOB_ORIGIN).cast("date"), days), "yyyyMMdd")
 
 
-def hl7_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hl7_raw(spark: SparkSession, sf_dir: str, delay_mod: int | None = None) -> DataFrame:
     """hl7_raw(msg_id, raw, sent_ts): one HL7 v2 message per event.
 
     signup -> ADT^A01 (with NK1), error -> ADT^A03, click/view -> ORU^R01.
@@ -81,10 +81,13 @@ def hl7_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     purchase -> ORU^R01 made odd by ``event_id % 6``: 0 non-numeric OBX-5,
     1 two OBX, 2 no OBX, 3 bad MRN, 4 unknown type ORU^R99, 5 empty MSH-10.
     OBR-7 has 14 digits for odd ids and 12 digits for even ids.
+    ``delay_mod``: the message is sent ``event_id % delay_mod`` hours after
+    the reading (MSH-7 shifted), so arrival order differs from date order.
     """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
     odd = F.when(et == "purchase", eid % 6)
+    sent = F.col("ts") + F.make_dt_interval(hours=(eid % delay_mod).cast("int")) if delay_mod else F.col("ts")
     ts14 = F.date_format("ts", "yyyyMMddHHmmss")
     obr_time = F.when(eid % 2 == 0, F.date_format("ts", "yyyyMMddHHmm")).otherwise(ts14)
     mtype = (F.when(et == "signup", F.lit("ADT^A01"))
@@ -92,7 +95,7 @@ def hl7_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(odd == 4, F.lit("ORU^R99"))
               .otherwise(F.lit("ORU^R01")))
     ctrl = F.when(odd == 5, F.lit("")).otherwise(F.concat(F.lit("MSG"), eid.cast("string")))
-    msh = F.concat(F.lit("MSH|^~\\&|" + SENDER + "|||"), ts14, F.lit("||"), mtype,
+    msh = F.concat(F.lit("MSH|^~\\&|" + SENDER + "|||"), F.date_format(sent, "yyyyMMddHHmmss"), F.lit("||"), mtype,
                    F.lit("|"), ctrl, F.lit("|2.5"))
     adt_odd = F.when(et.isin("signup", "error"), eid % 5)
     mrn_txt = (F.when(odd == 3, F.concat(F.lit("MRN"), uid.cast("string")))
@@ -112,7 +115,7 @@ def hl7_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(odd == 2, F.concat_ws("\r", msh, pid_short, obr))
              .when(odd == 1, F.concat_ws("\r", msh, pid_short, obr, obx1, obx2))
              .otherwise(F.concat_ws("\r", msh, pid_short, obr, obx1)))
-    return e.select(eid.alias("msg_id"), body.alias("raw"), F.col("ts").alias("sent_ts"))
+    return e.select(eid.alias("msg_id"), body.alias("raw"), sent.alias("sent_ts"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
