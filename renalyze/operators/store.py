@@ -13,16 +13,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import SEX_VALUES
 from ..session import scratch_path
 
 
-def _ordered(df: DataFrame, batch: int, order: str | None, order_type: str) -> DataFrame:
-    """Attach ``_ord`` = (side, arrival); any orderable arrival type works
-    (a number, a timestamp, or a struct such as (message time, control id))."""
-    o = F.col(order).cast(order_type) if order else F.lit(None).cast(order_type)
-    return df.withColumn("_ord", F.struct(F.lit(batch).alias("b"), o.alias("a")))
+_SIDE = 1 << 62  # updates rank above every current row when arrival < 2**62
+
+
+def _integral(df: DataFrame, col: str | None) -> bool:
+    return col is None or isinstance(df.schema[col].dataType, (T.LongType, T.IntegerType, T.ShortType))
 
 
 def upsert(current: DataFrame, updates: DataFrame, keys: list[str], values: list[str],
@@ -32,14 +33,30 @@ def upsert(current: DataFrame, updates: DataFrame, keys: list[str], values: list
     ``updates`` rows are newer than every ``current`` row; within a side
     ``order`` (arrival) breaks ties.  New NULLs overwrite old values, as an
     ``ON DUPLICATE KEY UPDATE`` does.
+
+    With an integral arrival (>= 0, < 2**62) the rank is one BIGINT
+    ``side * 2**62 + arrival`` and each value is a ``max_by`` on it: all
+    buffers are fixed-width, so Spark runs a hash aggregate with map-side
+    combine.  Any other orderable arrival (timestamp, struct of message time
+    and control id) ranks by ``struct(side, arrival)``.
     """
-    order_type = updates.schema[order].dataType.simpleString() if order else "bigint"
-    cur = _ordered(current.select(*keys, *values, *([current_order] if current_order else [])),
-                   0, current_order, order_type)
-    upd = _ordered(updates.select(*keys, *values, *([order] if order else [])), 1, order, order_type)
-    both = cur.select(*keys, *values, "_ord").unionByName(upd.select(*keys, *values, "_ord"))
+    cur_cols = [*keys, *values, *([current_order] if current_order else [])]
+    upd_cols = [*keys, *values, *([order] if order else [])]
+    if _integral(updates, order) and _integral(current, current_order):
+        c_rank = F.coalesce(F.col(current_order).cast("bigint"), F.lit(0)) if current_order else F.lit(0).cast("bigint")
+        u_rank = F.lit(_SIDE) + (F.col(order).cast("bigint") if order else F.lit(0).cast("bigint"))
+        both = (current.select(*cur_cols).select(*keys, *values, c_rank.alias("_rank"))
+                .unionByName(updates.select(*upd_cols).select(*keys, *values, u_rank.alias("_rank"))))
+        out = both.groupBy(*keys).agg(*[F.max_by(F.col(v), F.col("_rank")).alias(v) for v in values])
+        return out.select(*keys, *values)
+    order_type = updates.schema[order].dataType.simpleString()
+    c_a = F.col(current_order).cast(order_type) if current_order else F.lit(None).cast(order_type)
+    rank_c = F.struct(F.lit(0).alias("b"), c_a.alias("a"))
+    rank_u = F.struct(F.lit(1).alias("b"), F.col(order).cast(order_type).alias("a"))
+    both = (current.select(*cur_cols).select(*keys, *values, rank_c.alias("_rank"))
+            .unionByName(updates.select(*upd_cols).select(*keys, *values, rank_u.alias("_rank"))))
     row = F.struct(*[F.col(v) for v in values])
-    out = both.groupBy(*keys).agg(F.max_by(row, F.col("_ord")).alias("_row"))
+    out = both.groupBy(*keys).agg(F.max_by(row, F.col("_rank")).alias("_row"))
     return out.select(*keys, *[F.col("_row")[v].alias(v) for v in values])
 
 
