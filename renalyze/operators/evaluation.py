@@ -8,7 +8,7 @@ the shuffle) and runs the cumulative sums over the distinct scores only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,27 +56,39 @@ def metrics(df: DataFrame, beta: float = 3.0, zero_division: float = 0.0,
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) for each distinct score, high to low, plus
-    the origin (threshold +inf).  Ties in score form one point."""
+    the origin (threshold +inf).  Ties in score form one point.
+
+    Positives / negatives per distinct score are a partial aggregate; the
+    cumulative counts come from ``prefix.running_sums`` (block-wise, exact),
+    and the class totals are scalar subqueries: no step sorts the whole
+    table in one task."""
+    from .prefix import running_sums
+
     y = F.col(label)
-    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy()
-    cum = per.select("threshold",
-                     F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn"),
-                     F.sum("p").over(tot).alias("P"), F.sum("n").over(tot).alias("N"))
+    cum = running_sums(per, "threshold", ["p", "n"], descending=True)
+    P = per.agg(F.sum("p")).scalar()
+    N = per.agg(F.sum("n")).scalar()
     pts = cum.select("threshold",
-                     F.when(F.col("N") > 0, F.col("cn") / F.col("N")).alias("fpr"),
-                     F.when(F.col("P") > 0, F.col("cp") / F.col("P")).alias("tpr"))
+                     F.when(N > 0, F.col("cum_n") / N).alias("fpr"),
+                     F.when(P > 0, F.col("cum_p") / P).alias("tpr"))
     spark = df.sparkSession
     origin = spark.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
-    return pts.select(F.col("threshold").cast("double"), "fpr", "tpr").unionByName(origin)
+    return pts.select("threshold", "fpr", "tpr").unionByName(origin)
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Area under the ROC curve by the trapezoid rule over ``roc_points``."""
-    pts = roc_points(df, label, score)
-    w = Window.orderBy(F.col("threshold").desc())
-    seg = pts.select(((F.col("fpr") - F.lag("fpr").over(w)) *
-                      (F.col("tpr") + F.lag("tpr").over(w)) / 2).alias("area"))
-    return seg.agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("roc_auc"))
+    """Area under the ROC curve (equal to the trapezoid rule over
+    ``roc_points``): for each distinct score, its negatives times the
+    positives above it plus half the tied positives, over P * N."""
+    y = F.col(label)
+    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
+    from .prefix import running_sums
+    # area = sum over distinct scores of n_s * (positives above s + p_s / 2) / (P * N)
+    cum = running_sums(per, "s", ["p"], descending=True)
+    area = cum.agg(F.sum(F.col("n") * (F.col("cum_p") - F.col("p") / 2.0)).alias("a"),
+                   F.sum("p").alias("P"), F.sum("n").alias("N"))
+    return area.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
+                              F.col("a") / (F.col("P") * F.col("N"))).otherwise(F.lit(0.0)).alias("roc_auc"))

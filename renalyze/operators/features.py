@@ -162,24 +162,30 @@ def relative_seconds(measurements: DataFrame) -> DataFrame:
 
 
 def _arr_stats(vals: Column, n: int) -> dict[str, Column]:
-    """Row-local statistics over an array of n non-NULL doubles."""
+    """Row-local statistics over an array column of n non-NULL doubles."""
     srt = F.array_sort(vals)
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / F.lit(float(n))
+    total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
+    mean = total / F.lit(float(n))
     if n % 2:
         median = F.get(srt, n // 2)
     else:
         median = (F.get(srt, n // 2 - 1) + F.get(srt, n // 2)) / F.lit(2.0)
-    var = F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.lit(float(n - 1)) \
-        if n > 1 else F.lit(None).cast("double")
-    steps = F.transform(F.slice(vals, 2, max(n - 1, 1)), lambda x, i: x - F.get(vals, i)) if n > 1 \
-        else F.array().cast("array<double>")
+    if n > 1:
+        # two-pass sample variance: sum of squared deviations from the mean
+        ss = F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        std = F.sqrt(ss / F.lit(float(n - 1)))
+        steps = F.transform(F.slice(vals, 2, n - 1), lambda x, i: x - F.get(vals, i))
+        max_step = F.array_max(steps)
+    else:
+        std = F.lit(None).cast("double")
+        max_step = F.lit(0.0)
     return {
         "creatinine_mean": mean,
         "creatinine_median": median,
         "creatinine_max": F.array_max(vals),
         "creatinine_min": F.array_min(vals),
-        "creatinine_max_delta": F.coalesce(F.array_max(steps), F.lit(0.0)),
-        "creatinine_std": F.sqrt(var),
+        "creatinine_max_delta": max_step,
+        "creatinine_std": std,
         "most_recent": F.get(vals, n - 1),
     }
 
@@ -190,28 +196,34 @@ def features_training(wide: DataFrame, pad_to: int = 50) -> DataFrame:
     Dates become seconds after the row's first date, and every missing date
     or result becomes 0 **before** the statistics, which therefore see the
     zeros of the dataset's width (not the padding added after).  All work is
-    row-local array arithmetic: no shuffle at all.
+    row-local array arithmetic: no shuffle at all.  The slots are gathered
+    into two arrays once (dates parsed once, the row minimum taken once);
+    a one-row ``inline`` keeps the optimizer from re-expanding them into
+    every output column.
     """
     slots = slot_numbers(wide.columns)
     n = len(slots)
-    dates = [F.try_to_timestamp(F.col(f"{DATE_PREFIX}{i}").cast("string")) for i in slots]
-    ref = F.least(*dates) if n > 1 else dates[0]
-    rel = {f"{DATE_PREFIX}{i}": F.coalesce((F.unix_micros(dt) - F.unix_micros(ref)) / F.lit(1e6), F.lit(0.0))
-           for i, dt in zip(slots, dates)}
-    res = {f"{RESULT_PREFIX}{i}": F.coalesce(F.col(f"{RESULT_PREFIX}{i}").cast("double"), F.lit(0.0))
-           for i in slots}
-    out = wide.withColumns({**rel, **res})
-    vals = F.array(*[F.col(f"{RESULT_PREFIX}{i}") for i in slots])
-    stats = _arr_stats(vals, n)
-    out = out.withColumns(stats)
+    keep = [c for c in wide.columns
+            if not (c.startswith(DATE_PREFIX) or c.startswith(RESULT_PREFIX))]
+    dates = F.array(*[F.try_to_timestamp(F.col(f"{DATE_PREFIX}{i}").cast("string")) for i in slots])
+    res = F.array(*[F.coalesce(F.col(f"{RESULT_PREFIX}{i}").cast("double"), F.lit(0.0)) for i in slots])
+    staged = wide.select(*keep, F.inline(F.array(F.struct(dates.alias("_d"), res.alias("_v")))))
+    ref = F.array_min(F.col("_d"))
+    staged = staged.select(*keep, "_v", F.inline(F.array(F.struct(
+        F.transform(F.col("_d"), lambda d: F.coalesce((F.unix_micros(d) - F.unix_micros(ref)) / F.lit(1e6),
+                                                      F.lit(0.0))).alias("_rel")))))
+    staged = staged.select(*keep, "_v", "_rel",
+                           F.inline(F.array(F.struct(*[c.alias(k) for k, c in _arr_stats(F.col("_v"), n).items()]))))
     mr = F.col("most_recent")
-    out = out.withColumns({"rv1_ratio": ratio(mr, F.col("creatinine_min")),
-                           "rv2_ratio": ratio(mr, F.col("creatinine_median"))})
-    pad = {}
+    cols = [*keep]
+    for j, i in enumerate(slots):
+        cols += [F.get(F.col("_rel"), j).alias(f"{DATE_PREFIX}{i}"), F.get(F.col("_v"), j).alias(f"{RESULT_PREFIX}{i}")]
     for i in range(n, pad_to):
-        pad[f"{DATE_PREFIX}{i}"] = F.lit(0.0)
-        pad[f"{RESULT_PREFIX}{i}"] = F.lit(0.0)
-    return out.withColumns(pad) if pad else out
+        cols += [F.lit(0.0).alias(f"{DATE_PREFIX}{i}"), F.lit(0.0).alias(f"{RESULT_PREFIX}{i}")]
+    cols += [F.col(c) for c in FEATURE_COLUMNS[:7]]
+    cols += [ratio(mr, F.col("creatinine_min")).alias("rv1_ratio"),
+             ratio(mr, F.col("creatinine_median")).alias("rv2_ratio")]
+    return staged.select(*cols)
 
 
 __all__ = ["SEX_CODE", "encode_sex", "encode_sex_fitted", "max_delta", "measurement_stats",
