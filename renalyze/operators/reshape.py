@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import DEFAULT_CHUNK_SECONDS, keyed_row_number
+
 DATE_PREFIX = "creatinine_date_"
 RESULT_PREFIX = "creatinine_result_"
 PAD_WIDTH = 50  # fixed width the classifier's training matrix is padded to
@@ -49,10 +51,11 @@ def unpivot_history(wide: DataFrame, first_slot: int = 0, keep_empty: bool = Fal
     return long
 
 
-def slot_index(measurements: DataFrame) -> DataFrame:
-    """0-based position by date within a patient."""
-    w = Window.partitionBy("mrn").orderBy("creatinine_date")
-    return measurements.withColumn("slot", (F.row_number().over(w) - 1).cast("int"))
+def slot_index(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """0-based position by date within a patient (dates unique per
+    patient, as the table key guarantees); a long history is numbered in
+    time chunks on many tasks (``ordered.keyed_row_number``)."""
+    return keyed_row_number(measurements, "mrn", "creatinine_date", "slot", chunk_seconds)
 
 
 def pivot_history(measurements: DataFrame, width: int, date_format: str | None = "yyyy-MM-dd HH:mm:ss",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import bindings as B
@@ -71,9 +70,9 @@ SELECT mrn, creatinine_date,
   round(creatinine_result - lag(creatinine_result) OVER (PARTITION BY mrn ORDER BY creatinine_date), 9) AS step
 FROM measurements_b""")
 def q_consecutive_delta(spark, sf):
-    r = F.col("creatinine_result")
-    w = Window.partitionBy("mrn").orderBy("creatinine_date")
-    return _meas(spark, sf).select("mrn", "creatinine_date", round9(r - F.lag(r).over(w)).alias("step"))
+    from ..operators.ordered import keyed_lag
+    m = keyed_lag(_meas(spark, sf), "mrn", "creatinine_date", "creatinine_result", "prev")
+    return m.select("mrn", "creatinine_date", round9(F.col("creatinine_result") - F.col("prev")).alias("step"))
 
 
 @query("running_features", f"""

@@ -160,3 +160,24 @@ def test_metrics_against_brute_force(spark):
     neg = [s for y, _, s in rows if y == 0]
     auc = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg) / (len(pos) * len(neg))
     assert ev.roc_auc(df).first().roc_auc == pytest.approx(auc)
+
+
+def test_chunked_row_number_and_lag_equal_plain_windows(spark):
+    from renalyze.operators.ordered import keyed_lag, keyed_row_number
+    rnd = random.Random(11)
+    rows = []
+    for m in range(12):
+        t = T0
+        for _ in range(rnd.randint(1, 60)):
+            t += dt.timedelta(minutes=rnd.randint(1, 5000))
+            rows.append((str(m), t, None if rnd.random() < 0.1 else float(rnd.randint(1, 500))))
+    df = meas(spark, rows)
+    key = ("mrn", "creatinine_date")
+    plain_rn = {(r.mrn, r.creatinine_date): r.slot for r in keyed_row_number(df, *key, "slot", None).collect()}
+    plain_lag = {(r.mrn, r.creatinine_date): r.prev
+                 for r in keyed_lag(df, *key, "creatinine_result", "prev", None).collect()}
+    for chunk in (300, 86400, 10 * 86400):
+        assert {(r.mrn, r.creatinine_date): r.slot
+                for r in keyed_row_number(df, *key, "slot", chunk).collect()} == plain_rn
+        assert {(r.mrn, r.creatinine_date): r.prev
+                for r in keyed_lag(df, *key, "creatinine_result", "prev", chunk).collect()} == plain_lag
