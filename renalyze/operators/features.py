@@ -33,10 +33,14 @@ def encode_sex(sex: Column) -> Column:
 def encode_sex_fitted(df: DataFrame, col: str = "sex", out: str = "sex_code") -> DataFrame:
     """P19 (fitted): index of the value in the sorted distinct values of the
     batch, as a label encoder fitted on the batch gives.  The distinct values
-    are a tiny set; the lookup is a broadcast join against it."""
-    levels = (df.select(col).where(F.col(col).isNotNull()).distinct()
-                .withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int")))
-    return df.join(F.broadcast(levels), col, "left")
+    are numbered with a block-wise running count (no single-task window) and
+    joined back, broadcast only when the optimizer's size estimate is small."""
+    from .joins import maybe_broadcast
+    from .prefix import running_sums
+
+    levels = (df.select(col).where(F.col(col).isNotNull()).groupBy(col).agg(F.lit(1).alias("_one")))
+    numbered = running_sums(levels, col, ["_one"]).select(col, (F.col("cum__one") - 1).cast("int").alias(out))
+    return df.join(maybe_broadcast(numbered), col, "left")
 
 
 def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False,
@@ -23,10 +24,22 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str], descendin
     spark = df.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / n for i in range(1, n)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n)))) if probs else []
+    numeric = isinstance(df.schema[order_col].dataType, T.NumericType)
+    if numeric and probs:
+        bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n))))
+        lits = [F.lit(float(b)) for b in bounds]
+    elif probs:
+        # text keys: bounds from a sample of at most 100 rows per block
+        frac = min(1.0, 100.0 * n / max(1, df.count()))
+        sample = sorted({r[0] for r in df.select(order_col).sample(fraction=frac, seed=7).collect()})
+        bounds = [sample[int(len(sample) * i / n)] for i in range(1, n)] if sample else []
+        bounds = sorted(set(bounds))
+        lits = [F.lit(b) for b in bounds]
+    else:
+        bounds, lits = [], []
     x = F.col(order_col)
     if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
+        arr = F.array(*lits)
         blk = F.size(F.filter(arr, lambda b: b < x))
     else:
         blk = F.lit(0)

@@ -59,12 +59,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = jdir.get() if jdir.isDefined() else None
+        try:
+            jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+            root = jdir.get() if jdir.isDefined() else None
+        except Exception:  # noqa: BLE001 - no JVM context (remote session)
+            root = None
     if not root:
         root = tempfile.mkdtemp(prefix="renalyze-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+    try:
+        spark.sparkContext.setCheckpointDir(root)
+    except Exception:  # noqa: BLE001 - remote session: the conf is enough
+        pass
     return root
 
 
@@ -82,8 +88,8 @@ def spread_for_cpu(df):
     at scale.  Streaming frames are left alone."""
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
     try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
         n = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - planning failure: leave as is
         return df
