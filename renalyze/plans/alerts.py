@@ -37,7 +37,24 @@ def parse_feed(hl7_raw: DataFrame) -> DataFrame:
     return P.parse_messages(raw, default_time="_default_time").drop("_default_time")
 
 
-def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None) -> Applied:
+def patient_feed(parsed: DataFrame) -> DataFrame:
+    """Admissions and first results of a parsed batch as one feed, in one
+    pass over the parse: (kind, msg_id, mrn, age, sex, sex_ok, test_value,
+    test_time, control_id).  A result's patient is the one of its first OBX."""
+    t = F.get(F.col("tests"), 0)
+    is_adm = F.col("route") == "admissions"
+    return (parsed.where(F.col("route").isin("admissions", "results"))
+                  .select(F.when(is_adm, F.lit("adm")).otherwise(F.lit("res")).alias("kind"),
+                          "msg_id",
+                          F.when(is_adm, F.col("mrn")).otherwise(t["mrn"].cast("string")).alias("mrn"),
+                          "age", "sex",
+                          (F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES)).alias("sex_ok"),
+                          t["test_value"].alias("test_value"), t["test_time"].alias("test_time"),
+                          "control_id"))
+
+
+def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
+                   materialize: bool = False) -> Applied:
     """Apply one batch of parsed messages to the tables.
 
     * admissions with a sex outside the allowed set go to quarantine
@@ -45,15 +62,24 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     * a result is accepted when its patient exists before the message: in
       the current table or admitted by an earlier message (T8);
     * accepted first results upsert Measurements (last message wins).
+
+    The admission and result branches read one feed projected in a single
+    pass.  With ``materialize`` that feed is written once as a table in the
+    shared checkpoint folder (parse once, lineage cut); otherwise the
+    optimizer plans each branch from the parse.
     """
-    adm = P.admissions(parsed)
-    sex_ok = F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES)
-    good_adm = adm.where(sex_ok)
-    bad_adm = adm.where(~sex_ok).select("msg_id", F.lit("bad_sex").alias("reason"))
+    feed = patient_feed(parsed)
+    if materialize:
+        # parse once: the small admission/result feed is written as a table
+        # under the shared checkpoint root and both branches read it back
+        feed = store.write_snapshot(parsed.sparkSession, feed, "patient_feed")
+    adm = feed.where(F.col("kind") == "adm")
+    good_adm = adm.where(F.col("sex_ok")).select("msg_id", "mrn", "age", "sex")
+    bad_adm = adm.where(~F.col("sex_ok")).select("msg_id", F.lit("bad_sex").alias("reason"))
     new_patients = store.upsert_patients(patients, good_adm.withColumnRenamed("msg_id", "arrival"))
 
     first_adm = good_adm.groupBy("mrn").agg(F.min("msg_id").alias("_adm_id"))
-    res = P.first_results(parsed)
+    res = feed.where(F.col("kind") == "res").select("msg_id", "mrn", "test_value", "test_time", "control_id")
     known = res.join(patients.select("mrn", F.lit(True).alias("_base")), "mrn", "left") \
                .join(first_adm, "mrn", "left")
     ok = F.col("_base").isNotNull() | (F.col("_adm_id") < F.col("msg_id"))
@@ -85,5 +111,5 @@ def alerts_from_measurements(measurements: DataFrame) -> DataFrame:
 
 def alerts(hl7_raw: DataFrame, patients: DataFrame) -> DataFrame:
     """Flagship: the alert outbox (mrn, alert_ts, payload) of a message feed."""
-    applied = apply_messages(parse_feed(hl7_raw), patients)
+    applied = apply_messages(parse_feed(hl7_raw), patients, materialize=True)
     return alerts_from_measurements(applied.measurements)

@@ -58,11 +58,15 @@ def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFram
         else:
             pats = spark.read.parquet(f"{root}/patients/v={prev}")
             meas = spark.read.parquet(f"{root}/measurements/v={prev}")
-        applied = AL.apply_messages(batch, pats, meas)
-        applied.patients.write.mode("overwrite").parquet(f"{root}/patients/v={target}")
-        applied.measurements.write.mode("overwrite").parquet(f"{root}/measurements/v={target}")
-        applied.quarantine.select(F.col("msg_id").cast("string").alias("msg_id"), "reason") \
-            .write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+        batch = batch.persist()  # three outputs below; parse the batch once
+        try:
+            applied = AL.apply_messages(batch, pats, meas)
+            applied.patients.write.mode("overwrite").parquet(f"{root}/patients/v={target}")
+            applied.measurements.write.mode("overwrite").parquet(f"{root}/measurements/v={target}")
+            applied.quarantine.select(F.col("msg_id").cast("string").alias("msg_id"), "reason") \
+                .write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+        finally:
+            batch.unpersist()
     return write
 
 
