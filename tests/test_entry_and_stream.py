@@ -74,3 +74,30 @@ def test_history_features_helper():
     assert f["creatinine_max_delta"] == 4.0 and f["creatinine_std"] == pytest.approx(4.0)
     f = history_features(np.array([5.0, 4.0, 2.0]))
     assert f["creatinine_max_delta"] == -1.0
+
+
+def test_incremental_history_equals_direct_definition():
+    """History (incremental, used by the state processor) against the direct
+    per-message recomputation on random late / repeated / missing readings."""
+    import random
+
+    import numpy as np
+
+    from renalyze.streaming.state import History
+
+    rnd = random.Random(17)
+    for trial in range(60):
+        h = History([])
+        hist = {}
+        limit = 300 if trial % 10 == 0 else 25
+        for _ in range(rnd.randint(1, limit)):
+            d = rnd.randint(0, 40 if limit == 25 else 400)
+            v = None if rnd.random() < 0.15 else float(rnd.randint(1, 60000)) / 100
+            h.upsert(d, v)
+            hist[d] = v
+            want = history_features(np.array([np.nan if hist[k] is None else hist[k] for k in sorted(hist)]))
+            got = h.features()
+            rebuilt = History(list(hist.items())).features()  # state reloaded in a new batch
+            for k, w in want.items():
+                assert got[k] == pytest.approx(w, rel=1e-9, abs=1e-9), (trial, k)
+                assert rebuilt[k] == pytest.approx(w, rel=1e-9, abs=1e-9), (trial, k)
