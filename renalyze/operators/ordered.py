@@ -5,19 +5,26 @@ task.  Here rows are first cut into time chunks (``key``, ``floor(t / w)``):
 the ordered pass runs per chunk, and one summary row per chunk (row count,
 last value) goes through a second, small ordered pass per key that supplies
 each chunk's offset / predecessor.  Results are exact for any chunk width;
-the width only sets how finely a hot key is split.
+the width only sets how finely a hot key is split.  The order column must
+be unique within a key (a table key, an arrival number).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CHUNK_SECONDS = 7 * 24 * 3600
 
 
-def _chunk(df: DataFrame, order: str, chunk_seconds: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.unix_seconds(F.col(order)) / chunk_seconds))
+def _chunk(df: DataFrame, order: str, width: int) -> DataFrame:
+    """Chunk id: ``width`` seconds of a timestamp order, or ``width`` units
+    of a numeric one (e.g. an arrival number)."""
+    o = F.col(order)
+    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        o = F.unix_seconds(o.cast("timestamp"))
+    return df.withColumn("_chunk", F.floor(o / width))
 
 
 def keyed_row_number(df: DataFrame, key: str, order: str, out: str = "slot",

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,23 +87,29 @@ def append_strict(current: DataFrame, new: DataFrame, keys: list[str]) -> tuple[
     return current.unionByName(fresh.select(*current.columns)), conflicts
 
 
-def append_slot(wide_long: DataFrame, new: DataFrame, order: str = "arrival") -> DataFrame:
+def append_slot(wide_long: DataFrame, new: DataFrame, order: str = "arrival",
+                chunk_width: int | None = 1 << 16) -> DataFrame:
     """Put each new measurement in the first free slot of its patient.
 
     ``wide_long`` is the long form of a wide history:
     (mrn, slot, creatinine_date, creatinine_result); a slot is free when its
     date is NULL.  New rows (mrn, creatinine_date, creatinine_result, arrival)
     take the free slots in ascending order, then slots after the highest one.
-    Unknown patients start at slot 0.  No key: repeats are kept.
+    Unknown patients start at slot 0.  No key: repeats are kept.  Ranking
+    free slots and new rows per patient runs in chunks of ``chunk_width``
+    slot / arrival numbers (``ordered.keyed_row_number``), so a patient with
+    very many new rows is not ranked in one task.
     """
-    free = (wide_long.where(F.col("creatinine_date").isNull())
-                     .select("mrn", "slot")
-                     .withColumn("k", F.row_number().over(Window.partitionBy("mrn").orderBy("slot"))))
+    from .ordered import keyed_row_number
+
+    free = keyed_row_number(wide_long.where(F.col("creatinine_date").isNull()).select("mrn", "slot"),
+                            "mrn", "slot", "k", chunk_width)
+    free = free.withColumn("k", F.col("k") + 1)
     stats = wide_long.groupBy("mrn").agg(
         F.max("slot").alias("max_slot"),
         F.count_if(F.col("creatinine_date").isNull()).alias("n_free"))
-    k = F.row_number().over(Window.partitionBy("mrn").orderBy(order))
-    placed = (new.withColumn("k", k)
+    ranked = keyed_row_number(new, "mrn", order, "k", chunk_width).withColumn("k", F.col("k") + 1)
+    placed = (ranked
                  .join(stats, "mrn", "left")
                  .join(free, ["mrn", "k"], "left")
                  .withColumn("slot", F.coalesce(
