@@ -20,7 +20,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import prepare
+from .session import prepare, spread_for_cpu
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -84,7 +84,8 @@ def hl7_raw(spark: SparkSession, sf_dir: str, delay_mod: int | None = None) -> D
     ``delay_mod``: the message is sent ``event_id % delay_mod`` hours after
     the reading (MSH-7 shifted), so arrival order differs from date order.
     """
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    # rendering text is CPU work: spread a scan with fewer splits than cores
+    e = spread_for_cpu(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     eid, uid, et = F.col("event_id"), F.col("user_id"), F.col("event_type")
     odd = F.when(et == "purchase", eid % 6)
     sent = F.col("ts") + F.make_dt_interval(hours=(eid % delay_mod).cast("int")) if delay_mod else F.col("ts")

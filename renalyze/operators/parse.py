@@ -38,7 +38,8 @@ def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
     msh_time = hl7.hl7_time(F.get(msh, 6))
     df = split_once.select(*keep, F.inline(F.array(F.struct(
         hl7.parse_state(F.col("_f"), F.col("_dt")).alias("_st"),
-        hl7.control_id(F.col("raw")).alias("_cid"),
+        # the ACK is built from the stripped message, as the receiver does
+        hl7.control_id_from_fields(F.col("_f")).alias("_cid"),
         msh_time.alias("_msh_time")))))
     age_at = (F.col(as_of) if isinstance(as_of, str) else as_of) if as_of is not None else F.col("_msh_time")
     mtype = F.col("_st.mtype")
