@@ -1,10 +1,9 @@
 """Per-patient history kept as streaming state.
 
-``transformWithStateInPandas`` keyed by mrn.  State per patient:
-``known`` (ValueState: admitted by a valid admission) and ``hist``
-(MapState creatinine_date -> result: a late or repeated reading is an
-upsert into the map, so history is always "everything that has arrived,
-ordered by date").  Each accepted result emits the features as of that
+``transformWithStateInPandas`` keyed by mrn.  State per patient: whether a
+valid admission was seen, and the readings (date -> result; a late or
+repeated reading is an upsert, so history is always "everything that has
+arrived, ordered by date").  Each accepted result emits the features as of that
 message; results for unknown patients are emitted with status
 ``unknown_patient`` and no features.  No TTL: the upstream never forgets.
 
@@ -166,43 +165,62 @@ class History:
         }
 
 
+STATE_SCHEMA = "known boolean, d array<timestamp>, r array<double>"
+
+
 class PatientHistory(StatefulProcessor):
     """Rows in: kind ('adm' | 'res'), msg_time, control_id, base_known,
-    sex_ok, creatinine_date, creatinine_result."""
+    sex_ok, creatinine_date, creatinine_result.
+
+    State per patient is one ValueState row (admitted flag, dates, results):
+    one state read and one write per patient and micro-batch, instead of a
+    state call per reading (each call is a round trip to the JVM state
+    server)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("known", "known boolean")
-        self.hist = handle.getMapState("hist", "d timestamp", "r double")
+        self.state = handle.getValueState("patient", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
-        batch = batch.sort_values(["msg_time", "control_id"], kind="stable")
-        known = bool(self.known.get()[0]) if self.known.exists() else False
-        hist = History((d, r) for (d,), (r,) in self.hist.iterator()) if self.hist.exists() else History([])
-        changed = {}
-        out = []
-        mrn = key[0]
-        for row in batch.itertuples(index=False):
-            if row.kind == "adm":
-                if row.sex_ok:
-                    known = True
+        order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
+                            batch["msg_time"].to_numpy()))
+        kind = batch["kind"].to_numpy()[order]
+        msg_time = batch["msg_time"].to_numpy()[order]
+        cid = batch["control_id"].to_numpy()[order]
+        base_known = batch["base_known"].to_numpy()[order]
+        sex_ok = batch["sex_ok"].to_numpy()[order]
+        dates = batch["creatinine_date"].to_numpy()[order]
+        vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)[order]
+        st = self.state.get() if self.state.exists() else None
+        known = bool(st[0]) if st is not None else False
+        hist = History(zip(st[1], st[2])) if st is not None else History([])
+        out = {c: [] for c in ("msg_time", "control_id", "creatinine_date", "status", "n_readings",
+                               *FEATURE_COLUMNS)}
+        for i in range(len(order)):
+            if kind[i] == "adm":
+                known = known or bool(sex_ok[i])
                 continue
-            base = {"mrn": mrn, "msg_time": row.msg_time, "control_id": row.control_id,
-                    "creatinine_date": row.creatinine_date}
-            if not (known or row.base_known):
-                out.append({**base, "status": "unknown_patient", "n_readings": None,
-                            **{c: None for c in FEATURE_COLUMNS}})
+            out["msg_time"].append(msg_time[i])
+            out["control_id"].append(cid[i])
+            out["creatinine_date"].append(dates[i])
+            if not (known or base_known[i]):
+                out["status"].append("unknown_patient")
+                out["n_readings"].append(None)
+                for c in FEATURE_COLUMNS:
+                    out[c].append(None)
                 continue
-            r = None if pd.isna(row.creatinine_result) else float(row.creatinine_result)
-            d = pd.Timestamp(row.creatinine_date).to_pydatetime()
-            hist.upsert(d, r)
-            changed[d] = r
-            out.append({**base, "status": "accepted", **hist.features()})
-        self.known.update((known,))
-        for d, r in changed.items():
-            self.hist.updateValue((d,), (r,))
-        if out:
-            yield pd.DataFrame(out)
+            v = None if np.isnan(vals[i]) else float(vals[i])
+            hist.upsert(pd.Timestamp(dates[i]).to_pydatetime(), v)
+            f = hist.features()
+            out["status"].append("accepted")
+            out["n_readings"].append(f["n_readings"])
+            for c in FEATURE_COLUMNS:
+                out[c].append(f[c])
+        self.state.update((known, list(hist.dates), list(hist.vals)))
+        if out["status"]:
+            frame = pd.DataFrame(out)
+            frame.insert(0, "mrn", key[0])
+            yield frame
 
     def close(self) -> None:
         pass
