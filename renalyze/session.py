@@ -94,3 +94,36 @@ def spread_for_cpu(df):
     except Exception:  # noqa: BLE001 - planning failure: leave as is
         return df
     return df.repartition(cores) if n < cores else df
+
+
+def sized_conf(input_bytes: int, cores: int, target_partition_bytes: int = 128 * 1024 * 1024,
+               max_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized to the input so shuffle partitions stay near
+    ``target_partition_bytes`` (they must fit an executor task's memory with
+    room for sort / aggregation buffers).
+
+    * ``spark.sql.shuffle.partitions``: input / target, at least 2 x cores,
+      capped; AQE then coalesces small partitions and splits skewed ones,
+      so this is the upper bound it works down from.
+    * ``spark.sql.files.maxPartitionBytes``: scan splits of the same size.
+    * advisory size for AQE coalescing and the skew-join thresholds follow
+      the same target.
+
+    At 100 TB and 128 MiB this gives the cap (100,000) for the first shuffle;
+    later shuffles of partial aggregates are far smaller and are coalesced.
+    """
+    n = max(2 * cores, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    t = str(target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": t,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": t,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(target_partition_bytes // 8),
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> SparkSession:
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return spark

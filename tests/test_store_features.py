@@ -181,3 +181,13 @@ def test_chunked_row_number_and_lag_equal_plain_windows(spark):
                 for r in keyed_row_number(df, *key, "slot", chunk).collect()} == plain_rn
         assert {(r.mrn, r.creatinine_date): r.prev
                 for r in keyed_lag(df, *key, "creatinine_result", "prev", chunk).collect()} == plain_lag
+
+
+def test_sized_conf():
+    from renalyze.session import sized_conf
+    small = sized_conf(10 * 1024 * 1024, cores=8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    big = sized_conf(100 * 1024 ** 4, cores=8000)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    mid = sized_conf(1024 ** 4, cores=100)
+    assert mid["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (128 * 1024 ** 2))
