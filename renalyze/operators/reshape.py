@@ -68,10 +68,11 @@ def pivot_history(measurements: DataFrame, width: int, date_format: str | None =
     """
     s = slot_index(measurements)
     d = F.date_format("creatinine_date", date_format) if date_format else F.col("creatinine_date")
-    s = s.select("mrn", "slot", d.alias("d"), F.col("creatinine_result").alias("r"))
-    wide = s.groupBy("mrn").pivot("slot", list(range(width))).agg(F.first("d").alias("d"), F.first("r").alias("r"))
+    # one struct per slot: a single pivot aggregate instead of one per field
+    s = s.select("mrn", "slot", F.struct(d.alias("d"), F.col("creatinine_result").alias("r")).alias("v"))
+    wide = s.groupBy("mrn").pivot("slot", list(range(width))).agg(F.first("v"))
     out = wide.select("mrn", *[c for i in range(width) for c in (
-        F.col(f"{i}_d").alias(f"{DATE_PREFIX}{i}"), F.col(f"{i}_r").alias(f"{RESULT_PREFIX}{i}"))])
+        F.col(f"`{i}`.d").alias(f"{DATE_PREFIX}{i}"), F.col(f"`{i}`.r").alias(f"{RESULT_PREFIX}{i}"))])
     if patients is not None:
         out = patients.join(out, "mrn", "left")
     return out
