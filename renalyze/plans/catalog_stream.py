@@ -214,3 +214,23 @@ def q_order_guarantee(spark, sf):
     acc = applied.accepted_results.select("msg_id", F.lit(True).alias("ok"))
     return (res.join(acc, "msg_id", "left")
                .select("msg_id", "mrn", F.col("ok").isNotNull().alias("admitted_before")))
+
+
+@query("stream_reassemble_state", f"WITH {S.MSG} SELECT msg_id AS frame_no, control_id, message_type, 'ok' AS status FROM msg")
+def q_reassemble_state(spark, sf):
+    """T2 in Structured Streaming: the chunk stream of ``_chunks`` (all
+    traffic on one connection) written as Parquet files into a landing
+    folder, reassembled by the per-connection buffer state."""
+    from ..streaming.frames import frame_stream
+    for k, v in state.STATE_CONF.items():
+        spark.conf.set(k, v)
+    landing = scratch_path(spark, "chunks")
+    chunks = _chunks(spark, sf)
+    chunks.write.parquet(landing)
+    out, ck = scratch_path(spark, "frames_out"), scratch_path(spark, "ckpt")
+    stream = spark.readStream.schema(chunks.schema).parquet(landing)
+    sinks.run_available_now(frame_stream(stream), ck, sink_path=out)
+    fr = spark.read.parquet(out)
+    m = F.col("message")
+    return fr.select("frame_no", hl7.control_id(m).alias("control_id"),
+                     hl7.message_type(hl7.fields(hl7.segments(m))).alias("message_type"), "status")
