@@ -64,10 +64,11 @@ def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK
     inner = (m.withColumn("step", r - F.lag(r).over(w))
               .groupBy("mrn", "chunk")
               .agg(F.max("step").alias("inner_max"),
-                   F.min_by(F.struct(r.alias("v")), d).alias("first"),
-                   F.max_by(F.struct(r.alias("v")), d).alias("last")))
+                   # min_by / max_by keep a NULL reading (it breaks the border step)
+                   F.min_by(r, d).alias("first"),
+                   F.max_by(r, d).alias("last")))
     wc = Window.partitionBy("mrn").orderBy("chunk")
-    border = inner.withColumn("border", F.col("first.v") - F.lag("last.v").over(wc))
+    border = inner.withColumn("border", F.col("first") - F.lag("last").over(wc))
     return border.groupBy("mrn").agg(
         F.coalesce(F.greatest(F.max("inner_max"), F.max("border")), F.lit(0.0)).alias("creatinine_max_delta"))
 

@@ -51,9 +51,10 @@ def keyed_lag(df: DataFrame, key: str, order: str, value: str, out: str = "prev"
     c = _chunk(df, order, chunk_seconds)
     w = Window.partitionBy(key, "_chunk").orderBy(order)
     c = c.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w))
-    last = c.groupBy(key, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), F.col(order)).alias("_last"))
+    # max_by keeps a NULL value of the last row (a NULL predecessor stays NULL)
+    last = c.groupBy(key, "_chunk").agg(F.max_by(F.col(value), F.col(order)).alias("_last"))
     prev_chunk = Window.partitionBy(key).orderBy("_chunk")
-    border = last.select(key, "_chunk", F.lag(F.col("_last.v")).over(prev_chunk).alias("_border"))
+    border = last.select(key, "_chunk", F.lag(F.col("_last")).over(prev_chunk).alias("_border"))
     return (c.join(border, [key, "_chunk"])
              .withColumn(out, F.when(F.col("_rn") == 1, F.col("_border")).otherwise(F.col("_lag")))
              .drop("_chunk", "_rn", "_lag", "_border"))

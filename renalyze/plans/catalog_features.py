@@ -111,9 +111,13 @@ def q_upsert_applied(spark, sf):
 
 
 def _wide(spark, sf, types=None):
+    """The wide history table (as stored upstream): pivoted once and written
+    under the shared checkpoint root, so every consumer reads a table
+    instead of re-planning the pivot in each branch."""
+    from ..operators.store import write_snapshot
     m = _meas(spark, sf, "second", types)
     width = m.groupBy("mrn").count().agg(F.max("count")).first()[0] or 0
-    return R.pivot_history(m, width), width
+    return write_snapshot(spark, R.pivot_history(m, width), "wide_history"), width
 
 
 @query("unpivot_history", f"""

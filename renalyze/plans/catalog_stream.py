@@ -140,7 +140,9 @@ def _chunks(spark, sf):
         F.concat(F.col("tail"), F.coalesce(F.col("next_head"), F.lit(""))).alias("bytes"))
     first = parts.where(F.col("msg_id") == parts.agg(F.min("msg_id")).scalar()).select(
         F.lit(0).cast("bigint").alias("conn_id"), F.lit(-1).cast("bigint").alias("seq"), F.col("head").alias("bytes"))
-    return body.unionByName(first)
+    # the chunk table is the input of reassembly: written once, read by each branch
+    from ..operators.store import write_snapshot
+    return write_snapshot(spark, body.unionByName(first), "chunks")
 
 
 @query("stream_reassemble", f"WITH {S.MSG} SELECT msg_id AS frame_no, control_id, message_type, 'ok' AS status FROM msg")
@@ -224,9 +226,8 @@ def q_reassemble_state(spark, sf):
     from ..streaming.frames import frame_stream
     for k, v in state.STATE_CONF.items():
         spark.conf.set(k, v)
-    landing = scratch_path(spark, "chunks")
-    chunks = _chunks(spark, sf)
-    chunks.write.parquet(landing)
+    chunks = _chunks(spark, sf)          # written once; its folder is the landing
+    landing = chunks.inputFiles()[0].rsplit("/", 1)[0]
     out, ck = scratch_path(spark, "frames_out"), scratch_path(spark, "ckpt")
     stream = spark.readStream.schema(chunks.schema).parquet(landing)
     sinks.run_available_now(frame_stream(stream), ck, sink_path=out)

@@ -68,8 +68,10 @@ def _wide_long(spark, sf, types):
     width = m.groupBy("mrn").count().agg(F.max("count")).first()[0] or 0
     wide = R.pivot_history(m, width, date_format=None)
     long = R.unpivot_history(wide, keep_empty=True)
-    return long.select("mrn", "slot", F.col("creatinine_date").cast("timestamp").alias("creatinine_date"),
+    long = long.select("mrn", "slot", F.col("creatinine_date").cast("timestamp").alias("creatinine_date"),
                        F.col("creatinine_result").cast("double").alias("creatinine_result"))
+    # the stored wide table: written once, read by every branch of the append
+    return store.write_snapshot(spark, long, "wide_long")
 
 
 @query("append_slot", f"""
