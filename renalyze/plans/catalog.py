@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..functions import hl7
 from ..functions.numeric import round9
-from ..operators import evaluation as ev
 from ..operators import features as feat
 from ..operators import parse as P
-from ..operators import reshape as R
 from ..operators import scoring, store
 from ..schemas import FEATURE_COLUMNS
 from . import alerts as AL

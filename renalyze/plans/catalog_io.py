@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..functions.numeric import ratio
 from ..operators import evaluation as ev
-from ..operators import parse as P
 from ..operators import reshape as R
 from ..operators import scoring, store
 from ..schemas import MEASUREMENTS, PATIENTS
