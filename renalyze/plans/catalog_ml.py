@@ -36,9 +36,9 @@ def q_evaluate(spark, sf):
 
 @query("arrival_features", f"""
 WITH {_W4}
-SELECT mrn, control_id, creatinine_date, status, n_readings, {S.r9()} FROM w4
+SELECT mrn, control_id, creatinine_date, status, age, sex, n_readings, {S.r9()} FROM w4
 UNION ALL
-SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM fres WHERE msg_id NOT IN (SELECT msg_id FROM acc)""")
 def q_arrival_features(spark, sf):
     """Features as of each message over what has arrived by then (latest

@@ -51,7 +51,7 @@ def q_stream_ingest(spark, sf):
 # Stream semantics in SQL: arrival order is (MSH-7 second, control id).
 _STREAM_BASE = f"""{S.PATIENTS}, {S.MSG}, {S.ADMISSIONS}, {S.RESULTS},
 ev AS (SELECT msg_id, date_trunc('second', ts) AS t, control_id FROM msg),
-gadm AS (SELECT a.mrn, e.t, e.control_id FROM adm a JOIN ev e USING (msg_id) WHERE a.sex IN ('M', 'F', 'Other')),
+gadm AS (SELECT a.mrn, a.age, a.sex, e.t, e.control_id FROM adm a JOIN ev e USING (msg_id) WHERE a.sex IN ('M', 'F', 'Other')),
 fres AS (SELECT r.msg_id, r.mrn, e.t, e.control_id, r.obr_ts AS d, r.test_value AS v
          FROM res r JOIN ev e USING (msg_id) WHERE r.obx_pos = 1),
 acc AS (SELECT f.* FROM fres f
@@ -74,29 +74,40 @@ def q_stream_upsert(spark, sf):
 
 
 _W4 = f"""{_STREAM_BASE},
-pairs AS (SELECT k.msg_id AS k, k.mrn, k.control_id AS kc, k.d AS kd, h.d, h.v, h.t, h.control_id AS hc
+pairs AS (SELECT k.msg_id AS k, k.mrn, k.t AS kt, k.control_id AS kc, k.d AS kd, h.d, h.v, h.t, h.control_id AS hc
           FROM acc k JOIN acc h ON h.mrn = k.mrn AND (h.t < k.t OR (h.t = k.t AND h.control_id <= k.control_id))),
 latest AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY k, d ORDER BY t DESC, hc DESC) = 1),
 stepped AS (SELECT *, v - lag(v) OVER (PARTITION BY k ORDER BY d) AS step FROM latest),
-agg AS (SELECT k, mrn, kc, kd, count(v) AS n_readings, avg(v) AS m_mean, quantile_cont(v, 0.5) AS m_median,
+agg AS (SELECT k, mrn, kt, kc, kd, count(v) AS n_readings, avg(v) AS m_mean, quantile_cont(v, 0.5) AS m_median,
                max(v) AS m_max, min(v) AS m_min, max(step) AS m_delta, stddev_samp(v) AS m_std,
                arg_max(v, d) FILTER (WHERE v IS NOT NULL) AS m_recent
-        FROM stepped GROUP BY k, mrn, kc, kd),
-w4 AS (SELECT mrn, kc AS control_id, kd AS creatinine_date, 'accepted' AS status, n_readings,
+        FROM stepped GROUP BY k, mrn, kt, kc, kd),
+demo AS (
+  SELECT agg.k,
+    (SELECT arg_max(g.age, strftime(g.t, '%Y%m%d%H%M%S') || g.control_id) FROM gadm g
+     WHERE g.mrn = agg.mrn AND (g.t < agg.kt OR (g.t = agg.kt AND g.control_id < agg.kc))) AS adm_age,
+    (SELECT arg_max(g.sex, strftime(g.t, '%Y%m%d%H%M%S') || g.control_id) FROM gadm g
+     WHERE g.mrn = agg.mrn AND (g.t < agg.kt OR (g.t = agg.kt AND g.control_id < agg.kc))) AS adm_sex
+  FROM agg),
+w4 AS (SELECT mrn, kc AS control_id, kd AS creatinine_date, 'accepted' AS status,
+         CAST(coalesce(CASE WHEN d.adm_sex IS NOT NULL THEN d.adm_age ELSE p.age END, 0) AS INTEGER) AS age,
+         CAST(coalesce(CASE coalesce(d.adm_sex, p.sex) WHEN 'F' THEN 0 WHEN 'M' THEN 1 WHEN 'Other' THEN 2 END, 0)
+              AS INTEGER) AS sex,
+         n_readings,
          coalesce(m_mean, 0) AS creatinine_mean, coalesce(m_median, 0) AS creatinine_median,
          coalesce(m_max, 0) AS creatinine_max, coalesce(m_min, 0) AS creatinine_min,
          coalesce(m_delta, 0) AS creatinine_max_delta, coalesce(m_std, 0) AS creatinine_std,
          coalesce(m_recent, 0) AS most_recent,
          coalesce({S.ratio('m_recent', 'm_min')}, 0) AS rv1_ratio,
          coalesce({S.ratio('m_recent', 'm_median')}, 0) AS rv2_ratio
-       FROM agg)"""
+       FROM agg JOIN demo d USING (k) LEFT JOIN patients_b p USING (mrn))"""
 
 
 @query("stream_history_state", f"""
 WITH {_W4}
-SELECT mrn, control_id, creatinine_date, status, n_readings, {S.r9()} FROM w4
+SELECT mrn, control_id, creatinine_date, status, age, sex, n_readings, {S.r9()} FROM w4
 UNION ALL
-SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM fres WHERE msg_id NOT IN (SELECT msg_id FROM acc)""")
 def q_stream_history(spark, sf):
     for k, v in state.STATE_CONF.items():
@@ -182,9 +193,9 @@ _LATE_W4 = _W4.replace(_STREAM_BASE, _LATE_BASE)
 
 @query("late_results", f"""
 WITH {_LATE_W4}
-SELECT mrn, control_id, creatinine_date, status, n_readings, {S.r9()} FROM w4
+SELECT mrn, control_id, creatinine_date, status, age, sex, n_readings, {S.r9()} FROM w4
 UNION ALL
-SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM fres WHERE msg_id NOT IN (SELECT msg_id FROM acc)""")
 def q_late_results(spark, sf):
     """Messages sent 0-6 hours after their reading, so they arrive out of

@@ -70,10 +70,19 @@ def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFram
     return write
 
 
-def alert_writer(root: str, dedupe: bool = True):
-    """T5: score feature rows with the rule, write positives as alerts."""
+def alert_writer(root: str, dedupe: bool = True, scorer=None):
+    """T5: score feature rows, write positives as alerts.
+
+    ``scorer`` maps feature rows to rows with an integer ``prediction``
+    column: by default the deterministic rule (``scoring.rule_score``); pass
+    ``lambda df: scoring.predict(model, df)`` to page from a trained model.
+    ``dedupe`` keeps one page per (mrn, alert_ts) within a batch; the
+    upstream pages again on redelivery (``dedupe=False``)."""
+    score = scorer or scoring.rule_score
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = scoring.rule_score(batch.where(F.col("status") == "accepted")).withColumn(
+        features = batch.where(F.col("status") == "accepted")
+        scored = score(features).withColumn(
             "alert_time", F.date_format("creatinine_date", "yyyyMMddHHmmss"))
         out = scoring.alert_outbox(scored, "alert_time", dedupe=dedupe)
         out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")

@@ -27,7 +27,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..schemas import FEATURE_COLUMNS, SEX_VALUES
 
 OUTPUT_SCHEMA = ("mrn string, msg_time timestamp, control_id string, creatinine_date timestamp, "
-                 "status string, n_readings bigint, " + ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
+                 "status string, age int, sex int, n_readings bigint, "
+                 + ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
+
+# Fixed sex codes, as in the batch serving features.
+SEX_CODE = {"F": 0, "M": 1, "Other": 2}
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -165,7 +169,7 @@ class History:
         }
 
 
-STATE_SCHEMA = "known boolean, d array<timestamp>, r array<double>"
+STATE_SCHEMA = "known boolean, age int, sex string, d array<timestamp>, r array<double>"
 
 
 class PatientHistory(StatefulProcessor):
@@ -184,42 +188,45 @@ class PatientHistory(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True)
         order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
                             batch["msg_time"].to_numpy()))
-        kind = batch["kind"].to_numpy()[order]
-        msg_time = batch["msg_time"].to_numpy()[order]
-        cid = batch["control_id"].to_numpy()[order]
-        base_known = batch["base_known"].to_numpy()[order]
-        sex_ok = batch["sex_ok"].to_numpy()[order]
-        dates = batch["creatinine_date"].to_numpy()[order]
+        col = {c: batch[c].to_numpy(dtype=object)[order] for c in
+               ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinine_date",
+                "age", "sex", "base_age", "base_sex")}
         vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)[order]
         st = self.state.get() if self.state.exists() else None
-        known = bool(st[0]) if st is not None else False
-        hist = History(zip(st[1], st[2])) if st is not None else History([])
-        out = {c: [] for c in ("msg_time", "control_id", "creatinine_date", "status", "n_readings",
-                               *FEATURE_COLUMNS)}
+        known, age, sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
+        hist = History(zip(st[3], st[4])) if st is not None else History([])
+        out = {c: [] for c in ("msg_time", "control_id", "creatinine_date", "status", "age", "sex",
+                               "n_readings", *FEATURE_COLUMNS)}
         for i in range(len(order)):
-            if kind[i] == "adm":
-                known = known or bool(sex_ok[i])
+            if col["kind"][i] == "adm":
+                if col["sex_ok"][i]:
+                    known, age, sex = True, col["age"][i], col["sex"][i]
                 continue
-            out["msg_time"].append(msg_time[i])
-            out["control_id"].append(cid[i])
-            out["creatinine_date"].append(dates[i])
-            if not (known or base_known[i]):
+            out["msg_time"].append(col["msg_time"][i])
+            out["control_id"].append(col["control_id"][i])
+            out["creatinine_date"].append(col["creatinine_date"][i])
+            if not (known or col["base_known"][i]):
                 out["status"].append("unknown_patient")
-                out["n_readings"].append(None)
-                for c in FEATURE_COLUMNS:
+                for c in ("age", "sex", "n_readings", *FEATURE_COLUMNS):
                     out[c].append(None)
                 continue
+            a, sx = (age, sex) if known else (col["base_age"][i], col["base_sex"][i])
             v = None if np.isnan(vals[i]) else float(vals[i])
-            hist.upsert(pd.Timestamp(dates[i]).to_pydatetime(), v)
+            hist.upsert(pd.Timestamp(col["creatinine_date"][i]).to_pydatetime(), v)
             f = hist.features()
             out["status"].append("accepted")
+            out["age"].append(0 if a is None or pd.isna(a) else int(a))
+            out["sex"].append(SEX_CODE.get(sx, 0))
             out["n_readings"].append(f["n_readings"])
             for c in FEATURE_COLUMNS:
                 out[c].append(f[c])
-        self.state.update((known, list(hist.dates), list(hist.vals)))
+        self.state.update((known, None if age is None or pd.isna(age) else int(age), sex,
+                           list(hist.dates), list(hist.vals)))
         if out["status"]:
             frame = pd.DataFrame(out)
             frame.insert(0, "mrn", key[0])
+            frame["age"] = frame["age"].astype("Int32")
+            frame["sex"] = frame["sex"].astype("Int32")
             yield frame
 
     def close(self) -> None:
@@ -237,15 +244,17 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
         "mrn", F.lit("adm").alias("kind"), F.col("msg_id.msg_time").alias("msg_time"),
         F.col("msg_id.control_id").alias("control_id"),
         (F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES)).alias("sex_ok"),
+        F.col("age").cast("int").alias("age"), F.col("sex").alias("sex"),
         F.lit(None).cast("timestamp").alias("creatinine_date"), F.lit(None).cast("double").alias("creatinine_result"))
     t = F.get(F.col("tests"), 0)
     res = parsed.where(F.col("route") == "results").select(
         t["mrn"].cast("string").alias("mrn"), F.lit("res").alias("kind"),
         F.col("msg_id.msg_time").alias("msg_time"), F.col("msg_id.control_id").alias("control_id"),
-        F.lit(True).alias("sex_ok"), hl7_time(t["test_time"]).alias("creatinine_date"),
-        t["test_value"].alias("creatinine_result"))
+        F.lit(True).alias("sex_ok"), F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"),
+        hl7_time(t["test_time"]).alias("creatinine_date"), t["test_value"].alias("creatinine_result"))
     both = adm.unionByName(res)
-    known = patients.select("mrn", F.lit(True).alias("base_known"))
+    known = patients.select("mrn", F.lit(True).alias("base_known"),
+                            F.col("age").cast("int").alias("base_age"), F.col("sex").alias("base_sex"))
     return (both.join(known, "mrn", "left")
                 .withColumn("base_known", F.coalesce(F.col("base_known"), F.lit(False))))
 
