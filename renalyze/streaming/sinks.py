@@ -39,9 +39,11 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return best
 
 
-def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFrame):
+def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFrame, acks: str | None = None):
     """foreachBatch function applying each batch of parsed messages to
-    Patients / Measurements, written as version ``v=batch_id+1``.
+    Patients / Measurements, written as version ``v=batch_id+1``, with the
+    batch's quarantine and (if ``acks`` is given) one ACK per processed
+    message, both written after the tables.
 
     The new version is computed from the previous committed version; a
     replayed batch whose version already exists is skipped.
@@ -65,6 +67,10 @@ def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFram
             applied.measurements.write.mode("overwrite").parquet(f"{root}/measurements/v={target}")
             applied.quarantine.select(F.col("msg_id").cast("string").alias("msg_id"), "reason") \
                 .write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+            if acks:
+                scoring.ack_outbox(applied.processed.withColumn("ack_ts", F.current_timestamp()), "ack_ts") \
+                    .select(F.col("msg_id").cast("string").alias("msg_id"), "control_id", "ack") \
+                    .write.mode("overwrite").parquet(f"{acks}/batch={batch_id}")
         finally:
             batch.unpersist()
     return write
