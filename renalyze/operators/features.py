@@ -73,27 +73,35 @@ def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK
         F.coalesce(F.greatest(F.max("inner_max"), F.max("border")), F.lit(0.0)).alias("creatinine_max_delta"))
 
 
-def measurement_stats(measurements: DataFrame) -> DataFrame:
+def measurement_stats(measurements: DataFrame, median: str = "split") -> DataFrame:
     """A1-A4, A6, A7 per mrn, NULL readings skipped; all partial aggregates.
 
-    The exact median keeps one counter per distinct value of a patient, so
-    its buffer is bounded by distinct readings, not by rows.
+    ``median="split"`` computes the exact median with ``quantile.exact_median``
+    (counts per (mrn, value), block-wise ranks), so no task holds a whole
+    patient; ``median="percentile"`` uses Spark's exact ``percentile``, whose
+    final merge keeps one counter per distinct value of a patient in one task
+    (fewer shuffles, fine when no patient is huge).
     """
     r, d = F.col("creatinine_result"), F.col("creatinine_date")
-    return measurements.groupBy("mrn").agg(
+    aggs = [
         F.avg(r).alias("creatinine_mean"),
-        F.percentile(r, F.lit(0.5)).alias("creatinine_median"),
         F.max(r).alias("creatinine_max"),
         F.min(r).alias("creatinine_min"),
         F.stddev_samp(r).alias("creatinine_std"),
         F.max_by(r, F.when(r.isNotNull(), d)).alias("most_recent"),
         F.count(r).alias("n_readings"),
-    )
+    ]
+    if median == "percentile":
+        return measurements.groupBy("mrn").agg(F.percentile(r, F.lit(0.5)).alias("creatinine_median"), *aggs)
+    from .quantile import exact_median
+    stats = measurements.groupBy("mrn").agg(*aggs)
+    med = exact_median(measurements, "mrn", "creatinine_result", "creatinine_median")
+    return stats.join(med, "mrn", "left")
 
 
 def features_serving(patients: DataFrame, measurements: DataFrame,
                      chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
-                     keep_counts: bool = False) -> DataFrame:
+                     keep_counts: bool = False, median: str = "split") -> DataFrame:
     """One feature row per known patient.
 
     age, sex code, mean, median, max, min, largest step, sample std, most
@@ -101,7 +109,7 @@ def features_serving(patients: DataFrame, measurements: DataFrame,
     missing value becomes 0 (a single reading has std 0; a patient without
     readings has all zeros); x/0 is infinite.
     """
-    stats = measurement_stats(measurements)
+    stats = measurement_stats(measurements, median)
     deltas = max_delta(measurements, chunk_seconds)
     f = (patients.select("mrn", "age", "sex")
                  .join(stats, "mrn", "left")

@@ -191,3 +191,18 @@ def test_sized_conf():
     assert big["spark.sql.shuffle.partitions"] == "100000"
     mid = sized_conf(1024 ** 4, cores=100)
     assert mid["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (128 * 1024 ** 2))
+
+
+def test_exact_median_equals_percentile(spark):
+    from renalyze.operators.quantile import exact_median
+    rnd = random.Random(29)
+    rows = [("hot", float(rnd.randint(0, 3000)) / 7) for _ in range(3000)]       # one dominant key
+    rows += [(str(k), None if rnd.random() < 0.1 else float(rnd.randint(0, 50))) for k in range(40)
+             for _ in range(rnd.randint(1, 9))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}
+    for blocks in (1, 3, 16):
+        got = {r.k: r.median for r in exact_median(df, "k", "x", blocks=blocks).collect()}
+        assert set(got) == {k for k, m in want.items() if m is not None}
+        for k, m in got.items():
+            assert m == pytest.approx(want[k], rel=1e-12, abs=1e-12), (k, blocks)
