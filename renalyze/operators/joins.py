@@ -26,9 +26,20 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFr
 
 
 def patient_history(patients: DataFrame, measurements: DataFrame) -> DataFrame:
-    """Demographics + every measurement; patients without any are kept."""
-    return (patients.select("mrn", "age", "sex")
-                    .join(measurements.select("mrn", "creatinine_date", "creatinine_result"), "mrn", "left"))
+    """Demographics + every measurement; patients without any are kept.
+
+    Written as inner join + anti join rather than one left outer join: AQE
+    can split a skewed partition of either side of an inner join (a patient
+    with a huge history), but never the non-preserved side of an outer
+    join.  The anti join runs against the distinct patient numbers of the
+    readings (a partial aggregate: one row per patient)."""
+    p = patients.select("mrn", "age", "sex")
+    m = measurements.select("mrn", "creatinine_date", "creatinine_result")
+    with_readings = p.join(m, "mrn", "inner")
+    without = (p.join(m.select("mrn").distinct(), "mrn", "left_anti")
+                .select("mrn", "age", "sex", F.lit(None).cast("timestamp").alias("creatinine_date"),
+                        F.lit(None).cast("double").alias("creatinine_result")))
+    return with_readings.unionByName(without)
 
 
 def ack_reconcile(messages: DataFrame, acked_ids: DataFrame) -> DataFrame:
