@@ -54,6 +54,8 @@ def load_history(spark: SparkSession, history_csv: str, tables: str) -> bool:
     pats, meas = history_tables(spark, history_csv)
     pats.write.mode("overwrite").parquet(f"{tables}/patients/v=0")
     meas.write.mode("overwrite").parquet(f"{tables}/measurements/v=0")
+    sinks.write_pointer(spark, f"{tables}/patients", 0)
+    sinks.write_pointer(spark, f"{tables}/measurements", 0)
     return True
 
 

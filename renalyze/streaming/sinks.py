@@ -25,11 +25,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def write_pointer(spark: SparkSession, root: str, version: int) -> None:
+    """Switch ``root/_latest`` to ``version`` after the version is committed.
+    Readers take the pointer (one small read) instead of listing versions."""
+    fs, _ = _fs(spark, root)
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_latest.tmp")
+    dst = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_latest")
+    out = fs.create(tmp, True)
+    out.writeUTF(str(int(version)))
+    out.close()
+    if fs.exists(dst):
+        fs.delete(dst, False)
+    fs.rename(tmp, dst)
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest committed version ``v=N`` (has ``_SUCCESS``) under ``root``."""
+    """Latest committed version under ``root``: the ``_latest`` pointer if
+    present, else the highest ``v=N`` that has ``_SUCCESS``."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return None
+    ptr = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_latest")
+    if fs.exists(ptr):
+        inp = fs.open(ptr)
+        try:
+            v = int(inp.readUTF())
+        finally:
+            inp.close()
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}/_SUCCESS")):
+            return v
     best = None
     for st in fs.listStatus(p):
         name = st.getPath().getName()
@@ -65,6 +89,8 @@ def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFram
             applied = AL.apply_messages(batch, pats, meas)
             applied.patients.write.mode("overwrite").parquet(f"{root}/patients/v={target}")
             applied.measurements.write.mode("overwrite").parquet(f"{root}/measurements/v={target}")
+            write_pointer(spark, f"{root}/patients", target)
+            write_pointer(spark, f"{root}/measurements", target)
             applied.quarantine.select(F.col("msg_id").cast("string").alias("msg_id"), "reason") \
                 .write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
             if acks:
