@@ -129,14 +129,21 @@ def features_serving(patients: DataFrame, measurements: DataFrame,
     return out
 
 
-def running_features(measurements: DataFrame) -> DataFrame:
+def running_features(measurements: DataFrame, method: str = "stream") -> DataFrame:
     """Features as of each reading, over all readings of the patient up to
     and including it in date order (arrival order = date order).
 
-    Running mean / min / max / std / count / last value are incremental
-    window aggregates; the running largest step is a running max over the
-    ``lag`` step (two nested windows on one sort).
+    ``method="stream"`` (default): one shuffle by patient, rows sorted within
+    partitions and streamed through ``running.running_features_stream`` --
+    O(n log n) per patient, results identical to the window form.
+    ``method="window"``: built-in window aggregates (running mean / min /
+    max / std / count / last value, running max of the ``lag`` step, and
+    ``percentile`` over the growing frame, which re-sorts the patient's
+    value counts at every row: quadratic in the history length).
     """
+    if method == "stream":
+        from .running import running_features_stream
+        return running_features_stream(measurements)
     r = F.col("creatinine_result")
     w = Window.partitionBy("mrn").orderBy("creatinine_date")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -206,3 +206,18 @@ def test_exact_median_equals_percentile(spark):
         assert set(got) == {k for k, m in want.items() if m is not None}
         for k, m in got.items():
             assert m == pytest.approx(want[k], rel=1e-12, abs=1e-12), (k, blocks)
+
+
+def test_running_stream_equals_window(spark):
+    rnd = random.Random(31)
+    rows = []
+    for m in range(25):
+        t = T0
+        for _ in range(rnd.randint(1, 120 if m == 0 else 30)):
+            t += dt.timedelta(minutes=rnd.randint(1, 900))
+            rows.append((str(m), t, None if rnd.random() < 0.12 else float(rnd.randint(1, 40000)) / 100))
+    df = meas(spark, rows)
+    cols = ["mrn", "creatinine_date", "n_readings", *feat.FEATURE_COLUMNS]
+    a = {(r.mrn, r.creatinine_date): tuple(r) for r in feat.running_features(df, "window").select(*cols).collect()}
+    b = {(r.mrn, r.creatinine_date): tuple(r) for r in feat.running_features(df, "stream").select(*cols).collect()}
+    assert a == b
