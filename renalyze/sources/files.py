@@ -61,6 +61,16 @@ def scan_tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return (spark.read.parquet(f"{root}/patients"), spark.read.parquet(f"{root}/measurements"))
 
 
+def scan_table_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
+                    lower: int, upper: int, num_partitions: int, properties: dict | None = None) -> DataFrame:
+    """Read a table from a relational database in ``num_partitions`` parallel
+    range queries on a numeric column (the upstream keeps Patients and
+    Measurements in MySQL).  Not exercised by the tests: no database runs
+    here."""
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                           numPartitions=num_partitions, properties=properties or {})
+
+
 def write_tables(patients: DataFrame, measurements: DataFrame, root: str) -> None:
     """Measurements are clustered by mrn within files so row-group min/max
     statistics skip most of a file for a patient lookup."""
