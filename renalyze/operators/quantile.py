@@ -6,8 +6,9 @@ mostly distinct values, that task holds the whole key.  Here:
 
 1. count per (key, value) -- a partial aggregate shuffled on both columns,
    so a hot key spreads over many tasks;
-2. cut values into blocks by global quantile bounds (``approxQuantile``: a
-   list whose length is a parameter) and compute, per (key, block), the
+2. cut values into blocks (data-independent log-scale buckets, or global
+   quantile bounds from ``approxQuantile`` -- a list whose length is a
+   parameter) and compute, per (key, block), the
    number of rows below the block (small running sum per key over its
    blocks) and, per (key, block), a running count over the distinct values
    inside the block;
@@ -24,20 +25,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def log_block(x, resolution: int = 1024):
+    """Monotone, data-independent block id of a double: ``resolution``
+    blocks per doubling of |x|, mirrored for negatives, one block for 0.
+    Equal values share a block, larger values never get a smaller block, and
+    no pass over the data is needed to choose bounds."""
+    a = F.abs(x)
+    mag = F.floor(F.log2(a) * resolution).cast("long") + F.lit(1075 * resolution + 1)
+    return (F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0))).cast("long")
+
+
 def exact_median(df: DataFrame, key: str, value: str, out: str = "median",
-                 blocks: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    nb = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+                 blocks: int | None = None, resolution: int = 1024) -> DataFrame:
+    """``blocks``: cut values at that many global quantiles (one extra pass
+    over the data); default: data-independent ``log_block`` buckets."""
     v = df.select(key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = v.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    probs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(v.approxQuantile("_v", probs, 1.0 / (4 * nb)))) if probs else []
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        blk = F.size(F.filter(arr, lambda b: b < F.col("_v")))
+    if blocks:
+        probs = [i / blocks for i in range(1, blocks)]
+        bounds = sorted(set(v.approxQuantile("_v", probs, 1.0 / (4 * blocks)))) if probs else []
+        if bounds:
+            arr = F.array(*[F.lit(float(b)) for b in bounds])
+            blk = F.size(F.filter(arr, lambda b: b < F.col("_v")))
+        else:
+            blk = F.lit(0)
     else:
-        blk = F.lit(0)
-    counts = counts.withColumn("_blk", blk.cast("int"))
+        blk = log_block(F.col("_v"), resolution)
+    counts = counts.withColumn("_blk", blk.cast("long"))
     per_blk = counts.groupBy(key, "_blk").agg(F.sum("_c").alias("_bc"))
     before = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_blk.select(key, "_blk", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"),

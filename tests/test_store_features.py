@@ -201,8 +201,8 @@ def test_exact_median_equals_percentile(spark):
              for _ in range(rnd.randint(1, 9))]
     df = spark.createDataFrame(rows, "k string, x double")
     want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}
-    for blocks in (1, 3, 16):
-        got = {r.k: r.median for r in exact_median(df, "k", "x", blocks=blocks).collect()}
+    for blocks, res in ((1, 1024), (3, 1024), (16, 1024), (None, 1), (None, 1024)):
+        got = {r.k: r.median for r in exact_median(df, "k", "x", blocks=blocks, resolution=res).collect()}
         assert set(got) == {k for k, m in want.items() if m is not None}
         for k, m in got.items():
             assert m == pytest.approx(want[k], rel=1e-12, abs=1e-12), (k, blocks)
