@@ -175,7 +175,7 @@ def q_stream_dedupe(spark, sf):
     files.write_capture(raw, landing + "/again")
     out, ck = scratch_path(spark, "dedupe_out"), scratch_path(spark, "ckpt")
     fr = (spark.readStream.option("lineSep", hl7.START_BLOCK).option("recursiveFileLookup", "true")
-               .format("text").load(landing).withColumn("source_file", F.input_file_name()))
+               .format("text").load(landing).withColumn("source_file", F.col("_metadata.file_path")))
     parsed = ingest.parse_frames(files.frames(fr))
     dedup = (parsed.withColumn("msg_time", F.col("msg_id.msg_time"))
                    .withWatermark("msg_time", "1 hour")

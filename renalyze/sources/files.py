@@ -116,12 +116,12 @@ def frames(records: DataFrame) -> DataFrame:
 def scan_mllp_capture(spark: SparkSession, path: str) -> DataFrame:
     """Framed capture files -> (message, status, source_file)."""
     rec = (spark.read.option("lineSep", hl7.START_BLOCK).text(path)
-                .withColumn("source_file", F.input_file_name()))
+                .withColumn("source_file", F.col("_metadata.file_path")))
     return frames(rec)
 
 
 def stream_mllp_landing(spark: SparkSession, path: str) -> DataFrame:
     """Streaming read of a landing directory of capture files (same checks)."""
     rec = (spark.readStream.option("lineSep", hl7.START_BLOCK).format("text").load(path)
-                .withColumn("source_file", F.input_file_name()))
+                .withColumn("source_file", F.col("_metadata.file_path")))
     return frames(rec)
