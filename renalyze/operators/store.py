@@ -116,9 +116,16 @@ def append_slot(wide_long: DataFrame, new: DataFrame, order: str = "arrival",
                      F.col("slot"),
                      F.coalesce(F.col("max_slot"), F.lit(-1)) + F.col("k") - F.coalesce(F.col("n_free"), F.lit(0))))
                  .select("mrn", F.col("slot").cast("int").alias("slot"), "creatinine_date", "creatinine_result"))
-    kept = wide_long.join(placed.select("mrn", "slot"), ["mrn", "slot"], "left_anti")
-    return kept.select("mrn", F.col("slot").cast("int").alias("slot"), "creatinine_date",
-                       "creatinine_result").unionByName(placed)
+    # the k-th free slot stays empty exactly when the patient has fewer than k new rows
+    n_new = new.groupBy("mrn").agg(F.count(F.lit(1)).alias("_n_new"))
+    still_free = (free.join(n_new, "mrn", "left")
+                      .where(F.col("k") > F.coalesce(F.col("_n_new"), F.lit(0)))
+                      .select("mrn", F.col("slot").cast("int").alias("slot"),
+                              F.lit(None).cast("timestamp").alias("creatinine_date"),
+                              F.lit(None).cast("double").alias("creatinine_result")))
+    filled = wide_long.where(F.col("creatinine_date").isNotNull()).select(
+        "mrn", F.col("slot").cast("int").alias("slot"), "creatinine_date", "creatinine_result")
+    return filled.unionByName(still_free).unionByName(placed)
 
 
 def cascade_delete(patients: DataFrame, measurements: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
