@@ -1,10 +1,12 @@
-"""Per-patient creatinine features.
+"""Per-patient creatinine features.
 
 Serving features are one ``groupBy(mrn)`` of partial aggregates (map-side
-combine, so a hot patient is reduced before the shuffle) plus the only
-order-dependent statistic, the largest step between consecutive readings,
-which is computed in time chunks so that one patient's history is split
-across tasks (see ``max_delta``).
+combine, so a hot patient is reduced before the shuffle), the exact median
+from ``quantile.exact_median`` (counts per (mrn, value), no task holds a
+whole patient), and the only order-dependent statistic, the largest step
+between consecutive readings, computed in time chunks (``max_delta``).
+Running features (W3) default to the ordered streaming pass of
+``running.py``; training features are row-local array arithmetic.
 """
 
 from __future__ import annotations
