@@ -45,7 +45,8 @@ def encode_sex_fitted(df: DataFrame, col: str = "sex", out: str = "sex_code") ->
     return df.join(maybe_broadcast(numbered), col, "left")
 
 
-def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
+              chunk_rows: int | None = None) -> DataFrame:
     """A5: per mrn, the largest signed difference between consecutive
     readings in date order.  A NULL reading breaks both differences next to
     it; no difference at all gives 0.
@@ -54,14 +55,17 @@ def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK
     patient with a huge history is split over many tasks; one row per chunk
     (first / last reading, largest inner step) then goes through a second,
     small ordered pass per mrn that adds the steps across chunk borders.
-    Exact for any chunk size.
+    Exact for any chunk size.  ``chunk_rows`` additionally gives patients
+    with more rows than that finer chunks (``ordered._chunk``).
     """
     r, d = F.col("creatinine_result"), F.col("creatinine_date")
     if not chunk_seconds:
         w = Window.partitionBy("mrn").orderBy("creatinine_date")
         steps = measurements.select("mrn", (r - F.lag(r).over(w)).alias("step"))
         return steps.groupBy("mrn").agg(F.coalesce(F.max("step"), F.lit(0.0)).alias("creatinine_max_delta"))
-    m = measurements.select("mrn", d, r, F.floor(F.unix_seconds(d) / chunk_seconds).alias("chunk"))
+    from .ordered import _chunk
+    m = _chunk(measurements.select("mrn", d, r), "creatinine_date", chunk_seconds, "mrn", chunk_rows) \
+        .withColumnRenamed("_chunk", "chunk")
     w = Window.partitionBy("mrn", "chunk").orderBy("creatinine_date")
     inner = (m.withColumn("step", r - F.lag(r).over(w))
               .groupBy("mrn", "chunk")
@@ -103,7 +107,8 @@ def measurement_stats(measurements: DataFrame, median: str = "split") -> DataFra
 
 def features_serving(patients: DataFrame, measurements: DataFrame,
                      chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
-                     keep_counts: bool = False, median: str = "split") -> DataFrame:
+                     keep_counts: bool = False, median: str = "split",
+                     chunk_rows: int | None = None) -> DataFrame:
     """One feature row per known patient.
 
     age, sex code, mean, median, max, min, largest step, sample std, most
@@ -112,7 +117,7 @@ def features_serving(patients: DataFrame, measurements: DataFrame,
     readings has all zeros); x/0 is infinite.
     """
     stats = measurement_stats(measurements, median)
-    deltas = max_delta(measurements, chunk_seconds)
+    deltas = max_delta(measurements, chunk_seconds, chunk_rows)
     f = (patients.select("mrn", "age", "sex")
                  .join(stats, "mrn", "left")
                  .join(deltas, "mrn", "left"))

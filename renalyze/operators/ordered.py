@@ -18,21 +18,51 @@ from pyspark.sql import types as T
 DEFAULT_CHUNK_SECONDS = 7 * 24 * 3600
 
 
-def _chunk(df: DataFrame, order: str, width: int) -> DataFrame:
-    """Chunk id: ``width`` seconds of a timestamp order, or ``width`` units
-    of a numeric one (e.g. an arrival number)."""
+def _order_number(df: DataFrame, order: str, micros: bool = False):
     o = F.col(order)
     if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        o = F.unix_seconds(o.cast("timestamp"))
-    return df.withColumn("_chunk", F.floor(o / width))
+        return F.unix_micros(o.cast("timestamp")) if micros else F.unix_seconds(o.cast("timestamp"))
+    return o
+
+
+def hot_key_widths(df: DataFrame, key: str, order: str, chunk_rows: int) -> dict:
+    """Chunk widths (in microseconds / order units) for keys with more than
+    ``chunk_rows`` rows, sized for about ``chunk_rows`` rows per chunk if
+    the key's rows were spread evenly over its range.  One partial
+    aggregate per key; only the hot keys come back to the driver, and there
+    are at most total_rows / chunk_rows of them."""
+    o = _order_number(df, order, micros=True)
+    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(o).alias("lo"), F.max(o).alias("hi"))
+               .where(F.col("n") > chunk_rows))
+    return {r[key]: max(1, int((r["hi"] - r["lo"] + 1) * chunk_rows // r["n"])) for r in stats.collect()}
+
+
+def _chunk(df: DataFrame, order: str, width: int, key: str | None = None,
+           chunk_rows: int | None = None) -> DataFrame:
+    """Chunk id: ``width`` seconds of a timestamp order, or ``width`` units
+    of a numeric one (e.g. an arrival number).  With ``chunk_rows``, keys
+    with more rows than that get their own, finer width (microseconds for
+    timestamps), so a patient whose readings come in a burst is still split
+    into chunks of about ``chunk_rows`` rows; such chunk ids are negative so
+    they never mix with the ordinary ones (only order within a key
+    matters)."""
+    base = F.floor(_order_number(df, order) / width)
+    hot = hot_key_widths(df, key, order, chunk_rows) if (key and chunk_rows) else {}
+    if not hot:
+        return df.withColumn("_chunk", base)
+    widths = F.create_map(*[x for k, w in hot.items() for x in (F.lit(k), F.lit(w))])
+    w = F.element_at(widths, F.col(key))
+    fine = -F.lit(1 << 62) + F.floor(_order_number(df, order, micros=True) / w)
+    return df.withColumn("_chunk", F.when(w.isNotNull(), fine).otherwise(base))
 
 
 def keyed_row_number(df: DataFrame, key: str, order: str, out: str = "slot",
-                     chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                     chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
+                     chunk_rows: int | None = None) -> DataFrame:
     """0-based position of each row within its key in ``order`` order."""
     if not chunk_seconds:
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("int"))
-    c = _chunk(df, order, chunk_seconds)
+    c = _chunk(df, order, chunk_seconds, key, chunk_rows)
     c = c.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_chunk").orderBy(order)))
     per = c.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,12 +73,12 @@ def keyed_row_number(df: DataFrame, key: str, order: str, out: str = "slot",
 
 
 def keyed_lag(df: DataFrame, key: str, order: str, value: str, out: str = "prev",
-              chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+              chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS, chunk_rows: int | None = None) -> DataFrame:
     """Value of the previous row of the same key in ``order`` order (NULL for
     the first row, and NULL when the previous value is NULL)."""
     if not chunk_seconds:
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(order)))
-    c = _chunk(df, order, chunk_seconds)
+    c = _chunk(df, order, chunk_seconds, key, chunk_rows)
     w = Window.partitionBy(key, "_chunk").orderBy(order)
     c = c.withColumn("_rn", F.row_number().over(w)).withColumn("_lag", F.lag(value).over(w))
     # max_by keeps a NULL value of the last row (a NULL predecessor stays NULL)

@@ -51,11 +51,12 @@ def unpivot_history(wide: DataFrame, first_slot: int = 0, keep_empty: bool = Fal
     return long
 
 
-def slot_index(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+def slot_index(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
+               chunk_rows: int | None = None) -> DataFrame:
     """0-based position by date within a patient (dates unique per
     patient, as the table key guarantees); a long history is numbered in
     time chunks on many tasks (``ordered.keyed_row_number``)."""
-    return keyed_row_number(measurements, "mrn", "creatinine_date", "slot", chunk_seconds)
+    return keyed_row_number(measurements, "mrn", "creatinine_date", "slot", chunk_seconds, chunk_rows)
 
 
 def pivot_history(measurements: DataFrame, width: int, date_format: str | None = "yyyy-MM-dd HH:mm:ss",
