@@ -42,11 +42,48 @@ def get_session(master: str | None = None, app: str = "renalyze",
     return spark
 
 
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``renalyze`` importable in the Python workers.
+
+    Pandas functions (``mapInPandas``, ``transformWithStateInPandas``) are
+    pickled by reference to this package; executors (or local-mode workers
+    started in another directory) must be able to import it.  The package is
+    zipped once per process and added with ``addPyFile`` once per
+    SparkContext -- what ``--py-files`` does for a cluster submission.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: ship with the job instead
+        return
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    if "zip" not in _SHIPPED:
+        out = tempfile.mkdtemp(prefix="renalyze-pyfiles-")
+        _SHIPPED["zip"] = shutil.make_archive(os.path.join(out, "renalyze"), "zip",
+                                              root_dir=os.path.dirname(pkg), base_dir="renalyze")
+    sc.addPyFile(_SHIPPED["zip"])
+    # Python processes the JVM starts outside tasks (e.g. the streaming
+    # runner that initialises a transformWithStateInPandas processor) read
+    # PYTHONPATH from the functions' environment, not the task includes.
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _SHIPPED["zip"] not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([_SHIPPED["zip"], *paths])
+    _SHIPPED[key] = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on to an existing session."""
+    """Apply the settings results depend on to an existing session and make
+    the package importable in its Python workers."""
     for k, v in REQUIRED_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
