@@ -61,7 +61,9 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
       (``bad_sex``); the others upsert Patients in message order;
     * a result is accepted when its patient exists before the message: in
       the current table or admitted by an earlier message (T8);
-    * accepted first results upsert Measurements (last message wins).
+    * accepted first results upsert Measurements (last message wins); a
+      result whose time does not parse (12 / 14 digits) is quarantined as
+      ``bad_date`` instead of creating a key with no date.
 
     The admission and result branches read one feed projected in a single
     pass.  With ``materialize`` that feed is written once as a table in the
@@ -86,6 +88,9 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     accepted = known.where(ok).drop("_base", "_adm_id")
     unknown = known.where(~ok).select("msg_id", F.lit("unknown_patient").alias("reason"))
 
+    timed = accepted.withColumn("_date", hl7.hl7_time(F.col("test_time")))
+    bad_date = timed.where(F.col("_date").isNull()).select("msg_id", F.lit("bad_date").alias("reason"))
+    accepted = timed.where(F.col("_date").isNotNull()).drop("_date")
     updates = accepted.select("mrn", hl7.hl7_time(F.col("test_time")).alias("creatinine_date"),
                               F.col("test_value").alias("creatinine_result"),
                               F.col("msg_id").alias("arrival"))
@@ -95,7 +100,7 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
         new_meas = store.upsert_measurements(measurements, updates)
 
     quarantine = (parsed.where(F.col("route") == "quarantine").select("msg_id", "reason")
-                  .unionByName(bad_adm).unionByName(unknown))
+                  .unionByName(bad_adm).unionByName(unknown).unionByName(bad_date))
     processed = parsed.join(quarantine.select("msg_id"), "msg_id", "left_anti") \
                       .where(F.col("route") != "quarantine")
     return Applied(parsed, new_patients, new_meas, accepted, quarantine, processed)

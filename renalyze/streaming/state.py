@@ -252,6 +252,7 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
         F.col("msg_id.msg_time").alias("msg_time"), F.col("msg_id.control_id").alias("control_id"),
         F.lit(True).alias("sex_ok"), F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"),
         hl7_time(t["test_time"]).alias("creatinine_date"), t["test_value"].alias("creatinine_result"))
+    res = res.where(F.col("creatinine_date").isNotNull())   # undated results: quarantined by the table sink
     both = adm.unionByName(res)
     known = patients.select("mrn", F.lit(True).alias("base_known"),
                             F.col("age").cast("int").alias("base_age"), F.col("sex").alias("base_sex"))
