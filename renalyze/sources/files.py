@@ -120,8 +120,11 @@ def scan_mllp_capture(spark: SparkSession, path: str) -> DataFrame:
     return frames(rec)
 
 
-def stream_mllp_landing(spark: SparkSession, path: str) -> DataFrame:
-    """Streaming read of a landing directory of capture files (same checks)."""
-    rec = (spark.readStream.option("lineSep", hl7.START_BLOCK).format("text").load(path)
-                .withColumn("source_file", F.col("_metadata.file_path")))
+def stream_mllp_landing(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
+    """Streaming read of a landing directory of capture files (same checks).
+    ``options`` go to the file source (e.g. ``maxFilesPerTrigger``)."""
+    reader = spark.readStream.option("lineSep", hl7.START_BLOCK)
+    for k, v in (options or {}).items():
+        reader = reader.option(k, v)
+    rec = reader.format("text").load(path).withColumn("source_file", F.col("_metadata.file_path"))
     return frames(rec)

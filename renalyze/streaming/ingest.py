@@ -32,8 +32,8 @@ def parse_frames(frames: DataFrame) -> DataFrame:
     return P.parse_messages(keyed, default_time="_default_time").drop("_default_time")
 
 
-def parsed_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
-    return parse_frames(files.stream_mllp_landing(spark, landing_dir))
+def parsed_stream(spark: SparkSession, landing_dir: str, options: dict | None = None) -> DataFrame:
+    return parse_frames(files.stream_mllp_landing(spark, landing_dir, options))
 
 
 def bad_frames(frames: DataFrame) -> DataFrame:
