@@ -64,3 +64,11 @@ def test_serve_available_now(spark):
     assert sinks.latest_version(spark, f"{tables}/measurements") == 1
     assert spark.read.parquet(f"{out}/acks").count() > 0
     assert spark.read.parquet(f"{out}/alerts").columns[:3] == ["mrn", "alert_ts", "payload"]
+
+
+def test_main_split_history(spark, capsys):
+    d = tempfile.mkdtemp(prefix="renalyze-cli-")
+    hist, m = _history_csv(spark, d)
+    cli.main(["split-history", "--history", hist, "--out", os.path.join(d, "split")])
+    assert "measurements.csv" in capsys.readouterr().out
+    assert files.scan_measurements_csv(spark, os.path.join(d, "split", "measurements.csv")).count() == m.count()
