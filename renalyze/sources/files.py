@@ -113,11 +113,22 @@ def frames(records: DataFrame) -> DataFrame:
                            status.alias("status"), "source_file"))
 
 
-def scan_mllp_capture(spark: SparkSession, path: str) -> DataFrame:
-    """Framed capture files -> (message, status, source_file)."""
+def scan_mllp_capture(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Framed capture files -> (message, status, source_file).
+
+    ``strict`` fails like a strict reader when any record is not a good
+    frame (one global count, a partial aggregate; only the first few bad
+    file names come back to the driver)."""
     rec = (spark.read.option("lineSep", hl7.START_BLOCK).text(path)
                 .withColumn("source_file", F.col("_metadata.file_path")))
-    return frames(rec)
+    out = frames(rec)
+    if strict:
+        bad = out.where(F.col("status") != "ok")
+        n_bad = bad.agg(F.count(F.lit(1))).first()[0]
+        if n_bad:
+            where = [r.source_file for r in bad.select("source_file").distinct().limit(3).collect()]
+            raise ValueError(f"{n_bad} badly framed records in {path} (e.g. in {where})")
+    return out
 
 
 def stream_mllp_landing(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:

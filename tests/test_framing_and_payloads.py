@@ -117,3 +117,15 @@ def test_streaming_reassembly_keeps_only_the_tail(spark):
     run_available_now(frame_stream(src), os.path.join(d, "ck"), sink_path=os.path.join(d, "out"))
     got = spark.read.parquet(os.path.join(d, "out")).orderBy("frame_no").collect()
     assert [(r.frame_no, r.message, r.status) for r in got] == [(0, A01, "ok"), (1, ORU, "ok"), (2, A03, "ok")]
+
+
+def test_strict_capture_scan_raises_on_bad_framing(spark):
+    d = tempfile.mkdtemp(prefix="renalyze-cap-")
+    with open(os.path.join(d, "part-0.hl7"), "w", newline="") as fh:
+        fh.write(frame(A01) + "\x0b" + ORU)              # open last frame
+    with pytest.raises(ValueError, match="badly framed"):
+        files.scan_mllp_capture(spark, d, strict=True)
+    good = tempfile.mkdtemp(prefix="renalyze-cap-")
+    with open(os.path.join(good, "part-0.hl7"), "w", newline="") as fh:
+        fh.write(frame(A01) + frame(A03))
+    assert files.scan_mllp_capture(spark, good, strict=True).count() == 2
