@@ -36,16 +36,35 @@ def label_text(c: Column) -> Column:
     return F.when(c == 1, F.lit("y")).otherwise(F.lit("n"))
 
 
+# Stand-ins for non-finite inputs (x/0 ratios): tree learners take only
+# finite values; any value above the real range splits the same way.
+INF_STANDIN = 1.0e12
+
+
+def finite_inputs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """+inf -> 1e12, -inf -> -1e12, NaN / NULL -> 0 for the model inputs."""
+    fixed = {}
+    for c in cols:
+        x = F.col(c).cast("double")
+        fixed[c] = (F.when(x == float("inf"), F.lit(INF_STANDIN))
+                     .when(x == float("-inf"), F.lit(-INF_STANDIN))
+                     .when(F.isnan(x) | x.isNull(), F.lit(0.0))
+                     .otherwise(x))
+    return df.withColumns(fixed)
+
+
 def train_classifier(train: DataFrame, label: str = "label", seed: int = 7,
                      inputs: list[str] | None = None, max_iter: int = GBT_TREES):
     """M1: gradient-boosted trees with the upstream settings; positives are
-    weighted 100.  Returns a fitted PipelineModel (assembler + GBT)."""
+    weighted 100.  Returns a fitted PipelineModel (assembler + GBT); inputs
+    are made finite first (``finite_inputs``)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     cols = inputs or SERVING_INPUTS
-    data = train.withColumn("_w", F.when(F.col(label) == 1, F.lit(POSITIVE_WEIGHT)).otherwise(F.lit(1.0)))
+    data = finite_inputs(train, cols).withColumn(
+        "_w", F.when(F.col(label) == 1, F.lit(POSITIVE_WEIGHT)).otherwise(F.lit(1.0)))
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="_w",
                         maxDepth=GBT_DEPTH, stepSize=GBT_RATE, maxIter=max_iter, seed=seed)
@@ -56,7 +75,8 @@ def predict(model, features: DataFrame) -> DataFrame:
     """M2 + M3: class (0/1) and probability of class 1 for feature rows."""
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(features)
+    cols = model.stages[0].getInputCols()
+    out = model.transform(finite_inputs(features, cols))
     return (out.withColumn("probability_1", vector_to_array("probability")[1])
                .withColumn("prediction", F.col("prediction").cast("int"))
                .drop("features", "rawPrediction", "probability"))

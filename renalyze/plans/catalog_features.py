@@ -172,15 +172,17 @@ def q_pivot(spark, sf):
 
 @query("pad_to_50", f"""
 WITH {S.mrows("r", "second", ("purchase",))}, {S.keyed("k", "r")},
-c AS (SELECT mrn, count(*) AS n, sum(creatinine_result) AS total FROM k GROUP BY mrn),
+c AS (SELECT mrn, count(*) AS n, count(*) FILTER (WHERE creatinine_result = 0) AS zeros,
+             sum(creatinine_result) AS total FROM k GROUP BY mrn),
 w AS (SELECT max(n) AS width FROM c)
 SELECT mrn, CAST(greatest(50, width) AS INTEGER) AS n_slots, CAST(width - n AS INTEGER) AS n_empty,
-       CAST(greatest(50, width) - width AS INTEGER) AS n_padded_zero, round(total, 6) AS result_sum
+       CAST(greatest(50, width) - width + zeros AS INTEGER) AS n_zero, round(total, 6) AS result_sum
 FROM c, w""")
 def q_pad(spark, sf):
     """R3 on wide rows of purchase readings (fewer than 50 per patient at
     the test scales, so the padding adds slots): slot count, empty slots,
-    zero-padded slots and the result total per row."""
+    zero slots (padding plus any real zero reading: the wide row cannot
+    tell them apart) and the result total per row."""
     wide, _ = _wide(spark, sf, ["purchase"])
     padded = R.pad_wide(wide.join(B.patients(spark, sf).select("mrn", "age"), "mrn", "left")
                             .select("mrn", "age", *[c for c in wide.columns if c != "mrn"]))
@@ -189,7 +191,7 @@ def q_pad(spark, sf):
     return padded.select(
         "mrn", F.lit(len(slots)).cast("int").alias("n_slots"),
         F.size(F.filter(res, lambda x: x.isNull())).cast("int").alias("n_empty"),
-        F.size(F.filter(res, lambda x: x == 0)).cast("int").alias("n_padded_zero"),
+        F.size(F.filter(res, lambda x: x == 0)).cast("int").alias("n_zero"),
         F.round(F.aggregate(F.filter(res, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), 6)
          .alias("result_sum"))
 

@@ -185,9 +185,13 @@ def q_stream_dedupe(spark, sf):
     return spark.read.parquet(out)
 
 
-_LATE_BASE = _STREAM_BASE.replace(
-    "ev AS (SELECT msg_id, date_trunc('second', ts) AS t, control_id FROM msg)",
-    "ev AS (SELECT msg_id, date_trunc('second', ts + to_hours(CAST(msg_id % 7 AS BIGINT))) AS t, control_id FROM msg)")
+# Messages sent event_id % 7 hours after the reading: MSH-7 (the arrival time
+# and the time ages are computed at) moves, the OBR reading time does not.
+_SENT = "(ts + to_hours(CAST(msg_id % 7 AS BIGINT)))"
+_LATE_BASE = (_STREAM_BASE
+              .replace("ev AS (SELECT msg_id, date_trunc('second', ts) AS t, control_id FROM msg)",
+                       f"ev AS (SELECT msg_id, date_trunc('second', {_SENT}) AS t, control_id FROM msg)")
+              .replace(S.AGE, S.age_sql(_SENT)))
 _LATE_W4 = _W4.replace(_STREAM_BASE, _LATE_BASE)
 
 

@@ -52,8 +52,14 @@ parsed AS (
                  WHEN event_type = 'error' THEN 'discharges' ELSE 'results' END AS route
   FROM routed)"""
 
-AGE = ("CAST(year(ts) - year(dob) - CASE WHEN month(ts) * 100 + day(ts) < month(dob) * 100 + day(dob) "
-       "THEN 1 ELSE 0 END AS INTEGER)")
+
+def age_sql(t: str) -> str:
+    """Full years from dob to the time expression ``t``."""
+    return (f"CAST(year({t}) - year(dob) - CASE WHEN month({t}) * 100 + day({t}) < month(dob) * 100 + day(dob) "
+            f"THEN 1 ELSE 0 END AS INTEGER)")
+
+
+AGE = age_sql("ts")   # age at the message time (MSH-7 = the event time)
 
 ADMISSIONS = f"""adm AS (
   SELECT msg_id, mrn, 'P^' || CAST(user_id AS VARCHAR) AS name, {AGE} AS age,
