@@ -254,3 +254,16 @@ def test_max_delta_with_hot_key_chunks(spark):
     df = meas(spark, rows)
     plain = {r.mrn: r.creatinine_max_delta for r in feat.max_delta(df, None).collect()}
     assert {r.mrn: r.creatinine_max_delta for r in feat.max_delta(df, chunk_rows=40).collect()} == plain
+
+
+def test_classifier_accepts_infinite_ratios(spark):
+    """A zero reading makes rv1_ratio infinite; training and prediction work."""
+    from renalyze.operators import scoring
+    pats_df = pats(spark, [(str(i), 40 + i, "F" if i % 2 else "M") for i in range(12)])
+    rows = [(str(i), ts(h), float((i * 7 + h * 3) % 50) if not (i == 0 and h == 0) else 0.0)
+            for i in range(12) for h in range(4)]
+    f = scoring.rule_score(feat.features_serving(pats_df, meas(spark, rows))).withColumnRenamed("prediction", "label")
+    assert f.where("rv1_ratio = double('Infinity')").count() >= 1
+    model = scoring.train_classifier(f, label="label", max_iter=3)
+    out = scoring.predict(model, f)
+    assert out.count() == 12 and set(r.prediction for r in out.collect()) <= {0, 1}
