@@ -116,7 +116,7 @@ def q_stream_history(spark, sf):
     out, ck = scratch_path(spark, "history_out"), scratch_path(spark, "ckpt")
     feats = state.history_stream(ingest.parsed_stream(spark, landing), B.patients(spark, sf))
     sinks.run_available_now(feats, ck, sink_path=out)
-    got = spark.read.parquet(out).drop("msg_time")
+    got = spark.read.parquet(out).drop("msg_time", "repeat")
     return got.withColumns({c: round9(F.col(c)) for c in FEATURE_COLUMNS})
 
 
@@ -212,7 +212,7 @@ def q_late_results(spark, sf):
     out, ck = scratch_path(spark, "late_out"), scratch_path(spark, "ckpt")
     feats = state.history_stream(ingest.parsed_stream(spark, landing), B.patients(spark, sf))
     sinks.run_available_now(feats, ck, sink_path=out)
-    got = spark.read.parquet(out).drop("msg_time")
+    got = spark.read.parquet(out).drop("msg_time", "repeat")
     return got.withColumns({c: round9(F.col(c)) for c in FEATURE_COLUMNS})
 
 

@@ -108,12 +108,16 @@ def alert_writer(root: str, dedupe: bool = True, scorer=None):
     ``scorer`` maps feature rows to rows with an integer ``prediction``
     column: by default the deterministic rule (``scoring.rule_score``); pass
     ``lambda df: scoring.predict(model, df)`` to page from a trained model.
-    ``dedupe`` keeps one page per (mrn, alert_ts) within a batch; the
-    upstream pages again on redelivery (``dedupe=False``)."""
+    ``dedupe`` skips results that repeat a stored reading exactly (a
+    redelivered message: the state flags it, so this holds across
+    micro-batches) and keeps one page per (mrn, alert_ts) within a batch;
+    the upstream pages again on redelivery (``dedupe=False``)."""
     score = scorer or scoring.rule_score
 
     def write(batch: DataFrame, batch_id: int) -> None:
         features = batch.where(F.col("status") == "accepted")
+        if dedupe and "repeat" in batch.columns:
+            features = features.where(~F.col("repeat"))
         scored = score(features).withColumn(
             "alert_time", F.date_format("creatinine_date", "yyyyMMddHHmmss"))
         out = scoring.alert_outbox(scored, "alert_time", dedupe=dedupe)

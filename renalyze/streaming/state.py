@@ -27,7 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..schemas import FEATURE_COLUMNS, SEX_VALUES
 
 OUTPUT_SCHEMA = ("mrn string, msg_time timestamp, control_id string, creatinine_date timestamp, "
-                 "status string, age int, sex int, n_readings bigint, "
+                 "status string, repeat boolean, age int, sex int, n_readings bigint, "
                  + ", ".join(f"{c} double" for c in FEATURE_COLUMNS))
 
 # Fixed sex codes, as in the batch serving features.
@@ -118,11 +118,15 @@ class History:
             self.s1 += v - self.shift
             self.s2 += (v - self.shift) ** 2
 
-    def upsert(self, d, v) -> None:
+    def upsert(self, d, v) -> bool:
+        """Insert or overwrite the reading at ``d``; True when it repeats the
+        stored reading exactly (a redelivered message)."""
         i = bisect.bisect_left(self.dates, d)
         prev = self.vals[i - 1] if i > 0 else None
         if i < len(self.dates) and self.dates[i] == d:          # overwrite
             old = self.vals[i]
+            if old == v:
+                return True
             nxt = self.vals[i + 1] if i + 1 < len(self.vals) else None
             if i > 0:
                 self._remove_step(self._step(prev, old))
@@ -143,6 +147,7 @@ class History:
             self.dates.insert(i, d)
             self.vals.insert(i, v)
         self._add_val(v)
+        return False
 
     def features(self) -> dict[str, float]:
         sv = self.sorted_vals
@@ -195,7 +200,7 @@ class PatientHistory(StatefulProcessor):
         st = self.state.get() if self.state.exists() else None
         known, age, sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
         hist = History(zip(st[3], st[4])) if st is not None else History([])
-        out = {c: [] for c in ("msg_time", "control_id", "creatinine_date", "status", "age", "sex",
+        out = {c: [] for c in ("msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
                                "n_readings", *FEATURE_COLUMNS)}
         for i in range(len(order)):
             if col["kind"][i] == "adm":
@@ -207,14 +212,15 @@ class PatientHistory(StatefulProcessor):
             out["creatinine_date"].append(col["creatinine_date"][i])
             if not (known or col["base_known"][i]):
                 out["status"].append("unknown_patient")
-                for c in ("age", "sex", "n_readings", *FEATURE_COLUMNS):
+                for c in ("repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS):
                     out[c].append(None)
                 continue
             a, sx = (age, sex) if known else (col["base_age"][i], col["base_sex"][i])
             v = None if np.isnan(vals[i]) else float(vals[i])
-            hist.upsert(pd.Timestamp(col["creatinine_date"][i]).to_pydatetime(), v)
+            repeat = hist.upsert(pd.Timestamp(col["creatinine_date"][i]).to_pydatetime(), v)
             f = hist.features()
             out["status"].append("accepted")
+            out["repeat"].append(repeat)
             out["age"].append(0 if a is None or pd.isna(a) else int(a))
             out["sex"].append(SEX_CODE.get(sx, 0))
             out["n_readings"].append(f["n_readings"])

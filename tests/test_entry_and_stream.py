@@ -190,3 +190,35 @@ def test_table_sink_across_micro_batches(spark):
         finals.append((v, sorted(tuple(r) for r in spark.read.parquet(f"{root}/measurements/v={v}").collect())))
     assert finals[0][0] == 4 and finals[1][0] == 1
     assert finals[0][1] == finals[1][1] and len(finals[0][1]) > 0
+
+
+def test_history_flags_repeated_readings():
+    import datetime as dt
+
+    from renalyze.streaming.state import History
+    h = History([])
+    d = dt.datetime(2024, 1, 1)
+    assert h.upsert(d, 1.5) is False
+    assert h.upsert(d, 1.5) is True            # redelivered: same date, same value
+    assert h.upsert(d, 2.5) is False           # corrected value: an update, not a repeat
+    assert h.features()["n_readings"] == 1 and h.features()["most_recent"] == 2.5
+
+
+def test_alert_sink_skips_redelivered_messages_across_batches(spark):
+    import tempfile
+
+    from renalyze.streaming import sinks
+    d = tempfile.mkdtemp(prefix="renalyze-t5-")
+    row = ("1", "2024-01-01 00:00:00", "accepted", False, 40, 0, 2, 1.0, 1.0, 2.0, 0.5, 1.5, 1.0, 2.0, 4.0, 2.0)
+    schema = ("mrn string, creatinine_date string, status string, repeat boolean, age int, sex int, "
+              "n_readings long, creatinine_mean double, creatinine_median double, creatinine_max double, "
+              "creatinine_min double, creatinine_max_delta double, creatinine_std double, most_recent double, "
+              "rv1_ratio double, rv2_ratio double")
+    first = spark.createDataFrame([row], schema).withColumn("creatinine_date", F.to_timestamp("creatinine_date"))
+    again = first.withColumn("repeat", F.lit(True))
+    write = sinks.alert_writer(d)
+    write(first, 0)
+    write(again, 1)
+    assert spark.read.parquet(d).count() == 1
+    sinks.alert_writer(d + "-all", dedupe=False)(again, 0)
+    assert spark.read.parquet(d + "-all").count() == 1
