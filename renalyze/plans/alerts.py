@@ -90,10 +90,11 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
 
     timed = accepted.withColumn("_date", hl7.hl7_time(F.col("test_time")))
     bad_date = timed.where(F.col("_date").isNull()).select("msg_id", F.lit("bad_date").alias("reason"))
-    accepted = timed.where(F.col("_date").isNotNull()).drop("_date")
-    updates = accepted.select("mrn", hl7.hl7_time(F.col("test_time")).alias("creatinine_date"),
-                              F.col("test_value").alias("creatinine_result"),
-                              F.col("msg_id").alias("arrival"))
+    dated = timed.where(F.col("_date").isNotNull())
+    accepted = dated.drop("_date")
+    updates = dated.select("mrn", F.col("_date").alias("creatinine_date"),
+                           F.col("test_value").alias("creatinine_result"),
+                           F.col("msg_id").alias("arrival"))
     if measurements is None:
         new_meas = store.dedupe_last(updates, ["mrn", "creatinine_date"], ["creatinine_result"])
     else:
