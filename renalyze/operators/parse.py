@@ -17,12 +17,15 @@ ROUTES = {hl7.ADMISSION: "admissions", hl7.DISCHARGE: "discharges", hl7.RESULT:
 
 
 def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
-                   as_of: Column | str | None = None) -> DataFrame:
+                   as_of: Column | str | None = None, default_to_msh_time: bool = False) -> DataFrame:
     """hl7_raw(msg_id, raw, ...) -> one row per message with parsed columns.
 
     ``default_time`` replaces an empty OBR-7 (the upstream uses the wall
     clock; here it is a column, e.g. the arrival time, so runs repeat).
     ``as_of`` is the date ages are computed at (default: the MSH-7 time).
+    ``default_to_msh_time`` uses the message's own MSH-7 text for an empty
+    OBR-7 (read from the already split fields).  The output also carries
+    ``msg_time``, the MSH-7 time.
     """
     dt = F.col(default_time) if isinstance(default_time, str) else (
         default_time if default_time is not None else F.lit(None).cast("string"))
@@ -36,8 +39,9 @@ def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
         hl7.default_time_text(dt).alias("_dt")))))
     msh = F.try_element_at(F.filter(F.col("_f"), lambda f: f[0] == F.lit("MSH")), F.lit(-1))
     msh_time = hl7.hl7_time(F.get(msh, 6))
+    fallback = F.coalesce(F.col("_dt"), F.get(msh, 6)) if default_to_msh_time else F.col("_dt")
     df = split_once.select(*keep, F.inline(F.array(F.struct(
-        hl7.parse_state(F.col("_f"), F.col("_dt")).alias("_st"),
+        hl7.parse_state(F.col("_f"), fallback).alias("_st"),
         # the ACK is built from the stripped message, as the receiver does
         hl7.control_id_from_fields(F.col("_f")).alias("_cid"),
         msh_time.alias("_msh_time")))))
@@ -60,6 +64,7 @@ def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
         F.col("_st.sex").alias("sex"),
         F.col("_st.tests").alias("tests"),
         F.col("_cid").alias("control_id"),
+        F.col("_msh_time").alias("msg_time"),
         route.alias("route"),
         reason.alias("reason"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from . import training
 from .catalog import query
-from .catalog_stream import _W4, q_stream_history
+from .catalog_stream import _W4
 from . import sql as S
 
 
@@ -42,5 +42,18 @@ SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL
 FROM fres WHERE msg_id NOT IN (SELECT msg_id FROM acc)""")
 def q_arrival_features(spark, sf):
     """Features as of each message over what has arrived by then (latest
-    value per date), from the keyed state processor; no pairwise self-join."""
-    return q_stream_history(spark, sf)
+    value per date), as a batch replay per patient in arrival order (the
+    state processor's logic over a sorted table); no pairwise self-join."""
+    from pyspark.sql import functions as F
+
+    from .. import bindings as B
+    from ..functions.numeric import round9
+    from ..schemas import FEATURE_COLUMNS
+    from ..sources import files
+    from ..streaming import ingest, state
+    raw = B.hl7_raw(spark, sf)
+    # records as the capture scan yields them: the text after a start byte
+    frames = files.frames(raw.select(F.concat("raw", F.lit("\x1c\r")).alias("value"),
+                                     F.lit("hl7_raw").alias("source_file")))
+    got = state.history_batch(ingest.parse_frames(frames), B.patients(spark, sf)).drop("msg_time", "repeat")
+    return got.withColumns({c: round9(F.col(c)) for c in FEATURE_COLUMNS})

@@ -18,18 +18,20 @@ from ..sources import files
 
 
 def arrival_key(raw_col: str = "raw"):
+    """(MSH-7 time, control id), both read from the stripped message as the
+    parser and the ACK do."""
     raw = F.col(raw_col)
     return F.struct(hl7.hl7_time(hl7.msh_field(raw, 6)).alias("msg_time"),
-                    hl7.control_id(raw).alias("control_id"))
+                    hl7.control_id_from_fields(hl7.fields(hl7.segments(raw))).alias("control_id"))
 
 
 def parse_frames(frames: DataFrame) -> DataFrame:
-    """Good frames -> parsed messages (msg_id = arrival key); MSH-7 text
-    stands in for a missing OBR time."""
+    """Good frames -> parsed messages (msg_id = arrival key (MSH-7 time,
+    control id), both taken from the parse itself: the text is split once);
+    the MSH-7 text stands in for a missing OBR time."""
     ok = frames.where(F.col("status") == "ok").select(F.col("message").alias("raw"))
-    keyed = ok.select(arrival_key().alias("msg_id"), "raw",
-                      hl7.msh_field(F.col("raw"), 6).alias("_default_time"))
-    return P.parse_messages(keyed, default_time="_default_time").drop("_default_time")
+    parsed = P.parse_messages(ok, default_to_msh_time=True)
+    return parsed.withColumn("msg_id", F.struct(F.col("msg_time"), F.col("control_id")))
 
 
 def parsed_stream(spark: SparkSession, landing_dir: str, options: dict | None = None) -> DataFrame:

@@ -177,14 +177,80 @@ class History:
 STATE_SCHEMA = "known boolean, age int, sex string, d array<timestamp>, r array<double>"
 
 
+_OUT_COLS = ("msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
+             "n_readings", *FEATURE_COLUMNS)
+_IN_COLS = ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinine_date",
+            "age", "sex", "base_age", "base_sex")
+
+
+class Replay:
+    """One patient's replay in arrival order: admission flag, demographics
+    and readings, plus the output columns of the rows seen so far.  Shared
+    by the streaming processor and the batch replay."""
+
+    def __init__(self, st=None):
+        self.known, self.age, self.sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
+        self.hist = History(zip(st[3], st[4])) if st is not None else History([])
+        self.out = {c: [] for c in _OUT_COLS}
+
+    def state(self):
+        age = None if self.age is None or pd.isna(self.age) else int(self.age)
+        return (self.known, age, self.sex, list(self.hist.dates), list(self.hist.vals))
+
+    def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, value, age, sex, base_age, base_sex):
+        if kind == "adm":
+            if sex_ok:
+                self.known, self.age, self.sex = True, age, sex
+            return
+        out = self.out
+        out["msg_time"].append(msg_time)
+        out["control_id"].append(control_id)
+        out["creatinine_date"].append(date)
+        if not (self.known or base_known):
+            out["status"].append("unknown_patient")
+            for c in ("repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS):
+                out[c].append(None)
+            return
+        a, sx = (self.age, self.sex) if self.known else (base_age, base_sex)
+        v = None if value != value else float(value)
+        repeat = self.hist.upsert(pd.Timestamp(date).to_pydatetime(), v)
+        f = self.hist.features()
+        out["status"].append("accepted")
+        out["repeat"].append(repeat)
+        out["age"].append(0 if a is None or pd.isna(a) else int(a))
+        out["sex"].append(SEX_CODE.get(sx, 0))
+        out["n_readings"].append(f["n_readings"])
+        for c in FEATURE_COLUMNS:
+            out[c].append(f[c])
+
+
+def _frame(mrns, out) -> pd.DataFrame:
+    frame = pd.DataFrame(out)
+    frame.insert(0, "mrn", mrns)
+    frame["age"] = frame["age"].astype("Int32")
+    frame["sex"] = frame["sex"].astype("Int32")
+    frame["repeat"] = frame["repeat"].astype("boolean")
+    return frame
+
+
+def _columns(batch: pd.DataFrame, order=None):
+    col = {c: batch[c].to_numpy(dtype=object) for c in _IN_COLS}
+    vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)
+    if order is not None:
+        col = {c: a[order] for c, a in col.items()}
+        vals = vals[order]
+    return col, vals
+
+
 class PatientHistory(StatefulProcessor):
     """Rows in: kind ('adm' | 'res'), msg_time, control_id, base_known,
-    sex_ok, creatinine_date, creatinine_result.
+    sex_ok, creatinine_date, creatinine_result, age / sex (admissions),
+    base_age / base_sex (stored patient).
 
-    State per patient is one ValueState row (admitted flag, dates, results):
-    one state read and one write per patient and micro-batch, instead of a
-    state call per reading (each call is a round trip to the JVM state
-    server)."""
+    State per patient is one ValueState row (admitted flag, age, sex,
+    dates, results): one state read and one write per patient and
+    micro-batch, instead of a state call per reading (each call is a round
+    trip to the JVM state server)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("patient", STATE_SCHEMA)
@@ -193,47 +259,15 @@ class PatientHistory(StatefulProcessor):
         batch = pd.concat(list(rows), ignore_index=True)
         order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
                             batch["msg_time"].to_numpy()))
-        col = {c: batch[c].to_numpy(dtype=object)[order] for c in
-               ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinine_date",
-                "age", "sex", "base_age", "base_sex")}
-        vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)[order]
-        st = self.state.get() if self.state.exists() else None
-        known, age, sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
-        hist = History(zip(st[3], st[4])) if st is not None else History([])
-        out = {c: [] for c in ("msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
-                               "n_readings", *FEATURE_COLUMNS)}
+        col, vals = _columns(batch, order)
+        rp = Replay(self.state.get() if self.state.exists() else None)
         for i in range(len(order)):
-            if col["kind"][i] == "adm":
-                if col["sex_ok"][i]:
-                    known, age, sex = True, col["age"][i], col["sex"][i]
-                continue
-            out["msg_time"].append(col["msg_time"][i])
-            out["control_id"].append(col["control_id"][i])
-            out["creatinine_date"].append(col["creatinine_date"][i])
-            if not (known or col["base_known"][i]):
-                out["status"].append("unknown_patient")
-                for c in ("repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS):
-                    out[c].append(None)
-                continue
-            a, sx = (age, sex) if known else (col["base_age"][i], col["base_sex"][i])
-            v = None if np.isnan(vals[i]) else float(vals[i])
-            repeat = hist.upsert(pd.Timestamp(col["creatinine_date"][i]).to_pydatetime(), v)
-            f = hist.features()
-            out["status"].append("accepted")
-            out["repeat"].append(repeat)
-            out["age"].append(0 if a is None or pd.isna(a) else int(a))
-            out["sex"].append(SEX_CODE.get(sx, 0))
-            out["n_readings"].append(f["n_readings"])
-            for c in FEATURE_COLUMNS:
-                out[c].append(f[c])
-        self.state.update((known, None if age is None or pd.isna(age) else int(age), sex,
-                           list(hist.dates), list(hist.vals)))
-        if out["status"]:
-            frame = pd.DataFrame(out)
-            frame.insert(0, "mrn", key[0])
-            frame["age"] = frame["age"].astype("Int32")
-            frame["sex"] = frame["sex"].astype("Int32")
-            yield frame
+            rp.feed(col["kind"][i], col["msg_time"][i], col["control_id"][i], col["base_known"][i],
+                    col["sex_ok"][i], col["creatinine_date"][i], vals[i], col["age"][i], col["sex"][i],
+                    col["base_age"][i], col["base_sex"][i])
+        self.state.update(rp.state())
+        if rp.out["status"]:
+            yield _frame(key[0], rp.out)
 
     def close(self) -> None:
         pass
@@ -272,3 +306,38 @@ def history_stream(parsed: DataFrame, patients: DataFrame) -> DataFrame:
     return inputs.groupBy("mrn").transformWithStateInPandas(
         statefulProcessor=PatientHistory(), outputStructType=OUTPUT_SCHEMA,
         outputMode="Append", timeMode="None")
+
+
+def _replay(batches):
+    """mapInPandas body for ``history_batch``: rows arrive sorted by
+    (mrn, msg_time, control_id); one patient's replay at a time, carried
+    across Arrow batches."""
+    cur, rp = None, None
+    for b in batches:
+        col, vals = _columns(b)
+        mrns = b["mrn"].to_numpy(dtype=object)
+        out_mrn, frames = [], []
+        for i in range(len(b)):
+            if mrns[i] != cur:
+                if rp is not None and rp.out["status"]:
+                    frames.append(_frame(cur, rp.out))
+                cur, rp = mrns[i], Replay()
+            rp.feed(col["kind"][i], col["msg_time"][i], col["control_id"][i], col["base_known"][i],
+                    col["sex_ok"][i], col["creatinine_date"][i], vals[i], col["age"][i], col["sex"][i],
+                    col["base_age"][i], col["base_sex"][i])
+        if rp is not None and rp.out["status"]:           # flush what this batch produced
+            frames.append(_frame(cur, rp.out))
+            rp.out = {c: [] for c in _OUT_COLS}
+        if frames:
+            yield pd.concat(frames, ignore_index=True)
+
+
+def history_batch(parsed: DataFrame, patients: DataFrame) -> DataFrame:
+    """W4 in batch: the same per-patient replay as the state processor, run
+    over a table.  One shuffle by patient, rows sorted by (mrn, message time,
+    control id) within partitions and streamed through ``mapInPandas``; a
+    patient's rows are replayed in arrival order with the processor's own
+    logic, keeping only that patient's history in memory."""
+    inputs = keyed_inputs(parsed, patients)
+    ordered = inputs.repartition("mrn").sortWithinPartitions("mrn", "msg_time", "control_id")
+    return ordered.mapInPandas(_replay, OUTPUT_SCHEMA)

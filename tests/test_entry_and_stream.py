@@ -115,7 +115,7 @@ def test_table_upsert_sink_is_idempotent_per_batch(spark):
     from renalyze.sources import files
 
     raw = B.hl7_raw(spark, SF_SMALL)
-    frames = files.frames(raw.select(F.concat(F.lit("\x0b"), "raw", F.lit("\x1c\r")).alias("value"),
+    frames = files.frames(raw.select(F.concat("raw", F.lit("\x1c\r")).alias("value"),
                                      F.lit("x").alias("source_file")))
     parsed = ingest.parse_frames(frames)
     root = tempfile.mkdtemp(prefix="renalyze-t3-")
