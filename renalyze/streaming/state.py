@@ -9,7 +9,12 @@ message; results for unknown patients are emitted with status
 
 State lives in the RocksDB state store (on local disk of the executor,
 checkpointed to the shared checkpoint folder), so the history of a key is
-not held in JVM memory between batches.
+not held in JVM memory between batches.  Each output row also says whether
+the result repeats a stored reading exactly (a redelivered message), which
+the alert sink uses to avoid paging twice.
+
+``history_batch`` runs the same ``Replay`` over a table (W4): one shuffle by
+patient, rows sorted by arrival within partitions, ``mapInPandas``.
 """
 
 from __future__ import annotations
