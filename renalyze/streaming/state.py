@@ -285,20 +285,23 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
     results whose patient exists before the stream starts.
     """
     from ..functions.hl7 import hl7_time
-    adm = parsed.where(F.col("route") == "admissions").select(
-        "mrn", F.lit("adm").alias("kind"), F.col("msg_id.msg_time").alias("msg_time"),
-        F.col("msg_id.control_id").alias("control_id"),
-        (F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES)).alias("sex_ok"),
-        F.col("age").cast("int").alias("age"), F.col("sex").alias("sex"),
-        F.lit(None).cast("timestamp").alias("creatinine_date"), F.lit(None).cast("double").alias("creatinine_result"))
+    # one projection over the parse for both kinds (a union of two filtered
+    # branches would parse every message twice)
+    is_adm = F.col("route") == "admissions"
     t = F.get(F.col("tests"), 0)
-    res = parsed.where(F.col("route") == "results").select(
-        t["mrn"].cast("string").alias("mrn"), F.lit("res").alias("kind"),
-        F.col("msg_id.msg_time").alias("msg_time"), F.col("msg_id.control_id").alias("control_id"),
-        F.lit(True).alias("sex_ok"), F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"),
-        hl7_time(t["test_time"]).alias("creatinine_date"), t["test_value"].alias("creatinine_result"))
-    res = res.where(F.col("creatinine_date").isNotNull())   # undated results: quarantined by the table sink
-    both = adm.unionByName(res)
+    both = (parsed.where(F.col("route").isin("admissions", "results"))
+                  .select(F.when(is_adm, F.col("mrn")).otherwise(t["mrn"].cast("string")).alias("mrn"),
+                          F.when(is_adm, F.lit("adm")).otherwise(F.lit("res")).alias("kind"),
+                          F.col("msg_id.msg_time").alias("msg_time"),
+                          F.col("msg_id.control_id").alias("control_id"),
+                          F.when(is_adm, F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES))
+                           .otherwise(F.lit(True)).alias("sex_ok"),
+                          F.when(is_adm, F.col("age").cast("int")).alias("age"),
+                          F.when(is_adm, F.col("sex")).alias("sex"),
+                          F.when(~is_adm, hl7_time(t["test_time"])).alias("creatinine_date"),
+                          F.when(~is_adm, t["test_value"]).alias("creatinine_result"))
+                  # undated results are quarantined by the table sink
+                  .where((F.col("kind") == "adm") | F.col("creatinine_date").isNotNull()))
     known = patients.select("mrn", F.lit(True).alias("base_known"),
                             F.col("age").cast("int").alias("base_age"), F.col("sex").alias("base_sex"))
     return (both.join(known, "mrn", "left")
