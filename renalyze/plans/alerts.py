@@ -100,10 +100,12 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     else:
         new_meas = store.upsert_measurements(measurements, updates)
 
-    quarantine = (parsed.where(F.col("route") == "quarantine").select("msg_id", "reason")
-                  .unionByName(bad_adm).unionByName(unknown).unionByName(bad_date))
-    processed = parsed.join(quarantine.select("msg_id"), "msg_id", "left_anti") \
-                      .where(F.col("route") != "quarantine")
+    rejected_later = bad_adm.unionByName(unknown).unionByName(bad_date)
+    quarantine = parsed.where(F.col("route") == "quarantine").select("msg_id", "reason").unionByName(rejected_later)
+    # parse-level quarantine is already excluded by the route; only the
+    # rejections of the later steps need the anti join
+    processed = (parsed.where(F.col("route") != "quarantine")
+                       .join(rejected_later.select("msg_id"), "msg_id", "left_anti"))
     return Applied(parsed, new_patients, new_meas, accepted, quarantine, processed)
 
 
