@@ -28,8 +28,6 @@ not remove each other's words; texts of any length are read whole.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +39,7 @@ from .common import partitions
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 CHUNK_BYTES = 6 << 20
+MOST_BUCKETS = 1 << 24           # so that bucket and hash fit one 64-bit number
 HASH_BITS = 38                   # of a packed anchor hash; its bucket adds to them
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -51,31 +50,51 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: Two word hashes: a random value for each byte, times a power of an odd base.
+_BYTE_VALUES = np.random.default_rng(13).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
+_BASES = (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)
+
+
 class ChunkWords:
     """The words of a chunk's documents laid end to end, hashed."""
 
     def __init__(self, texts: list):
-        docs = [words_of(t) for t in texts]
-        self.docs = docs
-        self.lengths = np.array([len(d) for d in docs], np.int64)
-        self.n = int(self.lengths.sum())
+        parts = [(t or "").encode() for t in texts]
+        data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+        space = _SPACE[data]
+        word = ~space
+        before = np.concatenate([[True], space[:-1]])[:len(data)]
+        self.data, self.start = data, np.flatnonzero(word & before)
+        self.end = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]])[:len(data)])
+        self.n = len(self.start)
+        offsets = np.cumsum([0, *(len(x) + 1 for x in parts)])
+        self.n_docs = len(parts)
+        self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.lengths = np.bincount(self.doc, minlength=self.n_docs)
         first = np.cumsum(self.lengths) - self.lengths
-        self.doc = np.repeat(np.arange(len(docs)), self.lengths)
         self.place = np.arange(self.n) - first[self.doc]
         self.rest = self.lengths[self.doc] - self.place
-        number: dict[bytes, int] = {}
-        for d in docs:
-            for w in d:
-                if w not in number:
-                    number[w] = len(number)
-        digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in number)
-        table = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-        ids = np.fromiter((number[w] for d in docs for w in d), np.int64, self.n)
-        self.h = table[ids]
+        self._h: dict[int, np.ndarray] = {}
+        self._bytes = (data[word], self.end - self.start)
+
+    def hashes(self, k: int) -> np.ndarray:
+        """Sum of byte value * base^place over each word's bytes (mod 2^64), mixed with its length."""
+        if k not in self._h:
+            letters, size = self._bytes
+            first = np.cumsum(size) - size
+            power = np.cumprod(np.full(int(size.max(initial=1)), _BASES[k], np.uint64), dtype=np.uint64)
+            values = _BYTE_VALUES[k][letters]
+            values *= power[np.arange(len(letters)) - np.repeat(first, size)]
+            h = np.add.reduceat(values, first) if self.n else np.zeros(0, np.uint64)
+            h ^= size.astype(np.uint64) * _BASE
+            h ^= h >> np.uint64(31)
+            self._h[k] = h * np.uint64(0x94D049BB133111EB)
+        return self._h[k]
 
     def rolling(self, width: int, half: int) -> np.ndarray:
         """Hash of the window that starts at each word (valid where rest >= width)."""
-        h = np.concatenate([self.h[:, half], np.zeros(width, np.uint64)])
+        h = np.concatenate([self.hashes(half), np.zeros(width, np.uint64)])
         acc = np.zeros(self.n, np.uint64)
         for j in range(width):
             acc = acc * _BASE + h[j:j + self.n]
@@ -83,6 +102,21 @@ class ChunkWords:
         acc *= np.uint64(0xBF58476D1CE4E5B9)
         return acc ^ (acc >> np.uint64(32))
 
+    def texts(self, kept: np.ndarray) -> pa.Array:
+        """Each document's kept words joined by one space."""
+        edge = np.zeros(len(self.data) + 2, np.int8)
+        np.add.at(edge, self.start[kept], 1)
+        np.add.at(edge, self.end[kept] + 1, -1)                # the byte after a word becomes its space
+        mask = np.cumsum(edge, dtype=np.int8)[:len(self.data)] > 0
+        doc = self.doc[kept]
+        last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)[:len(doc)])
+        mask[self.end[kept][last]] = False
+        out = np.where(_SPACE[self.data], np.uint8(32), self.data)[mask]
+        size = np.bincount(doc, (self.end - self.start)[kept] + 1, self.n_docs).astype(np.int64)
+        size -= (size > 0)
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(self.n_docs, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())).cast(pa.string())
+
 
 def pack5(v: np.ndarray) -> bytes:
     return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
@@ -117,15 +151,13 @@ def _probe(n_buckets: int):
         c = ChunkWords(t["text"].to_pylist())
         at, bucket, low = _anchor_keys(c, n_buckets)
         block = (c.place[at] % BLOCK == 0).astype(np.uint64)
-        v = low << np.uint64(1) | block
-        order = np.lexsort((v, bucket))
-        bucket, v = bucket[order], v[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] >> np.uint64(1) != v[:-1] >> np.uint64(1)) | (bucket[1:] != bucket[:-1])
-        last = np.append(np.flatnonzero(new)[1:], len(v)) - 1 if len(v) else np.zeros(0, np.int64)
-        again = np.diff(np.append(np.flatnonzero(new), len(v))) > 1
-        packed = v[last] << np.uint64(1) | again.astype(np.uint64)         # hash, is a block, occurs again
-        return pa.table(_dealt(bucket[last], lambda a, b: pack5(packed[a:b]), t["_chunk"][0].as_py()))
+        shift = np.uint64(HASH_BITS + 1)
+        v = np.sort(bucket.astype(np.uint64) << shift | low << np.uint64(1) | block)
+        starts = np.flatnonzero(np.append(True, v[1:] >> np.uint64(1) != v[:-1] >> np.uint64(1))[:len(v)])
+        times = np.diff(np.append(starts, len(v)))
+        v = v[starts + times - 1]                                           # of equal hashes the last tells whether one is a block
+        packed = (v & ((_LOW << np.uint64(1)) | np.uint64(1))) << np.uint64(1) | (times > 1).astype(np.uint64)   # hash, is a block, occurs again
+        return pa.table(_dealt((v >> shift).astype(np.int64), lambda a, b: pack5(packed[a:b]), t["_chunk"][0].as_py()))
     return run
 
 
@@ -232,7 +264,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     base = docs.drop(*[c for c in docs.columns if c in add])
     n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks, n_buckets = max(n, int(size) // CHUNK_BYTES + 1), 4 * n
+    n_chunks, n_buckets = max(n, int(size) // CHUNK_BYTES + 1), min(4 * n, MOST_BUCKETS)
     dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
     probes = dealt.groupBy("_chunk").applyInArrow(_probe(n_buckets), _ROWS)
     hits = probes.groupBy("bucket").applyInArrow(_match, _ROWS)
@@ -245,14 +277,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         rows = [np.frombuffer(x, _REPLY_ROW) for x in told["data"].to_pylist()]
         gone = repeated_words(c, ids, known, np.concatenate(rows) if rows else np.zeros(0, _REPLY_ROW))
         starts = gone & ~(np.append(False, gone[:-1]) & (c.place > 0))
-        removed, runs = (np.bincount(c.doc[x], minlength=len(c.docs)) for x in (gone, starts))
-        texts, at = [], 0
-        for k, d in enumerate(c.docs):
-            g = gone[at:at + len(d)].tolist() if removed[k] else None
-            at += len(d)
-            texts.append(b" ".join(d if g is None else [w for w, x in zip(d, g) if not x]).decode())
+        removed, runs = (np.bincount(c.doc[x], minlength=c.n_docs) for x in (gone, starts))
         out = t.drop_columns(["_chunk"])
-        out = out.set_column(out.column_names.index("text"), "text", pa.array(texts, pa.string()))
+        out = out.set_column(out.column_names.index("text"), "text", c.texts(~gone))
         for name, v in (("n_words", c.lengths), ("n_removed", removed), ("n_repeats", runs)):
             out = out.append_column(name, pa.array(v, pa.int64()))
         return out
