@@ -203,6 +203,27 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+class CompiledWords(ByteBpe):
+    """The same ids; words that aren't in the table go through a compiled
+    encoder of the same vocabulary (for operators that only need the ids)."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import tiktoken
+        ranks = {self.token_bytes[i]: i for i in self.token_bytes if i not in self.specials.values()}
+        self.compiled = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk.isascii() and any(category(c) == "Cn" for c in chunk):
+            return super()._chunk(chunk)
+        return pack_ids(self.compiled(chunk))
+
+
+@lru_cache(maxsize=2)
+def compiled_encoder(path: str) -> CompiledWords:
+    return CompiledWords(path)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (binary, packed little-endian unsigned 32-bit), decoded (string)."""
     path = path or vocabulary_path()

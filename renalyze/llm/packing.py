@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary_path
+from .bpe import compiled_encoder, vocabulary_path
 from .common import written
 
 WINDOW = 2048
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW,
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = compiled_encoder(path)
         for b in batches:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
