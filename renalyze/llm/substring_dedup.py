@@ -6,12 +6,12 @@ start in a document with a smaller doc_id.
 1. Anchors.  Every document's words are cut into non-overlapping blocks of
    BLOCK words; any window of 2 * BLOCK - 1 words or more holds a whole block.
    Every rolling BLOCK-word window of every document probes the blocks.  Blocks
-   and probes travel as packed 5-byte hashes (each distinct one once a chunk,
+   and probes travel as packed 3-byte steps of sorted hashes (each distinct one once a chunk,
    with flags for "is a block" and "occurs again"), dealt by hash; a hash
    found at two places, one of them a block, is a hit and is told to the chunks
    that asked.
 2. Extension.  Around its hits each chunk takes every WINDOW-word window that
-   holds one; these (128-bit hash, smallest doc_id) are dealt by hash, and
+   holds one; these (96-bit hash, smallest doc_id) are dealt by hash, and
    each chunk learns the smallest doc_id of the windows it has.  Windows with a
    smaller one are repeats; runs of them are the maximal exact repeats, and the
    words they cover are removed.
@@ -40,7 +40,7 @@ WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 CHUNK_BYTES = 6 << 20
 MOST_BUCKETS = 1 << 24           # so that bucket and hash fit one 64-bit number
-HASH_BITS = 38                   # of a packed anchor hash; its bucket adds to them
+HASH_BITS = 30                   # of a packed anchor hash; its bucket adds to them
 _LOW = np.uint64((1 << HASH_BITS) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,14 +118,35 @@ class ChunkWords:
         return pa.LargeStringArray.from_buffers(self.n_docs, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())).cast(pa.string())
 
 
-def pack5(v: np.ndarray) -> bytes:
-    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def pack_sorted(v: np.ndarray) -> bytes:
+    """Ascending numbers as 3-byte steps, or whole if a step is too long."""
+    steps = np.diff(v, prepend=np.uint64(0))
+    if len(v) and int(steps.max()) >= 1 << 24:
+        return b"\x01" + v.astype("<u8").tobytes()
+    return b"\x00" + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3]).tobytes()
 
 
-def unpack5(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+def unpack_sorted(b: bytes) -> np.ndarray:
+    if b[0]:
+        return np.frombuffer(b, "<u8", offset=1)
+    out = np.zeros(((len(b) - 1) // 3, 8), np.uint8)
+    out[:, :3] = np.frombuffer(b, np.uint8, offset=1).reshape(-1, 3)
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, byte planes apart: high bytes that are alike compress."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+
+
+def unpack_columns(b: bytes, kinds: str) -> list[np.ndarray]:
+    types = [np.dtype(k) for k in kinds.split()]
+    n, at, out = len(b) // sum(t.itemsize for t in types), 0, []
+    for t in types:
+        planes = np.frombuffer(b, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t))
+        at += n * t.itemsize
+    return out
 
 
 def _anchor_keys(c: ChunkWords, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,13 +178,13 @@ def _probe(n_buckets: int):
         times = np.diff(np.append(starts, len(v)))
         v = v[starts + times - 1]                                           # of equal hashes the last tells whether one is a block
         packed = (v & ((_LOW << np.uint64(1)) | np.uint64(1))) << np.uint64(1) | (times > 1).astype(np.uint64)   # hash, is a block, occurs again
-        return pa.table(_dealt((v >> shift).astype(np.int64), lambda a, b: pack5(packed[a:b]), t["_chunk"][0].as_py()))
+        return pa.table(_dealt((v >> shift).astype(np.int64), lambda a, b: pack_sorted(packed[a:b]), t["_chunk"][0].as_py()))
     return run
 
 
 def _match(t: pa.Table) -> pa.Table:
     """Tells each chunk which of its hashes in this bucket are hits."""
-    data = [unpack5(x) for x in t["data"].to_pylist()]
+    data = [unpack_sorted(x) for x in t["data"].to_pylist()]
     v = np.sort(np.concatenate(data))
     h = v >> np.uint64(2)
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -174,11 +195,11 @@ def _match(t: pa.Table) -> pa.Table:
     keep = [k for k, x in enumerate(own) if len(x)]
     bucket = t["bucket"][0].as_py()
     return pa.table({"bucket": pa.array([bucket] * len(keep), pa.int64()), "chunk": t["chunk"].take(pa.array(keep, pa.int64())).combine_chunks(),
-                     "data": pa.array([pack5(own[k]) for k in keep], pa.binary())})
+                     "data": pa.array([pack_sorted(own[k]) for k in keep], pa.binary())})
 
 
-_WINDOW_ROW = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8"), ("high", "<i8")])
-_REPLY_ROW = np.dtype([("a", "<u8"), ("b", "<u8"), ("low", "<i8")])
+_WINDOW_COLUMNS = "<u8 <u4 <i8 <i8"       # 96 bits of hash, smallest doc_id of the chunk, largest less smallest
+_REPLY_COLUMNS = "<u8 <i8"                # 64 bits name one of a chunk's windows; smallest doc_id of all
 
 
 def _ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +216,7 @@ def _extend(n_buckets: int):
         c = ChunkWords(t["text"].to_pylist())
         at, bucket, low = _anchor_keys(c, n_buckets)
         shift = np.uint64(HASH_BITS)
-        told = np.concatenate([unpack5(x) | np.uint64(k) << shift for k, x in zip(hits["bucket"].to_pylist(), hits["data"].to_pylist())])
+        told = np.concatenate([unpack_sorted(x) | np.uint64(k) << shift for k, x in zip(hits["bucket"].to_pylist(), hits["data"].to_pylist())])
         hit = np.zeros(c.n + WINDOW, np.int64)
         hit[at] = np.isin(bucket.astype(np.uint64) << shift | low, told)
         total = np.concatenate([[0], np.cumsum(hit)])
@@ -204,56 +225,49 @@ def _extend(n_buckets: int):
         take = np.flatnonzero((c.rest >= WINDOW) & (total[i + WINDOW - BLOCK + 1] > total[i]) & known[c.doc])
         if not len(take):
             return pa.table(empty)
-        a, b, d = c.rolling(WINDOW, 0)[take], c.rolling(WINDOW, 1)[take], ids[c.doc[take]]
+        a, b, d = c.rolling(WINDOW, 0)[take], c.rolling(WINDOW, 1)[take].astype("<u4"), ids[c.doc[take]]
         key = (a % np.uint64(n_buckets)).astype(np.int64)
         order = np.lexsort((d, b, a, key))
         a, b, d, key = a[order], b[order], d[order], key[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         last = np.append(first[1:], len(a)) - 1
-        rows = np.zeros(len(first), _WINDOW_ROW)
-        rows["a"], rows["b"], rows["low"], rows["high"] = a[first], b[first], d[first], d[last]
-        return pa.table(_dealt(key[first], lambda x, y: rows[x:y].tobytes(), t["_chunk"][0].as_py()))
+        columns = a[first], b[first], d[first], d[last] - d[first]
+        return pa.table(_dealt(key[first], lambda x, y: pack_columns(*(v[x:y] for v in columns)), t["_chunk"][0].as_py()))
     return run
 
 
 def _smallest(t: pa.Table) -> pa.Table:
     """Tells each chunk the smallest doc_id of those of its windows that have one smaller than its largest."""
-    data = [np.frombuffer(x, _WINDOW_ROW) for x in t["data"].to_pylist()]
-    every, part = np.concatenate(data), np.repeat(np.arange(len(data)), [len(x) for x in data])
-    order = np.lexsort((every["low"], every["b"], every["a"]))
-    e = every[order]
-    starts = np.flatnonzero(np.append(True, (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])))
-    low = np.empty(len(e), np.int64)
-    low[order] = np.repeat(e["low"][starts], np.diff(np.append(starts, len(e))))
-    reply = np.zeros(len(every), _REPLY_ROW)
-    reply["a"], reply["b"], reply["low"] = every["a"], every["b"], low
-    wanted = low < every["high"]
-    own = [reply[(part == k) & wanted] for k in range(len(data))] if len(data) < 64 else _by_part(reply[wanted], part[wanted], len(data))
-    keep = [k for k, x in enumerate(own) if len(x)]
+    data = [unpack_columns(x, _WINDOW_COLUMNS) for x in t["data"].to_pylist()]
+    a, b, own_low, span = (np.concatenate(c) for c in zip(*data))
+    sizes = [len(x[0]) for x in data]
+    order = np.lexsort((own_low, b, a))
+    starts = np.flatnonzero(np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
+    low = np.empty(len(a), np.int64)
+    low[order] = np.repeat(own_low[order][starts], np.diff(np.append(starts, len(a))))
+    wanted = low < own_low + span
+    part = np.repeat(np.arange(len(data)), sizes)[wanted]
+    cuts = np.searchsorted(part, np.arange(len(data) + 1))
+    a, low = a[wanted], low[wanted]
+    keep = np.flatnonzero(np.diff(cuts)).tolist()
     return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * len(keep), pa.int64()),
                      "chunk": t["chunk"].take(pa.array(keep, pa.int64())).combine_chunks(),
-                     "data": pa.array([own[k].tobytes() for k in keep], pa.binary())})
-
-
-def _by_part(rows: np.ndarray, part: np.ndarray, n: int) -> list[np.ndarray]:
-    return np.split(rows, np.searchsorted(part, np.arange(1, n)))       # part is sorted
+                     "data": pa.array([pack_columns(a[cuts[k]:cuts[k + 1]], low[cuts[k]:cuts[k + 1]]) for k in keep], pa.binary())})
 
 
-def repeated_words(c: ChunkWords, ids: np.ndarray, known: np.ndarray, told: np.ndarray) -> np.ndarray:
+def repeated_words(c: ChunkWords, ids: np.ndarray, known: np.ndarray, told: list[bytes]) -> np.ndarray:
     """Whether each word of the chunk lies in a window that starts in a smaller document."""
     cover = np.zeros(c.n + WINDOW + 1, np.int64)
     at = np.flatnonzero((c.rest >= WINDOW) & known[c.doc])
-    if len(told) and len(at):
-        told = told[np.lexsort((told["b"], told["a"]))]
-        a, b = c.rolling(WINDOW, 0)[at], c.rolling(WINDOW, 1)[at]
-        k = np.searchsorted(told["a"], a)
-        most = int(np.unique(told["a"], return_counts=True)[1].max())
-        found = np.zeros(len(at), bool)
-        for j in range(most):
-            x = np.minimum(k + j, len(told) - 1)
-            found |= (told["a"][x] == a) & (told["b"][x] == b) & (told["low"][x] < ids[c.doc[at]])
-        np.add.at(cover, at[found], 1)
-        np.add.at(cover, at[found] + WINDOW, -1)
+    if told and len(at):
+        key, low = (np.concatenate(x) for x in zip(*(unpack_columns(x, _REPLY_COLUMNS) for x in told)))
+        order = np.argsort(key)
+        key, low = key[order], low[order]
+        a = c.rolling(WINDOW, 0)[at]
+        k = np.minimum(np.searchsorted(key, a), len(key) - 1)
+        found = at[(key[k] == a) & (low[k] < ids[c.doc[at]])]
+        np.add.at(cover, found, 1)
+        np.add.at(cover, found + WINDOW, -1)
     return np.cumsum(cover)[:c.n] > 0
 
 
@@ -274,8 +288,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         c = ChunkWords(t["text"].to_pylist())
         ids, known = _ids(t)
-        rows = [np.frombuffer(x, _REPLY_ROW) for x in told["data"].to_pylist()]
-        gone = repeated_words(c, ids, known, np.concatenate(rows) if rows else np.zeros(0, _REPLY_ROW))
+        gone = repeated_words(c, ids, known, told["data"].to_pylist())
         starts = gone & ~(np.append(False, gone[:-1]) & (c.place > 0))
         removed, runs = (np.bincount(c.doc[x], minlength=c.n_docs) for x in (gone, starts))
         out = t.drop_columns(["_chunk"])
