@@ -15,8 +15,9 @@ costs one pair a member.  Pairs are verified on whole texts: probability
 Jaccard, or plain Jaccard, of at least SIMILARITY.  Links are contracted to
 classes.  Then, as long as it finds links: members that ended in another class
 than others of their bucket are compared by registers within the bucket, and the
-best partner of every other class there is verified too; buckets over
-``BUCKET_ROWS`` are first parted by the members' other bands.
+best partner of every other class there is verified too, each pair only in the
+first band it shares; buckets over ``BUCKET_ROWS`` are first parted by the
+members' later bands.
 
 Equal texts are collapsed before anything else (a pre-aggregated group), so a
 group of copies counts as one document and no link between different texts is lost
@@ -43,7 +44,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 LEAST_AGREEMENT = 0.65           # of registers, for a pair to be verified after the first round (0.8 less 4.7 deviations)
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 500                # a larger bucket is parted by its members' later bands
+PART_ROWS = 4000                 # and such a part again, at random
 RUN_MEMBERS = 256                # members of a centre that are verified in a row
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -145,23 +147,30 @@ def _sign(batches):
         sig = signatures(*shingles(texts), len(texts))
         some = sig.any(1).tolist()
         packed = [row.astype("<u4").tobytes() if s else b"" for row, s in zip(sig, some)]     # 32 bits of each element
-        yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(packed, pa.binary())], names=["t1", "t2", "sig"])
+        mini = [row.astype(np.uint8).tobytes() for row in sig]                                # 8 bits, to compare registers
+        yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(packed, pa.binary()), pa.array(mini, pa.binary())],
+                              names=["t1", "t2", "sig", "mini"])
 
 
 def text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, sig) one a distinct text."""
+    """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, sig, mini) one a distinct text."""
     texts = _texts(docs)
     rows = written(texts.select("doc_id", "t1", "t2"), "near-rows")
-    signed = texts.mapInArrow(_sign, "t1 bigint, t2 bigint, sig binary")
-    nodes = signed.groupBy("t1", "t2").agg(F.first("sig").alias("sig"))
+    signed = texts.mapInArrow(_sign, "t1 bigint, t2 bigint, sig binary, mini binary")
+    nodes = signed.groupBy("t1", "t2").agg(F.first("sig").alias("sig"), F.first("mini").alias("mini"))
     return rows, written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): the bands' buckets with two members or more."""
+def _bands(nodes: DataFrame) -> DataFrame:
+    """(band, node, bucket): one row a band of each node that has shingles."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    each = (nodes.where(F.octet_length("sig") > 0).select("node", "sig", band)
-                 .select("node", F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")))
+    each = nodes.where(F.octet_length("sig") > 0).select("node", "sig", band)
+    return each.select("band", "node", F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))
+
+
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """(bucket, band, node, centre, n): the bands' buckets with two members or more."""
+    each = _bands(nodes)
     shared = written(each.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n"))
                          .where("n > 1").select("bucket", "centre", "n"), "near-buckets")
     return written(each.join(shared, "bucket"), "near-members")
@@ -223,37 +232,48 @@ def contracted(links: DataFrame, name: str) -> DataFrame:
 
 
 def _best_partners(t: pa.Table) -> pa.Table:
-    """In one bucket: for each member outside the largest class, its best partner in every other class."""
+    """In one bucket: for each member outside the largest class, its best partner
+    in every other class, of those it shares no earlier band with."""
     node, root = t["node"].to_numpy(), t["root"].to_numpy()
-    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(len(node), -1)
+    mini = np.frombuffer(b"".join(t["mini"].to_pylist()), np.uint8).reshape(len(node), -1)
+    wanted = [x for x in (t["band"][0].as_py(), t["later"][0].as_py()) if x >= 0]
     roots, of, size = np.unique(root, return_inverse=True, return_counts=True)
     out: set[tuple[int, int]] = set()
     for k in np.flatnonzero(of != size.argmax()).tolist():
-        same = (sig == sig[k]).mean(1)
-        same[of == of[k]] = 0
-        good = np.flatnonzero(same >= LEAST_AGREEMENT)
-        best = good[np.lexsort((-same[good], of[good]))]
+        equal = mini == mini[k]
+        near = np.flatnonzero((of != of[k]) & (equal.mean(1) >= LEAST_AGREEMENT))
+        if not len(near):
+            continue
+        bands = equal[near].reshape(len(near), BANDS, ROWS).all(2)
+        rank = np.cumsum(bands, 1)
+        first = np.all([bands[:, x] & (rank[:, x] == i + 1) for i, x in enumerate(wanted)], axis=0)
+        good = near[first]
+        best = good[np.lexsort((-equal[good].mean(1), of[good]))]
         for j in best[np.unique(of[best], return_index=True)[1]].tolist():
             out.add((min(node[k], node[j]), max(node[k], node[j])))
     return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
 
 
 def _open_members(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, root, sig) of the buckets that hold more than one class;
-    larger buckets are parted by the other bands of their members."""
+    """(bucket, band, later, node, root, mini) of the buckets that hold more than
+    one class; larger buckets are parted by the later bands of their members."""
     placed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed.select("bucket", "n", "node", "root"), "near-placed")
+    placed = written(placed.select("bucket", "band", "n", "node", "root"), "near-placed")
     split = written(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), "near-open")
-    rows = placed.join(split, "bucket").join(nodes.select("node", "sig"), "node")
-    small = rows.where(F.col("n") <= BUCKET_ROWS).select("bucket", "node", "root", "sig")
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    parts = (rows.where(F.col("n") > BUCKET_ROWS).select("bucket", "node", "root", "sig", band)
-                 .withColumn("bucket", F.xxhash64("bucket", "band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS)))))
-    count = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-    # a part that is still large goes on as runs of its order by signature, so that a task holds a bounded number
-    parts = (parts.join(written(count.where("n > 1 AND x < y").select("bucket", "n"), "near-parts"), "bucket")
-                  .withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("sig"), F.ceil(F.col("n") / BUCKET_ROWS)))))
-    return small.unionByName(parts.select("bucket", "node", "root", "sig"))
+    rows = placed.join(split, "bucket")
+    small = rows.where(F.col("n") <= BUCKET_ROWS).select("bucket", "band", F.lit(-1).alias("later"), "node", "root")
+    large = rows.where(F.col("n") > BUCKET_ROWS).select("bucket", "band", "node", "root")
+    other = members.select(F.col("band").alias("later"), "node", F.col("bucket").alias("other"))
+    parts = (large.join(other, "node").where("later > band")
+                  .select(F.xxhash64("bucket", "other").alias("bucket"), "band", "later", "node", "root"))
+    parts = written(parts, "near-parted")
+    count = written(parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
+                         .where("n > 1 AND x < y").select("bucket", "n"), "near-parts")
+    # a part that is still large goes on as several, so that a task holds a bounded number
+    parts = (parts.join(count, "bucket")
+                  .withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART_ROWS)))))
+    every = small.unionByName(parts.select("bucket", "band", "later", "node", "root"))
+    return every.join(nodes.select("node", "mini"), "node")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
