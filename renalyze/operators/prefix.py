@@ -29,11 +29,9 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str], descendin
         bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n))))
         lits = [F.lit(float(b)) for b in bounds]
     elif probs:
-        # text keys: bounds from a sample of at most 100 rows per block
+        # text keys: bounds from a sample of about 100 rows per block
         frac = min(1.0, 100.0 * n / max(1, df.count()))
-        # a sample for block bounds: capped, as the bounds need only ~100 per block
-        sample = sorted({r[0] for r in df.select(order_col).sample(fraction=frac, seed=7)
-                                          .limit(200 * n).collect()})
+        sample = sorted({r[0] for r in df.select(order_col).sample(fraction=frac, seed=7).collect()})
         bounds = [sample[int(len(sample) * i / n)] for i in range(1, n)] if sample else []
         bounds = sorted(set(bounds))
         lits = [F.lit(b) for b in bounds]

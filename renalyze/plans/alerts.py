@@ -84,7 +84,8 @@ def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     res = feed.where(F.col("kind") == "res").select("msg_id", "mrn", "test_value", "test_time", "control_id")
     known = res.join(patients.select("mrn", F.lit(True).alias("_base")), "mrn", "left") \
                .join(first_adm, "mrn", "left")
-    ok = F.col("_base").isNotNull() | (F.col("_adm_id") < F.col("msg_id"))
+    # no admission at all must read as "unknown", not NULL (both branches would drop it)
+    ok = F.col("_base").isNotNull() | F.coalesce(F.col("_adm_id") < F.col("msg_id"), F.lit(False))
     accepted = known.where(ok).drop("_base", "_adm_id")
     unknown = known.where(~ok).select("msg_id", F.lit("unknown_patient").alias("reason"))
 

@@ -102,8 +102,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - no JVM context (remote session)
             root = None
     if not root:
-        root = tempfile.mkdtemp(prefix="renalyze-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder when the session is built")
+        root = tempfile.mkdtemp(prefix="renalyze-ckpt-")      # one machine: tests
     try:
         spark.sparkContext.setCheckpointDir(root)
     except Exception:  # noqa: BLE001 - remote session: the conf is enough
@@ -133,23 +134,21 @@ def spread_for_cpu(df):
     return df.repartition(cores) if n < cores else df
 
 
-def sized_conf(input_bytes: int, cores: int, target_partition_bytes: int = 128 * 1024 * 1024,
-               max_partitions: int = 100_000) -> dict[str, str]:
+def sized_conf(input_bytes: int, cores: int, target_partition_bytes: int = 128 * 1024 * 1024) -> dict[str, str]:
     """Settings sized to the input so shuffle partitions stay near
     ``target_partition_bytes`` (they must fit an executor task's memory with
     room for sort / aggregation buffers).
 
-    * ``spark.sql.shuffle.partitions``: input / target, at least 2 x cores,
-      capped; AQE then coalesces small partitions and splits skewed ones,
+    * ``spark.sql.shuffle.partitions``: input / target, at least 2 x cores; AQE then coalesces small partitions and splits skewed ones,
       so this is the upper bound it works down from.
     * ``spark.sql.files.maxPartitionBytes``: scan splits of the same size.
     * advisory size for AQE coalescing and the skew-join thresholds follow
       the same target.
 
-    At 100 TB and 128 MiB this gives the cap (100,000) for the first shuffle;
-    later shuffles of partial aggregates are far smaller and are coalesced.
+    At 100 TiB and 128 MiB this gives 819,200 for the first shuffle; later
+    shuffles of partial aggregates are far smaller and are coalesced.
     """
-    n = max(2 * cores, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    n = max(2 * cores, -(-int(input_bytes) // target_partition_bytes))
     t = str(target_partition_bytes)
     return {
         "spark.sql.shuffle.partitions": str(n),

@@ -65,23 +65,29 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
 
 def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFrame, acks: str | None = None):
     """foreachBatch function applying each batch of parsed messages to
-    Patients / Measurements, written as version ``v=batch_id+1``, with the
+    Patients / Measurements, written as the version after the last one, with the
     batch's quarantine and (if ``acks`` is given) one ACK per processed
     message, both written after the tables.
 
-    The new version is computed from the previous committed version; a
-    replayed batch whose version already exists is skipped.
+    A batch is done when its marker (query id and batch id) is there; the
+    marker is written after all outputs.  Batch ids restart with a new
+    checkpoint, query ids do not repeat, so a new query's batches are never
+    taken for old ones; a batch that broke off is applied again (upserts of the
+    same keys give the same rows).
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = batch_id + 1
-        if path_exists(spark, f"{root}/patients/v={target}/_SUCCESS") and \
-           path_exists(spark, f"{root}/measurements/v={target}/_SUCCESS"):
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        tag = f"{batch_id}-{query[:8]}"
+        marker = f"{root}/_batches/{query}/{batch_id}"
+        if path_exists(spark, f"{marker}/_SUCCESS"):
             return
         prev = latest_version(spark, f"{root}/measurements")
         if prev is None:
             pats, meas = patients0, measurements0
+            target = 1
         else:
+            target = prev + 1
             pats = spark.read.parquet(f"{root}/patients/v={prev}")
             meas = spark.read.parquet(f"{root}/measurements/v={prev}")
         batch = batch.persist()  # three outputs below; parse the batch once
@@ -92,11 +98,12 @@ def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFram
             write_pointer(spark, f"{root}/patients", target)
             write_pointer(spark, f"{root}/measurements", target)
             applied.quarantine.select(F.col("msg_id").cast("string").alias("msg_id"), "reason") \
-                .write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
+                .write.mode("overwrite").parquet(f"{root}/quarantine/batch={tag}")
             if acks:
                 scoring.ack_outbox(applied.processed.withColumn("ack_ts", F.current_timestamp()), "ack_ts") \
                     .select(F.col("msg_id").cast("string").alias("msg_id"), "control_id", "ack") \
-                    .write.mode("overwrite").parquet(f"{acks}/batch={batch_id}")
+                    .write.mode("overwrite").parquet(f"{acks}/batch={tag}")
+            spark.createDataFrame([(target,)], "v int").coalesce(1).write.mode("overwrite").parquet(marker)
         finally:
             batch.unpersist()
     return write

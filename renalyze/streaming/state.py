@@ -22,6 +22,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -82,22 +83,29 @@ class History:
     date order (both non-NULL), so the largest step is its last element.
     An upsert touches at most two steps.  Insertions are ``bisect``
     (memmove) operations, so a batch of m readings on a history of n costs
-    O(m * n) byte moves, not O(m * n log n) Python work.  The sample std is
-    two-pass over ``sorted_vals`` up to ``EXACT_STD_LIMIT`` readings and
-    from shifted running sums beyond.
+    O(m * n) byte moves, not O(m * n log n) Python work.  Mean and sample std
+    come from exact (rational) running sums at every length, so they survive
+    removals and do not depend on batch borders.
     """
 
-    EXACT_STD_LIMIT = 256
-
     def __init__(self, items):
         pairs = sorted(items)
         self.dates = [d for d, _ in pairs]
         self.vals = [v for _, v in pairs]
         self.sorted_vals = sorted(v for v in self.vals if v is not None)
         self.steps = sorted(b - a for a, b in zip(self.vals, self.vals[1:]) if a is not None and b is not None)
-        self.shift = self.sorted_vals[0] if self.sorted_vals else 0.0
-        self.s1 = sum(v - self.shift for v in self.sorted_vals)
-        self.s2 = sum((v - self.shift) ** 2 for v in self.sorted_vals)
+        self.s1 = self.s2 = Fraction(0)
+        self.odd = 0                                           # readings that are not finite
+        for v in self.sorted_vals:
+            self._count(v, 1)
+
+    def _count(self, v, sign):
+        if math.isfinite(v):
+            x = Fraction(v)
+            self.s1 += sign * x
+            self.s2 += sign * x * x
+        else:
+            self.odd += sign
 
     @staticmethod
     def _step(a, b):
@@ -114,14 +122,12 @@ class History:
     def _remove_val(self, v):
         if v is not None:
             del self.sorted_vals[bisect.bisect_left(self.sorted_vals, v)]
-            self.s1 -= v - self.shift
-            self.s2 -= (v - self.shift) ** 2
+            self._count(v, -1)
 
     def _add_val(self, v):
         if v is not None:
             bisect.insort(self.sorted_vals, v)
-            self.s1 += v - self.shift
-            self.s2 += (v - self.shift) ** 2
+            self._count(v, 1)
 
     def upsert(self, d, v) -> bool:
         """Insert or overwrite the reading at ``d``; True when it repeats the
@@ -161,13 +167,12 @@ class History:
             return {"n_readings": 0, **{c: 0.0 for c in FEATURE_COLUMNS}}
         mid = n // 2
         med = float(sv[mid]) if n % 2 else (sv[mid - 1] + sv[mid]) / 2.0
-        if n <= self.EXACT_STD_LIMIT:
-            arr = np.asarray(sv, dtype=float)
-            mean = float(arr.mean())
-            std = float(arr.std(ddof=1)) if n > 1 else 0.0
+        if self.odd:
+            mean = float(np.mean(sv))
+            std = float(np.std(sv, ddof=1)) if n > 1 else 0.0
         else:
-            mean = self.shift + self.s1 / n
-            std = math.sqrt(max(0.0, (self.s2 - self.s1 * self.s1 / n) / (n - 1)))
+            mean = float(self.s1 / n)
+            std = math.sqrt((self.s2 - self.s1 * self.s1 / n) / (n - 1)) if n > 1 else 0.0
         recent = next(v for v in reversed(self.vals) if v is not None)
         mn, mx = float(sv[0]), float(sv[-1])
         return {

@@ -188,7 +188,7 @@ def test_sized_conf():
     small = sized_conf(10 * 1024 * 1024, cores=8)
     assert small["spark.sql.shuffle.partitions"] == "16"
     big = sized_conf(100 * 1024 ** 4, cores=8000)
-    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.shuffle.partitions"] == "819200"
     mid = sized_conf(1024 ** 4, cores=100)
     assert mid["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (128 * 1024 ** 2))
 
