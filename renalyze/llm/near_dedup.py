@@ -13,11 +13,12 @@ Registers form bands.  Documents that agree in a band form a bucket; a bucket
 proposes its members against its centre (smallest number), so a bucket of any size
 costs one pair a member.  Pairs are verified on whole texts: probability
 Jaccard, or plain Jaccard, of at least SIMILARITY.  Links are contracted to
-classes.  Then, as long as it finds links: members that ended in another class
-than others of their bucket are compared by registers within the bucket, and the
-best partner of every other class there is verified too, each pair only in the
-first band it shares; buckets over ``BUCKET_ROWS`` are first parted by the
-members' later bands.
+classes.  Then members that ended in another class than others of their bucket
+are compared by registers within the bucket, each pair only in the first band it
+shares: the best partner of every other class is verified, and after contraction
+every candidate that still lies in another class, so no candidate between two final classes
+is left out.  Buckets over ``BUCKET_ROWS`` are first parted by the members' later
+bands, and parts over ``PART_ROWS`` are compared block by block.
 
 Equal texts are collapsed before anything else (a pre-aggregated group), so a
 group of copies counts as one document and no link between different texts is lost
@@ -45,7 +46,7 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 LEAST_AGREEMENT = 0.65           # of registers, for a pair to be verified after the first round (0.8 less 4.7 deviations)
 BUCKET_ROWS = 500                # a larger bucket is parted by its members' later bands
-PART_ROWS = 4000                 # and such a part again, at random
+PART_ROWS = 4000                 # and such a part is compared in blocks of as many
 RUN_MEMBERS = 256                # members of a centre that are verified in a row
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -231,49 +232,68 @@ def contracted(links: DataFrame, name: str) -> DataFrame:
     return labels
 
 
-def _best_partners(t: pa.Table) -> pa.Table:
-    """In one bucket: for each member outside the largest class, its best partner
-    in every other class, of those it shares no earlier band with."""
-    node, root = t["node"].to_numpy(), t["root"].to_numpy()
-    mini = np.frombuffer(b"".join(t["mini"].to_pylist()), np.uint8).reshape(len(node), -1)
-    wanted = [x for x in (t["band"][0].as_py(), t["later"][0].as_py()) if x >= 0]
-    roots, of, size = np.unique(root, return_inverse=True, return_counts=True)
-    out: set[tuple[int, int]] = set()
-    for k in np.flatnonzero(of != size.argmax()).tolist():
-        equal = mini == mini[k]
-        near = np.flatnonzero((of != of[k]) & (equal.mean(1) >= LEAST_AGREEMENT))
-        if not len(near):
-            continue
-        bands = equal[near].reshape(len(near), BANDS, ROWS).all(2)
-        rank = np.cumsum(bands, 1)
-        first = np.all([bands[:, x] & (rank[:, x] == i + 1) for i, x in enumerate(wanted)], axis=0)
-        good = near[first]
-        best = good[np.lexsort((-equal[good].mean(1), of[good]))]
-        for j in best[np.unique(of[best], return_index=True)[1]].tolist():
-            out.add((min(node[k], node[j]), max(node[k], node[j])))
-    return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
-
-
-def _open_members(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, band, later, node, root, mini) of the buckets that hold more than
-    one class; larger buckets are parted by the later bands of their members."""
+def _partners(every: bool):
+    """A function of one cell: the pairs of an open member (outside the largest
+    class) and its best partner in every other class, or every partner, of those that share
+    no earlier band."""
+    def run(t: pa.Table) -> pa.Table:
+        node, root = t["node"].to_numpy(), t["root"].to_numpy()
+        mini = np.frombuffer(b"".join(t["mini"].to_pylist()), np.uint8).reshape(len(node), -1)
+        wanted = [x for x in (t["band"][0].as_py(), t["later"][0].as_py()) if x >= 0]
+        of = np.unique(root, return_inverse=True)[1]
+        left, right = t["left"].to_numpy(zero_copy_only=False), np.flatnonzero(t["right"].to_numpy(zero_copy_only=False))
+        if t["whole"][0].as_py():                              # no cell of several: the largest class is known here only
+            left = of != np.bincount(of).argmax()
+        out: set[tuple[int, int]] = set()
+        for k in np.flatnonzero(left).tolist():
+            others = right[of[right] != of[k]]
+            equal = mini[others] == mini[k]
+            near = np.flatnonzero(equal.mean(1) >= LEAST_AGREEMENT)
+            if not len(near):
+                continue
+            bands = equal[near].reshape(len(near), BANDS, ROWS).all(2)
+            rank = np.cumsum(bands, 1)
+            near = near[np.all([bands[:, x] & (rank[:, x] == i + 1) for i, x in enumerate(wanted)], axis=0)]
+            good = others[near]
+            if not every:
+                best = np.lexsort((-equal[near].mean(1), of[good]))
+                good = good[best[np.unique(of[good[best]], return_index=True)[1]]]
+            out.update((min(node[k], node[j]), max(node[k], node[j])) for j in good.tolist())
+        return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
+    return run
+
+
+def _open_cells(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, band, later, node, root, left, right, whole, mini) of the buckets that
+    hold more than one class.  Larger buckets are parted by the later bands of their
+    members.  A part over PART_ROWS becomes a grid of cells, blocks of its open members
+    against blocks of all members, so each cell is bounded and no pair is left out."""
     placed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = written(placed.select("bucket", "band", "n", "node", "root"), "near-placed")
     split = written(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), "near-open")
     rows = placed.join(split, "bucket")
-    small = rows.where(F.col("n") <= BUCKET_ROWS).select("bucket", "band", F.lit(-1).alias("later"), "node", "root")
+    small = rows.where(F.col("n") <= BUCKET_ROWS).select(F.col("bucket").alias("cell"), "band", F.lit(-1).alias("later"), "node", "root")
     large = rows.where(F.col("n") > BUCKET_ROWS).select("bucket", "band", "node", "root")
     other = members.select(F.col("band").alias("later"), "node", F.col("bucket").alias("other"))
     parts = (large.join(other, "node").where("later > band")
-                  .select(F.xxhash64("bucket", "other").alias("bucket"), "band", "later", "node", "root"))
+                  .select(F.xxhash64("bucket", "other").alias("cell"), "band", "later", "node", "root"))
     parts = written(parts, "near-parted")
-    count = written(parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"))
-                         .where("n > 1 AND x < y").select("bucket", "n"), "near-parts")
-    # a part that is still large goes on as several, so that a task holds a bounded number
-    parts = (parts.join(count, "bucket")
-                  .withColumn("bucket", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART_ROWS)))))
-    every = small.unionByName(parts.select("bucket", "band", "later", "node", "root"))
-    return every.join(nodes.select("node", "mini"), "node")
+    sizes = (parts.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell")
+                  .agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")))
+    sizes = written(sizes.where("classes > 1").select(
+        "cell", F.col("top.root").alias("top"), F.ceil(F.col("n") / PART_ROWS).alias("high"),
+        F.ceil((F.col("n") - F.col("top.c")) / PART_ROWS).alias("wide")), "near-parts")
+    parts = parts.join(sizes, "cell")
+    alone = [F.lit(True).alias(c) for c in ("left", "right", "whole")]
+    plain = small.unionByName(parts.where("high = 1").select("cell", "band", "later", "node", "root")).select("*", *alone)
+    cut = parts.where("high > 1")
+    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    sides = [cut.where("root != top").withColumns({"i": block(0, "wide"), "left": F.lit(True)}).withColumn("j", upto("high")),
+             cut.withColumns({"j": block(1, "high"), "left": F.lit(False)}).withColumn("i", upto("wide"))]
+    cells = [x.select(F.xxhash64("cell", "i", "j").alias("cell"), "band", "later", "node", "root", "left",
+                      (~F.col("left")).alias("right"), F.lit(False).alias("whole")) for x in sides]
+    return plain.unionByName(cells[0]).unionByName(cells[1]).join(nodes.select("node", "mini"), "node")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -284,19 +304,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     tried = written(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
     links = written(verified(tried, nodes, texts), "near-links")
     labels = contracted(links, "near-0")
-    turn = 0
-    while True:
-        turn += 1
-        fresh = (_open_members(members, nodes, labels).groupBy("bucket").applyInArrow(_best_partners, "a bigint, b bigint")
-                 .distinct().join(tried, ["a", "b"], "left_anti"))
-        fresh = written(fresh, f"near-fresh-{turn}")
+    # first the best partners, which join most classes; then every candidate left between two classes
+    for name, every in (("best", False), ("rest", True)):
+        proposed = _open_cells(members, nodes, labels).groupBy("cell").applyInArrow(_partners(every), "a bigint, b bigint").distinct()
+        fresh = written(proposed.join(tried, ["a", "b"], "left_anti"), f"near-fresh-{name}")
         if fresh.isEmpty():
-            break
-        found = written(verified(fresh, nodes, texts), f"near-found-{turn}")
+            continue
+        found = written(verified(fresh, nodes, texts), f"near-found-{name}")
         tried = tried.unionByName(fresh)
         if not found.isEmpty():
             links = links.unionByName(found)
-            labels = contracted(links, f"near-{turn}")
+            labels = contracted(links, f"near-{name}")
     named = rows.join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(labels, "node", "left")
     named = written(named.select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root")), "near-named")
     classes = written(named.groupBy("root").agg(

@@ -208,3 +208,27 @@ def test_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in documents(spark, sf).collect()}
     held = [r.lang_pred == lang[r.doc_id] for r in QUERIES["op3_langid"](spark, sf).where("held_out").collect()]
     assert np.mean(held) > 0.95
+
+
+def test_near_classes_of_large_buckets(spark, monkeypatch):
+    """Many near copies of one text: parted and compared in a grid of cells, against all pairs."""
+    rng = random.Random(11)
+    base, texts = words(rng, 120, 10**6).split(), []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(k, t, "en", None, None) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    sets = [near_dedup.shingles([t])[1:] for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if max(near_dedup.jaccards(*sets[i], *sets[j])) >= near_dedup.SIMILARITY:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    for bucket, part in ((500, 4000), (3, 4000), (3, 5)):
+        monkeypatch.setattr(near_dedup, "BUCKET_ROWS", bucket)
+        monkeypatch.setattr(near_dedup, "PART_ROWS", part)
+        assert {r.doc_id: r.class_id for r in near_dedup.near_digest(docs).collect()} == dict(enumerate(root))
