@@ -14,10 +14,12 @@ proposes its members against its centre (smallest number), so a bucket of any si
 costs one pair a member.  Pairs are verified on whole texts: probability
 Jaccard, or plain Jaccard, of at least SIMILARITY.  Links are contracted to
 classes.  Then members that ended in another class than others of their bucket
-are compared by registers within the bucket, each pair only in the first band it
-shares: the best partner of every other class is verified, and after contraction
-every candidate that still lies in another class, so no candidate between two final classes
-is left out.  Buckets over ``BUCKET_ROWS`` are first parted by the members' later
+are compared within the bucket, each pair only in the first band it shares: by
+registers first, and short texts (to ``EXACT_SHINGLES``) at once by all their shingles.  A
+cell returns at most one link a class it joins, never its pairs.  Of long texts, the best
+partner in every other class is verified on whole texts, and after contraction every candidate
+that still lies in another class, so no candidate between two final classes is left out.
+Buckets over ``BUCKET_ROWS`` are first parted by the members' later
 bands, and parts over ``PART_ROWS`` are compared block by block.
 
 Equal texts are collapsed before anything else (a pre-aggregated group), so a
@@ -33,6 +35,8 @@ allowed and come last.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +46,7 @@ from .common import written
 
 SHINGLE = 5
 SIMILARITY = 0.8
+EXACT_SHINGLES = 1024            # texts of no more shingles are compared within a cell, by all their shingles
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 LEAST_AGREEMENT = 0.65           # of registers, for a pair to be verified after the first round (0.8 less 4.7 deviations)
@@ -60,20 +65,15 @@ def _mix(z: np.ndarray) -> np.ndarray:
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, element, weight): the distinct shingles of each text."""
-    split = [(t or "").lower().split() for t in texts]
-    number: dict[str, int] = {}
-    for words in split:
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
     import xxhash
-    table = np.array([xxhash.xxh3_64_intdigest(w) for w in number], np.uint64)
+    split = [(t or "").lower().split() for t in texts]
     size = np.array([len(x) for x in split], np.int64)
     n = int(size.sum())
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0)
-    get = number.__getitem__
-    h = table[np.concatenate([np.fromiter(map(get, x), np.int64, len(x)) for x in split])]
+    hashed = dict.fromkeys(chain.from_iterable(split))
+    hashed = dict(zip(hashed, map(xxhash.xxh3_64_intdigest, hashed)))
+    h = np.fromiter(map(hashed.__getitem__, chain.from_iterable(split)), np.uint64, n)
     first = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(split)), size)
     place = np.arange(n) - first[doc]
@@ -84,8 +84,9 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         acc = np.where(j < width, acc * _GOLD + padded[j:j + n], acc)
     whole = place + width <= size[doc]
     doc, element = doc[whole], _mix(acc[whole] + width[whole].astype(np.uint64))
-    order = np.lexsort((element, doc))
-    doc, element = doc[order], element[order]
+    ends = np.cumsum(np.bincount(doc, minlength=len(split)))
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        element[start:end].sort()
     new = np.flatnonzero(np.append(True, (element[1:] != element[:-1]) | (doc[1:] != doc[:-1])))
     return doc[new], element[new], 1.0 + np.log(np.diff(np.append(new, len(doc))))
 
@@ -96,8 +97,9 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
     first = np.full(n * m, np.inf)
     who = np.zeros(n * m, np.uint64)
     at, d, x, w = element.copy(), doc, np.zeros(len(doc)), weight
-    own = element
+    own, turn = element, 0
     while len(own):
+        turn += 1
         at = at + _GOLD
         r = _mix(at)
         x = x - np.log1p(-((r >> np.uint64(11)).astype(float) * 2.0 ** -53)) / w
@@ -106,7 +108,8 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
         order = better[np.argsort(-x[better], kind="stable")]      # the earliest is written last
         first[cell[order]] = x[order]
         who[cell[order]] = own[order]
-        latest = first.reshape(n, m).max(1)
+        if turn < 8 or turn % 8 == 0:                              # an older bound stops later, with the same result
+            latest = first.reshape(n, m).max(1)
         go = np.flatnonzero(x < latest[d])
         at, d, x, w, own = at[go], d[go], x[go], w[go], own[go]
     return who.reshape(n, m)
@@ -142,35 +145,50 @@ def _texts(docs: DataFrame) -> DataFrame:
     return src.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
 
 
-def _sign(batches):
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        sig = signatures(*shingles(texts), len(texts))
-        some = sig.any(1).tolist()
-        packed = [row.astype("<u4").tobytes() if s else b"" for row, s in zip(sig, some)]     # 32 bits of each element
-        mini = [row.astype(np.uint8).tobytes() for row in sig]                                # 8 bits, to compare registers
-        yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(packed, pa.binary()), pa.array(mini, pa.binary())],
-                              names=["t1", "t2", "sig", "mini"])
+def _sign(limit: int):
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            doc, element, weight = shingles(texts)
+            sig = signatures(doc, element, weight, len(texts))
+            some = sig.any(1).tolist()
+            long = np.bincount(doc, minlength=len(texts)) > limit
+            packed = [row.astype("<u4").tobytes() if s else b"" for row, s in zip(sig, some)]     # 32 bits of each element
+            mini = np.concatenate([sig.astype(np.uint8), band_codes(sig).view(np.uint8)], 1)
+            yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(packed, pa.binary()),
+                                   pa.array([row.tobytes() for row in mini], pa.binary()), pa.array(long)],
+                                  names=["t1", "t2", "sig", "mini", "long"])
+    return run
+
+
+def band_codes(sig: np.ndarray) -> np.ndarray:
+    """(n, BANDS) 16-bit codes of the bands of 32-bit registers."""
+    parts = (sig & np.uint64(0xFFFFFFFF)).reshape(len(sig), BANDS, ROWS)
+    acc = np.zeros((len(sig), BANDS), np.uint64)
+    for j in range(ROWS):
+        acc = acc * _GOLD + parts[:, :, j]
+    return (_mix(acc) >> np.uint64(48)).astype("<u2")
 
 
 def text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, sig, mini) one a distinct text."""
+    """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, sig, mini,
+    long) one a distinct text.  ``mini`` has 8 bits of each register, then the band codes."""
     texts = _texts(docs)
     rows = written(texts.select("doc_id", "t1", "t2"), "near-rows")
-    signed = texts.mapInArrow(_sign, "t1 bigint, t2 bigint, sig binary, mini binary")
-    nodes = signed.groupBy("t1", "t2").agg(F.first("sig").alias("sig"), F.first("mini").alias("mini"))
+    signed = texts.mapInArrow(_sign(EXACT_SHINGLES), "t1 bigint, t2 bigint, sig binary, mini binary, long boolean")
+    nodes = signed.groupBy("t1", "t2").agg(*[F.first(c).alias(c) for c in ("sig", "mini", "long")])
     return rows, written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, node, bucket): one row a band of each node that has shingles."""
+    """(band, node, long, bucket): one row a band of each node that has shingles."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    each = nodes.where(F.octet_length("sig") > 0).select("node", "sig", band)
-    return each.select("band", "node", F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))
+    each = nodes.where(F.octet_length("sig") > 0).select("node", "long", "sig", band)
+    return each.select("band", "node", "long", F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, node, centre, n): the bands' buckets with two members or more."""
+    """(bucket, band, node, long, centre, n): the bands' buckets with two members or more."""
     each = _bands(nodes)
     shared = written(each.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n"))
                          .where("n > 1").select("bucket", "centre", "n"), "near-buckets")
@@ -196,15 +214,19 @@ def _verify(batches):
         yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
+def _texts_of(used: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in ``used`` (node)."""
+    ids = written(nodes.join(used, "node", "left_semi").select("node", "t1", "t2"), "near-used")
+    return texts.select("t1", "t2", "text").join(ids, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) pairs of nodes whose whole texts are similar enough."""
     runs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("r"))
                         .join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
                         .select("a", "b", (F.col("r") % F.ceil(F.col("n") / RUN_MEMBERS)).alias("run")), "near-pairs")
     used = runs.select(F.col("b").alias("node")).unionByName(runs.select(F.col("a").alias("node"))).distinct()
-    ids = written(nodes.join(used, "node", "left_semi").select("node", "t1", "t2"), "near-used")
-    text = texts.select("t1", "t2", "text").join(ids, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
-    text = written(text, "near-texts")
+    text = written(_texts_of(used, nodes, texts), "near-texts")
     members = runs.select("a", "run", F.lit(1).alias("role"), "b", F.col("b").alias("node"))
     heads = runs.select("a", "run").distinct().select("a", "run", F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a").alias("node"))
     rows = members.unionByName(heads).join(text, "node").select("a", "run", "role", "b", "text")
@@ -232,68 +254,130 @@ def contracted(links: DataFrame, name: str) -> DataFrame:
     return labels
 
 
+def _elements(batches):
+    """The shingles of texts, and their weights where some are not 1."""
+    for b in batches:
+        texts = b.column("text").to_pylist()
+        doc, element, weight = shingles(texts)
+        bounds = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        own = [slice(x, y) for x, y in zip(bounds, bounds[1:])]
+        yield pa.record_batch([b.column("node"), pa.array([element[x].tobytes() for x in own], pa.binary()),
+                               pa.array([weight[x].tobytes() if (weight[x] != 1).any() else None for x in own], pa.binary())],
+                              names=["node", "elements", "weights"])
+
+
+def _similar(k: int, others: np.ndarray, own: list, code: list, weight: list, seen: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose shingles are similar enough to k's.  ``code``
+    numbers the cell's shingles and ``seen`` is a False for each number."""
+    seen[code[k]] = True
+    sizes = np.array([len(code[j]) for j in others])
+    shared = np.add.reduceat(seen[np.concatenate([code[j] for j in others])], np.cumsum(sizes) - sizes, dtype=np.int64)
+    seen[code[k]] = False
+    hit = shared / (len(code[k]) + sizes - shared) >= SIMILARITY
+    ones = lambda j: np.ones(len(own[j])) if weight[j] is None else weight[j]
+    for i in np.flatnonzero(~hit).tolist():
+        j = others[i]
+        if weight[k] is not None or weight[j] is not None:     # with weights of 1 both measures are the same
+            hit[i] = max(jaccards(own[k], ones(k), own[j], ones(j))) >= SIMILARITY
+    return others[hit]
+
+
 def _partners(every: bool):
-    """A function of one cell: the pairs of an open member (outside the largest
-    class) and its best partner in every other class, or every partner, of those that share
-    no earlier band."""
+    """A function of one cell: links between short texts, compared here by their
+    shingles, and pairs to verify for the long ones (the best partner in every other
+    class, or every partner).  Open members (outside the largest class) are compared with all
+    others, each pair where its first shared bands are the cell's."""
     def run(t: pa.Table) -> pa.Table:
-        node, root = t["node"].to_numpy(), t["root"].to_numpy()
+        node, long, opened = (t[c].to_numpy(zero_copy_only=False) for c in ("node", "long", "open"))
         mini = np.frombuffer(b"".join(t["mini"].to_pylist()), np.uint8).reshape(len(node), -1)
+        registers, codes = mini[:, :REGISTERS], np.ascontiguousarray(mini[:, REGISTERS:]).view("<u2")
         wanted = [x for x in (t["band"][0].as_py(), t["later"][0].as_py()) if x >= 0]
-        of = np.unique(root, return_inverse=True)[1]
+        of = np.unique(t["root"].to_numpy(), return_inverse=True)[1]
         left, right = t["left"].to_numpy(zero_copy_only=False), np.flatnonzero(t["right"].to_numpy(zero_copy_only=False))
         if t["whole"][0].as_py():                              # no cell of several: the largest class is known here only
-            left = of != np.bincount(of).argmax()
-        out: set[tuple[int, int]] = set()
+            left = opened = of != np.bincount(of).argmax()
+        if not every:
+            own = [np.frombuffer(x or b"", np.uint64) for x in t["elements"].to_pylist()]
+            weight = [x if x is None else np.frombuffer(x) for x in t["weights"].to_pylist()]
+            number = np.unique(np.concatenate(own), return_inverse=True)[1]
+            code = np.split(number, np.cumsum([len(x) for x in own])[:-1])
+            seen = np.zeros(len(number), bool)
+        sure: list[tuple[int, int]] = []
+        unsure: set[tuple[int, int]] = set()
         for k in np.flatnonzero(left).tolist():
-            others = right[of[right] != of[k]]
-            equal = mini[others] == mini[k]
-            near = np.flatnonzero(equal.mean(1) >= LEAST_AGREEMENT)
-            if not len(near):
-                continue
-            bands = equal[near].reshape(len(near), BANDS, ROWS).all(2)
+            others = right[(of[right] != of[k]) & (~opened[right] | (node[right] > node[k]))]
+            if every and not long[k]:
+                others = others[long[others]]
+            equal = np.count_nonzero(registers[others] == registers[k], axis=1)
+            near = equal >= LEAST_AGREEMENT * REGISTERS
+            others, equal = others[near], equal[near]
+            bands = codes[others] == codes[k]
             rank = np.cumsum(bands, 1)
-            near = near[np.all([bands[:, x] & (rank[:, x] == i + 1) for i, x in enumerate(wanted)], axis=0)]
-            good = others[near]
+            here = np.all([bands[:, x] & (rank[:, x] == i + 1) for i, x in enumerate(wanted)], axis=0)
+            others, equal = others[here], equal[here]
+            short = ~long[others] & ~long[k]
+            if not every and short.any():
+                for j in _similar(k, others[short], own, code, weight, seen).tolist():
+                    if of[j] != of[k]:
+                        of[of == of[j]] = of[k]
+                        sure.append((node[k], node[j]))
+            others, equal = others[~short], equal[~short]
             if not every:
-                best = np.lexsort((-equal[near].mean(1), of[good]))
-                good = good[best[np.unique(of[good[best]], return_index=True)[1]]]
-            out.update((min(node[k], node[j]), max(node[k], node[j])) for j in good.tolist())
-        return pa.table({"a": pa.array([int(x[0]) for x in out], pa.int64()), "b": pa.array([int(x[1]) for x in out], pa.int64())})
+                best = np.lexsort((-equal, of[others]))
+                others = others[best[np.unique(of[others[best]], return_index=True)[1]]]
+            unsure.update((node[k], node[j]) for j in others.tolist())
+        out = [(int(min(x)), int(max(x)), True) for x in sure] + [(int(min(x)), int(max(x)), False) for x in unsure]
+        return pa.table({c: pa.array([x[i] for x in out], kind)
+                         for i, (c, kind) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())))})
     return run
 
 
-def _open_cells(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cell, band, later, node, root, left, right, whole, mini) of the buckets that
-    hold more than one class.  Larger buckets are parted by the later bands of their
-    members.  A part over PART_ROWS becomes a grid of cells, blocks of its open members
-    against blocks of all members, so each cell is bounded and no pair is left out."""
+def _open_cells(members: DataFrame, nodes: DataFrame, labels: DataFrame, long_only: bool) -> DataFrame:
+    """(cell, band, later, node, long, root, left, right, open, whole) of the buckets that
+    hold more than one class (and a long text, if ``long_only``).  Larger buckets are parted
+    by the later bands of their members.  A part over PART_ROWS becomes a grid of cells, blocks
+    of its open members against blocks of all members, so each cell is bounded and no pair is left out."""
     placed = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed.select("bucket", "band", "n", "node", "root"), "near-placed")
-    split = written(placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), "near-open")
-    rows = placed.join(split, "bucket")
-    small = rows.where(F.col("n") <= BUCKET_ROWS).select(F.col("bucket").alias("cell"), "band", F.lit(-1).alias("later"), "node", "root")
-    large = rows.where(F.col("n") > BUCKET_ROWS).select("bucket", "band", "node", "root")
+    placed = written(placed.select("bucket", "band", "n", "node", "long", "root"), "near-placed")
+    split = (placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("long").alias("any_long"))
+                   .where((F.col("x") < F.col("y")) & (F.col("any_long") | F.lit(not long_only))))
+    rows = placed.join(written(split.select("bucket"), "near-open"), "bucket")
+    kept = ["band", "later", "node", "long", "root"]
+    small = rows.where(F.col("n") <= BUCKET_ROWS).select(F.col("bucket").alias("cell"), F.lit(-1).alias("later"), "band", "node", "long", "root")
+    large = rows.where(F.col("n") > BUCKET_ROWS).select("bucket", "band", "node", "long", "root")
     other = members.select(F.col("band").alias("later"), "node", F.col("bucket").alias("other"))
     parts = (large.join(other, "node").where("later > band")
-                  .select(F.xxhash64("bucket", "other").alias("cell"), "band", "later", "node", "root"))
+                  .select(F.xxhash64("bucket", "other").alias("cell"), *kept))
     parts = written(parts, "near-parted")
-    sizes = (parts.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell")
-                  .agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")))
-    sizes = written(sizes.where("classes > 1").select(
+    sizes = (parts.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max("long").alias("long")).groupBy("cell")
+                  .agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes"), F.max("long").alias("any_long")))
+    sizes = written(sizes.where((F.col("classes") > 1) & (F.col("any_long") | F.lit(not long_only))).select(
         "cell", F.col("top.root").alias("top"), F.ceil(F.col("n") / PART_ROWS).alias("high"),
         F.ceil((F.col("n") - F.col("top.c")) / PART_ROWS).alias("wide")), "near-parts")
     parts = parts.join(sizes, "cell")
-    alone = [F.lit(True).alias(c) for c in ("left", "right", "whole")]
-    plain = small.unionByName(parts.where("high = 1").select("cell", "band", "later", "node", "root")).select("*", *alone)
-    cut = parts.where("high > 1")
+    alone = [F.lit(True).alias(c) for c in ("left", "right", "open", "whole")]
+    plain = small.select("cell", *kept).unionByName(parts.where("high = 1").select("cell", *kept)).select("*", *alone)
+    cut = parts.where("high > 1").withColumn("open", F.col("root") != F.col("top"))
     block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    sides = [cut.where("root != top").withColumns({"i": block(0, "wide"), "left": F.lit(True)}).withColumn("j", upto("high")),
+    sides = [cut.where("open").withColumns({"i": block(0, "wide"), "left": F.lit(True)}).withColumn("j", upto("high")),
              cut.withColumns({"j": block(1, "high"), "left": F.lit(False)}).withColumn("i", upto("wide"))]
-    cells = [x.select(F.xxhash64("cell", "i", "j").alias("cell"), "band", "later", "node", "root", "left",
-                      (~F.col("left")).alias("right"), F.lit(False).alias("whole")) for x in sides]
-    return plain.unionByName(cells[0]).unionByName(cells[1]).join(nodes.select("node", "mini"), "node")
+    cells = [x.select(F.xxhash64("cell", "i", "j").alias("cell"), *kept, "left",
+                      (~F.col("left")).alias("right"), "open", F.lit(False).alias("whole")) for x in sides]
+    return plain.unionByName(cells[0]).unionByName(cells[1])
+
+
+def proposed(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+    """(a, b, sure): links found in the cells, and pairs to verify."""
+    cells = written(_open_cells(members, nodes, labels, every), "near-cells")
+    load = cells.select("node", "long").distinct()
+    minis = nodes.select("node", "mini")
+    if not every:
+        short = _texts_of(load.where("not long").select("node"), nodes, texts)
+        minis = minis.join(short.mapInArrow(_elements, "node bigint, elements binary, weights binary"), "node", "left")
+        minis = minis.join(load.select("node"), "node", "left_semi")
+    loaded = cells.join(written(minis, "near-minis") if not every else minis, "node")
+    return loaded.groupBy("cell").applyInArrow(_partners(every), "a bigint, b bigint, sure boolean").distinct()
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -304,16 +388,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     tried = written(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
     links = written(verified(tried, nodes, texts), "near-links")
     labels = contracted(links, "near-0")
-    # first the best partners, which join most classes; then every candidate left between two classes
+    # first all short texts, and the best partners of long ones; then every candidate left of the long ones
     for name, every in (("best", False), ("rest", True)):
-        proposed = _open_cells(members, nodes, labels).groupBy("cell").applyInArrow(_partners(every), "a bigint, b bigint").distinct()
-        fresh = written(proposed.join(tried, ["a", "b"], "left_anti"), f"near-fresh-{name}")
-        if fresh.isEmpty():
-            continue
-        found = written(verified(fresh, nodes, texts), f"near-found-{name}")
-        tried = tried.unionByName(fresh)
-        if not found.isEmpty():
-            links = links.unionByName(found)
+        found = written(proposed(members, nodes, texts, labels, every), f"near-proposed-{name}")
+        sure = found.where("sure").select("a", "b")
+        fresh = written(found.where("not sure").select("a", "b").join(tried, ["a", "b"], "left_anti"), f"near-fresh-{name}")
+        if not fresh.isEmpty():
+            sure = sure.unionByName(verified(fresh, nodes, texts))
+            tried = tried.unionByName(fresh)
+        sure = written(sure, f"near-found-{name}")
+        if not sure.isEmpty():
+            links = links.unionByName(sure)
             labels = contracted(links, f"near-{name}")
     named = rows.join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(labels, "node", "left")
     named = written(named.select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root")), "near-named")

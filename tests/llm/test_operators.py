@@ -228,7 +228,8 @@ def test_near_classes_of_large_buckets(spark, monkeypatch):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert 1 < len(set(root)) < len(texts)
-    for bucket, part in ((500, 4000), (3, 5)):
+    for bucket, part, exact in ((500, 4000, 1024), (3, 5, 1024), (3, 5, 116)):
+        monkeypatch.setattr(near_dedup, "EXACT_SHINGLES", exact)       # with 116, some texts are long
         monkeypatch.setattr(near_dedup, "BUCKET_ROWS", bucket)
         monkeypatch.setattr(near_dedup, "PART_ROWS", part)
         assert {r.doc_id: r.class_id for r in near_dedup.near_digest(docs).collect()} == dict(enumerate(root))
