@@ -50,7 +50,7 @@ EXACT_SHINGLES = 1024            # texts of no more shingles are compared within
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 LEAST_AGREEMENT = 0.65           # of registers, for a pair to be verified after the first round (0.8 less 4.7 deviations)
-BUCKET_ROWS = 500                # a larger bucket is parted by its members' later bands
+BUCKET_ROWS = 4000               # a larger bucket is parted by its members' later bands
 PART_ROWS = 4000                 # and such a part is compared in blocks of as many
 RUN_MEMBERS = 256                # members of a centre that are verified in a row
 
