@@ -123,7 +123,7 @@ def serve(spark: SparkSession, landing: str, tables: str, out: str, available_no
                 .trigger(**trigger)
                 .foreachBatch(sinks.table_upsert_writer(tables, pats0, meas0, acks=f"{out}/acks"))
                 .start())
-    feats = state.history_stream(ingest.parsed_stream(spark, landing), pats0)
+    feats = state.history_stream(ingest.parsed_stream(spark, landing), pats0, meas0)
     q2 = (feats.writeStream.option("checkpointLocation", os.path.join(ck, "serve-alerts"))
                .trigger(**trigger).foreachBatch(sinks.alert_writer(f"{out}/alerts")).start())
     return q1, q2
@@ -157,7 +157,8 @@ def main(argv=None) -> None:
     a = ap.parse_args(argv)
     spark = get_session(app=f"renalyze-{a.cmd}")
     if a.checkpoint and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", a.checkpoint)
+        spark.stop()                                   # a static setting: needs a session built with it
+        spark = get_session(app=f"renalyze-{a.cmd}", extra={"spark.checkpoint.dir": a.checkpoint})
     if a.cmd == "serve":
         for q in serve(spark, a.landing, a.tables, a.out, a.available_now):
             q.awaitTermination()

@@ -128,7 +128,8 @@ def alert_writer(root: str, dedupe: bool = True, scorer=None):
         scored = score(features).withColumn(
             "alert_time", F.date_format("creatinine_date", "yyyyMMddHHmmss"))
         out = scoring.alert_outbox(scored, "alert_time", dedupe=dedupe)
-        out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+        out.write.mode("overwrite").parquet(f"{root}/batch={batch_id}-{query[:8]}")     # batch ids restart with a new checkpoint
     return write
 
 

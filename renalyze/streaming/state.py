@@ -279,6 +279,14 @@ class PatientHistory(StatefulProcessor):
         if rp.out["status"]:
             yield _frame(key[0], rp.out)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Stored readings of one patient, in one or several parts."""
+        rp = Replay(self.state.get() if self.state.exists() else None)
+        vals = initialState["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)
+        for date, value in zip(initialState["creatinine_date"], vals):
+            rp.hist.upsert(pd.Timestamp(date).to_pydatetime(), None if value != value else float(value))
+        self.state.update(rp.state())
+
     def close(self) -> None:
         pass
 
@@ -313,12 +321,19 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
                 .withColumn("base_known", F.coalesce(F.col("base_known"), F.lit(False))))
 
 
-def history_stream(parsed: DataFrame, patients: DataFrame) -> DataFrame:
-    """T4: features per result message from per-patient state."""
+def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None) -> DataFrame:
+    """T4: features per result message from per-patient state.
+
+    ``measurements`` are the readings stored before the stream starts: they
+    begin each patient's state (read by the query's first batch only; a
+    restart continues from its checkpoint)."""
     inputs = keyed_inputs(parsed, patients)
+    stored = None
+    if measurements is not None:
+        stored = measurements.where("creatinine_date is not null").select("mrn", "creatinine_date", "creatinine_result").groupBy("mrn")
     return inputs.groupBy("mrn").transformWithStateInPandas(
         statefulProcessor=PatientHistory(), outputStructType=OUTPUT_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="None", initialState=stored)
 
 
 def _replay(batches):
