@@ -220,13 +220,11 @@ def _texts_of(used: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.select("t1", "t2", "text").join(ids, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
     """The (a, b) pairs of nodes whose whole texts are similar enough."""
     runs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("r"))
                         .join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
                         .select("a", "b", (F.col("r") % F.ceil(F.col("n") / RUN_MEMBERS)).alias("run")), "near-pairs")
-    used = runs.select(F.col("b").alias("node")).unionByName(runs.select(F.col("a").alias("node"))).distinct()
-    text = written(_texts_of(used, nodes, texts), "near-texts")
     members = runs.select("a", "run", F.lit(1).alias("role"), "b", F.col("b").alias("node"))
     heads = runs.select("a", "run").distinct().select("a", "run", F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a").alias("node"))
     rows = members.unionByName(heads).join(text, "node").select("a", "run", "role", "b", "text")
@@ -367,13 +365,13 @@ def _open_cells(members: DataFrame, nodes: DataFrame, labels: DataFrame, long_on
     return plain.unionByName(cells[0]).unionByName(cells[1])
 
 
-def proposed(members: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+def proposed(members: DataFrame, nodes: DataFrame, text: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
     """(a, b, sure): links found in the cells, and pairs to verify."""
     cells = written(_open_cells(members, nodes, labels, every), "near-cells")
     load = cells.select("node", "long").distinct()
     minis = nodes.select("node", "mini")
     if not every:
-        short = _texts_of(load.where("not long").select("node"), nodes, texts)
+        short = text.join(load.where("not long").select("node"), "node", "left_semi")
         minis = minis.join(short.mapInArrow(_elements, "node bigint, elements binary, weights binary"), "node", "left")
         minis = minis.join(load.select("node"), "node", "left_semi")
     loaded = cells.join(written(minis, "near-minis") if not every else minis, "node")
@@ -386,15 +384,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows, nodes = text_nodes(docs)
     members = bucket_rows(nodes)
     tried = written(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
-    links = written(verified(tried, nodes, texts), "near-links")
+    # only these rows' texts are moved: every later round's pairs are of them
+    text = written(_texts_of(members.select("node").distinct(), nodes, texts), "near-texts")
+    links = written(verified(tried, text), "near-links")
     labels = contracted(links, "near-0")
     # first all short texts, and the best partners of long ones; then every candidate left of the long ones
     for name, every in (("best", False), ("rest", True)):
-        found = written(proposed(members, nodes, texts, labels, every), f"near-proposed-{name}")
+        found = written(proposed(members, nodes, text, labels, every), f"near-proposed-{name}")
         sure = found.where("sure").select("a", "b")
         fresh = written(found.where("not sure").select("a", "b").join(tried, ["a", "b"], "left_anti"), f"near-fresh-{name}")
         if not fresh.isEmpty():
-            sure = sure.unionByName(verified(fresh, nodes, texts))
+            sure = sure.unionByName(verified(fresh, text))
             tried = tried.unionByName(fresh)
         sure = written(sure, f"near-found-{name}")
         if not sure.isEmpty():
