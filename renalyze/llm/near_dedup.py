@@ -7,7 +7,8 @@ hits a random register, and a register keeps the element that reached it
 first.  Two registers agree with the sets' probability Jaccard.  Arrivals are
 drawn round by round over all elements of a batch, and an element stops as soon
 as its next arrival lies behind its document's latest register, so most
-stop after one.
+stop after one.  A text with repeated shingles has a second set of registers, drawn
+with weights of 1: these agree with plain Jaccard.  For the others both sets are the same.
 
 Registers form bands.  Documents that agree in a band form a bucket; a bucket
 proposes its members against its centre (smallest number), so a bucket of any size
@@ -15,7 +16,7 @@ costs one pair a member.  Pairs are verified on whole texts: probability
 Jaccard, or plain Jaccard, of at least SIMILARITY.  Links are contracted to
 classes.  Then members that ended in another class than others of their bucket
 are compared within the bucket, each pair only in the first band it shares: by
-registers first, and short texts (to ``EXACT_SHINGLES``) at once by all their shingles.  A
+registers first (of either set), and short texts (to ``EXACT_SHINGLES``) at once by all their shingles.  A
 cell returns at most one link a class it joins, never its pairs.  Of long texts, the best
 partner in every other class is verified on whole texts, and after contraction every candidate
 that still lies in another class, so no candidate between two final classes is left out.
@@ -49,7 +50,7 @@ SIMILARITY = 0.8
 EXACT_SHINGLES = 1024            # texts of no more shingles are compared within a cell, by all their shingles
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
-LEAST_AGREEMENT = 0.65           # of registers, for a pair to be verified after the first round (0.8 less 4.7 deviations)
+LEAST_AGREEMENT = 0.65           # of registers of either set, for a pair to be verified after the first round (0.8 less 4.7 deviations)
 BUCKET_ROWS = 4000               # a larger bucket is parted by its members' later bands
 PART_ROWS = 4000                 # and such a part is compared in blocks of as many
 RUN_MEMBERS = 256                # members of a centre that are verified in a row
@@ -153,14 +154,26 @@ def _sign(limit: int):
             sig = signatures(doc, element, weight, len(texts))
             some = sig.any(1).tolist()
             long = np.bincount(doc, minlength=len(texts)) > limit
-            packed = [row.astype("<u4").tobytes() if s else b"" for row, s in zip(sig, some)]     # 32 bits of each element
-            mini = np.concatenate([sig.astype(np.uint8), band_codes(sig).view(np.uint8)], 1)
+            packed, mini = _packed(sig)
+            packed = [row if s else b"" for row, s in zip(packed, some)]
+            again = np.bincount(doc, weight != 1, len(texts)) > 0                    # texts with repeated shingles
+            if again.any():
+                own = again[doc]
+                plain = signatures((np.cumsum(again) - 1)[doc[own]], element[own], np.ones(own.sum()), int(again.sum()))
+                for k, x, y in zip(np.flatnonzero(again).tolist(), *_packed(plain)):
+                    packed[k], mini[k] = packed[k] + x, mini[k] + y
             yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(packed, pa.binary()),
-                                   pa.array([row.tobytes() for row in mini], pa.binary()), pa.array(long)],
+                                   pa.array(mini, pa.binary()), pa.array(long)],
                                   names=["t1", "t2", "sig", "mini", "long"])
     return run
 
 
+def _packed(sig: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """32 bits of each register, and 8 bits of each with the band codes."""
+    mini = np.concatenate([sig.astype(np.uint8), band_codes(sig).view(np.uint8)], 1)
+    return [row.tobytes() for row in sig.astype("<u4")], [row.tobytes() for row in mini]
+
+
 def band_codes(sig: np.ndarray) -> np.ndarray:
     """(n, BANDS) 16-bit codes of the bands of 32-bit registers."""
     parts = (sig & np.uint64(0xFFFFFFFF)).reshape(len(sig), BANDS, ROWS)
@@ -172,7 +185,8 @@ def band_codes(sig: np.ndarray) -> np.ndarray:
 
 def text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, sig, mini,
-    long) one a distinct text.  ``mini`` has 8 bits of each register, then the band codes."""
+    long) one a distinct text.  ``mini`` has 8 bits of each register, then the band codes.
+    Texts with repeated shingles have ``sig`` and ``mini`` of their plain registers behind."""
     texts = _texts(docs)
     rows = written(texts.select("doc_id", "t1", "t2"), "near-rows")
     signed = texts.mapInArrow(_sign(EXACT_SHINGLES), "t1 bigint, t2 bigint, sig binary, mini binary, long boolean")
@@ -181,10 +195,14 @@ def text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, node, long, bucket): one row a band of each node that has shingles."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    each = nodes.where(F.octet_length("sig") > 0).select("node", "long", "sig", band)
-    return each.select("band", "node", "long", F.xxhash64("band", F.substring("sig", F.col("band") * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket"))
+    """(band, node, long, bucket): one row a band of each node that has shingles, and
+    one a band of its plain registers that differs."""
+    place = F.explode(F.sequence(F.lit(0), (F.octet_length("sig") / (4 * ROWS)).cast("int") - 1)).alias("place")
+    each = nodes.where(F.octet_length("sig") > 0).select("node", "long", "sig", place)
+    registers = lambda k: F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))
+    each = each.where((F.col("place") < BANDS) | (registers(F.col("place")) != registers(F.col("place") - BANDS)))
+    each = each.select((F.col("place") % BANDS).alias("band"), "node", "long", registers(F.col("place")).alias("registers"))
+    return each.select("band", "node", "long", F.xxhash64("band", "registers").alias("bucket"))
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
@@ -280,6 +298,14 @@ def _similar(k: int, others: np.ndarray, own: list, code: list, weight: list, se
     return others[hit]
 
 
+def _register_sets(minis: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(registers, band codes) of some nodes, and those of plain registers if any node has its own."""
+    size = REGISTERS + 2 * BANDS
+    ends = [slice(0, size), slice(-size, None)] if any(len(x) > size for x in minis) else [slice(0, size)]
+    sets = [np.frombuffer(b"".join(x[e] for x in minis), np.uint8).reshape(len(minis), size) for e in ends]
+    return [(x[:, :REGISTERS], np.ascontiguousarray(x[:, REGISTERS:]).view("<u2")) for x in sets]
+
+
 def _partners(every: bool):
     """A function of one cell: links between short texts, compared here by their
     shingles, and pairs to verify for the long ones (the best partner in every other
@@ -287,8 +313,7 @@ def _partners(every: bool):
     others, each pair where its first shared bands are the cell's."""
     def run(t: pa.Table) -> pa.Table:
         node, long, opened = (t[c].to_numpy(zero_copy_only=False) for c in ("node", "long", "open"))
-        mini = np.frombuffer(b"".join(t["mini"].to_pylist()), np.uint8).reshape(len(node), -1)
-        registers, codes = mini[:, :REGISTERS], np.ascontiguousarray(mini[:, REGISTERS:]).view("<u2")
+        sets = _register_sets(t["mini"].to_pylist())
         wanted = [x for x in (t["band"][0].as_py(), t["later"][0].as_py()) if x >= 0]
         of = np.unique(t["root"].to_numpy(), return_inverse=True)[1]
         left, right = t["left"].to_numpy(zero_copy_only=False), np.flatnonzero(t["right"].to_numpy(zero_copy_only=False))
@@ -306,10 +331,10 @@ def _partners(every: bool):
             others = right[(of[right] != of[k]) & (~opened[right] | (node[right] > node[k]))]
             if every and not long[k]:
                 others = others[long[others]]
-            equal = np.count_nonzero(registers[others] == registers[k], axis=1)
+            equal = np.max([np.count_nonzero(r[others] == r[k], axis=1) for r, _ in sets], axis=0)
             near = equal >= LEAST_AGREEMENT * REGISTERS
             others, equal = others[near], equal[near]
-            bands = codes[others] == codes[k]
+            bands = np.any([c[others] == c[k] for _, c in sets], axis=0)
             rank = np.cumsum(bands, 1)
             here = np.all([bands[:, x] & (rank[:, x] == i + 1) for i, x in enumerate(wanted)], axis=0)
             others, equal = others[here], equal[here]

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from renalyze.llm import (bpe, exact_dedup, fingerprint, langid, line_dedup, near_dedup, packing, quality,
@@ -233,3 +234,34 @@ def test_near_classes_of_large_buckets(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "BUCKET_ROWS", bucket)
         monkeypatch.setattr(near_dedup, "PART_ROWS", part)
         assert {r.doc_id: r.class_id for r in near_dedup.near_digest(docs).collect()} == dict(enumerate(root))
+
+
+def test_near_classes_of_unequal_repeats(spark):
+    """Texts of the same shingles that repeat unequally are near by plain Jaccard alone."""
+    rng = random.Random(8)
+    texts, sets = [], []
+    for _ in range(6):
+        a, b = words(rng, 150, 10**6), words(rng, 150, 10**6)
+        texts += [" ".join([a] * 200 + [b]), " ".join([a] + [b] * 200)]
+    sets = [near_dedup.shingles([t])[1:] for t in texts]
+    for k in range(0, 12, 2):
+        p, plain = near_dedup.jaccards(*sets[k], *sets[k + 1])
+        assert p < 0.35 and plain > 0.9
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_digest(docs).collect()} == {k: k // 2 * 2 for k in range(12)}
+
+
+def test_near_cell_of_unequal_repeats():
+    """Inside a cell too, where the centre is not one of the two."""
+    rng = random.Random(9)
+    parts = [words(rng, 100, 10**6) for _ in range(3)]
+    texts = [" ".join(parts), " ".join([parts[0]] * 100 + parts[1:])]
+    got = next(near_dedup._sign(near_dedup.EXACT_SHINGLES)([pa.record_batch({"t1": pa.array([1, 2]), "t2": pa.array([1, 2]), "text": pa.array(texts)})]))
+    own = next(near_dedup._elements([pa.record_batch({"node": pa.array([1, 2]), "text": pa.array(texts)})]))
+    linked = set()
+    for band in range(near_dedup.BANDS):
+        fixed = {"band": band, "later": -1, "left": True, "right": True, "open": True, "whole": True}
+        cell = pa.table({"node": [1, 2], "root": [1, 2], "long": got["long"], "mini": got["mini"],
+                         "elements": own["elements"], "weights": own["weights"], **{c: [v, v] for c, v in fixed.items()}})
+        linked |= {tuple(r.values()) for r in near_dedup._partners(False)(cell).to_pylist()}
+    assert linked == {(1, 2, True)}
