@@ -50,6 +50,7 @@ SIMILARITY = 0.8
 EXACT_SHINGLES = 1024            # texts of no more shingles are compared within a cell, by all their shingles
 BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
+BAND_BYTES = ROWS + 2            # of a band in a node's mini: 8 bits a register, and a 16-bit code
 LEAST_AGREEMENT = 0.65           # of registers of either set, for a pair to be verified after the first round (0.8 less 4.7 deviations)
 BUCKET_ROWS = 4000               # a larger bucket is parted by its members' later bands
 PART_ROWS = 4000                 # and such a part is compared in blocks of as many
@@ -154,24 +155,23 @@ def _sign(limit: int):
             sig = signatures(doc, element, weight, len(texts))
             some = sig.any(1).tolist()
             long = np.bincount(doc, minlength=len(texts)) > limit
-            packed, mini = _packed(sig)
-            packed = [row if s else b"" for row, s in zip(packed, some)]
+            mini = [row if s else b"" for row, s in zip(_packed(sig), some)]
             again = np.bincount(doc, weight != 1, len(texts)) > 0                    # texts with repeated shingles
             if again.any():
                 own = again[doc]
                 plain = signatures((np.cumsum(again) - 1)[doc[own]], element[own], np.ones(own.sum()), int(again.sum()))
-                for k, x, y in zip(np.flatnonzero(again).tolist(), *_packed(plain)):
-                    packed[k], mini[k] = packed[k] + x, mini[k] + y
-            yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(packed, pa.binary()),
-                                   pa.array(mini, pa.binary()), pa.array(long)],
-                                  names=["t1", "t2", "sig", "mini", "long"])
+                for k, x in zip(np.flatnonzero(again).tolist(), _packed(plain)):
+                    mini[k] += x
+            yield pa.record_batch([b.column("t1"), b.column("t2"), pa.array(mini, pa.binary()), pa.array(long)],
+                                  names=["t1", "t2", "mini", "long"])
     return run
 
 
-def _packed(sig: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """32 bits of each register, and 8 bits of each with the band codes."""
-    mini = np.concatenate([sig.astype(np.uint8), band_codes(sig).view(np.uint8)], 1)
-    return [row.tobytes() for row in sig.astype("<u4")], [row.tobytes() for row in mini]
+def _packed(sig: np.ndarray) -> list[bytes]:
+    """8 bits of each register, band by band: a band is its registers' bits and its code."""
+    bits = sig.astype(np.uint8).reshape(len(sig), BANDS, ROWS)
+    codes = band_codes(sig).view(np.uint8).reshape(len(sig), BANDS, 2)
+    return [row.tobytes() for row in np.concatenate([bits, codes], 2)]
 
 
 def band_codes(sig: np.ndarray) -> np.ndarray:
@@ -184,25 +184,26 @@ def band_codes(sig: np.ndarray) -> np.ndarray:
 
 
 def text_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, sig, mini,
-    long) one a distinct text.  ``mini`` has 8 bits of each register, then the band codes.
-    Texts with repeated shingles have ``sig`` and ``mini`` of their plain registers behind."""
+    """(rows, nodes): rows(doc_id, t1, t2) one a row; nodes(node, t1, t2, mini, long)
+    one a distinct text.  ``mini`` has 8 bits of each register and the band codes, BAND_BYTES a band;
+    texts with repeated shingles have those of their plain registers behind."""
     texts = _texts(docs)
     rows = written(texts.select("doc_id", "t1", "t2"), "near-rows")
-    signed = texts.mapInArrow(_sign(EXACT_SHINGLES), "t1 bigint, t2 bigint, sig binary, mini binary, long boolean")
-    nodes = signed.groupBy("t1", "t2").agg(*[F.first(c).alias(c) for c in ("sig", "mini", "long")])
+    signed = texts.mapInArrow(_sign(EXACT_SHINGLES), "t1 bigint, t2 bigint, mini binary, long boolean")
+    nodes = signed.groupBy("t1", "t2").agg(*[F.first(c).alias(c) for c in ("mini", "long")])
     return rows, written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
     """(band, node, long, bucket): one row a band of each node that has shingles, and
-    one a band of its plain registers that differs."""
-    place = F.explode(F.sequence(F.lit(0), (F.octet_length("sig") / (4 * ROWS)).cast("int") - 1)).alias("place")
-    each = nodes.where(F.octet_length("sig") > 0).select("node", "long", "sig", place)
-    registers = lambda k: F.substring("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))
-    each = each.where((F.col("place") < BANDS) | (registers(F.col("place")) != registers(F.col("place") - BANDS)))
-    each = each.select((F.col("place") % BANDS).alias("band"), "node", "long", registers(F.col("place")).alias("registers"))
-    return each.select("band", "node", "long", F.xxhash64("band", "registers").alias("bucket"))
+    one a band of its plain registers that differs.  A bucket is named by the very bytes by
+    which cells tell whether two nodes share a band."""
+    place = F.explode(F.sequence(F.lit(0), (F.octet_length("mini") / BAND_BYTES).cast("int") - 1)).alias("place")
+    each = nodes.where(F.octet_length("mini") > 0).select("node", "long", "mini", place)
+    key = lambda k: F.substring("mini", k * BAND_BYTES + 1, F.lit(BAND_BYTES))
+    each = each.where((F.col("place") < BANDS) | (key(F.col("place")) != key(F.col("place") - BANDS)))
+    each = each.select((F.col("place") % BANDS).alias("band"), "node", "long", key(F.col("place")).alias("key"))
+    return each.select("band", "node", "long", F.xxhash64("band", "key").alias("bucket"))
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
@@ -299,11 +300,12 @@ def _similar(k: int, others: np.ndarray, own: list, code: list, weight: list, se
 
 
 def _register_sets(minis: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(registers, band codes) of some nodes, and those of plain registers if any node has its own."""
-    size = REGISTERS + 2 * BANDS
+    """(registers, band keys) of some nodes, and those of plain registers if any node has its own."""
+    size = BANDS * BAND_BYTES
     ends = [slice(0, size), slice(-size, None)] if any(len(x) > size for x in minis) else [slice(0, size)]
-    sets = [np.frombuffer(b"".join(x[e] for x in minis), np.uint8).reshape(len(minis), size) for e in ends]
-    return [(x[:, :REGISTERS], np.ascontiguousarray(x[:, REGISTERS:]).view("<u2")) for x in sets]
+    sets = [np.frombuffer(b"".join(x[e] for x in minis), np.uint8).reshape(len(minis), BANDS, BAND_BYTES) for e in ends]
+    whole = [np.concatenate([x, np.zeros((len(minis), BANDS, 8 - BAND_BYTES), np.uint8)], 2).view("<u8")[:, :, 0] for x in sets]
+    return [(np.ascontiguousarray(x[:, :, :ROWS]).reshape(len(minis), REGISTERS), key) for x, key in zip(sets, whole)]
 
 
 def _partners(every: bool):

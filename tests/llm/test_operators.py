@@ -265,3 +265,21 @@ def test_near_cell_of_unequal_repeats():
                          "elements": own["elements"], "weights": own["weights"], **{c: [v, v] for c, v in fixed.items()}})
         linked |= {tuple(r.values()) for r in near_dedup._partners(False)(cell).to_pylist()}
     assert linked == {(1, 2, True)}
+
+
+def test_near_bands_shared_are_buckets_shared(spark):
+    """A cell sees two nodes share a band exactly where they share its bucket, codes that match by chance included."""
+    rng = np.random.default_rng(3)
+    sig = rng.integers(1, 1 << 60, (2, near_dedup.REGISTERS), np.uint64)
+    sig[1, 80:] = sig[0, 80:]                                  # bands 20 and on are shared
+    first = np.repeat(sig[:1], 1 << 18, 0)
+    first[:, 3] = rng.integers(1, 1 << 60, len(first), np.uint64)
+    codes = near_dedup.band_codes(first)[:, 0]
+    sig[0, :4] = first[np.flatnonzero(codes == near_dedup.band_codes(sig)[1, 0])[0], :4]
+    minis = near_dedup._packed(sig)
+    _, keys = near_dedup._register_sets(minis)[0]
+    nodes = spark.createDataFrame([(0, False, minis[0]), (1, False, minis[1])], "node bigint, long boolean, mini binary")
+    rows = near_dedup._bands(nodes).collect()
+    buckets = [{r.band: r.bucket for r in rows if r.node == k} for k in (0, 1)]
+    met = [buckets[0][b] == buckets[1][b] for b in range(near_dedup.BANDS)]
+    assert (keys[0] == keys[1]).tolist() == met == [b >= 20 for b in range(near_dedup.BANDS)]
