@@ -79,6 +79,21 @@ def pivot_history(measurements: DataFrame, width: int, date_format: str | None =
     return out
 
 
+def pad_history(measurements: DataFrame, width: int = PAD_WIDTH) -> DataFrame:
+    """R3 on the long form: (mrn, slot, creatinine_date, creatinine_result,
+    padded), each patient with fewer than ``width`` readings filled up to it
+    with slots of result 0 and no date; no reading is dropped and the columns
+    do not depend on the longest history."""
+    s = slot_index(measurements).select("mrn", F.col("slot").cast("int").alias("slot"), "creatinine_date",
+                                        F.col("creatinine_result").cast("double").alias("creatinine_result"),
+                                        F.lit(False).alias("padded"))
+    short = measurements.groupBy("mrn").agg(F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n") < width)
+    added = short.select("mrn", F.explode(F.sequence("n", F.lit(width - 1))).alias("slot"),
+                         F.lit(None).cast(s.schema["creatinine_date"].dataType).alias("creatinine_date"),
+                         F.lit(0.0).alias("creatinine_result"), F.lit(True).alias("padded"))
+    return s.unionByName(added)
+
+
 def pad_wide(wide: DataFrame, width: int = PAD_WIDTH) -> DataFrame:
     """Add slots up to ``width`` filled with 0.
 

@@ -196,6 +196,22 @@ def q_pad(spark, sf):
          .alias("result_sum"))
 
 
+@query("pad_to_50_all", f"""
+WITH {S.MEASUREMENTS}
+SELECT mrn, CAST(greatest(50, count(*)) AS INTEGER) AS n_slots, CAST(greatest(50 - count(*), 0) AS INTEGER) AS n_padded,
+       CAST(greatest(50 - count(*), 0) + count(*) FILTER (WHERE creatinine_result = 0) AS INTEGER) AS n_zero,
+       round(sum(creatinine_result), 6) AS result_sum
+FROM measurements_b GROUP BY mrn""")
+def q_pad_all(spark, sf):
+    """R3 over every reading, in long form: patients with fewer than 50 readings
+    are filled up to 50 slots, the others keep all of theirs."""
+    padded = R.pad_history(_meas(spark, sf))
+    return padded.groupBy("mrn").agg(
+        (F.max("slot") + 1).cast("int").alias("n_slots"), F.count_if("padded").cast("int").alias("n_padded"),
+        F.count_if(F.col("creatinine_result") == 0).cast("int").alias("n_zero"),
+        F.round(F.sum(F.when(~F.col("padded"), F.col("creatinine_result"))), 6).alias("result_sum"))
+
+
 _TRAIN = f"""{S.MEASUREMENTS},
 cnt AS (SELECT mrn, count(*) AS c FROM measurements_b GROUP BY mrn),
 k AS (SELECT max(c) AS kk FROM cnt),

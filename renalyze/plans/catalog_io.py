@@ -136,6 +136,37 @@ def q_bulk_load_patients(spark, sf):
     return _bulk_load(spark, sf)[0]
 
 
+def _bulk_load_all(spark, sf):
+    """Every reading as a long history CSV (its width does not depend on the
+    longest history) -> Patients + Measurements, behind the same gate."""
+    m = _meas(spark, sf)
+    path = scratch_path(spark, "history_long_csv")
+    files.write_csv(m.select("mrn", F.col("creatinine_date").alias("measurement_date"),
+                             F.col("creatinine_result").alias("measurement_value")), path)
+    back = files.scan_measurements_csv(spark, path)
+    empty = {"patients": spark.createDataFrame([], PATIENTS), "measurements": spark.createDataFrame([], MEASUREMENTS)}
+    long = back.select("mrn", F.col("measurement_date").alias("creatinine_date"),
+                       F.col("measurement_value").alias("creatinine_result"), F.lit(0).cast("bigint").alias("arrival"))
+    new_p = back.select("mrn", F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"),
+                        F.lit(0).cast("bigint").alias("arrival")).distinct()
+    pats = store.upsert_patients(empty["patients"], store.load_gate(new_p, empty))
+    meas = store.upsert_measurements(empty["measurements"], store.load_gate(long.where("creatinine_date IS NOT NULL"), empty))
+    return pats, meas
+
+
+@query("bulk_load_history_all", f"""
+WITH {S.MEASUREMENTS} SELECT mrn, creatinine_date, creatinine_result FROM measurements_b""")
+def q_bulk_load_all(spark, sf):
+    return _bulk_load_all(spark, sf)[1]
+
+
+@query("bulk_load_patients_all", f"""
+WITH {S.MEASUREMENTS}
+SELECT DISTINCT mrn, CAST(NULL AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS sex FROM measurements_b""")
+def q_bulk_load_patients_all(spark, sf):
+    return _bulk_load_all(spark, sf)[0]
+
+
 @query("sink_predictions", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'y' ELSE 'n' END AS aki FROM labels")
 def q_sink_predictions(spark, sf):
     path = scratch_path(spark, "predictions_csv")
