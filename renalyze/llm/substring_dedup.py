@@ -39,6 +39,7 @@ from .common import partitions
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
 CHUNK_BYTES = 6 << 20
+BUCKET_BYTES = 16 << 20          # of text whose hashes share a bucket: a group does not grow with the input
 MOST_BUCKETS = 1 << 24           # so that bucket and hash fit one 64-bit number
 HASH_BITS = 30                   # of a packed anchor hash; its bucket adds to them
 _LOW = np.uint64((1 << HASH_BITS) - 1)
@@ -271,14 +272,18 @@ def repeated_words(c: ChunkWords, ids: np.ndarray, known: np.ndarray, told: list
     return np.cumsum(cover)[:c.n] > 0
 
 
+def _counts(n: int, size: int) -> tuple[int, int]:
+    """Numbers of chunks and of hash buckets for ``size`` bytes of text on ``n`` partitions."""
+    return max(n, size // CHUNK_BYTES + 1), min(max(4 * n, size // BUCKET_BYTES + 1), MOST_BUCKETS)
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with text replaced by the kept words joined by one space, and
     n_words, n_removed, n_repeats (maximal repeats removed) added."""
     add = ["n_words", "n_removed", "n_repeats", "_chunk"]
     base = docs.drop(*[c for c in docs.columns if c in add])
-    n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_chunks, n_buckets = max(n, int(size) // CHUNK_BYTES + 1), min(4 * n, MOST_BUCKETS)
+    n_chunks, n_buckets = _counts(partitions(docs.sparkSession), int(size))
     dealt = base.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)))
     probes = dealt.groupBy("_chunk").applyInArrow(_probe(n_buckets), _ROWS)
     hits = probes.groupBy("bucket").applyInArrow(_match, _ROWS)

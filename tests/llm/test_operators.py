@@ -283,3 +283,13 @@ def test_near_bands_shared_are_buckets_shared(spark):
     buckets = [{r.band: r.bucket for r in rows if r.node == k} for k in (0, 1)]
     met = [buckets[0][b] == buckets[1][b] for b in range(near_dedup.BANDS)]
     assert (keys[0] == keys[1]).tolist() == met == [b >= 20 for b in range(near_dedup.BANDS)]
+
+
+def test_substring_buckets_grow_with_the_text(docs, monkeypatch):
+    """At a fixed number of partitions the text behind a bucket stays bounded, with the same results."""
+    for gb in (1, 30, 1000):
+        size = gb << 30
+        assert size / substring_dedup._counts(8, size)[1] <= substring_dedup.BUCKET_BYTES
+    want = sorted(map(str, substring_dedup.substring_digest(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 300)
+    assert sorted(map(str, substring_dedup.substring_digest(docs).collect())) == want
