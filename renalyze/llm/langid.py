@@ -11,7 +11,8 @@ A chain is a run of at most ``CHAIN`` words of one document.  Chains of a
 batch are stacked, so each forward or backward step is one small matrix
 product over all of them; label scores are computed once for each distinct
 token of a batch.  It is fitted by full-batch AdaGrad on a
-bounded sample (``MAX_TRAIN`` documents; every word carries its document's lang).
+bounded sample (``MAX_TRAIN`` documents, shared out by lang so that a rare one is
+learned too; every word carries its document's lang).
 
 Defined cases: null text or text without a letter is ``und`` with score 0; a
 document with null lang or doc_id is never learned from; without training
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_rest
-from .learning import collect_features, labelled_sample, segments
+from .learning import collect_features, sample_of_each, segments
 
 MAX_TRAIN = 800                  # documents used for fitting, at most
 BITS = 16
@@ -160,7 +161,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
     keys = (docs.where((crc_rest(F.col("doc_id"), 5, 0) != 0) & F.col("text").isNotNull())
                 .select("doc_id", F.col("lang").alias("label")))
     pack = lambda t: " ".join(w for w in map(letters_of, t.split()) if w).encode()
-    rows = collect_features(labelled_sample(keys, docs, max_train), pack)
+    rows = collect_features(sample_of_each(keys, docs, max_train), pack)
     langs = sorted({y for y, _ in rows})
     return fit(langs, [x.decode().split() for _, x in rows], [langs.index(y) for y, _ in rows])
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 TABLE_WORDS = 300_000            # words kept a worker; speed only
 
 
@@ -35,6 +37,30 @@ def labelled_sample(keys: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
                 .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"))
 
 
+def shares(counts: dict, bound: int) -> dict:
+    """How many rows of each label to take, about ``bound`` in all: equal
+    shares, and what a small label leaves goes to the larger ones.  None gets 0."""
+    out, left = {}, bound
+    for k, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[label]
+    return out
+
+
+def sample_of_each(keys: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
+    """(doc_id, label, text) of about ``bound`` of the (doc_id, label) rows in
+    ``keys``: of each label its share, those with the smallest hash of their
+    id.  A task hands on at most ``bound`` rows a label, whatever a label's size."""
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = written(keys.where("doc_id IS NOT NULL AND label IS NOT NULL").withColumn("rank", F.row_number().over(order))
+                         .where(F.col("rank") <= bound), "sample-ranked")
+    taken = shares({r.label: r["count"] for r in ranked.groupBy("label").count().collect()}, bound)
+    wanted = docs.sparkSession.createDataFrame(list(taken.items()), f"label {keys.schema['label'].dataType.simpleString()}, share int")
+    chosen = ranked.join(F.broadcast(wanted), "label").where("rank <= share").select("doc_id", "label")
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+                .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"))
+
+
 def collect_features(sample: DataFrame, features: Callable[[str], bytes]) -> list[tuple]:
     """[(label, features of the text)] on the driver, in a fixed order."""
     label = sample.schema["label"].dataType.simpleString()

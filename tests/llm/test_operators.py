@@ -293,3 +293,17 @@ def test_substring_buckets_grow_with_the_text(docs, monkeypatch):
     want = sorted(map(str, substring_dedup.substring_digest(docs).collect()))
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 300)
     assert sorted(map(str, substring_dedup.substring_digest(docs).collect())) == want
+
+
+def test_rare_language_is_learned(spark):
+    """Four documents of 2,000 are enough to be in the sample, and a hot language leaves the others their share."""
+    from renalyze.llm import learning
+    rng = random.Random(6)
+    rows = [(k, words(rng, 12) if k % 500 else "zorb quix vlar " * 4, "en" if k % 500 else "xx", None, None) for k in range(1, 2001)]
+    rows += [(k, "rare text", "yy", None, None) for k in range(3000, 3150)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sample = learning.sample_of_each(docs.select("doc_id", docs.lang.alias("label")), docs, 40)
+    assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {"xx": 4, "yy": 18, "en": 18}
+    assert learning.shares({"a": 1000, "b": 3, "c": 5}, 100) == {"b": 3, "c": 5, "a": 92}
+    assert learning.shares({"a": 9, "b": 9, "c": 9}, 2) == {"a": 1, "b": 1, "c": 1}
+    assert "xx" in langid.train(docs, 40).langs
