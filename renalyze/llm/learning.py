@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 TABLE_WORDS = 300_000            # words kept a worker; speed only
 
 
@@ -50,13 +48,19 @@ def shares(counts: dict, bound: int) -> dict:
 def sample_of_each(keys: DataFrame, docs: DataFrame, bound: int) -> DataFrame:
     """(doc_id, label, text) of about ``bound`` of the (doc_id, label) rows in
     ``keys``: of each label its share, those with the smallest hash of their
-    id.  A task hands on at most ``bound`` rows a label, whatever a label's size."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = written(keys.where("doc_id IS NOT NULL AND label IS NOT NULL").withColumn("rank", F.row_number().over(order))
-                         .where(F.col("rank") <= bound), "sample-ranked")
-    taken = shares({r.label: r["count"] for r in ranked.groupBy("label").count().collect()}, bound)
-    wanted = docs.sparkSession.createDataFrame(list(taken.items()), f"label {keys.schema['label'].dataType.simpleString()}, share int")
-    chosen = ranked.join(F.broadcast(wanted), "label").where("rank <= share").select("doc_id", "label")
+    id.  Counts a range of hashes tell how far each label has to be read, so
+    only about that many rows a label are sorted, whatever a label's size."""
+    keys = (keys.where("doc_id IS NOT NULL AND label IS NOT NULL")
+                .withColumns({"hash": F.xxhash64("doc_id"), "range": F.shiftright(F.xxhash64("doc_id"), 52)}))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("range")) - F.col("n")
+    ranges = keys.groupBy("label", "range").agg(F.count("*").alias("n")).withColumn("before", before)
+    last = ranges.where(F.col("before") < bound).groupBy("label").agg(F.max("range").alias("last"), F.sum("n").alias("n")).collect()
+    taken = shares({r.label: min(r.n, bound) for r in last}, bound)
+    wanted = docs.sparkSession.createDataFrame([(r.label, r["last"], taken[r.label]) for r in last],
+                                               f"label {keys.schema['label'].dataType.simpleString()}, last bigint, share int")
+    order = Window.partitionBy("label").orderBy("hash", "doc_id")
+    chosen = (keys.join(F.broadcast(wanted), "label").where("range <= last").withColumn("rank", F.row_number().over(order))
+                  .where((F.col("rank") <= bound) & (F.col("rank") <= F.col("share"))).select("doc_id", "label"))
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
                 .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"))
 
