@@ -21,7 +21,7 @@ cell returns at most one link a class it joins, never its pairs.  Of long texts,
 partner in every other class is verified on whole texts, and after contraction every candidate
 that still lies in another class, so no candidate between two final classes is left out.
 Buckets over ``BUCKET_ROWS`` are first parted by the members' later
-bands, and parts over ``PART_ROWS`` are compared block by block.
+bands, so a pair there needs two shared bands, and parts over ``PART_ROWS`` are compared block by block.
 
 Equal texts are collapsed before anything else (a pre-aggregated group), so a
 group of copies counts as one document and no link between different texts is lost
