@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, exact_dedup, fingerprint, langid, line_dedup, merkle, near_dedup, packing, quality, substring_dedup,
-               toxicity)
+from . import (bpe, exact_dedup, fingerprint, langid, line_dedup, merkle, mixing, near_dedup, packing, quality,
+               substring_dedup, toxicity)
 from .common import documents, table
 
 
@@ -59,6 +59,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_digest(documents(spark, sf_dir))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
     "op11_merkle": op11_merkle,
+    "op13_mixing": op13_mixing,
     "pipeline": pipeline,
 }
 
