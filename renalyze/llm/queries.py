@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, exact_dedup, fingerprint, langid, line_dedup, merkle, mixing, near_dedup, packing, quality,
+from . import (bpe, exact_dedup, fingerprint, langid, lexical, line_dedup, merkle, mixing, near_dedup, packing, quality,
                substring_dedup, toxicity)
 from .common import documents, table
 
@@ -59,6 +59,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_digest(documents(spark, sf_dir))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(documents(spark, sf_dir))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
     "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
     "op13_mixing": op13_mixing,
     "pipeline": pipeline,
 }
@@ -88,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op12_lexical": lexical.ORACLE,
 }
