@@ -317,9 +317,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP_K, shard_blocks: in
     early = written(search_groups(both.where("early").withColumn("floors", none.cast(floor_type)), n_docs, n_words, k), "early-hits")
     beat = (early.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k)
                  .groupBy("batch").agg(F.collect_list(F.struct("slot", F.col("score").alias("beat"))).alias("floors")))
-    later = both.where("NOT early").join(beat, "batch", "left").withColumn(
-        "floors", F.when(F.col("term").isNull(), F.col("floors")))
-    late = search_groups(later, n_docs, n_words, k)
+    # only the blocks' own rows meet the scores to beat: a join of all rows would leave them partitioned by batch alone
+    later = both.where("NOT early")
+    rows = (later.where("term IS NULL").join(beat, "batch", "left")
+                 .unionByName(later.where("term IS NOT NULL").withColumn("floors", none.cast(floor_type))))
+    late = search_groups(rows, n_docs, n_words, k)
     hits = early.unionByName(late).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     items = asked.select("batch", "slot", "item_id").distinct()
     return hits.join(items, ["batch", "slot"]).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
