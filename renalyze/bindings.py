@@ -119,6 +119,18 @@ def hl7_raw(spark: SparkSession, sf_dir: str, delay_mod: int | None = None) -> D
     return e.select(eid.alias("msg_id"), body.alias("raw"), sent.alias("sent_ts"))
 
 
+def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hl7_raw(msg_id, raw): one result message per order, of its customer, at
+    its date with its price; most customers are never admitted by ``hl7_raw``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    t = F.date_format("o_orderdate", "yyyyMMddHHmmss")
+    key = F.col("o_orderkey")
+    raw = F.concat(F.lit("MSH|^~\\&|ARCHIVE|NORTH LAB|||"), t, F.lit("||ORU^R01|ORD"), key.cast("string"), F.lit("|2.5\rPID|1||"),
+                   F.col("o_custkey").cast("string"), F.lit("\rOBR|1||||||"), t, F.lit("\rOBX|1|SN|CREATININE||"),
+                   F.col("o_totalprice").cast("string"))
+    return o.select(key.alias("msg_id"), raw.alias("raw"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, prediction, score): quality is the truth, toxic the
     prediction, documents.n_chars the score (NULL when the doc is absent)."""

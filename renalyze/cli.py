@@ -28,6 +28,7 @@ from .schemas import MEASUREMENTS, PATIENTS
 from .session import checkpoint_root, get_session
 from .sources import files
 from .streaming import ingest, sinks, state
+from .streaming import tables as live
 
 
 # ---------------------------------------------------------------- jobs
@@ -47,15 +48,12 @@ def history_tables(spark: SparkSession, history_csv: str) -> tuple[DataFrame, Da
 
 
 def load_history(spark: SparkSession, history_csv: str, tables: str) -> bool:
-    """Bulk load behind the gate: only when no table version exists yet.
+    """Bulk load behind the gate: only while both tables are empty.
     Returns whether the load ran."""
-    if sinks.latest_version(spark, f"{tables}/measurements") is not None:
+    if live.committed(spark, tables) is not None:
         return False
     pats, meas = history_tables(spark, history_csv)
-    pats.write.mode("overwrite").parquet(f"{tables}/patients/v=0")
-    meas.write.mode("overwrite").parquet(f"{tables}/measurements/v=0")
-    sinks.write_pointer(spark, f"{tables}/patients", 0)
-    sinks.write_pointer(spark, f"{tables}/measurements", 0)
+    live.create(spark, tables, pats, meas)
     return True
 
 
@@ -111,19 +109,16 @@ def serve(spark: SparkSession, landing: str, tables: str, out: str, available_no
     for k, v in state.STATE_CONF.items():
         spark.conf.set(k, v)
     ck = checkpoint_root(spark)
-    v0 = sinks.latest_version(spark, f"{tables}/measurements")
-    if v0 is None:
-        pats0, meas0 = spark.createDataFrame([], PATIENTS), spark.createDataFrame([], MEASUREMENTS)
-    else:
-        pats0 = spark.read.parquet(f"{tables}/patients/v={v0}")
-        meas0 = spark.read.parquet(f"{tables}/measurements/v={v0}")
-    parsed = ingest.parsed_stream(spark, landing)
+    if live.committed(spark, tables) is None:
+        live.create(spark, tables, spark.createDataFrame([], PATIENTS), spark.createDataFrame([], MEASUREMENTS))
+    pats0, meas0 = live.snapshot(spark, tables, "patients"), live.snapshot(spark, tables, "measurements")
+    parsed = ingest.parsed_stream(spark, landing, keep_bad=True)
     trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
     q1 = (parsed.writeStream.option("checkpointLocation", os.path.join(ck, "serve-tables"))
                 .trigger(**trigger)
                 .foreachBatch(sinks.table_upsert_writer(tables, pats0, meas0, acks=f"{out}/acks"))
                 .start())
-    feats = state.history_stream(ingest.parsed_stream(spark, landing), pats0, meas0)
+    feats = state.history_stream(ingest.parsed_stream(spark, landing), pats0, meas0, defer=True)
     q2 = (feats.writeStream.option("checkpointLocation", os.path.join(ck, "serve-alerts"))
                .trigger(**trigger).foreachBatch(sinks.alert_writer(f"{out}/alerts")).start())
     return q1, q2

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hl7
@@ -53,6 +53,34 @@ def patient_feed(parsed: DataFrame) -> DataFrame:
                           "control_id"))
 
 
+def message_mrn() -> Column:
+    """The patient a message is about: PID-3, or that of a result's first OBX."""
+    return F.when(F.col("route") == "results", F.get(F.col("tests"), 0)["mrn"].cast("string")).otherwise(F.col("mrn"))
+
+
+def decided(parsed: DataFrame, patients: DataFrame) -> DataFrame:
+    """Every message of a batch with what becomes of it: ``reason`` is NULL for
+    processed ones, else why it is held back (the parse's reasons, then
+    bad_sex, unknown_patient, bad_date, as in ``apply_messages``).
+
+    No message key is joined on, so two messages that share one are decided
+    each by itself; the text stays with its row.
+    """
+    t = F.get(F.col("tests"), 0)
+    is_res = F.col("route") == "results"
+    rows = parsed.select(
+        "msg_id", "raw", "message_type", "control_id", "route", "age", "sex", "reason", message_mrn().alias("mrn"),
+        F.when(is_res, hl7.hl7_time(t["test_time"])).alias("creatinine_date"), F.when(is_res, t["test_value"]).alias("creatinine_result"))
+    bad_sex = (F.col("route") == "admissions") & ~(F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES))
+    first = rows.where((F.col("route") == "admissions") & ~bad_sex).groupBy("mrn").agg(F.min("msg_id").alias("_adm_id"))
+    results = (rows.where(is_res)
+                   .join(patients.select("mrn", F.lit(True).alias("_base")), "mrn", "left").join(first, "mrn", "left"))
+    known = F.col("_base").isNotNull() | F.coalesce(F.col("_adm_id") < F.col("msg_id"), F.lit(False))
+    results = results.withColumn("reason", F.when(~known, "unknown_patient").when(F.col("creatinine_date").isNull(), "bad_date"))
+    others = rows.where(~is_res).withColumn("reason", F.coalesce("reason", F.when(bad_sex, "bad_sex")))
+    return others.unionByName(results.drop("_base", "_adm_id"))
+
+
 def apply_messages(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
                    materialize: bool = False) -> Applied:
     """Apply one batch of parsed messages to the tables.

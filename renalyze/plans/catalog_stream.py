@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .. import bindings as B
 from ..functions import hl7
 from ..functions.numeric import round9
-from ..schemas import FEATURE_COLUMNS, MEASUREMENTS
+from ..schemas import FEATURE_COLUMNS, MEASUREMENTS, PATIENTS
 from ..session import scratch_path
 from ..sources import files
-from ..streaming import ingest, sinks, state
+from ..streaming import ingest, sinks, state, tables
 from . import sql as S
 from .catalog import query
 
@@ -67,10 +67,98 @@ def q_stream_upsert(spark, sf):
     landing = _landing(spark, sf)
     root, ck = scratch_path(spark, "tables"), scratch_path(spark, "ckpt")
     parsed = ingest.parsed_stream(spark, landing)
-    writer = sinks.table_upsert_writer(root, B.patients(spark, sf), spark.createDataFrame([], MEASUREMENTS))
+    writer = sinks.table_upsert_writer(root, B.patients(spark, sf), spark.createDataFrame([], MEASUREMENTS), buckets=8)
     sinks.run_available_now(parsed, ck, foreach_batch=writer)
-    v = sinks.latest_version(spark, f"{root}/measurements")
-    return spark.read.parquet(f"{root}/measurements/v={v}")
+    return tables.snapshot(spark, root, "measurements")
+
+
+_IN_TURN = {"maxFilesPerTrigger": "1", "recursiveFileLookup": "true"}     # one landing file a micro-batch
+
+
+def _landing_parts(spark, sf, parts):
+    """The feed as one capture file for each of ``parts`` (conditions), in that order of arrival."""
+    path = scratch_path(spark, "landing")
+    raw = B.hl7_raw(spark, sf)
+    for i, part in enumerate(parts):
+        files.write_capture(raw.where(part).coalesce(1), f"{path}/part{i}")
+    return path
+
+
+def _quarters(spark, sf):
+    """The feed cut at the quarters of its message numbers."""
+    r = B.hl7_raw(spark, sf).agg(F.min("msg_id"), F.max("msg_id")).first()
+    cuts = [r[0] + (r[1] - r[0] + 1) * k // 4 for k in range(5)]
+    return [F.col("msg_id").between(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+@query("stream_upsert_batches", f"""
+WITH {_STREAM_BASE}
+SELECT mrn, d AS creatinine_date, v AS creatinine_result FROM acc
+QUALIFY row_number() OVER (PARTITION BY mrn, d ORDER BY t DESC, control_id DESC) = 1""")
+def q_stream_upsert_batches(spark, sf):
+    """T3 over four micro-batches: each rewrites the buckets it touches only."""
+    landing = _landing_parts(spark, sf, _quarters(spark, sf))
+    root, ck = scratch_path(spark, "tables"), scratch_path(spark, "ckpt")
+    writer = sinks.table_upsert_writer(root, B.patients(spark, sf), spark.createDataFrame([], MEASUREMENTS), buckets=8)
+    sinks.run_available_now(ingest.parsed_stream(spark, landing, _IN_TURN), ck, foreach_batch=writer)
+    return tables.snapshot(spark, root, "measurements")
+
+
+# The feed on tables that are empty at the start: patients are known from their admission on.
+_FRESH = f"""{S.MSG}, {S.ADMISSIONS}, {S.RESULTS},
+ev AS (SELECT msg_id, date_trunc('second', ts) AS t, control_id, {S.RAW} AS raw FROM parsed),
+gadm AS (SELECT a.mrn, a.age, a.sex, e.t, e.control_id FROM adm a JOIN ev e USING (msg_id) WHERE a.sex IN ('M', 'F', 'Other')),
+fres AS (SELECT r.msg_id, r.mrn, e.t, e.control_id, r.obr_ts AS d, r.test_value AS v, e.raw
+         FROM res r JOIN ev e USING (msg_id) WHERE r.obx_pos = 1)"""
+
+
+@query("stream_quarantine", f"""
+WITH {_FRESH}
+SELECT control_id, mrn, raw, reason FROM (
+  SELECT e.control_id, CASE WHEN p.event_type IN ('signup', 'error') OR p.odd IS NULL OR p.odd <> 3 THEN p.mrn END AS mrn, e.raw, p.reason
+  FROM parsed p JOIN ev e USING (msg_id) WHERE p.reason IS NOT NULL
+  UNION ALL SELECT e.control_id, a.mrn, e.raw, 'bad_sex' FROM adm a JOIN ev e USING (msg_id) WHERE a.sex NOT IN ('M', 'F', 'Other')
+  UNION ALL SELECT control_id, mrn, raw, 'unknown_patient' FROM fres f
+  WHERE NOT EXISTS (SELECT 1 FROM gadm a WHERE a.mrn = f.mrn AND (a.t < f.t OR (a.t = f.t AND a.control_id < f.control_id)))
+  UNION ALL SELECT 'UNKNOWN', NULL, raw, 'trailing_data' FROM ev JOIN msg USING (msg_id) WHERE event_type = 'error')""")
+def q_stream_quarantine(spark, sf):
+    """everything held back on tables that begin empty, with its
+    text; a second capture repeats the discharges in frames that do not end."""
+    landing, discharge = _landing_parts(spark, sf, _quarters(spark, sf)), hl7.DISCHARGE
+    raw = B.hl7_raw(spark, sf)
+    (raw.where(hl7.message_type(hl7.fields(hl7.segments(F.col("raw")))) == discharge)
+        .select(F.concat(F.lit(hl7.START_BLOCK), "raw").alias("value")).coalesce(1)
+        .write.option("lineSep", hl7.START_BLOCK).text(f"{landing}/open"))
+    root, ck = scratch_path(spark, "tables"), scratch_path(spark, "ckpt")
+    writer = sinks.table_upsert_writer(root, spark.createDataFrame([], PATIENTS), spark.createDataFrame([], MEASUREMENTS), buckets=8)
+    sinks.run_available_now(ingest.parsed_stream(spark, landing, _IN_TURN, keep_bad=True), ck, foreach_batch=writer)
+    return sinks.quarantined(spark, root).select("control_id", "mrn", "raw", "reason")
+
+
+@query("replay_quarantine", f"""
+WITH {_FRESH},
+sent AS (SELECT mrn, t, control_id, d, v, raw FROM fres UNION ALL
+         SELECT o_custkey::VARCHAR, o_orderdate, 'ORD' || o_orderkey, o_orderdate, o_totalprice, {S.ORDER_RAW} FROM orders),
+due AS (SELECT *, mrn IN (SELECT mrn FROM gadm) AS known FROM sent)
+SELECT 'stored' AS status, mrn, d AS creatinine_date, v AS creatinine_result, NULL AS raw FROM due WHERE known
+QUALIFY row_number() OVER (PARTITION BY mrn, d ORDER BY t DESC, control_id DESC) = 1
+UNION ALL SELECT 'held', mrn, NULL, NULL, raw FROM due WHERE NOT known""")
+def q_replay_quarantine(spark, sf):
+    """All results (the feed's and one per order) arrive before any
+    admission, so all are held back; after the admissions the replay stores
+    those whose patient is known by then."""
+    is_adm = hl7.message_type(hl7.fields(hl7.segments(F.col("raw")))) == hl7.ADMISSION
+    landing = _landing_parts(spark, sf, [~is_adm, is_adm])
+    files.write_capture(B.order_results(spark, sf).coalesce(1), f"{landing}/part0/orders")
+    root, ck = scratch_path(spark, "tables"), scratch_path(spark, "ckpt")
+    writer = sinks.table_upsert_writer(root, spark.createDataFrame([], PATIENTS), spark.createDataFrame([], MEASUREMENTS), buckets=8)
+    sinks.run_available_now(ingest.parsed_stream(spark, landing, _IN_TURN), ck, foreach_batch=writer)
+    sinks.replay_quarantine(spark, root)
+    held = sinks.quarantined(spark, root).where("reason = 'unknown_patient'")
+    none = F.lit(None)
+    return (tables.snapshot(spark, root, "measurements").select(F.lit("stored").alias("status"), "*", none.cast("string").alias("raw"))
+            .unionByName(held.select(F.lit("held").alias("status"), "mrn", none.cast("timestamp").alias("creatinine_date"),
+                                     none.cast("double").alias("creatinine_result"), "raw")))
 
 
 _W4 = f"""{_STREAM_BASE},
@@ -185,6 +273,54 @@ def q_stream_dedupe(spark, sf):
     return spark.read.parquet(out)
 
 
+# Held-back results take effect with the patient's first admission, in the order they arrived in.
+_DEFERRED = f"""{_FRESH},
+first_a AS (SELECT mrn, t, control_id FROM gadm QUALIFY row_number() OVER (PARTITION BY mrn ORDER BY t, control_id) = 1),
+placed AS (SELECT f.*, a.t < f.t OR (a.t = f.t AND a.control_id < f.control_id) AS direct, a.t AS adm_t, a.control_id AS adm_c
+           FROM fres f JOIN first_a a USING (mrn)),
+acc AS (SELECT msg_id, mrn, d, v, control_id, direct, CASE WHEN direct THEN t ELSE adm_t END AS et, CASE WHEN direct THEN control_id ELSE adm_c END AS ec,
+               row_number() OVER (ORDER BY CASE WHEN direct THEN t ELSE adm_t END, CASE WHEN direct THEN control_id ELSE adm_c END, t, control_id) AS ord
+        FROM placed),
+latest AS (SELECT k.msg_id AS k, h.d, h.v FROM acc k JOIN acc h ON h.mrn = k.mrn AND h.ord <= k.ord
+           QUALIFY row_number() OVER (PARTITION BY k.msg_id, h.d ORDER BY h.ord DESC) = 1),
+stepped AS (SELECT *, v - lag(v) OVER (PARTITION BY k ORDER BY d) AS step FROM latest),
+agg AS (SELECT k, count(v) AS n_readings, avg(v) AS m_mean, quantile_cont(v, 0.5) AS m_median, max(v) AS m_max, min(v) AS m_min,
+               max(step) AS m_delta, stddev_samp(v) AS m_std, arg_max(v, d) FILTER (WHERE v IS NOT NULL) AS m_recent
+        FROM stepped GROUP BY k),
+w4 AS (SELECT a.mrn, a.control_id, a.d AS creatinine_date, CASE WHEN direct THEN 'accepted' ELSE 'released' END AS status,
+         (SELECT CAST(coalesce(arg_max(g.age, strftime(g.t, '%Y%m%d%H%M%S') || g.control_id), 0) AS INTEGER) FROM gadm g
+          WHERE g.mrn = a.mrn AND (g.t < a.et OR (g.t = a.et AND g.control_id <= a.ec))) AS age,
+         (SELECT CAST(CASE arg_max(g.sex, strftime(g.t, '%Y%m%d%H%M%S') || g.control_id) WHEN 'F' THEN 0 WHEN 'M' THEN 1 ELSE 2 END AS INTEGER)
+          FROM gadm g WHERE g.mrn = a.mrn AND (g.t < a.et OR (g.t = a.et AND g.control_id <= a.ec))) AS sex,
+         n_readings,
+         coalesce(m_mean, 0) AS creatinine_mean, coalesce(m_median, 0) AS creatinine_median,
+         coalesce(m_max, 0) AS creatinine_max, coalesce(m_min, 0) AS creatinine_min,
+         coalesce(m_delta, 0) AS creatinine_max_delta, coalesce(m_std, 0) AS creatinine_std,
+         coalesce(m_recent, 0) AS most_recent,
+         coalesce({S.ratio('m_recent', 'm_min')}, 0) AS rv1_ratio,
+         coalesce({S.ratio('m_recent', 'm_median')}, 0) AS rv2_ratio
+       FROM agg JOIN acc a ON a.msg_id = agg.k)"""
+
+
+@query("stream_deferred", f"""
+WITH {_DEFERRED}
+SELECT mrn, control_id, creatinine_date, status, age, sex, n_readings, {S.r9()} FROM w4
+UNION ALL
+SELECT mrn, control_id, d, 'unknown_patient', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM fres WHERE msg_id NOT IN (SELECT msg_id FROM acc WHERE direct)""")
+def q_stream_deferred(spark, sf):
+    """Nobody is known at the start; results that come before their
+    patient's admission wait in the patient's state and are released with it."""
+    for k, v in state.STATE_CONF.items():
+        spark.conf.set(k, v)
+    landing = _landing_parts(spark, sf, _quarters(spark, sf))
+    out, ck = scratch_path(spark, "deferred_out"), scratch_path(spark, "ckpt")
+    feats = state.history_stream(ingest.parsed_stream(spark, landing, _IN_TURN), spark.createDataFrame([], PATIENTS), defer=True)
+    sinks.run_available_now(feats, ck, sink_path=out)
+    got = spark.read.parquet(out).drop("msg_time", "repeat")
+    return got.withColumns({c: round9(F.col(c)) for c in FEATURE_COLUMNS})
+
+
 # Messages sent event_id % 7 hours after the reading: MSH-7 (the arrival time
 # and the time ages are computed at) moves, the OBR reading time does not.
 _SENT = "(ts + to_hours(CAST(msg_id % 7 AS BIGINT)))"

@@ -53,6 +53,23 @@ parsed AS (
   FROM routed)"""
 
 
+# The text of each message (a row of ``parsed``), as the binding renders it.
+RAW = """concat('MSH|^~\\&|SIMULATION|SOUTH RIVERSIDE|||', strftime(ts, '%Y%m%d%H%M%S'), '||', message_type, '|', control_id, '|2.5',
+  chr(13), 'PID|1||', CASE WHEN odd = 3 THEN 'MRN' || user_id WHEN adt_odd = 0 THEN '' ELSE user_id::VARCHAR END,
+  CASE event_type
+    WHEN 'signup' THEN concat('||P^', user_id, '||', strftime(dob, '%Y%m%d'), '|', CASE WHEN adt_odd = 1 THEN 'U' ELSE usex END,
+                              chr(13), 'NK1|1|KIN^', user_id, '|PARTNER')
+    WHEN 'error' THEN ''
+    ELSE concat(chr(13), 'OBR|1||||||', obr_time, CASE WHEN odd = 2 THEN '' ELSE concat(
+      chr(13), 'OBX|1|SN|CREATININE||', CASE WHEN odd = 0 THEN 'NEG' ELSE value::VARCHAR END,
+      CASE WHEN odd = 1 THEN concat(chr(13), 'OBX|2|SN|CREATININE||', (value * 2)::VARCHAR) ELSE '' END) END) END)"""
+
+
+ORDER_RAW = """concat('MSH|^~\\&|ARCHIVE|NORTH LAB|||', strftime(o_orderdate, '%Y%m%d%H%M%S'), '||ORU^R01|ORD', o_orderkey, '|2.5',
+  chr(13), 'PID|1||', o_custkey, chr(13), 'OBR|1||||||', strftime(o_orderdate, '%Y%m%d%H%M%S'),
+  chr(13), 'OBX|1|SN|CREATININE||', o_totalprice)"""
+
+
 def age_sql(t: str) -> str:
     """Full years from dob to the time expression ``t``."""
     return (f"CAST(year({t}) - year(dob) - CASE WHEN month({t}) * 100 + day({t}) < month(dob) * 100 + day(dob) "

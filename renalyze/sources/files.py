@@ -98,8 +98,8 @@ def frames(records: DataFrame) -> DataFrame:
     empty record before the first start byte of a file is its head and is
     dropped.  A good frame ends with its only end block ``0x1c 0x0d``; a
     record with no end byte is an open frame (``trailing_data``); anything
-    else is ``bad_framing``.  Every check is on the record alone, so the
-    scan stays distributed.
+    else is ``bad_framing``; ``frame`` keeps the text of those.  Every check is on the
+    record alone, so the scan stays distributed.
     """
     v = F.col("value")
     n = F.length(v)
@@ -110,11 +110,11 @@ def frames(records: DataFrame) -> DataFrame:
                .otherwise(F.lit("bad_framing")))
     return (records.where(n > 0)
                    .select(F.when(good, F.expr("substring(value, 1, length(value) - 2)")).alias("message"),
-                           status.alias("status"), "source_file"))
+                           status.alias("status"), "source_file", F.when(~good, v).alias("frame")))
 
 
 def scan_mllp_capture(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Framed capture files -> (message, status, source_file).
+    """Framed capture files -> (message, status, source_file, frame).
 
     ``strict`` fails like a strict reader when any record is not a good
     frame (one global count, a partial aggregate; only the first few bad

@@ -1,114 +1,139 @@
-"""Streaming sinks: table upserts (T3) and alert outbox (T5) via foreachBatch.
-
-Every micro-batch writes into a folder named by its batch id with mode
-``overwrite``, so a batch replayed after a failure replaces its own output
-instead of duplicating it (idempotent, at-least-once input safe).
+"""Streaming sinks: table upserts (T3), quarantine and its replay (T8, F1),
+and the alert outbox (T5) via foreachBatch.
+
+A batch of messages is applied in five steps: a record that names the state it
+starts from, the changed buckets, the quarantine, the commit of both tables,
+the ACKs.  A batch that broke off at any point is applied again from the state
+in its record, not from what it left behind, so its tables, quarantine and
+ACKs come out as if it had run once.  There is one writer at a time.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring
 from ..plans import alerts as AL
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def write_pointer(spark: SparkSession, root: str, version: int) -> None:
-    """Switch ``root/_latest`` to ``version`` after the version is committed.
-    Readers take the pointer (one small read) instead of listing versions."""
-    fs, _ = _fs(spark, root)
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_latest.tmp")
-    dst = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_latest")
-    out = fs.create(tmp, True)
-    out.writeUTF(str(int(version)))
-    out.close()
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
-
-
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Latest committed version under ``root``: the ``_latest`` pointer if
-    present, else the highest ``v=N`` that has ``_SUCCESS``."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return None
-    ptr = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_latest")
-    if fs.exists(ptr):
-        inp = fs.open(ptr)
-        try:
-            v = int(inp.readUTF())
-        finally:
-            inp.close()
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v={v}/_SUCCESS")):
-            return v
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
-            v = int(name[2:])
-            best = v if best is None or v > best else best
-    return best
-
-
-def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFrame, acks: str | None = None):
+from . import ingest, tables
+
+QUARANTINE = "msg_id string, msg_time timestamp, control_id string, mrn string, raw string, reason string"
+
+
+def _tagged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of an outbox-like folder (an empty table before the first)."""
+    if not tables.path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def apply_batch(spark: SparkSession, root: str, parsed: DataFrame, name: str, acks: str | None = None,
+                buckets: int = tables.BUCKETS) -> None:
+    """Apply parsed messages to the tables under ``root`` as the batch ``name``."""
+    record, tag = f"{root}/_batches/{name}", name.replace("/", "-")
+    if tables.path_exists(spark, f"{record}.done"):
+        return
+    begun = tables.read_json(spark, f"{record}.begun")
+    taken = None if begun is None else tables.read_json(spark, f"{root}/_commits/{begun['base']['version'] + 1}")
+    if begun is None or (taken is not None and taken["by"] != name):     # new, or another batch has been committed since
+        begun = {"base": tables.committed(spark, root) or tables.nothing(buckets),
+                 "at": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")}
+        tables.write_json(spark, f"{record}.begun", begun)
+        taken = None
+    base, target = begun["base"], begun["base"]["version"] + 1
+    n = base["buckets"]
+    parsed = parsed.persist()
+    rows = None
+    try:
+        key = AL.message_mrn()
+        near = tables.touched(parsed.select(key.alias("mrn")).where("mrn IS NOT NULL"), n)
+        rows = AL.decided(parsed, tables.stored(spark, root, "patients", base, near).select("mrn")).persist()
+        if taken is None:
+            taken = {"by": name, "state": tables.advance(base, target, _write_changes(spark, root, rows, base, target))}
+            rows.where(F.col("reason").isNotNull()).select(
+                F.col("msg_id").cast("string").alias("msg_id"), "msg_id.msg_time", "msg_id.control_id", "mrn", "raw", "reason") \
+                .write.mode("overwrite").parquet(f"{root}/quarantine/batch={tag}")
+            tables.write_json(spark, f"{root}/_commits/{target}", taken)
+        if (tables.latest_version(spark, root) or -1) < target:
+            tables.commit(spark, root, taken["state"])
+        if acks:
+            scoring.ack_outbox(rows.where(F.col("reason").isNull()).withColumn("ack_ts", F.to_timestamp(F.lit(begun["at"]))), "ack_ts") \
+                .select(F.col("msg_id").cast("string").alias("msg_id"), "control_id", "ack") \
+                .write.mode("overwrite").parquet(f"{acks}/batch={tag}")
+        tables.write_json(spark, f"{record}.done", {"version": target})
+    finally:
+        parsed.unpersist()
+        if rows is not None:
+            rows.unpersist()
+
+
+def _write_changes(spark: SparkSession, root: str, rows: DataFrame, base: dict, target: int) -> dict[str, list[int]]:
+    """Write the buckets that accepted messages touch, as version ``target``."""
+    accepted = rows.where(F.col("reason").isNull()).withColumnRenamed("msg_id", "arrival")
+    updates = {"patients": accepted.where(F.col("route") == "admissions").select("mrn", "age", "sex", "arrival"),
+               "measurements": accepted.where(F.col("route") == "results").select("mrn", "creatinine_date", "creatinine_result", "arrival")}
+    changed = {}
+    for table, new in updates.items():
+        changed[table] = tables.touched(new, base["buckets"])
+        if changed[table]:
+            old = tables.stored(spark, root, table, base, changed[table])
+            tables.write_buckets(tables.merged(old, new, table), root, table, target, base["buckets"])
+    return changed
+
+
+def table_upsert_writer(root: str, patients0: DataFrame, measurements0: DataFrame, acks: str | None = None,
+                        buckets: int = tables.BUCKETS, keep_old: bool = True):
     """foreachBatch function applying each batch of parsed messages to
-    Patients / Measurements, written as the version after the last one, with the
-    batch's quarantine and (if ``acks`` is given) one ACK per processed
-    message, both written after the tables.
-
-    A batch is done when its marker (query id and batch id) is there; the
-    marker is written after all outputs.  Batch ids restart with a new
-    checkpoint, query ids do not repeat, so a new query's batches are never
-    taken for old ones; a batch that broke off is applied again (upserts of the
-    same keys give the same rows).
+    Patients / Measurements, with the batch's quarantine and (if ``acks`` is
+    given) one ACK per processed message, written after the commit.
+
+    Tables that do not exist yet begin as ``patients0`` / ``measurements0``.
+    Batch ids restart with a new checkpoint, query ids do not repeat, so a new
+    query's batches are never taken for old ones.  Without ``keep_old`` the bucket versions
+    that neither the batch's state nor the one before it names are deleted.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
-        tag = f"{batch_id}-{query[:8]}"
-        marker = f"{root}/_batches/{query}/{batch_id}"
-        if path_exists(spark, f"{marker}/_SUCCESS"):
-            return
-        prev = latest_version(spark, f"{root}/measurements")
-        if prev is None:
-            pats, meas = patients0, measurements0
-            target = 1
-        else:
-            target = prev + 1
-            pats = spark.read.parquet(f"{root}/patients/v={prev}")
-            meas = spark.read.parquet(f"{root}/measurements/v={prev}")
-        batch = batch.persist()  # three outputs below; parse the batch once
-        try:
-            applied = AL.apply_messages(batch, pats, meas)
-            applied.patients.write.mode("overwrite").parquet(f"{root}/patients/v={target}")
-            applied.measurements.write.mode("overwrite").parquet(f"{root}/measurements/v={target}")
-            write_pointer(spark, f"{root}/patients", target)
-            write_pointer(spark, f"{root}/measurements", target)
-            applied.quarantine.select(F.col("msg_id").cast("string").alias("msg_id"), "reason") \
-                .write.mode("overwrite").parquet(f"{root}/quarantine/batch={tag}")
-            if acks:
-                scoring.ack_outbox(applied.processed.withColumn("ack_ts", F.current_timestamp()), "ack_ts") \
-                    .select(F.col("msg_id").cast("string").alias("msg_id"), "control_id", "ack") \
-                    .write.mode("overwrite").parquet(f"{acks}/batch={tag}")
-            spark.createDataFrame([(target,)], "v int").coalesce(1).write.mode("overwrite").parquet(marker)
-        finally:
-            batch.unpersist()
+        before = tables.committed(spark, root)
+        if before is None:
+            tables.create(spark, root, patients0, measurements0, buckets)
+            before = tables.committed(spark, root)
+        apply_batch(spark, root, batch, f"{query}/{batch_id}", acks, buckets)
+        if not keep_old:
+            tables.expire(spark, root, [before, tables.committed(spark, root)])
     return write
 
 
+def quarantined(spark: SparkSession, root: str) -> DataFrame:
+    """The messages still held back: quarantined and not released since."""
+    held = _tagged(spark, f"{root}/quarantine", QUARANTINE)
+    gone = _tagged(spark, f"{root}/released", "msg_id string, reason string")
+    return held.join(gone, ["msg_id", "reason"], "left_anti").dropDuplicates(["msg_id", "reason"])
+
+
+def replay_quarantine(spark: SparkSession, root: str, acks: str | None = None) -> bool:
+    """Apply the held results of patients who are in Patients by now, from
+    their text, as one more batch; they keep their own arrival, so a reading
+    corrected in the meantime stays corrected.  What is released is marked after
+    its batch; a replay that broke off in between is repeated without effect on the tables.
+    Returns whether anything was released."""
+    state = tables.committed(spark, root)
+    if state is None:
+        return False
+    held = quarantined(spark, root).where(F.col("reason") == "unknown_patient")
+    due = held.join(tables.stored(spark, root, "patients", state).select("mrn"), "mrn", "left_semi")
+    due = AL.store.write_snapshot(spark, due, "replay")
+    if due.isEmpty():
+        return False
+    name = f"replay/{state['version']}"
+    apply_batch(spark, root, ingest.parse_texts(due.select("raw")), name, acks, state["buckets"])
+    due.select("msg_id", "reason").write.mode("overwrite").parquet(f"{root}/released/batch={name.replace('/', '-')}")
+    return True
+
+
 def alert_writer(root: str, dedupe: bool = True, scorer=None):
     """T5: score feature rows, write positives as alerts.
 
@@ -122,7 +147,7 @@ def alert_writer(root: str, dedupe: bool = True, scorer=None):
     score = scorer or scoring.rule_score
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        features = batch.where(F.col("status") == "accepted")
+        features = batch.where(F.col("status").isin("accepted", "released"))
         if dedupe and "repeat" in batch.columns:
             features = features.where(~F.col("repeat"))
         scored = score(features).withColumn(

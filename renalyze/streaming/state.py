@@ -5,7 +5,9 @@ valid admission was seen, and the readings (date -> result; a late or
 repeated reading is an upsert, so history is always "everything that has
 arrived, ordered by date").  Each accepted result emits the features as of that
 message; results for unknown patients are emitted with status
-``unknown_patient`` and no features.  No TTL: the upstream never forgets.
+``unknown_patient`` and no features.  With ``defer`` they are also kept in the
+state and emitted again, with status ``released`` and the features as of that
+moment, when the patient's admission arrives.  No TTL: the upstream never forgets.
 
 State lives in the RocksDB state store (on local disk of the executor,
 checkpointed to the shared checkpoint folder), so the history of a key is
@@ -184,7 +186,8 @@ class History:
         }
 
 
-STATE_SCHEMA = "known boolean, age int, sex string, d array<timestamp>, r array<double>"
+STATE_SCHEMA = ("known boolean, age int, sex string, d array<timestamp>, r array<double>, "
+                "held array<struct<msg_time:timestamp,control_id:string,d:timestamp,r:double>>")
 
 
 _OUT_COLS = ("msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
@@ -196,36 +199,48 @@ _IN_COLS = ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinin
 class Replay:
     """One patient's replay in arrival order: admission flag, demographics
     and readings, plus the output columns of the rows seen so far.  Shared
-    by the streaming processor and the batch replay."""
+    by the streaming processor and the batch replay.  ``held`` are results
+    waiting for the patient's admission (kept with ``defer`` only)."""
 
-    def __init__(self, st=None):
+    def __init__(self, st=None, defer=False):
+        self.defer = defer
+        self.held = [tuple(h) for h in st[5] or []] if st is not None else []
         self.known, self.age, self.sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
         self.hist = History(zip(st[3], st[4])) if st is not None else History([])
         self.out = {c: [] for c in _OUT_COLS}
 
     def state(self):
         age = None if self.age is None or pd.isna(self.age) else int(self.age)
-        return (self.known, age, self.sex, list(self.hist.dates), list(self.hist.vals))
+        return (self.known, age, self.sex, list(self.hist.dates), list(self.hist.vals), self.held)
 
     def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, value, age, sex, base_age, base_sex):
         if kind == "adm":
             if sex_ok:
                 self.known, self.age, self.sex = True, age, sex
+                held, self.held = self.held, []
+                for h in held:                 # in the order they arrived in
+                    self._accept("released", *h, age, sex)
             return
-        out = self.out
-        out["msg_time"].append(msg_time)
-        out["control_id"].append(control_id)
-        out["creatinine_date"].append(date)
+        v = None if value != value else float(value)
         if not (self.known or base_known):
-            out["status"].append("unknown_patient")
+            out = self.out
+            for c, x in zip(("msg_time", "control_id", "creatinine_date", "status"), (msg_time, control_id, date, "unknown_patient")):
+                out[c].append(x)
             for c in ("repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS):
                 out[c].append(None)
+            if self.defer:
+                self.held.append((pd.Timestamp(msg_time).to_pydatetime(), control_id, pd.Timestamp(date).to_pydatetime(), v))
             return
-        a, sx = (self.age, self.sex) if self.known else (base_age, base_sex)
-        v = None if value != value else float(value)
+        self._accept("accepted", msg_time, control_id, date, v, *((self.age, self.sex) if self.known else (base_age, base_sex)))
+
+    def _accept(self, status, msg_time, control_id, date, v, a, sx):
+        out = self.out
+        out["msg_time"].append(msg_time)
+        out["control_id"].append(control_id)
+        out["creatinine_date"].append(date)
         repeat = self.hist.upsert(pd.Timestamp(date).to_pydatetime(), v)
         f = self.hist.features()
-        out["status"].append("accepted")
+        out["status"].append(status)
         out["repeat"].append(repeat)
         out["age"].append(0 if a is None or pd.isna(a) else int(a))
         out["sex"].append(SEX_CODE.get(sx, 0))
@@ -262,6 +277,9 @@ class PatientHistory(StatefulProcessor):
     micro-batch, instead of a state call per reading (each call is a round
     trip to the JVM state server)."""
 
+    def __init__(self, defer: bool = False):
+        self.defer = defer
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("patient", STATE_SCHEMA)
 
@@ -270,7 +288,7 @@ class PatientHistory(StatefulProcessor):
         order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
                             batch["msg_time"].to_numpy()))
         col, vals = _columns(batch, order)
-        rp = Replay(self.state.get() if self.state.exists() else None)
+        rp = Replay(self.state.get() if self.state.exists() else None, self.defer)
         for i in range(len(order)):
             rp.feed(col["kind"][i], col["msg_time"][i], col["control_id"][i], col["base_known"][i],
                     col["sex_ok"][i], col["creatinine_date"][i], vals[i], col["age"][i], col["sex"][i],
@@ -281,7 +299,7 @@ class PatientHistory(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Stored readings of one patient, in one or several parts."""
-        rp = Replay(self.state.get() if self.state.exists() else None)
+        rp = Replay(self.state.get() if self.state.exists() else None, self.defer)
         vals = initialState["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)
         for date, value in zip(initialState["creatinine_date"], vals):
             rp.hist.upsert(pd.Timestamp(date).to_pydatetime(), None if value != value else float(value))
@@ -321,8 +339,10 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
                 .withColumn("base_known", F.coalesce(F.col("base_known"), F.lit(False))))
 
 
-def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None) -> DataFrame:
-    """T4: features per result message from per-patient state.
+def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
+                   defer: bool = False) -> DataFrame:
+    """T4: features per result message from per-patient state.  ``defer`` holds
+    results of unknown patients back and releases them with their admission.
 
     ``measurements`` are the readings stored before the stream starts: they
     begin each patient's state (read by the query's first batch only; a
@@ -332,7 +352,7 @@ def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     if measurements is not None:
         stored = measurements.where("creatinine_date is not null").select("mrn", "creatinine_date", "creatinine_result").groupBy("mrn")
     return inputs.groupBy("mrn").transformWithStateInPandas(
-        statefulProcessor=PatientHistory(), outputStructType=OUTPUT_SCHEMA,
+        statefulProcessor=PatientHistory(defer), outputStructType=OUTPUT_SCHEMA,
         outputMode="Append", timeMode="None", initialState=stored)
 
 

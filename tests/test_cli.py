@@ -11,6 +11,7 @@ from renalyze.operators import reshape as R
 from renalyze.operators import scoring, store
 from renalyze.sources import files
 from renalyze.streaming import sinks
+from renalyze.streaming import tables as live
 
 from .conftest import SF_SMALL
 
@@ -29,7 +30,7 @@ def test_load_and_split_history(spark):
     tables = os.path.join(d, "tables")
     assert cli.load_history(spark, hist, tables) is True
     assert cli.load_history(spark, hist, tables) is False          # gate: tables not empty
-    got = spark.read.parquet(f"{tables}/measurements/v=0")
+    got = live.snapshot(spark, tables, "measurements")
     assert got.count() == m.count()
     p, mm = cli.split_history(spark, hist, os.path.join(d, "split"))
     assert files.scan_measurements_csv(spark, mm).count() == m.count()
@@ -61,7 +62,9 @@ def test_serve_available_now(spark):
     tables, out = os.path.join(d, "tables"), os.path.join(d, "out")
     for q in cli.serve(spark, landing, tables, out, available_now=True):
         q.awaitTermination()
-    assert sinks.latest_version(spark, f"{tables}/measurements") == 1
+    assert live.latest_version(spark, tables) == 1
+    frames = B.hl7_raw(spark, SF_SMALL).count()
+    assert spark.read.parquet(f"{out}/acks").count() + sinks.quarantined(spark, tables).count() == frames
     assert spark.read.parquet(f"{out}/acks").count() > 0
     assert spark.read.parquet(f"{out}/alerts").columns[:3] == ["mrn", "alert_ts", "payload"]
 

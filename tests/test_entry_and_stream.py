@@ -111,7 +111,7 @@ def test_table_upsert_sink_is_idempotent_per_batch(spark):
 
     from renalyze import bindings as B
     from renalyze.schemas import MEASUREMENTS
-    from renalyze.streaming import ingest, sinks
+    from renalyze.streaming import ingest, sinks, tables
     from renalyze.sources import files
 
     raw = B.hl7_raw(spark, SF_SMALL)
@@ -121,12 +121,13 @@ def test_table_upsert_sink_is_idempotent_per_batch(spark):
     root = tempfile.mkdtemp(prefix="renalyze-t3-")
     write = sinks.table_upsert_writer(root, B.patients(spark, SF_SMALL), spark.createDataFrame([], MEASUREMENTS))
     write(parsed, 0)
-    v1 = sorted(tuple(r) for r in spark.read.parquet(f"{root}/measurements/v=1").collect())
+    v1 = sorted(tuple(r) for r in tables.snapshot(spark, root, "measurements").collect())
     write(parsed, 0)  # the same micro-batch replayed after a failure: skipped
-    assert sinks.latest_version(spark, f"{root}/measurements") == 1
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/measurements/v=1").collect()) == v1
+    assert tables.latest_version(spark, root) == 1
+    assert sorted(tuple(r) for r in tables.snapshot(spark, root, "measurements").collect()) == v1
     write(parsed, 1)  # the same messages delivered again under a new batch id
-    v2 = spark.read.parquet(f"{root}/measurements/v=2")
+    assert tables.latest_version(spark, root) == 2
+    v2 = tables.snapshot(spark, root, "measurements")
     keys2 = {(r.mrn, r.creatinine_date) for r in v2.collect()}
     assert v2.count() == len(keys2)                      # keys stay unique
     assert {(m, d) for m, d, _ in v1} <= keys2 and len(v1) > 0
@@ -170,7 +171,7 @@ def test_table_sink_across_micro_batches(spark):
     from renalyze import bindings as B
     from renalyze.schemas import MEASUREMENTS
     from renalyze.sources import files
-    from renalyze.streaming import ingest, sinks
+    from renalyze.streaming import ingest, sinks, tables
 
     raw = B.hl7_raw(spark, SF_SMALL)
     d = tempfile.mkdtemp(prefix="renalyze-t3m-")
@@ -186,8 +187,7 @@ def test_table_sink_across_micro_batches(spark):
         root = f"{d}/tables{k}"
         writer = sinks.table_upsert_writer(root, pats, spark.createDataFrame([], MEASUREMENTS))
         sinks.run_available_now(ingest.parsed_stream(spark, landing, opts), f"{d}/ck{k}", foreach_batch=writer)
-        v = sinks.latest_version(spark, f"{root}/measurements")
-        finals.append((v, sorted(tuple(r) for r in spark.read.parquet(f"{root}/measurements/v={v}").collect())))
+        finals.append((tables.latest_version(spark, root), sorted(tuple(r) for r in tables.snapshot(spark, root, "measurements").collect())))
     assert finals[0][0] == 4 and finals[1][0] == 1
     assert finals[0][1] == finals[1][1] and len(finals[0][1]) > 0
 
