@@ -19,11 +19,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.dates import parse_date_strict
 from .operators import evaluation as ev
 from .operators import features as feat
 from .operators import reshape as R
-from .operators import scoring, store
+from .operators import scoring
+from .plans.load import history_tables
 from .schemas import MEASUREMENTS, PATIENTS
 from .session import checkpoint_root, get_session
 from .sources import files
@@ -33,44 +33,29 @@ from .streaming import tables as live
 
 # ---------------------------------------------------------------- jobs
 
-def history_tables(spark: SparkSession, history_csv: str) -> tuple[DataFrame, DataFrame]:
-    """Wide history CSV -> (patients with NULL age / sex, measurements)."""
-    wide = files.scan_wide_history(spark, history_csv)
-    long = R.unpivot_history(wide)
-    meas = (long.select("mrn", parse_date_strict(F.col("creatinine_date")).alias("creatinine_date"),
-                        F.col("creatinine_result").cast("double").alias("creatinine_result"), "slot")
-                .where(F.col("creatinine_date").isNotNull()))
-    meas = store.dedupe_last(meas.withColumn("arrival", F.col("slot").cast("bigint")),
-                             ["mrn", "creatinine_date"], ["creatinine_result"])
-    pats = wide.select(F.col("mrn").cast("string").alias("mrn")).distinct().select(
-        "mrn", F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"))
-    return pats, meas
-
-
 def load_history(spark: SparkSession, history_csv: str, tables: str) -> bool:
-    """Bulk load behind the gate: only while both tables are empty.
-    Returns whether the load ran."""
+    """Bulk load behind the gate: only while both tables are empty.  Cells that
+    do not parse go to ``bad_cells`` beside the tables.  Returns whether the load ran."""
     if live.committed(spark, tables) is not None:
         return False
-    pats, meas = history_tables(spark, history_csv)
+    pats, meas, bad = history_tables(files.scan_wide_rows(spark, history_csv))
+    bad.write.mode("overwrite").parquet(f"{tables}/bad_cells")
     live.create(spark, tables, pats, meas)
     return True
 
 
 def split_history(spark: SparkSession, history_csv: str, out: str) -> tuple[str, str]:
     """Wide history CSV -> patients.csv + measurements.csv."""
-    pats, meas = history_tables(spark, history_csv)
+    pats, meas, _ = history_tables(files.scan_wide_rows(spark, history_csv))
     return files.sink_split_csv(pats, meas, out)
 
 
 def labelled_features(spark: SparkSession, labelled_csv: str) -> DataFrame:
     """Labelled wide CSV (mrn, age, sex, aki, slots) -> serving features +
     label: the 11 inputs the model serves on."""
-    wide = files.scan_labelled(spark, labelled_csv)
-    long = R.unpivot_history(wide, extra=["age", "sex", "aki"])
-    meas = long.select("mrn", F.try_to_timestamp(F.col("creatinine_date")).alias("creatinine_date"),
-                       F.col("creatinine_result").cast("double").alias("creatinine_result"))
-    pats = wide.select("mrn", F.col("age").cast("int").alias("age"), "sex")
+    wide = files.scan_wide_rows(spark, labelled_csv)
+    meas = files.typed_cells(R.unpivot_rows(wide))[0].select("mrn", "creatinine_date", "creatinine_result")
+    pats = wide.select("mrn", F.col("age").try_cast("int").alias("age"), "sex")
     labels = wide.select("mrn", scoring.encode_label(F.col("aki")).alias("label"))
     return feat.features_serving(pats, meas).join(labels, "mrn")
 

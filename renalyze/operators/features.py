@@ -5,8 +5,7 @@ combine, so a hot patient is reduced before the shuffle), the exact median
 from ``quantile.exact_median`` (counts per (mrn, value), no task holds a
 whole patient), and the only order-dependent statistic, the largest step
 between consecutive readings, computed in time chunks (``max_delta``).
-Running features (W3) default to the ordered streaming pass of
-``running.py``; training features are row-local array arithmetic.
+Running features (W3) are those of ``asof.py``; training features are row-local array arithmetic.
 """
 
 from __future__ import annotations
@@ -46,10 +45,10 @@ def encode_sex_fitted(df: DataFrame, col: str = "sex", out: str = "sex_code") ->
 
 
 def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS,
-              chunk_rows: int | None = None) -> DataFrame:
+              chunk_rows: int | None = None, none: float | None = 0.0) -> DataFrame:
     """A5: per mrn, the largest signed difference between consecutive
     readings in date order.  A NULL reading breaks both differences next to
-    it; no difference at all gives 0.
+    it; no difference at all gives ``none``.
 
     With ``chunk_seconds`` the ordered pass runs per (mrn, time chunk), so a
     patient with a huge history is split over many tasks; one row per chunk
@@ -62,7 +61,7 @@ def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK
     if not chunk_seconds:
         w = Window.partitionBy("mrn").orderBy("creatinine_date")
         steps = measurements.select("mrn", (r - F.lag(r).over(w)).alias("step"))
-        return steps.groupBy("mrn").agg(F.coalesce(F.max("step"), F.lit(0.0)).alias("creatinine_max_delta"))
+        return steps.groupBy("mrn").agg(F.coalesce(F.max("step"), F.lit(none)).alias("creatinine_max_delta"))
     from .ordered import _chunk
     m = _chunk(measurements.select("mrn", d, r), "creatinine_date", chunk_seconds, "mrn", chunk_rows) \
         .withColumnRenamed("_chunk", "chunk")
@@ -76,7 +75,7 @@ def max_delta(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK
     wc = Window.partitionBy("mrn").orderBy("chunk")
     border = inner.withColumn("border", F.col("first") - F.lag("last").over(wc))
     return border.groupBy("mrn").agg(
-        F.coalesce(F.greatest(F.max("inner_max"), F.max("border")), F.lit(0.0)).alias("creatinine_max_delta"))
+        F.coalesce(F.greatest(F.max("inner_max"), F.max("border")), F.lit(none)).alias("creatinine_max_delta"))
 
 
 def measurement_stats(measurements: DataFrame, median: str = "split") -> DataFrame:
@@ -136,11 +135,13 @@ def features_serving(patients: DataFrame, measurements: DataFrame,
     return out
 
 
-def running_features(measurements: DataFrame, method: str = "stream") -> DataFrame:
+def running_features(measurements: DataFrame, method: str = "blocks") -> DataFrame:
     """Features as of each reading, over all readings of the patient up to
     and including it in date order (arrival order = date order).
 
-    ``method="stream"`` (default): one shuffle by patient, rows sorted within
+    ``method="blocks"`` (default): ``asof.features_as_of``, arrays of whole
+    patients, and a patient too large for one piece split by blocks.
+    ``method="stream"``: one shuffle by patient, rows sorted within
     partitions and streamed through ``running.running_features_stream`` --
     O(n log n) per patient, results identical to the window form.
     ``method="window"``: built-in window aggregates (running mean / min /
@@ -148,6 +149,11 @@ def running_features(measurements: DataFrame, method: str = "stream") -> DataFra
     ``percentile`` over the growing frame, which re-sorts the patient's
     value counts at every row: quadratic in the history length).
     """
+    if method == "blocks":
+        from .asof import features_as_of
+        got = features_as_of(measurements.select("mrn", "creatinine_date", "creatinine_result"), F.col("creatinine_date"),
+                             "creatinine_date", "creatinine_result")
+        return got.select("mrn", "creatinine_date", "n_readings", *FEATURE_COLUMNS)
     if method == "stream":
         from .running import running_features_stream
         return running_features_stream(measurements)
@@ -188,6 +194,61 @@ def relative_seconds(measurements: DataFrame) -> DataFrame:
                 F.lit(0.0))))
 
 
+def training_statistics(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """A13 on the long form: the statistics of each patient's row of K results,
+    K the longest history, where a missing result and every slot after the
+    last reading is 0.  Nothing is pivoted: the K - n zeros enter in closed
+    form.  They lower the mean, join the squared deviations, bound the
+    extremes, stand between the negative and the other values (which moves
+    the middle ranks), add the steps last -> 0 and 0 -> 0, and are the most recent value.
+    """
+    from .quantile import rank_ranges
+
+    r = F.col("creatinine_result")
+    m = measurements.select("mrn", "creatinine_date", F.coalesce(r, F.lit(0.0)).alias("creatinine_result"))
+    per = m.groupBy("mrn").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(r).alias("total"), F.avg(r).alias("avg"), F.var_pop(r).alias("var"), F.max(r).alias("high"),
+        F.min(r).alias("low"), F.max_by(r, "creatinine_date").alias("last"), F.count_if(r < 0).alias("negative"))
+    width = measurements.groupBy("mrn").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("k")).scalar()
+    per = per.withColumn("k", width).withColumn("zeros", F.col("k") - F.col("n"))
+    k, n, z = F.col("k"), F.col("n"), F.col("zeros")
+    ranges = rank_ranges(m, "mrn", "creatinine_result").join(per.select("mrn", "k", "zeros", "negative"), "mrn")
+
+    def value_rank(rank: Column) -> Column:
+        """The rank among the patient's own values; NULL where the padding holds it."""
+        return F.when(rank < F.col("negative"), rank).when(rank >= F.col("negative") + z, rank - z)
+
+    mid = {"lo": value_rank(F.floor((k - 1) / 2)), "hi": value_rank(F.floor(k / 2))}
+    hit = {c: F.coalesce((F.col("_lt") <= x) & (x < F.col("_le")), F.lit(False)) for c, x in mid.items()}
+    middle = ranges.groupBy("mrn").agg(*[F.coalesce(F.max(F.when(h, F.col("_v"))), F.lit(0.0)).alias(f"mid_{c}") for c, h in hit.items()])
+    steps = max_delta(m, chunk_seconds, none=None).withColumnRenamed("creatinine_max_delta", "step")
+    f = per.join(middle, "mrn").join(steps, "mrn", "left")
+    padded = z > 0
+    squares = F.col("var") * n + F.col("avg") * F.col("avg") * n * z / k
+    f = f.select(
+        "mrn", "k", (F.col("total") / k).alias("creatinine_mean"), ((F.col("mid_lo") + F.col("mid_hi")) / 2).alias("creatinine_median"),
+        F.when(padded, F.greatest("high", F.lit(0.0))).otherwise(F.col("high")).alias("creatinine_max"),
+        F.when(padded, F.least("low", F.lit(0.0))).otherwise(F.col("low")).alias("creatinine_min"),
+        F.coalesce(F.greatest("step", F.when(padded, -F.col("last")), F.when(z > 1, F.lit(0.0))), F.lit(0.0)).alias("creatinine_max_delta"),
+        F.when(k > 1, F.sqrt(squares / (k - 1))).alias("creatinine_std"),
+        F.when(padded, F.lit(0.0)).otherwise(F.col("last")).alias("most_recent"))
+    return f.withColumns({"rv1_ratio": ratio(F.col("most_recent"), F.col("creatinine_min")),
+                          "rv2_ratio": ratio(F.col("most_recent"), F.col("creatinine_median"))})
+
+
+def training_slots(measurements: DataFrame, pad_to: int = 50) -> DataFrame:
+    """A13's raw slots on the long form (mrn, slot, relative_seconds,
+    creatinine_result, width): dates as seconds after the patient's first one, a
+    missing result as 0.  ``width`` is the row's number of slots (the longest history,
+    at least ``pad_to``); the slots after a patient's last one are 0 and not listed."""
+    from .reshape import slot_index
+
+    width = measurements.groupBy("mrn").agg(F.count(F.lit(1)).alias("n")).agg(F.greatest(F.max("n"), F.lit(pad_to)).cast("int").alias("k")).scalar()
+    placed = slot_index(relative_seconds(measurements))
+    return placed.select("mrn", F.col("slot").cast("int").alias("slot"), "relative_seconds",
+                         F.coalesce("creatinine_result", F.lit(0.0)).alias("creatinine_result"), width.alias("width"))
+
+
 def _arr_stats(vals: Column, n: int) -> dict[str, Column]:
     """Row-local statistics over an array column of n non-NULL doubles."""
     srt = F.array_sort(vals)

@@ -11,7 +11,7 @@ be unique within a key (a table key, an arrival number).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,6 +72,19 @@ def keyed_row_number(df: DataFrame, key: str, order: str, out: str = "slot",
              .drop("_chunk", "_rn", "_off"))
 
 
+def keyed_last(df: DataFrame, key: str, order: list[str], value: Column, out: str,
+               chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+    """The last non-NULL ``value`` up to each row of its key, in ``order``
+    (whose first column is a time, which cuts the chunks)."""
+    c = df.withColumns({"_v": value, "_chunk": F.coalesce(F.floor(F.unix_seconds(order[0]) / chunk_seconds), F.lit(-1 << 62))})
+    inside = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per = c.groupBy(key, "_chunk").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    border = per.select(key, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_border"))
+    return (c.withColumn("_in", F.last("_v", ignorenulls=True).over(inside)).join(border, [key, "_chunk"], "left")
+             .withColumn(out, F.coalesce("_in", "_border")).drop("_v", "_chunk", "_in", "_border"))
+
+
 def keyed_lag(df: DataFrame, key: str, order: str, value: str, out: str = "prev",
               chunk_seconds: int | None = DEFAULT_CHUNK_SECONDS, chunk_rows: int | None = None) -> DataFrame:
     """Value of the previous row of the same key in ``order`` order (NULL for

@@ -35,9 +35,10 @@ def log_block(x, resolution: int = 1024):
     return (F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0))).cast("long")
 
 
-def exact_median(df: DataFrame, key: str, value: str, out: str = "median",
-                 blocks: int | None = None, resolution: int = 1024) -> DataFrame:
-    """``blocks``: cut values at that many global quantiles (one extra pass
+def rank_ranges(df: DataFrame, key: str, value: str, blocks: int | None = None, resolution: int = 1024) -> DataFrame:
+    """(key, _v, _n, _lt, _le): of every distinct value of a key, how many
+    rows lie below it and how many at or below it, and the key's rows.
+    ``blocks``: cut values at that many global quantiles (one extra pass
     over the data); default: data-independent ``log_block`` buckets."""
     v = df.select(key, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = v.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -57,10 +58,16 @@ def exact_median(df: DataFrame, key: str, value: str, out: str = "median",
     offs = per_blk.select(key, "_blk", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"),
                           F.sum("_bc").over(Window.partitionBy(key)).alias("_n"))
     inside = Window.partitionBy(key, "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = (counts.withColumn("_in", F.sum("_c").over(inside))
-                 .join(offs, [key, "_blk"])
-                 .select(key, "_v", "_n", (F.col("_off") + F.col("_in")).alias("_le"),
-                         (F.col("_off") + F.col("_in") - F.col("_c")).alias("_lt")))
+    return (counts.withColumn("_in", F.sum("_c").over(inside))
+                  .join(offs, [key, "_blk"])
+                  .select(key, "_v", "_n", (F.col("_off") + F.col("_in")).alias("_le"),
+                          (F.col("_off") + F.col("_in") - F.col("_c")).alias("_lt")))
+
+
+def exact_median(df: DataFrame, key: str, value: str, out: str = "median",
+                 blocks: int | None = None, resolution: int = 1024) -> DataFrame:
+    """The median of every key, by ``rank_ranges``."""
+    cum = rank_ranges(df, key, value, blocks, resolution)
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.ceil((F.col("_n") - 1) / 2)
     hit_lo = (F.col("_lt") <= lo) & (lo < F.col("_le"))

@@ -59,6 +59,24 @@ def slot_index(measurements: DataFrame, chunk_seconds: int | None = DEFAULT_CHUN
     return keyed_row_number(measurements, "mrn", "creatinine_date", "slot", chunk_seconds, chunk_rows)
 
 
+def history_rows(measurements: DataFrame) -> DataFrame:
+    """R2 with a fixed number of columns: (mrn, slots), one wide row a
+    patient, slots its (creatinine_date, creatinine_result) in date order (the slot number is the
+    place in the array).  A wide row holds its patient whole by definition; the plan
+    does not grow with the longest history."""
+    pair = F.struct("creatinine_date", "creatinine_result")
+    return measurements.groupBy("mrn").agg(F.sort_array(F.collect_list(pair)).alias("slots"))
+
+
+def unpivot_rows(rows: DataFrame, first_slot: int = 0, keep_empty: bool = False, extra: list[str] | None = None) -> DataFrame:
+    """R1 on wide rows (mrn, slots, ...): (mrn, slot, creatinine_date,
+    creatinine_result).  Slots where either value is missing are dropped unless
+    ``keep_empty`` (F2)."""
+    long = rows.select("mrn", *(extra or []), F.posexplode("slots").alias("slot", "_pair")).select(
+        "mrn", *(extra or []), "slot", "_pair.creatinine_date", "_pair.creatinine_result").where(F.col("slot") >= first_slot)
+    return long if keep_empty else long.where(F.col("creatinine_date").isNotNull() & F.col("creatinine_result").isNotNull())
+
+
 def pivot_history(measurements: DataFrame, width: int, date_format: str | None = "yyyy-MM-dd HH:mm:ss",
                   patients: DataFrame | None = None) -> DataFrame:
     """R2: long -> wide ``creatinine_date_i, creatinine_result_i`` for i < width.

@@ -111,24 +111,26 @@ def q_upsert_applied(spark, sf):
 
 
 def _wide(spark, sf, types=None):
-    """The wide history table (as stored upstream): pivoted once and written
-    under the shared checkpoint root, so every consumer reads a table
-    instead of re-planning the pivot in each branch."""
+    """The wide history table as columns, pivoted once and written under the
+    shared checkpoint root (for ``pad_to_50``, whose operator adds columns)."""
     from ..operators.store import write_snapshot
     m = _meas(spark, sf, "second", types)
     width = m.groupBy("mrn").count().agg(F.max("count")).first()[0] or 0
     return write_snapshot(spark, R.pivot_history(m, width), "wide_history"), width
 
 
+def _rows(spark, sf, types=None):
+    """The wide history table, one row a patient, its slots in an array; written once."""
+    from ..operators.store import write_snapshot
+    return write_snapshot(spark, R.history_rows(_meas(spark, sf, "second", types)), "wide_rows")
+
+
 @query("unpivot_history", f"""
 WITH {S.MEASUREMENTS}
 SELECT mrn, CAST(row_number() OVER (PARTITION BY mrn ORDER BY creatinine_date) - 1 AS INTEGER) AS slot,
        creatinine_date, creatinine_result FROM measurements_b""")
 def q_unpivot(spark, sf):
-    wide, _ = _wide(spark, sf)
-    long = R.unpivot_history(wide)
-    return long.select("mrn", "slot", F.col("creatinine_date").cast("timestamp").alias("creatinine_date"),
-                       F.col("creatinine_result").cast("double").alias("creatinine_result"))
+    return R.unpivot_rows(_rows(spark, sf))
 
 
 @query("complete_pairs", f"""
@@ -136,8 +138,7 @@ WITH {S.MEASUREMENTS}
 SELECT mrn, count(*) AS n_pairs, count(*) FILTER (WHERE creatinine_result IS NOT NULL) AS n_results
 FROM measurements_b GROUP BY mrn""")
 def q_complete_pairs(spark, sf):
-    wide, _ = _wide(spark, sf)
-    long = R.unpivot_history(wide, keep_empty=True)
+    long = R.unpivot_rows(_rows(spark, sf), keep_empty=True)
     ok = long.where(F.col("creatinine_date").isNotNull() & F.col("creatinine_result").isNotNull())
     return ok.groupBy("mrn").agg(F.count(F.lit(1)).alias("n_pairs"),
                                  F.count("creatinine_result").alias("n_results"))
@@ -146,9 +147,7 @@ def q_complete_pairs(spark, sf):
 @query("max_slot_index", f"""
 WITH {S.MEASUREMENTS} SELECT CAST(max(c) - 1 AS INTEGER) AS max_slot FROM (SELECT count(*) AS c FROM measurements_b GROUP BY mrn)""")
 def q_max_slot(spark, sf):
-    wide, _ = _wide(spark, sf)
-    long = R.unpivot_history(wide, keep_empty=True)
-    return long.agg(F.max("slot").cast("int").alias("max_slot"))
+    return _rows(spark, sf).agg((F.max(F.size("slots")) - 1).cast("int").alias("max_slot"))
 
 
 @query("pivot_history", f"""
@@ -159,15 +158,12 @@ SELECT mrn, count(*) AS n_slots, string_agg(d, ';' ORDER BY slot) AS dates,
        round(sum(r), 6) AS result_sum FROM s GROUP BY mrn""")
 def q_pivot(spark, sf):
     """The wide row, checked through what it holds: slot count, dates in slot
-    order and the result total (the width depends on the data)."""
-    wide, width = _wide(spark, sf)
-    dates = F.array(*[F.col(f"{R.DATE_PREFIX}{i}") for i in range(width)])
-    res = F.array(*[F.col(f"{R.RESULT_PREFIX}{i}") for i in range(width)])
-    present = F.filter(dates, lambda x: x.isNotNull())
-    return wide.select("mrn", F.size(present).cast("bigint").alias("n_slots"),
-                       F.array_join(present, ";").alias("dates"),
-                       F.round(F.aggregate(F.filter(res, lambda x: x.isNotNull()), F.lit(0.0),
-                                           lambda a, x: a + x), 6).alias("result_sum"))
+    order and the result total."""
+    result = F.transform("slots", lambda s: s["creatinine_result"])
+    return _rows(spark, sf).select(
+        "mrn", F.size("slots").cast("bigint").alias("n_slots"),
+        F.array_join(F.transform("slots", lambda s: F.date_format(s["creatinine_date"], "yyyy-MM-dd HH:mm:ss")), ";").alias("dates"),
+        F.round(F.aggregate(F.filter(result, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x), 6).alias("result_sum"))
 
 
 @query("pad_to_50", f"""
@@ -234,9 +230,19 @@ SELECT mrn, {S.r9(FEATURE_COLUMNS[:7])},
   round({S.ratio('most_recent', 'creatinine_median')}, 9) AS rv2_ratio
 FROM tf""")
 def q_features_training(spark, sf):
-    wide, _ = _wide(spark, sf)
-    t = feat.features_training(wide)
-    return _r9(t.select("mrn", *FEATURE_COLUMNS))
+    return _r9(feat.training_statistics(_meas(spark, sf)).select("mrn", *FEATURE_COLUMNS))
+
+
+@query("training_slots", f"""
+WITH {S.MEASUREMENTS},
+k AS (SELECT CAST(greatest(50, max(c)) AS INTEGER) AS width FROM (SELECT count(*) AS c FROM measurements_b GROUP BY mrn))
+SELECT mrn, CAST(row_number() OVER (PARTITION BY mrn ORDER BY creatinine_date) - 1 AS INTEGER) AS slot,
+       epoch_us(creatinine_date) / 1e6 - epoch_us(min(creatinine_date) OVER (PARTITION BY mrn)) / 1e6 AS relative_seconds,
+       coalesce(creatinine_result, 0) AS creatinine_result, width
+FROM measurements_b CROSS JOIN k""")
+def q_training_slots(spark, sf):
+    """A13's other columns: relative dates, zero-filled results and the padded width of every row."""
+    return feat.training_slots(_meas(spark, sf))
 
 
 # ---- evaluation (labels: quality = truth, toxic = prediction, n_chars = score)

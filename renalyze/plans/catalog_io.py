@@ -18,12 +18,8 @@ from ..session import scratch_path
 from ..sources import files
 from . import sql as S
 from .catalog import _meas, query
-from .catalog_features import _wide
-
-
-def _typed_long(long):
-    return long.select("mrn", "slot", F.col("creatinine_date").cast("timestamp").alias("creatinine_date"),
-                       F.col("creatinine_result").cast("double").alias("creatinine_result"))
+from .catalog_features import _rows
+from .load import history_tables
 
 
 _SLOTS_SQL = f"""
@@ -32,25 +28,27 @@ SELECT mrn, CAST(row_number() OVER (PARTITION BY mrn ORDER BY creatinine_date) -
        creatinine_date, creatinine_result FROM measurements_b"""
 
 
+def _history_csv(spark, sf, types=None):
+    """The wide history CSV, as stored upstream."""
+    path = scratch_path(spark, "history_csv")
+    files.write_wide_history(_rows(spark, sf, types), path)
+    return path
+
+
 @query("scan_wide_history", _SLOTS_SQL)
 def q_scan_wide(spark, sf):
-    wide, _ = _wide(spark, sf)
-    path = scratch_path(spark, "history_csv")
-    files.write_csv(wide, path)
-    back = files.scan_wide_history(spark, path)
-    return _typed_long(R.unpivot_history(back))
+    return files.typed_cells(R.unpivot_rows(files.scan_wide_rows(spark, _history_csv(spark, sf))))[0]
 
 
 def _labelled(spark, sf):
     m = _meas(spark, sf)
-    wide, _ = _wide(spark, sf)
     stats = m.groupBy("mrn").agg(
         F.min("creatinine_result").alias("mn"), F.percentile("creatinine_result", F.lit(0.5)).alias("med"),
         F.max_by("creatinine_result", "creatinine_date").alias("mr"))
     hit = (F.coalesce(ratio(F.col("mr"), F.col("mn")) >= 1.5, F.lit(False)) |
            F.coalesce(ratio(F.col("mr"), F.col("med")) >= 1.5, F.lit(False)))
     aki = stats.select("mrn", scoring.label_text(F.when(hit, 1).otherwise(0)).alias("aki"))
-    return (wide.join(B.patients(spark, sf), "mrn", "left").join(aki, "mrn", "left"))
+    return _rows(spark, sf).join(B.patients(spark, sf), "mrn", "left").join(aki, "mrn", "left")
 
 
 @query("scan_labelled", f"""
@@ -63,11 +61,10 @@ SELECT a.mrn, p.age, p.sex,
 FROM a LEFT JOIN patients_b p ON a.mrn = p.mrn""")
 def q_scan_labelled(spark, sf):
     path = scratch_path(spark, "labelled_csv")
-    files.write_csv(_labelled(spark, sf), path)
-    back = files.scan_labelled(spark, path)
-    long = R.unpivot_history(back, extra=["age", "sex", "aki"])
+    files.write_wide_history(_labelled(spark, sf), path, ["age", "sex", "aki"])
+    long = R.unpivot_rows(files.scan_wide_rows(spark, path), extra=["age", "sex", "aki"])
     return long.groupBy("mrn").agg(
-        F.first(F.col("age").cast("int")).alias("age"), F.first("sex").alias("sex"),
+        F.first(F.col("age").try_cast("int")).alias("age"), F.first("sex").alias("sex"),
         F.first(scoring.encode_label(F.col("aki"))).alias("aki"),
         F.count(F.lit(1)).alias("n_readings"))
 
@@ -100,71 +97,41 @@ def q_scan_tables(spark, sf):
     return patient_history(p, m)
 
 
-def _bulk_load(spark, sf):
+def _bulk_load(spark, sf, types=None):
     """Wide history CSV -> Patients (age, sex NULL) + Measurements, behind the
     empty-tables gate, into freshly created (empty) tables."""
-    from ..functions.dates import parse_date_strict
-    wide, _ = _wide(spark, sf, ["click", "view"])
-    path = scratch_path(spark, "history_csv")
-    files.write_csv(wide, path)
-    back = files.scan_wide_history(spark, path)
-    patients0 = spark.createDataFrame([], PATIENTS)
-    meas0 = spark.createDataFrame([], MEASUREMENTS)
-    long = R.unpivot_history(back)
-    long = long.select("mrn", parse_date_strict(F.col("creatinine_date")).alias("creatinine_date"),
-                       F.col("creatinine_result").cast("double").alias("creatinine_result"),
-                       "slot").where(F.col("creatinine_date").isNotNull())
-    long = store.load_gate(long, {"patients": patients0, "measurements": meas0})
-    new_p = back.select("mrn", F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"),
-                        F.monotonically_increasing_id().alias("arrival"))
-    pats = store.upsert_patients(patients0, store.load_gate(new_p, {"patients": patients0, "measurements": meas0}))
-    meas = store.upsert_measurements(meas0, long.withColumn("arrival", F.col("slot").cast("bigint")))
-    return pats, meas
+    empty = {"patients": spark.createDataFrame([], PATIENTS), "measurements": spark.createDataFrame([], MEASUREMENTS)}
+    pats, meas, _ = history_tables(files.scan_wide_rows(spark, _history_csv(spark, sf, types)))
+    no_arrival = F.lit(0).cast("bigint").alias("arrival")
+    return (store.upsert_patients(empty["patients"], store.load_gate(pats.select("*", no_arrival), empty)),
+            store.upsert_measurements(empty["measurements"], store.load_gate(meas.select("*", no_arrival), empty)))
 
 
 @query("bulk_load_history", f"""
 WITH {S.mrows("r", "second", ("click", "view"))}, {S.keyed("k", "r")}
 SELECT mrn, creatinine_date, creatinine_result FROM k""")
 def q_bulk_load(spark, sf):
-    return _bulk_load(spark, sf)[1]
+    return _bulk_load(spark, sf, ["click", "view"])[1]
 
 
 @query("bulk_load_patients", """
 SELECT DISTINCT CAST(user_id AS VARCHAR) AS mrn, CAST(NULL AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS sex
 FROM events WHERE event_type IN ('click', 'view')""")
 def q_bulk_load_patients(spark, sf):
-    return _bulk_load(spark, sf)[0]
-
-
-def _bulk_load_all(spark, sf):
-    """Every reading as a long history CSV (its width does not depend on the
-    longest history) -> Patients + Measurements, behind the same gate."""
-    m = _meas(spark, sf)
-    path = scratch_path(spark, "history_long_csv")
-    files.write_csv(m.select("mrn", F.col("creatinine_date").alias("measurement_date"),
-                             F.col("creatinine_result").alias("measurement_value")), path)
-    back = files.scan_measurements_csv(spark, path)
-    empty = {"patients": spark.createDataFrame([], PATIENTS), "measurements": spark.createDataFrame([], MEASUREMENTS)}
-    long = back.select("mrn", F.col("measurement_date").alias("creatinine_date"),
-                       F.col("measurement_value").alias("creatinine_result"), F.lit(0).cast("bigint").alias("arrival"))
-    new_p = back.select("mrn", F.lit(None).cast("int").alias("age"), F.lit(None).cast("string").alias("sex"),
-                        F.lit(0).cast("bigint").alias("arrival")).distinct()
-    pats = store.upsert_patients(empty["patients"], store.load_gate(new_p, empty))
-    meas = store.upsert_measurements(empty["measurements"], store.load_gate(long.where("creatinine_date IS NOT NULL"), empty))
-    return pats, meas
+    return _bulk_load(spark, sf, ["click", "view"])[0]
 
 
 @query("bulk_load_history_all", f"""
 WITH {S.MEASUREMENTS} SELECT mrn, creatinine_date, creatinine_result FROM measurements_b""")
-def q_bulk_load_all(spark, sf):
-    return _bulk_load_all(spark, sf)[1]
+def q_bulk_load(spark, sf):
+    return _bulk_load(spark, sf)[1]
 
 
 @query("bulk_load_patients_all", f"""
 WITH {S.MEASUREMENTS}
 SELECT DISTINCT mrn, CAST(NULL AS INTEGER) AS age, CAST(NULL AS VARCHAR) AS sex FROM measurements_b""")
 def q_bulk_load_patients_all(spark, sf):
-    return _bulk_load_all(spark, sf)[0]
+    return _bulk_load(spark, sf)[0]
 
 
 @query("sink_predictions", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'y' ELSE 'n' END AS aki FROM labels")

@@ -62,14 +62,10 @@ def q_append_strict(spark, sf):
 
 
 def _wide_long(spark, sf, types):
-    """Long form of a wide history with empty slots (mrn, slot, date, result)."""
+    """Long form of a wide history with empty slots up to the fixed width (mrn, slot, date, result)."""
     from ..operators import reshape as R
-    m = _meas(spark, sf, "second", types)
-    width = m.groupBy("mrn").count().agg(F.max("count")).first()[0] or 0
-    wide = R.pivot_history(m, width, date_format=None)
-    long = R.unpivot_history(wide, keep_empty=True)
-    long = long.select("mrn", "slot", F.col("creatinine_date").cast("timestamp").alias("creatinine_date"),
-                       F.col("creatinine_result").cast("double").alias("creatinine_result"))
+    long = R.pad_history(_meas(spark, sf, "second", types)).select(
+        "mrn", "slot", "creatinine_date", F.when(~F.col("padded"), F.col("creatinine_result")).alias("creatinine_result"))
     # the stored wide table: written once, read by every branch of the append
     return store.write_snapshot(spark, long, "wide_long")
 

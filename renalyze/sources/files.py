@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hl7
+from ..operators.reshape import DATE_PREFIX, RESULT_PREFIX
 
 
 # ---------------------------------------------------------------- CSV
@@ -21,6 +22,66 @@ def scan_wide_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def write_wide_history(rows: DataFrame, path: str, extra: list[str] | None = None) -> None:
+    """Wide rows (mrn, slots, ...) as a wide history CSV.  A line is rendered
+    from its row alone; only the header depends on the longest history."""
+    extra = extra or []
+    width = rows.agg(F.max(F.size("slots"))).first()[0] or 0
+    names = ["mrn", *(c for i in range(width) for c in (f"{DATE_PREFIX}{i}", f"{RESULT_PREFIX}{i}")), *extra]
+    cells = F.flatten(F.transform("slots", lambda s: F.array(
+        F.coalesce(F.date_format(s["creatinine_date"], "yyyy-MM-dd HH:mm:ss"), F.lit("")),
+        F.coalesce(s["creatinine_result"].cast("string"), F.lit("")))))
+    # concat_ws skips NULLs only, so a patient without slots keeps its one cell
+    line = F.concat(F.concat_ws(",", "mrn", F.when(F.size("slots") > 0, F.array_join(cells, ","))),
+                    F.repeat(F.lit(","), 2 * (F.lit(width) - F.size("slots"))),
+                    *[F.concat(F.lit(","), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in extra])
+    # one column named by the whole header: every part file begins with it
+    (rows.select(line.alias(",".join(names))).write.mode("errorifexists")
+         .option("header", True).option("sep", "\x01").option("quote", "").csv(path))
+
+
+def scan_wide_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Wide history CSV as wide rows: its other columns (text) and ``slots``,
+    an array of (creatinine_date, creatinine_result) texts.
+
+    The plan has a fixed number of columns: a line is split into cells and the
+    slots are cut from the array by place.  The header (one line, sent to the
+    driver) says where they begin; blank cells are NULL.
+    """
+    text = spark.read.text(path)
+    header = text.where(F.col("value").contains(DATE_PREFIX)).first()
+    if header is None:
+        raise ValueError(f"no wide history header in {path}")
+    names = [c.strip().strip('"') for c in header[0].split(",")]
+    numbers = sorted(int(c[len(DATE_PREFIX):]) for c in names if c.startswith(DATE_PREFIX))
+    place = {c: k for k, c in enumerate(names)}
+    base, n = place[f"{DATE_PREFIX}{numbers[0]}"], len(numbers)
+    regular = all(place.get(f"{DATE_PREFIX}{numbers[0] + i}") == base + 2 * i
+                  and place.get(f"{RESULT_PREFIX}{numbers[0] + i}") == base + 2 * i + 1 for i in range(n))
+    if not regular:
+        raise ValueError("the slots of a wide history must be neighbouring columns in order (see scan_wide_history)")
+    quoted = F.transform(F.split("value", ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda c: F.regexp_replace(c, '^"|"$', ""))
+    cells = F.when(F.col("value").contains('"'), quoted).otherwise(F.split("value", ",", -1))
+    lines = text.where(F.col("value") != header[0]).select(F.transform(cells, lambda c: F.nullif(F.trim(c), F.lit(""))).alias("_c"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
+        F.get(F.col("_c"), F.lit(base) + 2 * i).alias("creatinine_date"), F.get(F.col("_c"), F.lit(base + 1) + 2 * i).alias("creatinine_result")))
+    first = F.slice(F.transform(F.array(F.lit(None)), lambda x: F.struct(F.lit(None).cast("string").alias("creatinine_date"),
+                                                                         F.lit(None).cast("string").alias("creatinine_result"))), 1, 1)
+    lead = F.array_repeat(F.get(first, 0), numbers[0])           # a file that begins at a later slot
+    others = [c for c in names if not c.startswith((DATE_PREFIX, RESULT_PREFIX))]
+    return lines.select(*[F.get(F.col("_c"), place[c]).alias(c) for c in others], F.concat(lead, slots).alias("slots"))
+
+
+def typed_cells(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long text cells (mrn, slot, creatinine_date, creatinine_result) ->
+    (typed rows, cells that do not parse with the reason)."""
+    date = F.try_to_timestamp("creatinine_date", F.lit("yyyy-MM-dd HH:mm:ss"))
+    value = F.col("creatinine_result").try_cast("double")
+    reason = F.when(date.isNull(), "bad_date").when(value.isNull(), "bad_result")
+    good = long.where(reason.isNull()).withColumns({"creatinine_date": date, "creatinine_result": value})
+    return good, long.where(reason.isNotNull()).withColumn("reason", reason)
+
+
 def scan_labelled(spark: SparkSession, path: str) -> DataFrame:
     """Labelled wide CSV (wide history + age, sex, aki), all text."""
     return scan_wide_history(spark, path)

@@ -15,8 +15,8 @@ not held in JVM memory between batches.  Each output row also says whether
 the result repeats a stored reading exactly (a redelivered message), which
 the alert sink uses to avoid paging twice.
 
-``history_batch`` runs the same ``Replay`` over a table (W4): one shuffle by
-patient, rows sorted by arrival within partitions, ``mapInPandas``.
+``history_batch`` gives the same rows over a table (W4), by the array and
+block computation of ``operators.asof``.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import asof, ordered
 from ..schemas import FEATURE_COLUMNS, SEX_VALUES
 
 OUTPUT_SCHEMA = ("mrn string, msg_time timestamp, control_id string, creatinine_date timestamp, "
@@ -198,8 +199,7 @@ _IN_COLS = ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinin
 
 class Replay:
     """One patient's replay in arrival order: admission flag, demographics
-    and readings, plus the output columns of the rows seen so far.  Shared
-    by the streaming processor and the batch replay.  ``held`` are results
+    and readings, plus the output columns of the rows seen so far.  ``held`` are results
     waiting for the patient's admission (kept with ``defer`` only)."""
 
     def __init__(self, st=None, defer=False):
@@ -356,36 +356,33 @@ def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFra
         outputMode="Append", timeMode="None", initialState=stored)
 
 
-def _replay(batches):
-    """mapInPandas body for ``history_batch``: rows arrive sorted by
-    (mrn, msg_time, control_id); one patient's replay at a time, carried
-    across Arrow batches."""
-    cur, rp = None, None
-    for b in batches:
-        col, vals = _columns(b)
-        mrns = b["mrn"].to_numpy(dtype=object)
-        out_mrn, frames = [], []
-        for i in range(len(b)):
-            if mrns[i] != cur:
-                if rp is not None and rp.out["status"]:
-                    frames.append(_frame(cur, rp.out))
-                cur, rp = mrns[i], Replay()
-            rp.feed(col["kind"][i], col["msg_time"][i], col["control_id"][i], col["base_known"][i],
-                    col["sex_ok"][i], col["creatinine_date"][i], vals[i], col["age"][i], col["sex"][i],
-                    col["base_age"][i], col["base_sex"][i])
-        if rp is not None and rp.out["status"]:           # flush what this batch produced
-            frames.append(_frame(cur, rp.out))
-            rp.out = {c: [] for c in _OUT_COLS}
-        if frames:
-            yield pd.concat(frames, ignore_index=True)
-
-
-def history_batch(parsed: DataFrame, patients: DataFrame) -> DataFrame:
-    """W4 in batch: the same per-patient replay as the state processor, run
-    over a table.  One shuffle by patient, rows sorted by (mrn, message time,
-    control id) within partitions and streamed through ``mapInPandas``; a
-    patient's rows are replayed in arrival order with the processor's own
-    logic, keeping only that patient's history in memory."""
+def history_batch(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
+                  block: int = asof.BLOCK) -> DataFrame:
+    """W4 in batch: the rows the state processor emits, over a table.
+
+    Who is known at a message, with which age and sex, is the last valid
+    admission before it (``ordered.keyed_last``), else the stored patient; the
+    features come from ``asof.features_as_of``, which splits a patient of more than
+    ``block`` readings.  ``measurements`` are stored readings, older than any message."""
     inputs = keyed_inputs(parsed, patients)
-    ordered = inputs.repartition("mrn").sortWithinPartitions("mrn", "msg_time", "control_id")
-    return ordered.mapInPandas(_replay, OUTPUT_SCHEMA)
+    admitted = F.when((F.col("kind") == "adm") & F.col("sex_ok"), F.struct("age", "sex"))
+    seen = ordered.keyed_last(inputs, "mrn", ["msg_time", "control_id"], admitted, "_adm").where(F.col("kind") == "res")
+    code = F.lit(0)
+    sex = F.when(F.col("_adm").isNotNull(), F.col("_adm.sex")).otherwise(F.col("base_sex"))
+    for k, v in SEX_CODE.items():
+        code = F.when(sex == k, v).otherwise(code)
+    age = F.when(F.col("_adm").isNotNull(), F.col("_adm.age")).otherwise(F.col("base_age"))
+    row = ["mrn", "msg_time", "control_id", "creatinine_date", "creatinine_result"]
+    known = F.col("_adm").isNotNull() | F.col("base_known")
+    accepted = seen.where(known).select(*row, F.coalesce(age, F.lit(0)).cast("int").alias("age"), code.cast("int").alias("sex"),
+                                        F.lit(True).alias("arrived"))
+    unknown = seen.where(~known).select(*row)
+    if measurements is not None:
+        stored = measurements.where("creatinine_date IS NOT NULL").join(accepted.select("mrn").distinct(), "mrn", "left_semi")
+        accepted = accepted.unionByName(stored.select("mrn", "creatinine_date", "creatinine_result", F.lit(False).alias("arrived")),
+                                        allowMissingColumns=True)
+    arrival = F.struct("arrived", "msg_time", "control_id", "creatinine_date", "creatinine_result")
+    got = asof.features_as_of(accepted, arrival, "creatinine_date", "creatinine_result", F.col("arrived"), block)
+    both = got.withColumn("status", F.lit("accepted")).unionByName(
+        unknown.withColumn("status", F.lit("unknown_patient")), allowMissingColumns=True)
+    return both.select("mrn", "msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS)
