@@ -131,6 +131,28 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(key.alias("msg_id"), raw.alias("raw"))
 
 
+def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings stored before the feed: one per order (mrn, creatinine_date,
+    creatinine_result, arrival), its price in thousands."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return o.select(F.col("o_custkey").cast("string").alias("mrn"), F.col("o_orderdate").cast("timestamp").alias("creatinine_date"),
+                    (F.col("o_totalprice") / 1000).alias("creatinine_result"), F.col("o_orderkey").alias("arrival"))
+
+
+CORRECTED_AT = "20240201000000"            # after the feed
+
+
+def order_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """hl7_raw(msg_id, raw): after the feed, every stored reading is corrected
+    to half its value, of patients known, admitted by the feed, or neither."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    key = F.col("o_orderkey")
+    raw = F.concat(F.lit(f"MSH|^~\\&|ARCHIVE|NORTH LAB|||{CORRECTED_AT}||ORU^R01|COR"), key.cast("string"), F.lit("|2.5\rPID|1||"),
+                   F.col("o_custkey").cast("string"), F.lit("\rOBR|1||||||"), F.date_format("o_orderdate", "yyyyMMddHHmmss"),
+                   F.lit("\rOBX|1|SN|CREATININE||"), (F.col("o_totalprice") / 2000).cast("string"))
+    return o.select(key.alias("msg_id"), raw.alias("raw"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, label, prediction, score): quality is the truth, toxic the
     prediction, documents.n_chars the score (NULL when the doc is absent)."""

@@ -389,10 +389,10 @@ def features_as_of(rows: DataFrame, order: Column, date: str, value: str, live:
                                "_value": F.col(value).cast("double"), "_live": F.lit(True) if live is None else live})
     schema = T.StructType(rows.schema.fields + [T.StructField("repeat", T.BooleanType()), T.StructField("n_readings", T.LongType())]
                           + [T.StructField(c, T.DoubleType()) for c in FEATURE_COLUMNS])
-    large = written(rows.groupBy("mrn").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("mrn"), "asof-large")
+    large = rows.groupBy("mrn").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select("mrn")
     split = not large.isEmpty()
     if split:
-        staged = written(staged, "asof-input")
+        large, staged = written(large, "asof-large"), written(staged, "asof-input")
     small = staged.join(large, "mrn", "left_anti") if split else staged
     small = small.repartition("mrn").sortWithinPartitions("mrn", "_order").drop("_order").mapInPandas(_whole(keep), schema)
     if not split:

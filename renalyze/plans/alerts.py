@@ -146,6 +146,18 @@ def alerts_from_measurements(measurements: DataFrame) -> DataFrame:
     return scoring.alert_outbox(scored, "alert_time", dedupe=False)
 
 
+def arrival_alerts(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None, scorer=None) -> DataFrame:
+    """One decision per arriving result, over the stored readings and all that
+    has arrived by then: a reading that is corrected later has been decided on
+    already, and the correction is decided on again.  ``parsed`` carries its
+    arrival as ``ingest`` gives it; a result that repeats what is stored is not paged again."""
+    from ..streaming.state import history_batch
+    rows = history_batch(parsed, patients, measurements)
+    fresh = rows.where((F.col("status") == "accepted") & ~F.col("repeat"))
+    scored = (scorer or scoring.rule_score)(fresh).withColumn("alert_time", F.date_format("creatinine_date", "yyyyMMddHHmmss"))
+    return scoring.alert_outbox(scored, "alert_time")
+
+
 def alerts(hl7_raw: DataFrame, patients: DataFrame) -> DataFrame:
     """Flagship: the alert outbox (mrn, alert_ts, payload) of a message feed."""
     applied = apply_messages(parse_feed(hl7_raw), patients, materialize=True)

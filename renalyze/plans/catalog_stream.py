@@ -273,6 +273,50 @@ def q_stream_dedupe(spark, sf):
     return spark.read.parquet(out)
 
 
+# Stored readings (one per order), the feed, then a correction of every stored reading.
+_STORED_W4 = (_W4
+    .replace("WHERE r.obx_pos = 1),", """WHERE r.obx_pos = 1
+         UNION ALL SELECT -1 - o_orderkey, o_custkey::VARCHAR, TIMESTAMP '2024-02-01', 'COR' || o_orderkey, o_orderdate, o_totalprice / 2000
+         FROM orders),""")
+    .replace("pairs AS (", """hist AS (SELECT mrn, t, control_id, d, v FROM acc
+         UNION ALL SELECT o_custkey::VARCHAR, TIMESTAMP '1900-01-01', '', o_orderdate, o_totalprice / 1000 FROM orders
+         QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) = 1),
+pairs AS (""")
+    .replace("FROM acc k JOIN acc h", "FROM acc k JOIN hist h"))
+_STORED_ALERTS = f"""
+WITH {_STORED_W4}
+SELECT DISTINCT mrn, strftime(creatinine_date, '%Y%m%d%H%M%S') AS alert_ts,
+       mrn || ',' || strftime(creatinine_date, '%Y%m%d%H%M%S') AS payload
+FROM w4 WHERE rv1_ratio >= 1.5 OR rv2_ratio >= 1.5"""
+
+
+def _stored(spark, sf):
+    from ..operators.store import dedupe_last
+    return dedupe_last(B.order_readings(spark, sf), ["mrn", "creatinine_date"], ["creatinine_result"])
+
+
+@query("alerts_stored", _STORED_ALERTS)
+def q_alerts_stored(spark, sf):
+    """One decision per arriving message over stored readings, keys that are
+    overwritten later, and patients who are never admitted."""
+    from . import alerts as AL
+    texts = B.hl7_raw(spark, sf).select("raw").unionByName(B.order_corrections(spark, sf).select("raw"))
+    return AL.arrival_alerts(ingest.parse_texts(texts), B.patients(spark, sf), _stored(spark, sf))
+
+
+@query("stream_alerts_stored", _STORED_ALERTS)
+def q_stream_alerts_stored(spark, sf):
+    """The same in the patient state: stored readings begin it, the feed and the corrections are two batches."""
+    for k, v in state.STATE_CONF.items():
+        spark.conf.set(k, v)
+    landing = _landing_parts(spark, sf, [F.lit(True)])
+    files.write_capture(B.order_corrections(spark, sf).coalesce(1), f"{landing}/part1")
+    out, ck = scratch_path(spark, "alerts_out"), scratch_path(spark, "ckpt")
+    feats = state.history_stream(ingest.parsed_stream(spark, landing, _IN_TURN), B.patients(spark, sf), _stored(spark, sf))
+    sinks.run_available_now(feats, ck, foreach_batch=sinks.alert_writer(out))
+    return spark.read.parquet(out).select("mrn", "alert_ts", "payload").dropDuplicates()
+
+
 # Held-back results take effect with the patient's first admission, in the order they arrived in.
 _DEFERRED = f"""{_FRESH},
 first_a AS (SELECT mrn, t, control_id FROM gadm QUALIFY row_number() OVER (PARTITION BY mrn ORDER BY t, control_id) = 1),

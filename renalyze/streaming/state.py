@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import asof, ordered
+from ..operators import asof, ordered, positions
 from ..schemas import FEATURE_COLUMNS, SEX_VALUES
 
 OUTPUT_SCHEMA = ("mrn string, msg_time timestamp, control_id string, creatinine_date timestamp, "
@@ -364,9 +364,10 @@ def history_batch(parsed: DataFrame, patients: DataFrame, measurements: DataFram
     admission before it (``ordered.keyed_last``), else the stored patient; the
     features come from ``asof.features_as_of``, which splits a patient of more than
     ``block`` readings.  ``measurements`` are stored readings, older than any message."""
-    inputs = keyed_inputs(parsed, patients)
+    inputs = positions.written(keyed_inputs(parsed, patients), "arrivals")       # each message is parsed once
     admitted = F.when((F.col("kind") == "adm") & F.col("sex_ok"), F.struct("age", "sex"))
-    seen = ordered.keyed_last(inputs, "mrn", ["msg_time", "control_id"], admitted, "_adm").where(F.col("kind") == "res")
+    seen = positions.written(ordered.keyed_last(inputs, "mrn", ["msg_time", "control_id"], admitted, "_adm")
+                             .where(F.col("kind") == "res"), "arrived-results")
     code = F.lit(0)
     sex = F.when(F.col("_adm").isNotNull(), F.col("_adm.sex")).otherwise(F.col("base_sex"))
     for k, v in SEX_CODE.items():
