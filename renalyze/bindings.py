@@ -31,7 +31,7 @@ RESULT_EVENT_TYPES = ["click", "view", "purchase"]
 SEX_BY_MOD3 = ["F", "M", "Other"]          # key % 3 -> sex
 DOB_ORIGIN = "1930-01-01"                  # dob = origin + (user_id * 7919) % 25000 days
 DOB_MULT, DOB_SPAN = 7919, 25000
-SENDER = "SIMULATION|SOUTH RIVERSIDE"
+SENDER = "WARDFEED|EAST CLINIC"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -178,9 +178,9 @@ def _payloads(spark, sf):
 @query("validate_alert_payload", """
 SELECT event_id,
   CASE WHEN event_type IN ('click', 'view') THEN true ELSE false END AS ok,
-  CASE WHEN event_type = 'purchase' THEN 'bad MRN in body'
-       WHEN event_type = 'signup' THEN 'bad timestamp in body'
-       WHEN event_type = 'error' THEN 'expected at most two values: mrn,timestamp' END AS error
+  CASE WHEN event_type = 'purchase' THEN 'bad_mrn'
+       WHEN event_type = 'signup' THEN 'bad_time'
+       WHEN event_type = 'error' THEN 'too_many_parts' END AS error
 FROM events""")
 def q_validate_payload(spark, sf):
     p = _payloads(spark, sf)
@@ -203,9 +203,9 @@ def _acks(spark, sf):
 
 @query("validate_ack", """
 SELECT event_id AS msg_id, event_type = 'click' AS acked,
-  CASE WHEN event_type = 'purchase' THEN 'Expected MSH segment'
-       WHEN event_type = 'signup' THEN 'Expected MSA segment'
-       WHEN event_type = 'error' THEN 'Wrong number of fields in MSA segment' END AS error
+  CASE WHEN event_type = 'purchase' THEN 'no_msh'
+       WHEN event_type = 'signup' THEN 'no_msa'
+       WHEN event_type = 'error' THEN 'short_msa' END AS error
 FROM events""")
 def q_validate_ack(spark, sf):
     a = _acks(spark, sf)

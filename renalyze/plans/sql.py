@@ -54,7 +54,7 @@ parsed AS (
 
 
 # The text of each message (a row of ``parsed``), as the binding renders it.
-RAW = """concat('MSH|^~\\&|SIMULATION|SOUTH RIVERSIDE|||', strftime(ts, '%Y%m%d%H%M%S'), '||', message_type, '|', control_id, '|2.5',
+RAW = """concat('MSH|^~\\&|WARDFEED|EAST CLINIC|||', strftime(ts, '%Y%m%d%H%M%S'), '||', message_type, '|', control_id, '|2.5',
   chr(13), 'PID|1||', CASE WHEN odd = 3 THEN 'MRN' || user_id WHEN adt_odd = 0 THEN '' ELSE user_id::VARCHAR END,
   CASE event_type
     WHEN 'signup' THEN concat('||P^', user_id, '||', strftime(dob, '%Y%m%d'), '|', CASE WHEN adt_odd = 1 THEN 'U' ELSE usex END,

@@ -10,9 +10,9 @@ from renalyze.functions import hl7
 from renalyze.operators.reassemble import reassemble
 from renalyze.sources import files
 
-A01 = "MSH|^~\\&|SIM|H|||202401201630||ADT^A01|||2.5\rPID|1||478237423||E H||19840203|F"
-ORU = "MSH|^~\\&|SIM|H|||202401202243||ORU^R01|||2.5\rPID|1||478237423\rOBR|1||||||202401202243\rOBX|1|SN|C||103.4"
-A03 = "MSH|^~\\&|SIM|H|||202401221000||ADT^A03|||2.5\rPID|1||478237423"
+A01 = "MSH|^~\\&|LAB|WEST|||202403051500||ADT^A01|||2.5\rPID|1||90210||ANY ONE||19611130|F"
+ORU = "MSH|^~\\&|LAB|WEST|||202403051517||ORU^R01|||2.5\rPID|1||90210\rOBR|1||||||202403051517\rOBX|1|SN|C||88.5"
+A03 = "MSH|^~\\&|LAB|WEST|||202403060900||ADT^A03|||2.5\rPID|1||90210"
 
 
 def frame(m):
@@ -68,12 +68,12 @@ def test_reassembly_open_tail(spark):
 
 
 PAYLOADS = [
-    ("1234", True, None),
-    ("NHS1234", False, "bad MRN in body"),
-    ("1234,202401221000", True, None),
-    ("1234,2024/01/22 10:00", False, "bad timestamp in body"),
-    ("NHS1234,202401221000", False, "bad MRN in body"),
-    ("1234,202401221000,unused", False, "expected at most two values: mrn,timestamp"),
+    ("8086", True, None),
+    ("X77", False, "bad_mrn"),
+    ("8086,202403051517", True, None),
+    ("77,2024/03/05 15:17", False, "bad_time"),
+    ("X77,202403051517", False, "bad_mrn"),
+    ("8086,202403051517,more", False, "too_many_parts"),
 ]
 
 
@@ -84,17 +84,17 @@ def test_alert_payload_validation(spark):
 
 
 def test_alert_timestamp_and_payload(spark):
-    df = spark.createDataFrame([("2025-02-07T12:30:00.123",), ("20240120 22:43",)], "t string")
+    df = spark.createDataFrame([("2024-11-19T04:05:06.789",), ("20240305 15:17",)], "t string")
     got = [r.p for r in df.select(hl7.alert_payload(F.lit(42), F.col("t")).alias("p")).collect()]
-    assert got == ["42,20250207123000", "42,202401202243"]
+    assert got == ["42,20241119040506", "42,202403051517"]
 
 
 ACKS = [
-    ("MSH|^~\\&|||||20240129093837||ACK|||2.5\rMSA|AA", True, None),
-    ("MSA|AA", False, "Expected MSH segment"),
-    ("MSH|^~\\&|||||20240129093837||ACK|||2.5", False, "Expected MSA segment"),
-    ("MSH|^~\\&|||||20240129093837||ACK|||2.5\rMSA", False, "Wrong number of fields in MSA segment"),
-    ("MSH|^~\\&|||||20240129093837||ACK|||2.5\rMSA|AE", False, None),
+    ("MSH|^~\\&|||||20240306081500||ACK|||2.5\rMSA|AA", True, None),
+    ("MSA|AA", False, "no_msh"),
+    ("MSH|^~\\&|||||20240306081500||ACK|||2.5", False, "no_msa"),
+    ("MSH|^~\\&|||||20240306081500||ACK|||2.5\rMSA", False, "short_msa"),
+    ("MSH|^~\\&|||||20240306081500||ACK|||2.5\rMSA|AE", False, None),
 ]
 
 

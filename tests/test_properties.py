@@ -39,40 +39,41 @@ def _float_or_none(text):
         return None
 
 
+REASONS = {          # the first that holds
+    "bad_mrn": lambda m: None in m["numbers"].values(),
+    "unknown_type": lambda m: m["type"] not in ROUTE,
+    "no_mrn": lambda m: m["type"] == "ADT^A01" and m["mrn"] is None,
+    "no_demographics": lambda m: m["type"] == "ADT^A01" and not m["demographics"],
+    "no_result": lambda m: m["type"] == "ORU^R01" and not m["tests"],
+}
+ROUTE = {"ADT^A01": "admissions", "ADT^A03": "discharges", "ORU^R01": "results"}
+
+
 def model(message: str):
-    """(route, reason, mrn, [(value, time)]) of one message, written from
-    the reading rules: state changes segment by segment."""
-    mtype, mrn, bad, demo, ttime, tests = None, None, False, False, None, []
-    for seg in message.strip(" \t\n\r\x0b\x0c").split("\r"):
-        f = seg.split("|")
-        name = f[0]
-        if name == "MSH":
-            mtype = f[8] if len(f) > 8 else None
-        elif name == "PID":
-            if len(f) > 3 and f[3]:
-                v = _int_or_none(f[3])
-                if v is None:
-                    bad = True
-                else:
-                    mrn = v
-            if mtype == "ADT^A01":
-                demo = True
-        elif name == "OBR" and mtype == "ORU^R01":
-            ttime = f[7] if len(f) > 7 and f[7] else DEFAULT
-        elif name == "OBX" and mtype == "ORU^R01" and mrn is not None:
-            tests.append((_float_or_none(f[5]) if len(f) > 5 and f[5] else None, ttime))
-    if bad:
-        return "quarantine", "bad_mrn", None, []
-    if mtype not in ("ADT^A01", "ADT^A03", "ORU^R01"):
-        return "quarantine", "unknown_type", mrn, []
-    if mtype == "ADT^A01" and mrn is None:
-        return "quarantine", "no_mrn", None, []
-    if mtype == "ADT^A01" and not demo:
-        return "quarantine", "no_demographics", mrn, []
-    if mtype == "ORU^R01" and not tests:
-        return "quarantine", "no_result", mrn, []
-    route = {"ADT^A01": "admissions", "ADT^A03": "discharges", "ORU^R01": "results"}[mtype]
-    return route, None, mrn, tests
+    """(route, reason, mrn, [(value, time)]) of one message, as statements
+    about places: what a segment means is given by the last segment of a kind before it."""
+    rows = [s.split("|") for s in message.strip(" \t\n\r\x0b\x0c").split("\r")]
+    places = {name: [i for i, r in enumerate(rows) if r[0] == name] for name in ("MSH", "PID", "OBR", "OBX")}
+
+    def cell(i, k):
+        return rows[i][k] if i is not None and len(rows[i]) > k else ""
+
+    def last(candidates, before):
+        return max((i for i in candidates if i < before), default=None)
+
+    def type_before(i):
+        return cell(last(places["MSH"], i), 8)
+
+    end = len(rows)
+    numbers = {i: _int_or_none(cell(i, 3)) for i in places["PID"] if cell(i, 3)}
+    timed = [i for i in places["OBR"] if type_before(i) == "ORU^R01"]
+    used = [i for i in places["OBX"] if type_before(i) == "ORU^R01" and last(numbers, i) is not None]
+    m = {"numbers": numbers, "type": type_before(end), "mrn": numbers.get(last(numbers, end)),
+         "demographics": [i for i in places["PID"] if type_before(i) == "ADT^A01"],
+         "tests": [(_float_or_none(cell(i, 5)) if cell(i, 5) else None,
+                    None if last(timed, i) is None else cell(last(timed, i), 7) or DEFAULT) for i in used]}
+    reason = next((r for r, holds in REASONS.items() if holds(m)), None)
+    return ("quarantine", reason, None, []) if reason else (ROUTE[m["type"]], None, m["mrn"], m["tests"])
 
 
 # ---------------------------------------------------------------- generator
