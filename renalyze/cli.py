@@ -1,6 +1,7 @@
 """Command-line jobs: the upstream's entry points as Spark jobs.
 
-    python -m renalyze.cli serve --landing DIR --tables DIR --out DIR [--available-now]
+    python -m renalyze.cli serve --landing DIR --tables DIR --out DIR [--available-now] [--model DIR]
+    python -m renalyze.cli replay-quarantine --tables DIR --out DIR
     python -m renalyze.cli load-history --history CSV --tables DIR
     python -m renalyze.cli split-history --history CSV --out DIR
     python -m renalyze.cli train --labelled CSV --model DIR
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,25 +89,32 @@ def predict(spark: SparkSession, labelled_csv: str, model_dir: str, out: str) ->
     return out
 
 
-def serve(spark: SparkSession, landing: str, tables: str, out: str, available_now: bool = False):
+def serve(spark: SparkSession, landing: str, tables: str, out: str, available_now: bool = False,
+          model_dir: str | None = None):
     """The live path as two streaming queries over the landing folder:
     tables + ACKs + quarantine (foreachBatch upserts, one version per batch)
-    and alerts (per-patient state, rule score, outbox)."""
+    and alerts (per-patient state, outbox), scored by the rule or, with
+    ``model_dir``, by a trained model compiled to a column."""
+    scorer = None
+    if model_dir:
+        model = _load(model_dir)
+        scorer = lambda df: scoring.compiled_predict(model, df)
     for k, v in state.STATE_CONF.items():
         spark.conf.set(k, v)
-    ck = checkpoint_root(spark)
+    # a restart with the same folders goes on; other folders are another service
+    ck = os.path.join(checkpoint_root(spark), f"serve-{zlib.crc32(f'{landing}|{tables}|{out}'.encode()):08x}")
     if live.committed(spark, tables) is None:
         live.create(spark, tables, spark.createDataFrame([], PATIENTS), spark.createDataFrame([], MEASUREMENTS))
     pats0, meas0 = live.snapshot(spark, tables, "patients"), live.snapshot(spark, tables, "measurements")
     parsed = ingest.parsed_stream(spark, landing, keep_bad=True)
     trigger = {"availableNow": True} if available_now else {"processingTime": "5 seconds"}
-    q1 = (parsed.writeStream.option("checkpointLocation", os.path.join(ck, "serve-tables"))
+    q1 = (parsed.writeStream.option("checkpointLocation", os.path.join(ck, "tables"))
                 .trigger(**trigger)
                 .foreachBatch(sinks.table_upsert_writer(tables, pats0, meas0, acks=f"{out}/acks"))
                 .start())
     feats = state.history_stream(ingest.parsed_stream(spark, landing), pats0, meas0, defer=True)
-    q2 = (feats.writeStream.option("checkpointLocation", os.path.join(ck, "serve-alerts"))
-               .trigger(**trigger).foreachBatch(sinks.alert_writer(f"{out}/alerts")).start())
+    q2 = (feats.writeStream.option("checkpointLocation", os.path.join(ck, "alerts"))
+               .trigger(**trigger).foreachBatch(sinks.alert_writer(f"{out}/alerts", scorer=scorer)).start())
     return q1, q2
 
 
@@ -119,6 +128,10 @@ def main(argv=None) -> None:
     s.add_argument("--tables", required=True)
     s.add_argument("--out", required=True)
     s.add_argument("--available-now", action="store_true")
+    s.add_argument("--model", default=None, help="page from this trained model instead of the rule")
+    s = sub.add_parser("replay-quarantine")
+    s.add_argument("--tables", required=True)
+    s.add_argument("--out", required=True)
     s = sub.add_parser("load-history")
     s.add_argument("--history", required=True)
     s.add_argument("--tables", required=True)
@@ -140,8 +153,10 @@ def main(argv=None) -> None:
         spark.stop()                                   # a static setting: needs a session built with it
         spark = get_session(app=f"renalyze-{a.cmd}", extra={"spark.checkpoint.dir": a.checkpoint})
     if a.cmd == "serve":
-        for q in serve(spark, a.landing, a.tables, a.out, a.available_now):
+        for q in serve(spark, a.landing, a.tables, a.out, a.available_now, a.model):
             q.awaitTermination()
+    elif a.cmd == "replay-quarantine":
+        print("released" if sinks.replay_quarantine(spark, a.tables, f"{a.out}/acks") else "nothing to release")
     elif a.cmd == "load-history":
         print("loaded" if load_history(spark, a.history, a.tables) else "tables not empty: nothing loaded")
     elif a.cmd == "split-history":

@@ -19,10 +19,6 @@ def ratio(num: Column, den: Column) -> Column:
              .otherwise(num.cast("double") / den.cast("double")))
 
 
-def nan_to_null(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def round9(c: Column) -> Column:
     """Rounding used for comparisons of double results (see README)."""
     return F.round(c, 9)

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hl7
-from ..session import spread_for_cpu
 
 ROUTES = {hl7.ADMISSION: "admissions", hl7.DISCHARGE: "discharges", hl7.RESULT: "results"}
 
@@ -33,7 +32,6 @@ def parse_messages(raw: DataFrame, default_time: Column | str | None = None,
     # struct a generated column, so the optimizer cannot substitute the
     # (large) fold into every later filter and projection that reads it.
     keep = [c for c in raw.columns]
-    raw = spread_for_cpu(raw)
     split_once = raw.select(*keep, F.inline(F.array(F.struct(
         hl7.fields(hl7.segments(F.col("raw"))).alias("_f"),
         hl7.default_time_text(dt).alias("_dt")))))

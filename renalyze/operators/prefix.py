@@ -1,56 +1,51 @@
 """Exact running sums over a whole table without one global window.
 
 A window with no partition key sorts every row in one task.  Here the order
-column is cut into ``blocks`` value ranges (bounds from ``approxQuantile``:
-a list of ``blocks - 1`` numbers, so the driver-side and broadcast sizes are
-fixed by the parameter, not by the data); each block's totals are a partial
-aggregate, the running sum over block totals is a window over ``blocks``
-rows, and the running sum inside a block is a window partitioned by block.
-Equal order values always fall in the same block, so ties stay together.
+column is cut into blocks that need no look at the data: log-scale buckets of
+a number (``quantile.log_block``), the first characters of a text.  A larger
+value never has a smaller block and equal values share one, so ties stay
+together.  Each block's totals are a partial aggregate, the running sum over
+them is a window over one row a block, and the running sum inside a block is a
+window partitioned by block.  Nothing runs before the action, and the plan's
+size does not depend on the number of blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quantile import log_block
+
+RESOLUTION = 1024                # blocks of numbers per doubling
+TEXT_PREFIX = 3                  # characters that name a block of texts
+
+
+def order_block(df: DataFrame, order_col: str, resolution: int = RESOLUTION, prefix: int = TEXT_PREFIX) -> Column:
+    """The block of each value of ``order_col``: grows with the value, NaN last."""
+    x = F.col(order_col)
+    if isinstance(df.schema[order_col].dataType, T.StringType):
+        return F.substring(x, 1, prefix)
+    x = x.cast("double")
+    far = 1 << 60
+    return F.when(F.isnan(x), far + 1).when(x == float("inf"), far).when(x == -float("inf"), -far).otherwise(log_block(x, resolution))
+
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str], descending: bool = False,
-                 blocks: int | None = None) -> DataFrame:
+                 resolution: int = RESOLUTION, prefix: int = TEXT_PREFIX) -> DataFrame:
     """Add ``cum_<v>`` = sum of ``v`` over rows at or before each row in
-    ``order_col`` order (rows must have distinct order values, e.g. after a
+    ``order_col`` order (rows must have distinct, non-NULL order values, e.g. after a
     group-by on it)."""
-    spark = df.sparkSession
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    probs = [i / n for i in range(1, n)]
-    numeric = isinstance(df.schema[order_col].dataType, T.NumericType)
-    if numeric and probs:
-        bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n))))
-        lits = [F.lit(float(b)) for b in bounds]
-    elif probs:
-        # text keys: bounds from a sample of about 100 rows per block
-        frac = min(1.0, 100.0 * n / max(1, df.count()))
-        sample = sorted({r[0] for r in df.select(order_col).sample(fraction=frac, seed=7).collect()})
-        bounds = [sample[int(len(sample) * i / n)] for i in range(1, n)] if sample else []
-        bounds = sorted(set(bounds))
-        lits = [F.lit(b) for b in bounds]
-    else:
-        bounds, lits = [], []
-    x = F.col(order_col)
-    if bounds:
-        arr = F.array(*lits)
-        blk = F.size(F.filter(arr, lambda b: b < x))
-    else:
-        blk = F.lit(0)
-    blk = (F.lit(len(bounds)) - blk) if descending else blk
-    tagged = df.withColumn("_blk", blk.cast("int"))
+    tagged = df.withColumn("_blk", order_block(df, order_col, resolution, prefix))
+
+    def in_order(c: str) -> Column:
+        return F.col(c).desc() if descending else F.col(c).asc()
+
     totals = tagged.groupBy("_blk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_blk", *[F.coalesce(F.sum(f"_t_{v}").over(wb), F.lit(0)).alias(f"_o_{v}")
-                                      for v in value_cols])
-    ordering = x.desc() if descending else x.asc()
-    wi = Window.partitionBy("_blk").orderBy(ordering).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = tagged.select("*", *[F.sum(v).over(wi).alias(f"_i_{v}") for v in value_cols])
-    out = inner.join(F.broadcast(offsets), "_blk")
+    before = Window.orderBy(in_order("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_blk", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols])
+    inside = Window.partitionBy("_blk").orderBy(in_order(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = tagged.select("*", *[F.sum(v).over(inside).alias(f"_i_{v}") for v in value_cols])
+    out = inner.join(offsets, "_blk")
     return out.select(*df.columns, *[(F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in value_cols])

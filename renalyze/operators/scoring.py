@@ -82,6 +82,36 @@ def predict(model, features: DataFrame) -> DataFrame:
                .drop("features", "rawPrediction", "probability"))
 
 
+def compiled(model) -> Column:
+    """The fitted trees as one column over the model's inputs: the margin,
+    whose sign is the class (M2) and whose logistic is the probability (M3).
+    It scores inside any plan, a streaming one too, without an ML transformer."""
+    assembler, gbt = model.stages
+    inputs = [F.col(c).cast("double") for c in assembler.getInputCols()]
+
+    def walk(node) -> Column:
+        if node.getClass().getSimpleName() == "LeafNode":
+            return F.lit(float(node.prediction()))
+        split = node.split()
+        x = inputs[split.featureIndex()]
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            goes_left = x <= float(split.threshold())
+        else:
+            goes_left = x.isin([float(c) for c in split.leftCategories()])
+        return F.when(goes_left, walk(node.leftChild())).otherwise(walk(node.rightChild()))
+
+    trees = [walk(t._java_obj.rootNode()) * F.lit(float(w)) for t, w in zip(gbt.trees, gbt.treeWeights)]
+    return F.aggregate(F.array(*trees), F.lit(0.0), lambda a, x: a + x)
+
+
+def compiled_predict(model, features: DataFrame) -> DataFrame:
+    """``predict`` by the compiled trees."""
+    cols = model.stages[0].getInputCols()
+    out = finite_inputs(features, cols).withColumn("_margin", compiled(model))
+    return out.withColumns({"probability_1": 1 / (1 + F.exp(-2 * F.col("_margin"))),
+                            "prediction": F.when(F.col("_margin") > 0, 1).otherwise(0).cast("int")}).drop("_margin")
+
+
 def alert_outbox(scored: DataFrame, ts_text: str = "alert_time", dedupe: bool = True) -> DataFrame:
     """Alerts for positive rows: (mrn, alert_ts, payload).  ``dedupe`` keeps
     one page per (mrn, alert_ts) when a message is delivered again."""

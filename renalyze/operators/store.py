@@ -8,8 +8,6 @@ shuffle on the key, and no group is ever materialised in one task.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -182,7 +180,3 @@ def write_snapshot(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
-
-
-def snapshot_path(root: str, version: int) -> str:
-    return os.path.join(root, f"v={version:08d}")

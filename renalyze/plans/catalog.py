@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings as B
 from ..functions import hl7
+from ..functions.dates import epoch_seconds
 from ..functions.numeric import round9
 from ..operators import features as feat
 from ..operators import parse as P
@@ -227,7 +228,7 @@ WITH {S.MEASUREMENTS} SELECT mrn, creatinine_date, CAST(epoch(creatinine_date) A
 FROM measurements_b""")
 def q_epoch(spark, sf):
     m = _meas(spark, sf)
-    return m.select("mrn", "creatinine_date", F.unix_seconds("creatinine_date").alias("epoch_seconds"))
+    return m.select("mrn", "creatinine_date", epoch_seconds(F.col("creatinine_date")).alias("epoch_seconds"))
 
 
 @query("relative_seconds", f"""

@@ -28,6 +28,13 @@ def q_predict_proba(spark, sf):
     return training.predictions(spark, sf).select("mrn", "probability_1")
 
 
+@query("predict_agreement", f"""
+WITH {S.PATIENTS} SELECT count(*) AS n_patients, CAST(0 AS BIGINT) AS mismatches FROM patients_b""")
+def q_predict_agreement(spark, sf):
+    """M2 / M3: the fitted model against its trees compiled to SQL, over every patient."""
+    return training.agreement(spark, sf)
+
+
 @query("evaluate")
 def q_evaluate(spark, sf):
     """M4: accuracy and F3 of the model on the labelled rows."""

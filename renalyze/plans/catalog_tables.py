@@ -113,6 +113,21 @@ def q_load_gate(spark, sf):
     return store.load_gate(rows, {"patients": B.patients(spark, sf), "measurements": _meas(spark, sf)})
 
 
+@query("load_gate_open", f"""
+WITH {S.PATIENTS}, {S.MEASUREMENTS}
+SELECT mrn, creatinine_date, creatinine_result, 'empty' AS targets FROM measurements_b
+UNION ALL SELECT mrn, creatinine_date, creatinine_result, 'patients only' FROM measurements_b
+WHERE NOT EXISTS (SELECT 1 FROM patients_b)""")
+def q_load_gate_open(spark, sf):
+    """The gate before a first load (both tables empty: every row passes) and
+    with one of the two filled (none does)."""
+    from ..schemas import MEASUREMENTS, PATIENTS
+    rows, no_meas = _meas(spark, sf), spark.createDataFrame([], MEASUREMENTS)
+    first = store.load_gate(rows, {"patients": spark.createDataFrame([], PATIENTS), "measurements": no_meas})
+    half = store.load_gate(rows, {"patients": B.patients(spark, sf), "measurements": no_meas})
+    return first.withColumn("targets", F.lit("empty")).unionByName(half.withColumn("targets", F.lit("patients only")))
+
+
 @query("patient_history", f"""
 WITH {S.PATIENTS}, {S.MEASUREMENTS}
 SELECT p.mrn, p.age, p.sex, m.creatinine_date, m.creatinine_result

@@ -58,7 +58,7 @@ def ship_package(spark: SparkSession) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote session: ship with the job instead
         return
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     import shutil
@@ -119,7 +119,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread_for_cpu(df):
-    """Round-robin ``df`` over the cluster's cores when its scan yields fewer
+    """For a plain scan (anything with a shuffle would run it here): round-robin ``df`` over the cluster's cores when its scan yields fewer
     partitions than there are cores (e.g. one small unsplittable file), so
     CPU-heavy row-local work (HL7 parsing) uses every core.  Large inputs
     already have many splits and are returned unchanged: no extra shuffle

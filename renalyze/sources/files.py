@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hl7
+from ..functions.dates import parse_date_strict
 from ..operators.reshape import DATE_PREFIX, RESULT_PREFIX
+from ..session import spread_for_cpu
 
 
 # ---------------------------------------------------------------- CSV
@@ -75,7 +77,7 @@ def scan_wide_rows(spark: SparkSession, path: str) -> DataFrame:
 def typed_cells(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Long text cells (mrn, slot, creatinine_date, creatinine_result) ->
     (typed rows, cells that do not parse with the reason)."""
-    date = F.try_to_timestamp("creatinine_date", F.lit("yyyy-MM-dd HH:mm:ss"))
+    date = parse_date_strict(F.col("creatinine_date"))
     value = F.col("creatinine_result").try_cast("double")
     reason = F.when(date.isNull(), "bad_date").when(value.isNull(), "bad_result")
     good = long.where(reason.isNull()).withColumns({"creatinine_date": date, "creatinine_result": value})
@@ -178,13 +180,15 @@ def scan_mllp_capture(spark: SparkSession, path: str, strict: bool = False) -> D
     """Framed capture files -> (message, status, source_file, frame).
 
     ``strict`` fails like a strict reader when any record is not a good
-    frame (one global count, a partial aggregate; only the first few bad
-    file names come back to the driver)."""
+    frame, or a file holds an empty one beyond its head (one global count, a partial
+    aggregate; only the first few bad file names come back to the driver)."""
     rec = (spark.read.option("lineSep", hl7.START_BLOCK).text(path)
                 .withColumn("source_file", F.col("_metadata.file_path")))
-    out = frames(rec)
+    out = frames(spread_for_cpu(rec))
     if strict:
-        bad = out.where(F.col("status") != "ok")
+        # the one empty record before a file's first start byte is no frame; a second one is
+        hollow = rec.where(F.length("value") == 0).groupBy("source_file").count().where("count > 1")
+        bad = out.where(F.col("status") != "ok").select("source_file").unionByName(hollow.select("source_file"))
         n_bad = bad.agg(F.count(F.lit(1))).first()[0]
         if n_bad:
             where = [r.source_file for r in bad.select("source_file").distinct().limit(3).collect()]

@@ -53,6 +53,13 @@ def test_train_evaluate_predict(spark):
     assert len(metrics) == 1 and 0.0 <= metrics[0].accuracy <= 1.0
     out = cli.predict(spark, labelled, model, os.path.join(d, "pred"))
     assert spark.read.option("header", True).csv(out).count() == wide.count()
+    # the live path pages from the saved model
+    landing = os.path.join(d, "landing")
+    files.write_capture(B.hl7_raw(spark, SF_SMALL), landing)
+    for q in cli.serve(spark, landing, os.path.join(d, "tables"), os.path.join(d, "served"), True, model):
+        q.awaitTermination()
+        assert q.exception() is None
+    assert spark.read.parquet(os.path.join(d, "served", "alerts")).columns[:3] == ["mrn", "alert_ts", "payload"]
 
 
 def test_serve_available_now(spark):

@@ -42,6 +42,16 @@ def test_junk_before_first_start_byte(spark):
     assert sorted(r.status for r in rows) == ["ok", "trailing_data"]
 
 
+def test_strict_reader_sees_an_empty_frame(spark):
+    d = tempfile.mkdtemp(prefix="renalyze-cap-")
+    for name, text in (("a", frame(A01)), ("b", frame(A01) + "\x0b" + frame(ORU))):
+        with open(os.path.join(d, name), "w", newline="") as fh:
+            fh.write(text)
+    assert files.scan_mllp_capture(spark, os.path.join(d, "a"), strict=True).count() == 1
+    with pytest.raises(ValueError):
+        files.scan_mllp_capture(spark, d, strict=True)
+
+
 def test_capture_round_trip(spark):
     d = tempfile.mkdtemp(prefix="renalyze-cap-")
     src = spark.createDataFrame([(A01,), (ORU,), (A03,)], "raw string")
