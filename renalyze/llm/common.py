@@ -60,6 +60,19 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.xxhash64(i, t).alias("_k1"), F.xxhash64(t, i, F.lit(1)).alias("_k2")]
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of those that repeat both doc_id and text (null text as empty):
+    the greatest by its columns in order, so the choice does not depend on the
+    partitioning.  Only rows of repeated doc_ids are touched."""
+    again = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_id"))
+    if again.isEmpty():
+        return docs
+    repeated = docs["doc_id"].eqNullSafe(again["_id"])
+    keys = ["doc_id", F.sha2(text_of().cast("binary"), 256).alias("_sha")]
+    best = (docs.join(again, repeated, "left_semi").groupBy(*keys).agg(F.max(F.struct(*docs.columns)).alias("_row")).select("_row.*"))
+    return docs.join(again, repeated, "left_anti").unionByName(best)
+
+
 def crc_rest(doc_id: Column, modulus: int, when_null: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; ``when_null`` for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(when_null))

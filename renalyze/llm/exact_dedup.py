@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import one_of_each, text_of, written
 
 BLOCK_BYTES = 4096
 HASH_BITS = (64,)                # of each half, by attempt; the last holds for all further ones
@@ -107,20 +107,15 @@ def dedup_classes(docs: DataFrame, size: int = BLOCK_BYTES, bits: tuple[int, ...
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts (the largest doc_id)."""
+    """``docs`` with one row of each group of equal texts (the largest doc_id).
+    Of rows that repeat both doc_id and text (null as empty) the greatest by
+    their columns stays."""
     kept = written(dedup_classes(docs).where("kept").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
     # kept texts are distinct, so the text's digest finds its row; rows that
     # repeat both doc_id and text are the only ones it finds twice
-    hit = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])
-                    & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == kept["_sha"]), "left_semi")
-    twice = dedup_classes_repeat(docs)
-    return hit.dropDuplicates(["doc_id", "text"]) if twice else hit
-
-
-def dedup_classes_repeat(docs: DataFrame) -> bool:
-    """Whether any doc_id occurs on more than one row."""
-    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return one_of_each(docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])
+                                 & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == kept["_sha"]), "left_semi"))
 
 
 ORACLE = """

@@ -9,13 +9,13 @@ likeness is 1 - difference / largest difference, so it lies in 0..1.
 
 ``fingerprint_edits`` compares each document with its edited text (second half
 replaced by the beginning of the next document by doc_id) and with that next
-document.  One range shuffle by doc_id puts neighbours side by side; within a
-sorted partition texts are streamed, and only the last and first texts of
-partitions (two a partition) meet in a second small step.
+document.  Ranges of doc_ids are cut and their first ids found without reading
+texts; then one shuffle brings each range together, with the first row of the
+next range behind it, and the sorted texts are streamed.  Nothing is written in between.
 
 Defined cases: null text is empty; an empty text has the all-zero digest; rows
 with equal doc_ids are ordered by text; null doc_ids come first; a table of
-one row is its own successor.
+one row is its own successor; ids that are no numbers make one range; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions
 
 BUCKETS = 1024
 #: Triplets of a five-byte window: offsets of the second and third byte, and a salt each.
@@ -37,6 +36,7 @@ CORNER = 3                       # extra difference between the lowest and the h
 LENGTH_STEP = 1.3                # the length header counts powers of this
 LENGTH_MOST, RATIO_MOST = 63, 15
 HEADER_WEIGHT = 4
+RANGES = 4                       # of doc_ids, per partition
 _DIFF = np.array([[abs(a - b) if abs(a - b) < 3 else 3 + CORNER for b in range(4)] for a in range(4)], np.int32)
 MOST = BUCKETS * (3 + CORNER) + HEADER_WEIGHT * (LENGTH_MOST + 2 * RATIO_MOST)
 
@@ -96,52 +96,58 @@ def _row(text: str, d: np.ndarray, following: str, d_next: np.ndarray) -> tuple:
     return (len(text), hashlib.sha256(e.encode()).hexdigest(), as_text(d), as_text(d_e), likeness(d, d_e), likeness(d, d_next))
 
 
+def _ranges(docs: DataFrame, n: int) -> Column:
+    """The range (0 to about ``n``) that a row's doc_id falls in, by quantiles of
+    the ids; found in two steps of about sqrt(n) comparisons.  Null ids are in the first."""
+    x = F.col("doc_id").try_cast("double")
+    marks = [k / n for k in range(1, n)]
+    bounds = sorted(set(docs.select(x.alias("x")).approxQuantile("x", marks, 1.0 / (4 * n)))) if marks else []
+    if not bounds:
+        return F.lit(0)
+    step = int(len(bounds) ** 0.5) + 1
+    runs = F.array(*[F.array(*[F.lit(b) for b in bounds[k:k + step]]) for k in range(0, len(bounds), step)])
+
+    def at_most(a: Column) -> Column:
+        return F.size(F.filter(a, lambda b: b <= x))
+
+    run = F.size(F.filter(runs, lambda r: r[0] <= x))
+    return F.when(x.isNull() | (run == 0), 0).otherwise((run - 1) * step + at_most(F.get(runs, run - 1)))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    n = partitions(spark)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = src.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    src = src.withColumn("part", _ranges(docs, RANGES * n))
+    # each range's smallest id, from the ids alone: those rows also follow the last one of the range before
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
+    heads = sorted(src.groupBy("part").agg(first).collect(), key=lambda r: r["part"])       # one row a range
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    before = spark.createDataFrame([(h["part"], h["first"]["doc_id"], heads[k - 1]["part"]) for k, h in enumerate(heads)],
+                                   f"_part int, _id {kind}, _before int")
+    rows = src.join(F.broadcast(before), (src["part"] == before["_part"]) & src["doc_id"].eqNullSafe(before["_id"]), "left")
+    follows = F.when(F.col("_part").isNotNull(), F.struct(F.col("_before").alias("part"), F.lit(1).alias("follows")))
+    dealt = (rows.select("doc_id", "text", F.explode(F.array_compact(F.array(F.struct("part", F.lit(0).alias("follows")), follows))).alias("_to"))
+                 .select("doc_id", "text", "_to.part", "_to.follows")
+                 .repartition(n, "part").sortWithinPartitions("part", "follows", "doc_id", "text"))
     measures = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    id_type = pa.schema([("x", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64()))]).field(0).type
 
     def run(batches):
-        part, last, last_d, first = TaskContext.get().partitionId(), None, None, True
-
-        def batch(rows):            # (doc_id, measures or None, role, text)
-            cols = [pa.array([r[0] for r in rows], id_type), *(pa.array([r[1] and r[1][k] for r in rows], t) for k, t in enumerate(types)),
-                    pa.array([part] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())]
-            return pa.record_batch(cols, names=["doc_id", *_OUT, "part", "role", "text"])
-
+        open_ = None                # the row that waits for its successor: part, doc_id, text, digest
         for b in batches:
-            rows = []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            ids, rows = b.column("doc_id"), []
+            own = []                # places of the rows' doc_ids
+            for k, (t, part, follows) in enumerate(zip(b.column("text").to_pylist(), b.column("part").to_pylist(), b.column("follows").to_pylist())):
+                if open_ is None and follows:
+                    continue        # another row of the id that has closed the range
                 d = digest(t)
-                if first:
-                    rows.append((i, None, "first", t))
-                    first = False
-                else:
-                    rows.append((last[0], _row(last[1], last_d, t, d), "done", None))
-                last, last_d = (i, t), d
-            yield batch(rows)
-        if last is not None:
-            yield batch([(last[0], None, "last", last[1])])
-
-    out = written(dealt.mapInArrow(run, f"doc_id {kind}, {measures}, part int, role string, text string"), "fingerprints")
-    done = out.where("role = 'done'").select("doc_id", *_OUT)
-    # the numbers of the partitions that hold rows: one integer a partition
-    parts = sorted(r.part for r in out.where("role = 'first'").select("part").collect())
-    if not parts:
-        return done
-    after = spark.createDataFrame([(p, parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)], "part int, next int")
-    ends = out.where("role = 'last'").select("doc_id", "part", "text")
-    firsts = out.where("role = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
-    seams = ends.join(after, "part").join(firsts, "next").select("doc_id", "text", "following")
-
-    def close(batches):
-        for b in batches:
-            rows = [_row(t, digest(t), f, digest(f)) for t, f in zip(b.column("text").to_pylist(), b.column("following").to_pylist())]
-            yield pa.record_batch([b.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", *_OUT])
-
-    return done.unionByName(seams.mapInArrow(close, f"doc_id {kind}, {measures}"))
+                if open_ is not None:
+                    own.append(open_[0])
+                    rows.append(_row(open_[1], open_[2], t, d))
+                open_ = None if follows else (ids[k], t, d)
+            yield pa.record_batch([pa.array([i.as_py() for i in own], ids.type),
+                                   *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["doc_id", *_OUT])
+
+    return dealt.mapInArrow(run, f"doc_id {kind}, {measures}")

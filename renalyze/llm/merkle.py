@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 from .ranking import ranked, same
@@ -201,7 +202,8 @@ def _digests(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def _tier(nodes: DataFrame, keys: list[str], fanout: int, depth: int) -> DataFrame:
     """Every node with its ``path`` to the root (``top``) of its ``chunk``."""
     width = fanout ** depth
-    schema = nodes.schema.add("chunk", "long").add("path", "binary").add("top", "binary")
+    schema = T.StructType(nodes.schema.fields + [T.StructField("chunk", T.LongType()), T.StructField("path", T.BinaryType()),
+                                                T.StructField("top", T.BinaryType())])
 
     def build(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")

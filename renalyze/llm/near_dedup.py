@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import one_of_each, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -211,7 +211,13 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     each = _bands(nodes)
     shared = written(each.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n"))
                          .where("n > 1").select("bucket", "centre", "n"), "near-buckets")
-    return written(each.join(shared, "bucket"), "near-members")
+    return written(each.join(_dealt(shared), "bucket"), "near-members")
+
+
+def _dealt(side: DataFrame) -> DataFrame:
+    """``side`` of a join, to be shuffled and merged at every size: it grows with
+    the documents, so it is not to be broadcast while it happens to be small."""
+    return side.hint("merge")
 
 
 # ---------------------------------------------------------------- verification
@@ -236,7 +242,7 @@ def _verify(batches):
 def _texts_of(used: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, text) of the nodes in ``used`` (node)."""
     ids = written(nodes.join(used, "node", "left_semi").select("node", "t1", "t2"), "near-used")
-    return texts.select("t1", "t2", "text").join(ids, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.select("t1", "t2", "text").join(_dealt(ids), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
 
 
 def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
@@ -246,24 +252,37 @@ def verified(pairs: DataFrame, text: DataFrame) -> DataFrame:
                         .select("a", "b", (F.col("r") % F.ceil(F.col("n") / RUN_MEMBERS)).alias("run")), "near-pairs")
     members = runs.select("a", "run", F.lit(1).alias("role"), "b", F.col("b").alias("node"))
     heads = runs.select("a", "run").distinct().select("a", "run", F.lit(0).alias("role"), F.col("a").alias("b"), F.col("a").alias("node"))
-    rows = members.unionByName(heads).join(text, "node").select("a", "run", "role", "b", "text")
+    rows = _dealt(members.unionByName(heads)).join(text, "node").select("a", "run", "role", "b", "text")
     dealt = rows.repartition("a", "run").sortWithinPartitions("a", "run", "role")
     return dealt.mapInArrow(_verify, "a bigint, b bigint")
 
 
 # ---------------------------------------------------------------- classes
 
+def _jumped(up: DataFrame, name: str) -> DataFrame:
+    """Pointers (root, up) that lead on, moved ahead until each points at a root
+    that points at itself: a path of n pointers takes log2(n) jumps."""
+    jump = 0
+    while True:
+        ahead = up.select(F.col("root").alias("up"), F.col("up").alias("far"))
+        far = written(up.join(ahead, "up").select("root", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), f"{name}-jump-{jump}")
+        up = far.select("root", "up")
+        if far.where("moved").isEmpty():
+            return up
+        jump += 1
+
+
 def contracted(links: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b): connected components, by
-    hooking each node to its smallest neighbour and contracting."""
+    hooking each node to its smallest neighbour, jumping along the pointers, and contracting."""
     links = written(links.select("a", "b").distinct(), f"{name}-links")
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both(links).select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), f"{name}-labels")
     turn = 0
     while not links.isEmpty():
         turn += 1
-        up = written(both(links).groupBy("a").agg(F.min("b").alias("low"))
-                     .select(F.col("a").alias("root"), F.least("a", "low").alias("up")), f"{name}-up-{turn}")
+        up = _jumped(written(both(links).groupBy("a").agg(F.min("b").alias("low"))
+                             .select(F.col("a").alias("root"), F.least("a", "low").alias("up")), f"{name}-up-{turn}"), f"{name}-up-{turn}")
         labels = written(labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), f"{name}-labels-{turn}")
         a, b = up.select(F.col("root").alias("a"), F.col("up").alias("a2")), up.select(F.col("root").alias("b"), F.col("up").alias("b2"))
         links = written(links.join(a, "a").join(b, "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
@@ -398,10 +417,10 @@ def proposed(members: DataFrame, nodes: DataFrame, text: DataFrame, labels: Data
     load = cells.select("node", "long").distinct()
     minis = nodes.select("node", "mini")
     if not every:
-        short = text.join(load.where("not long").select("node"), "node", "left_semi")
-        minis = minis.join(short.mapInArrow(_elements, "node bigint, elements binary, weights binary"), "node", "left")
-        minis = minis.join(load.select("node"), "node", "left_semi")
-    loaded = cells.join(written(minis, "near-minis") if not every else minis, "node")
+        short = text.join(_dealt(load.where("not long").select("node")), "node", "left_semi")
+        minis = minis.join(_dealt(load.select("node")), "node", "left_semi")
+        minis = minis.join(_dealt(short.mapInArrow(_elements, "node bigint, elements binary, weights binary")), "node", "left")
+    loaded = cells.join(_dealt(written(minis, "near-minis") if not every else minis), "node")
     return loaded.groupBy("cell").applyInArrow(_partners(every), "a bigint, b bigint, sure boolean").distinct()
 
 
@@ -428,13 +447,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
             links = links.unionByName(sure)
             labels = contracted(links, f"near-{name}")
     named = rows.join(nodes.select("t1", "t2", "node"), ["t1", "t2"]).join(labels, "node", "left")
-    named = written(named.select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root")), "near-named")
+    # the row number tells apart rows that repeat both doc_id and text; it is drawn once and fixed by writing
+    named = written(named.select("doc_id", "t1", "t2", F.coalesce("root", "node").alias("root"),
+                                 F.monotonically_increasing_id().alias("rid")), "near-named")
     classes = written(named.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t1", "t2")).alias("top"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t1", "t2", "rid")).alias("top"),
         F.count("*").alias("class_size")), "near-classes")
     return named.join(classes, "root").select(
         "doc_id", "t1", "t2", F.col("top.doc_id").alias("class_id"), "class_size",
-        (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("t1") == F.col("top.t1")) & (F.col("t2") == F.col("top.t2"))).alias("kept"))
+        (F.col("rid") == F.col("top.rid")).alias("kept"))
 
 
 def near_digest(docs: DataFrame) -> DataFrame:
@@ -443,9 +464,9 @@ def near_digest(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest doc_id."""
+    """``docs`` with one row of each class, that of the smallest doc_id.  Of rows
+    that repeat both doc_id and text (null as empty) the greatest by their columns stays."""
     kept = written(near_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct(), "near-kept")
     t = F.coalesce(docs["text"], F.lit(""))
     hit = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(t) == kept["_t1"]) & (F.xxhash64(F.lit(1), t) == kept["_t2"]), "left_semi")
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return hit.dropDuplicates(["doc_id", "text"]) if repeated else hit
+    return one_of_each(hit)
