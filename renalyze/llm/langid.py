@@ -34,6 +34,7 @@ MAX_TRAIN = 800                  # documents used for fitting, at most
 BITS = 16
 CHAIN = 64
 STEPS, RATE, L2 = 25, 0.5, 2e-6
+SWITCHED = 0.1                   # code-switched chains made from the sample, per document
 UNKNOWN = "und"
 
 
@@ -124,7 +125,21 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, place: np.ndarray, n
     return p, pairs
 
 
-def fit(langs: list[str], docs: list[list[str]], labels: list[int]) -> Crf:
+def code_switched(docs: list[list[str]], labels: list[int], share: float = SWITCHED) -> tuple[list[list[str]], list[np.ndarray]]:
+    """Chains that begin in one document and go on in one of another language,
+    with the language of every word: a document of one language never shows a switch."""
+    rng = np.random.default_rng(5)
+    half, words, gold = CHAIN // 2, [], []
+    for _ in range(int(share * len(docs)) if len(set(labels)) > 1 else 0):
+        i, j = rng.integers(0, len(docs), 2)
+        if labels[i] != labels[j]:
+            a, b = docs[i][:half], docs[j][:half]
+            words.append(a + b)
+            gold.append(np.repeat([labels[i], labels[j]], [len(a), len(b)]))
+    return words, gold
+
+
+def fit(langs: list[str], docs: list[list[str]], labels: list[int], share: float = SWITCHED) -> Crf:
     """docs: their words (letters only), labels: places in ``langs``."""
     k = len(langs)
     m = Crf(langs, np.zeros((1 << BITS, k)), np.zeros(k), np.zeros((k, k)))
@@ -133,14 +148,16 @@ def fit(langs: list[str], docs: list[list[str]], labels: list[int]) -> Crf:
         return m
     at = {w: i for i, w in enumerate(words)}
     of, flat = word_features(words)
+    mixed, languages = code_switched(docs, labels, share)
+    gold = np.concatenate([np.repeat(np.array(labels), [len(d) for d in docs]), *languages])
+    docs = [*docs, *mixed]
     lengths = np.array([len(d) for d in docs])
     ids = np.array([at[w] for d in docs for w in d])
     chain, place, n = chains(lengths)
-    gold = np.repeat(np.array(labels), lengths)
     seen = np.bincount(ids * k + gold, minlength=len(words) * k).reshape(-1, k)
     first = np.bincount(gold[place == 0], minlength=k)
-    inner = gold[place > 0]
-    moves = np.diag(np.bincount(inner, minlength=k)).astype(float)      # a document has one label
+    inner = np.flatnonzero(place > 0)
+    moves = np.bincount(gold[inner - 1] * k + gold[inner], minlength=k * k).reshape(k, k).astype(float)
     total = len(ids)
     sums = [np.full(m.weights.shape, 1e-10), np.full(k, 1e-10), np.full((k, k), 1e-10)]
     for _ in range(STEPS):
@@ -166,6 +183,54 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Crf:
     return fit(langs, [x.decode().split() for _, x in rows], [langs.index(y) for y, _ in rows])
 
 
+def _posteriors(texts: list[str | None], model: Crf) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(numbers of words, their places among the white-space tokens of each
+    text, label probabilities of all words) of some texts."""
+    split = [(t or "").split() for t in texts]
+    words, number = [], {}                                                   # 0: no word
+    for t in set().union(*split):
+        if w := letters_of(t):
+            words.append(w)
+        number[t] = len(words) if w else 0
+    ids = [np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in split]
+    places = [np.flatnonzero(x) for x in ids]
+    ids = [x[x != 0] for x in ids]
+    lengths = np.array([len(x) for x in ids], np.int64)
+    if not model.langs or not lengths.sum():
+        return lengths, places, np.zeros((lengths.sum(), max(1, len(model.langs))))
+    scores = model.word_scores(words).astype(np.float32)[np.concatenate(ids) - 1]
+    chain, place, n = chains(lengths)
+    return lengths, places, forward_backward(scores, chain, place, n, model.start, model.move)[0]
+
+
+def word_spans(docs: DataFrame, model: Crf) -> DataFrame:
+    """(doc_id, first, words, lang, score): the runs of a text's words that are
+    most likely in one language, ``first`` counted in white-space tokens; ``score`` is the
+    mean probability of its words.  Tokens without letters belong to no run but
+    do not end one; a null text has none."""
+    model = Crf(model.langs, model.weights.astype(np.float32), model.start, model.move)
+
+    def run(batches):
+        for b in batches:
+            lengths, places, p = _posteriors(b.column("text").to_pylist(), model)
+            out: list[tuple] = []
+            at = 0
+            for k, (n, place) in enumerate(zip(lengths.tolist(), places)):
+                own = p[at:at + n]
+                at += n
+                if not n or not model.langs:
+                    continue
+                best = own.argmax(1)
+                cuts = np.flatnonzero(np.r_[True, best[1:] != best[:-1], True])
+                out += [(k, int(place[x]), int(y - x), model.langs[best[x]], float(own[x:y, best[x]].mean())) for x, y in zip(cuts, cuts[1:])]
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.record_batch([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
+                                   pa.array(cols[3], pa.string()), pa.array(cols[4], pa.float64())], names=["doc_id", "first", "words", "lang", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, first bigint, words bigint, lang string, score double")
+
+
 def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     model = Crf(model.langs, model.weights.astype(np.float32), model.start, model.move)
@@ -173,20 +238,9 @@ def predict_language(docs: DataFrame, model: Crf) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            split = [(t or "").split() for t in b.column("text").to_pylist()]
-            words, number = [], {}                                                   # 0: no word
-            for t in set().union(*split):
-                if w := letters_of(t):
-                    words.append(w)
-                number[t] = len(words) if w else 0
-            ids = [np.fromiter(map(number.__getitem__, x), np.int64, len(x)) for x in split]
-            ids = [x[x != 0] for x in ids]
-            lengths = np.array([len(x) for x in ids], np.int64)
+            lengths, _, p = _posteriors(b.column("text").to_pylist(), model)
             prob = np.zeros((len(lengths), max(1, k)))
             if k and lengths.sum():
-                scores = model.word_scores(words).astype(np.float32)[np.concatenate(ids) - 1]
-                chain, place, n = chains(lengths)
-                p, _ = forward_backward(scores, chain, place, n, model.start, model.move)
                 doc = segments(lengths.tolist())
                 prob = np.stack([np.bincount(doc, c, len(lengths)) for c in p.T], 1) / np.maximum(1, lengths)[:, None]
             best = prob.argmax(1)
