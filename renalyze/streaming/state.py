@@ -187,8 +187,209 @@ class History:
         }
 
 
+class MemoryStore:
+    """Blocks kept in a dict, with the numbers of blocks read and written."""
+
+    def __init__(self):
+        self.kept: dict = {}
+        self.reads = self.writes = 0
+
+    def get(self, kind: str, k: int):
+        self.reads += 1
+        return self.kept[kind, k]
+
+    def put(self, kind: str, k: int, block) -> None:
+        self.writes += 1
+        self.kept[kind, k] = block
+
+    def remove(self, kind: str, k: int) -> None:
+        del self.kept[kind, k]
+
+
+class MapStore:
+    """Blocks kept in the patient's map states; each is read at most once and
+    written at most once per micro-batch."""
+
+    def __init__(self, dates, values):
+        self.maps = {"d": dates, "v": values}
+        self.cache: dict = {}
+        self.changed: set = set()
+
+    def get(self, kind: str, k: int):
+        if (kind, k) not in self.cache:
+            got = self.maps[kind].getValue((k,))
+            self.cache[kind, k] = [list(x) for x in got] if kind == "d" else list(got[0])
+        return self.cache[kind, k]
+
+    def put(self, kind: str, k: int, block) -> None:
+        self.cache[kind, k] = block
+        self.changed.add((kind, k))
+
+    def remove(self, kind: str, k: int) -> None:
+        self.cache.pop((kind, k), None)
+        self.changed.discard((kind, k))
+        if self.maps[kind].containsKey((k,)):
+            self.maps[kind].removeKey((k,))
+
+    def flush(self) -> None:
+        for kind, k in sorted(self.changed):
+            block = self.cache[kind, k]
+            self.maps[kind].updateValue((k,), (block[0], block[1]) if kind == "d" else (block,))
+        self.changed.clear()
+
+
+BLOCK = 256                      # readings of a block; it is split at twice as many
+INLINE = 512                     # readings up to which a patient's history is kept in one piece
+
+_DATE_FIELDS = ("did", "dfirst", "dhead", "dtail", "dstep", "drecent", "dn")
+_VALUE_FIELDS = ("vid", "vlow", "vhigh", "vn")
+
+
+class BlockHistory:
+    """A long history as blocks of dates and blocks of values, with one
+    summary entry a block.  A message reads and writes the block of its date,
+    one or two blocks of values (its own and an overwritten one), and at most
+    two more for the median; the rest is read from the summaries.
+
+    Of a date block: number, first date, first and last reading, largest step
+    inside, last reading that is not missing, size.  Of a value block: number, least, greatest, size.
+    """
+
+    def __init__(self, store, summary=None, block: int = BLOCK):
+        self.store, self.block = store, block
+        s = dict(zip((*_DATE_FIELDS, *_VALUE_FIELDS, "s1", "s2", "odd", "next_id"), summary)) if summary is not None else {}
+        for c in (*_DATE_FIELDS, *_VALUE_FIELDS):
+            setattr(self, c, list(s.get(c) or []))
+        self.s1, self.s2 = Fraction(s.get("s1") or 0), Fraction(s.get("s2") or 0)
+        self.odd, self.next_id = s.get("odd") or 0, s.get("next_id") or 0
+
+    @classmethod
+    def of(cls, store, hist: History, block: int = BLOCK) -> BlockHistory:
+        """The same history cut into blocks."""
+        out = cls(store, None, block)
+        out.s1, out.s2, out.odd = hist.s1, hist.s2, hist.odd
+        for k in range(0, len(hist.dates), block):
+            out._new("d", len(out.did), [hist.dates[k:k + block], hist.vals[k:k + block]])
+        for k in range(0, len(hist.sorted_vals), block):
+            out._new("v", len(out.vid), hist.sorted_vals[k:k + block])
+        return out
+
+    def summary(self) -> tuple:
+        return (*(getattr(self, c) for c in (*_DATE_FIELDS, *_VALUE_FIELDS)), str(self.s1), str(self.s2), self.odd, self.next_id)
+
+    def _new(self, kind: str, at: int, block) -> None:
+        for c in (_DATE_FIELDS if kind == "d" else _VALUE_FIELDS):
+            getattr(self, c).insert(at, None)
+        (self.did if kind == "d" else self.vid)[at] = self.next_id
+        self.next_id += 1
+        self._keep(kind, at, block)
+
+    def _keep(self, kind: str, at: int, block) -> None:
+        """Write a block and its summary entry; split it if it has grown too large, drop it if it is empty."""
+        size = len(block[0]) if kind == "d" else len(block)
+        if size > 2 * self.block:
+            half = size // 2
+            more = [x[half:] for x in block] if kind == "d" else block[half:]
+            self._keep(kind, at, [x[:half] for x in block] if kind == "d" else block[:half])
+            self._new(kind, at + 1, more)
+            return
+        if kind == "d":
+            dates, vals = block
+            steps = [b - a for a, b in zip(vals, vals[1:]) if a is not None and b is not None]
+            entry = (self.did[at], dates[0], vals[0], vals[-1], max(steps, default=None), next((v for v in reversed(vals) if v is not None), None), size)
+            for c, x in zip(_DATE_FIELDS, entry):
+                getattr(self, c)[at] = x
+        elif size:
+            self.vlow[at], self.vhigh[at], self.vn[at] = block[0], block[-1], size
+        else:
+            self.store.remove(kind, self.vid[at])
+            for c in _VALUE_FIELDS:
+                del getattr(self, c)[at]
+            return
+        self.store.put(kind, (self.did if kind == "d" else self.vid)[at], block)
+
+    _count = History._count
+
+    def _add_val(self, v) -> None:
+        if v is None:
+            return
+        self._count(v, 1)
+        if not self.vid:
+            self._new("v", 0, [v])
+            return
+        at = max(0, bisect.bisect_right(self.vlow, v) - 1)
+        block = self.store.get("v", self.vid[at])
+        bisect.insort(block, v)
+        self._keep("v", at, block)
+
+    def _remove_val(self, v) -> None:
+        if v is None:
+            return
+        self._count(v, -1)
+        at = bisect.bisect_right(self.vlow, v) - 1              # the last block that begins at v or below holds it
+        block = self.store.get("v", self.vid[at])
+        del block[bisect.bisect_left(block, v)]
+        self._keep("v", at, block)
+
+    def upsert(self, d, v) -> bool:
+        """As ``History.upsert``."""
+        if not self.did:
+            self._new("d", 0, [[d], [v]])
+            self._add_val(v)
+            return False
+        at = max(0, bisect.bisect_right(self.dfirst, d) - 1)
+        dates, vals = block = self.store.get("d", self.did[at])
+        i = bisect.bisect_left(dates, d)
+        if i < len(dates) and dates[i] == d:
+            old = vals[i]
+            if old == v:
+                return True
+            vals[i] = v
+            self._remove_val(old)
+        else:
+            dates.insert(i, d)
+            vals.insert(i, v)
+        self._keep("d", at, block)
+        self._add_val(v)
+        return False
+
+    def _value_at(self, rank: int) -> float:
+        for k, n in zip(self.vid, self.vn):
+            if rank < n:
+                return self.store.get("v", k)[rank]
+            rank -= n
+        raise IndexError(rank)
+
+    def features(self) -> dict[str, float]:
+        n = sum(self.vn)
+        if n == 0:
+            return {"n_readings": 0, **{c: 0.0 for c in FEATURE_COLUMNS}}
+        low, high = self._value_at((n - 1) // 2), self._value_at(n // 2)
+        med = float(low) if n % 2 else (low + high) / 2.0
+        if self.odd:
+            sv = [x for k in self.vid for x in self.store.get("v", k)]
+            mean, std = float(np.mean(sv)), float(np.std(sv, ddof=1)) if n > 1 else 0.0
+        else:
+            mean = float(self.s1 / n)
+            std = math.sqrt((self.s2 - self.s1 * self.s1 / n) / (n - 1)) if n > 1 else 0.0
+        border = [b - a for a, b in zip(self.dtail, self.dhead[1:]) if a is not None and b is not None]
+        step = max([s for s in self.dstep if s is not None] + border, default=None)
+        recent = next(v for v in reversed(self.drecent) if v is not None)
+        mn, mx = float(self.vlow[0]), float(self.vhigh[-1])
+        return {
+            "n_readings": n,
+            "creatinine_mean": mean, "creatinine_median": med, "creatinine_max": mx, "creatinine_min": mn,
+            "creatinine_max_delta": 0.0 if step is None else float(step), "creatinine_std": std,
+            "most_recent": float(recent), "rv1_ratio": _ratio(recent, mn), "rv2_ratio": _ratio(recent, med),
+        }
+
+
+BLOCKS_TYPE = ("struct<did:array<bigint>,dfirst:array<timestamp>,dhead:array<double>,dtail:array<double>,dstep:array<double>,"
+               "drecent:array<double>,dn:array<int>,vid:array<bigint>,vlow:array<double>,vhigh:array<double>,vn:array<int>,"
+               "s1:string,s2:string,odd:bigint,next_id:bigint>")
 STATE_SCHEMA = ("known boolean, age int, sex string, d array<timestamp>, r array<double>, "
-                "held array<struct<msg_time:timestamp,control_id:string,d:timestamp,r:double>>")
+                "held array<struct<msg_time:timestamp,control_id:string,d:timestamp,r:double>>, "
+                f"blocks {BLOCKS_TYPE}")
 
 
 _OUT_COLS = ("msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
@@ -200,18 +401,27 @@ _IN_COLS = ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinin
 class Replay:
     """One patient's replay in arrival order: admission flag, demographics
     and readings, plus the output columns of the rows seen so far.  ``held`` are results
-    waiting for the patient's admission (kept with ``defer`` only)."""
+    waiting for the patient's admission (kept with ``defer`` only).  A
+    history of more than ``inline`` readings is kept in blocks in ``store``."""
 
-    def __init__(self, st=None, defer=False):
-        self.defer = defer
+    def __init__(self, st=None, defer=False, store=None, inline=INLINE, block=BLOCK):
+        self.defer, self.store, self.inline, self.block = defer, store, inline, block
         self.held = [tuple(h) for h in st[5] or []] if st is not None else []
         self.known, self.age, self.sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
-        self.hist = History(zip(st[3], st[4])) if st is not None else History([])
+        if st is not None and st[6] is not None:
+            self.hist = BlockHistory(store, st[6], block)
+        else:
+            self.hist = History(zip(st[3], st[4])) if st is not None else History([])
         self.out = {c: [] for c in _OUT_COLS}
 
     def state(self):
         age = None if self.age is None or pd.isna(self.age) else int(self.age)
-        return (self.known, age, self.sex, list(self.hist.dates), list(self.hist.vals), self.held)
+        if isinstance(self.hist, History) and self.store is not None and len(self.hist.dates) > self.inline:
+            self.hist = BlockHistory.of(self.store, self.hist, self.block)
+        if isinstance(self.hist, BlockHistory):
+            self.store.flush()
+            return (self.known, age, self.sex, [], [], self.held, self.hist.summary())
+        return (self.known, age, self.sex, list(self.hist.dates), list(self.hist.vals), self.held, None)
 
     def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, value, age, sex, base_age, base_sex):
         if kind == "adm":
@@ -275,20 +485,27 @@ class PatientHistory(StatefulProcessor):
     State per patient is one ValueState row (admitted flag, age, sex,
     dates, results): one state read and one write per patient and
     micro-batch, instead of a state call per reading (each call is a round
-    trip to the JVM state server)."""
+    trip to the JVM state server).  A long history lies in two map states of
+    blocks, of which a micro-batch reads and writes only those it touches; the
+    row then holds one summary entry a block."""
 
-    def __init__(self, defer: bool = False):
-        self.defer = defer
+    def __init__(self, defer: bool = False, inline: int = INLINE, block: int = BLOCK):
+        self.defer, self.inline, self.block = defer, inline, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("patient", STATE_SCHEMA)
+        self.dates = handle.getMapState("dates", "id bigint", "d array<timestamp>, r array<double>")
+        self.values = handle.getMapState("values", "id bigint", "v array<double>")
+
+    def _replay(self) -> Replay:
+        return Replay(self.state.get() if self.state.exists() else None, self.defer, MapStore(self.dates, self.values), self.inline, self.block)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
                             batch["msg_time"].to_numpy()))
         col, vals = _columns(batch, order)
-        rp = Replay(self.state.get() if self.state.exists() else None, self.defer)
+        rp = self._replay()
         for i in range(len(order)):
             rp.feed(col["kind"][i], col["msg_time"][i], col["control_id"][i], col["base_known"][i],
                     col["sex_ok"][i], col["creatinine_date"][i], vals[i], col["age"][i], col["sex"][i],
@@ -299,7 +516,7 @@ class PatientHistory(StatefulProcessor):
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Stored readings of one patient, in one or several parts."""
-        rp = Replay(self.state.get() if self.state.exists() else None, self.defer)
+        rp = self._replay()
         vals = initialState["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)
         for date, value in zip(initialState["creatinine_date"], vals):
             rp.hist.upsert(pd.Timestamp(date).to_pydatetime(), None if value != value else float(value))
@@ -340,7 +557,7 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
-                   defer: bool = False) -> DataFrame:
+                   defer: bool = False, inline: int = INLINE, block: int = BLOCK) -> DataFrame:
     """T4: features per result message from per-patient state.  ``defer`` holds
     results of unknown patients back and releases them with their admission.
 
@@ -352,7 +569,7 @@ def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     if measurements is not None:
         stored = measurements.where("creatinine_date is not null").select("mrn", "creatinine_date", "creatinine_result").groupBy("mrn")
     return inputs.groupBy("mrn").transformWithStateInPandas(
-        statefulProcessor=PatientHistory(defer), outputStructType=OUTPUT_SCHEMA,
+        statefulProcessor=PatientHistory(defer, inline, block), outputStructType=OUTPUT_SCHEMA,
         outputMode="Append", timeMode="None", initialState=stored)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from renalyze import bindings as B  # noqa: E402
 from renalyze.operators import features as feat  # noqa: E402
-from renalyze.operators import ordered, store  # noqa: E402
+from renalyze.operators import asof, ordered, store  # noqa: E402
 from renalyze.session import get_session  # noqa: E402
 
 
@@ -82,7 +82,9 @@ def main(argv):
         "features_serving": lambda m: feat.features_serving(pats, m),
         "slot numbers (chunked)": lambda m: ordered.keyed_row_number(m, "mrn", "creatinine_date"),
         "previous reading (chunked)": lambda m: ordered.keyed_lag(m, "mrn", "creatinine_date", "creatinine_result"),
-        "running_features (stream)": lambda m: feat.running_features(m),
+        "running_features": lambda m: feat.running_features(m),
+        "running_features (blocks of 4096)": lambda m: asof.features_as_of(
+            m, F.col("creatinine_date"), "creatinine_date", "creatinine_result", None, 4096),
     }
     for name, op in ops.items():
         res = []
