@@ -309,11 +309,13 @@ def q_stream_alerts_stored(spark, sf):
     """The same in the patient state: stored readings begin it, the feed and the corrections are two batches."""
     for k, v in state.STATE_CONF.items():
         spark.conf.set(k, v)
-    landing = _landing_parts(spark, sf, [F.lit(True)])
-    files.write_capture(B.order_corrections(spark, sf).coalesce(1), f"{landing}/part1")
+    landing = scratch_path(spark, "landing")
     out, ck = scratch_path(spark, "alerts_out"), scratch_path(spark, "ckpt")
-    feats = state.history_stream(ingest.parsed_stream(spark, landing, _IN_TURN), B.patients(spark, sf), _stored(spark, sf))
-    sinks.run_available_now(feats, ck, foreach_batch=sinks.alert_writer(out))
+    for part, raw in (("part0", B.hl7_raw(spark, sf)), ("part1", B.order_corrections(spark, sf))):
+        # each part lands as many files; the query is stopped in between and goes on from its checkpoint
+        files.write_capture(raw, f"{landing}/{part}")
+        feats = state.history_stream(ingest.parsed_stream(spark, landing, {"recursiveFileLookup": "true"}), B.patients(spark, sf), _stored(spark, sf))
+        sinks.run_available_now(feats, ck, foreach_batch=sinks.alert_writer(out))
     return spark.read.parquet(out).select("mrn", "alert_ts", "payload").dropDuplicates()
 
 

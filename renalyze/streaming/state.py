@@ -1,6 +1,6 @@
 """Per-patient history kept as streaming state.
 
-``transformWithStateInPandas`` keyed by mrn.  State per patient: whether a
+``transformWithStateInPandas`` keyed by cells of patients.  State per patient: whether a
 valid admission was seen, and the readings (date -> result; a late or
 repeated reading is an upsert, so history is always "everything that has
 arrived, ordered by date").  Each accepted result emits the features as of that
@@ -34,6 +34,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import asof, ordered, positions
 from ..schemas import FEATURE_COLUMNS, SEX_VALUES
+from .blocks import BLOCK, BlockHistory, ExactSums, MapStore, MemoryStore, ratio  # noqa: F401 - names of this module
 
 OUTPUT_SCHEMA = ("mrn string, msg_time timestamp, control_id string, creatinine_date timestamp, "
                  "status string, repeat boolean, age int, sex int, n_readings bigint, "
@@ -48,14 +49,6 @@ STATE_CONF = {
 }
 
 
-def _ratio(n: float, d: float) -> float:
-    if n is None or d is None or (isinstance(n, float) and math.isnan(n)) or math.isnan(d):
-        return 0.0
-    if d == 0:
-        return math.inf if n > 0 else (-math.inf if n < 0 else 0.0)
-    return n / d
-
-
 def history_features(values: np.ndarray) -> dict[str, float]:
     """Serving features of readings in date order (NaN = missing reading);
     the direct (non-incremental) definition, used for checks."""
@@ -73,11 +66,11 @@ def history_features(values: np.ndarray) -> dict[str, float]:
         "creatinine_mean": mean, "creatinine_median": med, "creatinine_max": mx, "creatinine_min": mn,
         "creatinine_max_delta": float(steps.max()) if steps.size else 0.0,
         "creatinine_std": float(ok.std(ddof=1)) if n > 1 else 0.0,
-        "most_recent": recent, "rv1_ratio": _ratio(recent, mn), "rv2_ratio": _ratio(recent, med),
+        "most_recent": recent, "rv1_ratio": ratio(recent, mn), "rv2_ratio": ratio(recent, med),
     }
 
 
-class History:
+class History(ExactSums):
     """One patient's readings with incrementally maintained statistics.
 
     ``dates`` is kept sorted with the values alongside; ``sorted_vals`` holds
@@ -102,14 +95,6 @@ class History:
         for v in self.sorted_vals:
             self._count(v, 1)
 
-    def _count(self, v, sign):
-        if math.isfinite(v):
-            x = Fraction(v)
-            self.s1 += sign * x
-            self.s2 += sign * x * x
-        else:
-            self.odd += sign
-
     @staticmethod
     def _step(a, b):
         return None if a is None or b is None else b - a
@@ -183,272 +168,118 @@ class History:
             "creatinine_mean": mean, "creatinine_median": med, "creatinine_max": mx, "creatinine_min": mn,
             "creatinine_max_delta": float(self.steps[-1]) if self.steps else 0.0,
             "creatinine_std": std,
-            "most_recent": float(recent), "rv1_ratio": _ratio(recent, mn), "rv2_ratio": _ratio(recent, med),
+            "most_recent": float(recent), "rv1_ratio": ratio(recent, mn), "rv2_ratio": ratio(recent, med),
         }
 
 
-class MemoryStore:
-    """Blocks kept in a dict, with the numbers of blocks read and written."""
-
-    def __init__(self):
-        self.kept: dict = {}
-        self.reads = self.writes = 0
-
-    def get(self, kind: str, k: int):
-        self.reads += 1
-        return self.kept[kind, k]
-
-    def put(self, kind: str, k: int, block) -> None:
-        self.writes += 1
-        self.kept[kind, k] = block
-
-    def remove(self, kind: str, k: int) -> None:
-        del self.kept[kind, k]
-
-
-class MapStore:
-    """Blocks kept in the patient's map states; each is read at most once and
-    written at most once per micro-batch."""
-
-    def __init__(self, dates, values):
-        self.maps = {"d": dates, "v": values}
-        self.cache: dict = {}
-        self.changed: set = set()
-
-    def get(self, kind: str, k: int):
-        if (kind, k) not in self.cache:
-            got = self.maps[kind].getValue((k,))
-            self.cache[kind, k] = [list(x) for x in got] if kind == "d" else list(got[0])
-        return self.cache[kind, k]
-
-    def put(self, kind: str, k: int, block) -> None:
-        self.cache[kind, k] = block
-        self.changed.add((kind, k))
-
-    def remove(self, kind: str, k: int) -> None:
-        self.cache.pop((kind, k), None)
-        self.changed.discard((kind, k))
-        if self.maps[kind].containsKey((k,)):
-            self.maps[kind].removeKey((k,))
-
-    def flush(self) -> None:
-        for kind, k in sorted(self.changed):
-            block = self.cache[kind, k]
-            self.maps[kind].updateValue((k,), (block[0], block[1]) if kind == "d" else (block,))
-        self.changed.clear()
-
-
-BLOCK = 256                      # readings of a block; it is split at twice as many
 INLINE = 512                     # readings up to which a patient's history is kept in one piece
+CELLS = 1 << 14                  # groups of patients; fixed for the life of a checkpoint
 
-_DATE_FIELDS = ("did", "dfirst", "dhead", "dtail", "dstep", "drecent", "dn")
-_VALUE_FIELDS = ("vid", "vlow", "vhigh", "vn")
-
-
-class BlockHistory:
-    """A long history as blocks of dates and blocks of values, with one
-    summary entry a block.  A message reads and writes the block of its date,
-    one or two blocks of values (its own and an overwritten one), and at most
-    two more for the median; the rest is read from the summaries.
-
-    Of a date block: number, first date, first and last reading, largest step
-    inside, last reading that is not missing, size.  Of a value block: number, least, greatest, size.
-    """
-
-    def __init__(self, store, summary=None, block: int = BLOCK):
-        self.store, self.block = store, block
-        s = dict(zip((*_DATE_FIELDS, *_VALUE_FIELDS, "s1", "s2", "odd", "next_id"), summary)) if summary is not None else {}
-        for c in (*_DATE_FIELDS, *_VALUE_FIELDS):
-            setattr(self, c, list(s.get(c) or []))
-        self.s1, self.s2 = Fraction(s.get("s1") or 0), Fraction(s.get("s2") or 0)
-        self.odd, self.next_id = s.get("odd") or 0, s.get("next_id") or 0
-
-    @classmethod
-    def of(cls, store, hist: History, block: int = BLOCK) -> BlockHistory:
-        """The same history cut into blocks."""
-        out = cls(store, None, block)
-        out.s1, out.s2, out.odd = hist.s1, hist.s2, hist.odd
-        for k in range(0, len(hist.dates), block):
-            out._new("d", len(out.did), [hist.dates[k:k + block], hist.vals[k:k + block]])
-        for k in range(0, len(hist.sorted_vals), block):
-            out._new("v", len(out.vid), hist.sorted_vals[k:k + block])
-        return out
-
-    def summary(self) -> tuple:
-        return (*(getattr(self, c) for c in (*_DATE_FIELDS, *_VALUE_FIELDS)), str(self.s1), str(self.s2), self.odd, self.next_id)
-
-    def _new(self, kind: str, at: int, block) -> None:
-        for c in (_DATE_FIELDS if kind == "d" else _VALUE_FIELDS):
-            getattr(self, c).insert(at, None)
-        (self.did if kind == "d" else self.vid)[at] = self.next_id
-        self.next_id += 1
-        self._keep(kind, at, block)
-
-    def _keep(self, kind: str, at: int, block) -> None:
-        """Write a block and its summary entry; split it if it has grown too large, drop it if it is empty."""
-        size = len(block[0]) if kind == "d" else len(block)
-        if size > 2 * self.block:
-            half = size // 2
-            more = [x[half:] for x in block] if kind == "d" else block[half:]
-            self._keep(kind, at, [x[:half] for x in block] if kind == "d" else block[:half])
-            self._new(kind, at + 1, more)
-            return
-        if kind == "d":
-            dates, vals = block
-            steps = [b - a for a, b in zip(vals, vals[1:]) if a is not None and b is not None]
-            entry = (self.did[at], dates[0], vals[0], vals[-1], max(steps, default=None), next((v for v in reversed(vals) if v is not None), None), size)
-            for c, x in zip(_DATE_FIELDS, entry):
-                getattr(self, c)[at] = x
-        elif size:
-            self.vlow[at], self.vhigh[at], self.vn[at] = block[0], block[-1], size
-        else:
-            self.store.remove(kind, self.vid[at])
-            for c in _VALUE_FIELDS:
-                del getattr(self, c)[at]
-            return
-        self.store.put(kind, (self.did if kind == "d" else self.vid)[at], block)
-
-    _count = History._count
-
-    def _add_val(self, v) -> None:
-        if v is None:
-            return
-        self._count(v, 1)
-        if not self.vid:
-            self._new("v", 0, [v])
-            return
-        at = max(0, bisect.bisect_right(self.vlow, v) - 1)
-        block = self.store.get("v", self.vid[at])
-        bisect.insort(block, v)
-        self._keep("v", at, block)
-
-    def _remove_val(self, v) -> None:
-        if v is None:
-            return
-        self._count(v, -1)
-        at = bisect.bisect_right(self.vlow, v) - 1              # the last block that begins at v or below holds it
-        block = self.store.get("v", self.vid[at])
-        del block[bisect.bisect_left(block, v)]
-        self._keep("v", at, block)
-
-    def upsert(self, d, v) -> bool:
-        """As ``History.upsert``."""
-        if not self.did:
-            self._new("d", 0, [[d], [v]])
-            self._add_val(v)
-            return False
-        at = max(0, bisect.bisect_right(self.dfirst, d) - 1)
-        dates, vals = block = self.store.get("d", self.did[at])
-        i = bisect.bisect_left(dates, d)
-        if i < len(dates) and dates[i] == d:
-            old = vals[i]
-            if old == v:
-                return True
-            vals[i] = v
-            self._remove_val(old)
-        else:
-            dates.insert(i, d)
-            vals.insert(i, v)
-        self._keep("d", at, block)
-        self._add_val(v)
-        return False
-
-    def _value_at(self, rank: int) -> float:
-        for k, n in zip(self.vid, self.vn):
-            if rank < n:
-                return self.store.get("v", k)[rank]
-            rank -= n
-        raise IndexError(rank)
-
-    def features(self) -> dict[str, float]:
-        n = sum(self.vn)
-        if n == 0:
-            return {"n_readings": 0, **{c: 0.0 for c in FEATURE_COLUMNS}}
-        low, high = self._value_at((n - 1) // 2), self._value_at(n // 2)
-        med = float(low) if n % 2 else (low + high) / 2.0
-        if self.odd:
-            sv = [x for k in self.vid for x in self.store.get("v", k)]
-            mean, std = float(np.mean(sv)), float(np.std(sv, ddof=1)) if n > 1 else 0.0
-        else:
-            mean = float(self.s1 / n)
-            std = math.sqrt((self.s2 - self.s1 * self.s1 / n) / (n - 1)) if n > 1 else 0.0
-        border = [b - a for a, b in zip(self.dtail, self.dhead[1:]) if a is not None and b is not None]
-        step = max([s for s in self.dstep if s is not None] + border, default=None)
-        recent = next(v for v in reversed(self.drecent) if v is not None)
-        mn, mx = float(self.vlow[0]), float(self.vhigh[-1])
-        return {
-            "n_readings": n,
-            "creatinine_mean": mean, "creatinine_median": med, "creatinine_max": mx, "creatinine_min": mn,
-            "creatinine_max_delta": 0.0 if step is None else float(step), "creatinine_std": std,
-            "most_recent": float(recent), "rv1_ratio": _ratio(recent, mn), "rv2_ratio": _ratio(recent, med),
-        }
-
-
-BLOCKS_TYPE = ("struct<did:array<bigint>,dfirst:array<timestamp>,dhead:array<double>,dtail:array<double>,dstep:array<double>,"
+# Times are microseconds, an inline history two byte strings (int64 dates, float64 readings, NaN a missing one).
+BLOCKS_TYPE = ("struct<did:array<bigint>,dfirst:array<bigint>,dhead:array<double>,dtail:array<double>,dstep:array<double>,"
                "drecent:array<double>,dn:array<int>,vid:array<bigint>,vlow:array<double>,vhigh:array<double>,vn:array<int>,"
                "s1:string,s2:string,odd:bigint,next_id:bigint>")
-STATE_SCHEMA = ("known boolean, age int, sex string, d array<timestamp>, r array<double>, "
-                "held array<struct<msg_time:timestamp,control_id:string,d:timestamp,r:double>>, "
-                f"blocks {BLOCKS_TYPE}")
+STATE_SCHEMA = ("patients array<struct<mrn:string,known:boolean,age:int,sex:string,d:binary,r:binary,"
+                "held:array<struct<msg_time:bigint,control_id:string,d:bigint,r:double>>,"
+                f"blocks:{BLOCKS_TYPE}>>")
 
 
-_OUT_COLS = ("msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
+_OUT_COLS = ("mrn", "msg_time", "control_id", "creatinine_date", "status", "repeat", "age", "sex",
              "n_readings", *FEATURE_COLUMNS)
-_IN_COLS = ("kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinine_date",
+_IN_COLS = ("mrn", "kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinine_date",
             "age", "sex", "base_age", "base_sex")
 
 
+def _micros(times) -> list[int]:
+    return pd.to_datetime(pd.Series(times)).to_numpy("datetime64[us]").astype(np.int64).tolist()
+
+
 class Replay:
     """One patient's replay in arrival order: admission flag, demographics
-    and readings, plus the output columns of the rows seen so far.  ``held`` are results
+    and readings; ``out`` takes the output columns.  ``held`` are results
     waiting for the patient's admission (kept with ``defer`` only).  A
-    history of more than ``inline`` readings is kept in blocks in ``store``."""
-
-    def __init__(self, st=None, defer=False, store=None, inline=INLINE, block=BLOCK):
-        self.defer, self.store, self.inline, self.block = defer, store, inline, block
-        self.held = [tuple(h) for h in st[5] or []] if st is not None else []
-        self.known, self.age, self.sex = (bool(st[0]), st[1], st[2]) if st is not None else (False, None, None)
-        if st is not None and st[6] is not None:
-            self.hist = BlockHistory(store, st[6], block)
-        else:
-            self.hist = History(zip(st[3], st[4])) if st is not None else History([])
-        self.out = {c: [] for c in _OUT_COLS}
+    history of more than ``inline`` readings is kept in blocks in ``store``.
+    ``st`` is the patient's entry in the state; its readings are unpacked when one is needed."""
+
+    def __init__(self, mrn, out, st=None, defer=False, store=None, inline=INLINE, block=BLOCK):
+        self.mrn, self.out, self.defer, self.store, self.inline, self.block = mrn, out, defer, store, inline, block
+        self.held = [tuple(h) for h in st[6] or []] if st is not None else []
+        self.known, self.age, self.sex = (bool(st[1]), st[2], st[3]) if st is not None else (False, None, None)
+        self._st, self._hist = st, None
+
+    def _readings(self) -> tuple[list, list]:
+        """Dates and values of an inline history as they are stored."""
+        if self._st is None:
+            return [], []
+        vals = np.frombuffer(self._st[5], np.float64).tolist()
+        return np.frombuffer(self._st[4], np.int64).tolist(), [None if v != v else v for v in vals]
+
+    @property
+    def hist(self):
+        if self._hist is None:
+            if self._st is not None and self._st[7] is not None:
+                self._hist = BlockHistory(self.store, self._st[7], self.block)
+            else:
+                self._hist = History(zip(*self._readings()))
+        return self._hist
+
+    def begin(self, dates, vals) -> None:
+        """Readings stored before the stream, in their order."""
+        if self._hist is not None or (self._st is not None and self._st[7] is not None):
+            for d, v in zip(dates, vals):
+                self.hist.upsert(d, v)
+            return
+        both = dict(zip(*self._readings()))
+        both.update(zip(dates, vals))
+        self._st = self._packed(sorted(both), [both[d] for d in sorted(both)])
+        if len(both) > self.inline:
+            self.hist                            # cut into blocks by ``state``
 
-    def state(self):
+    def _packed(self, dates, vals) -> tuple:
         age = None if self.age is None or pd.isna(self.age) else int(self.age)
-        if isinstance(self.hist, History) and self.store is not None and len(self.hist.dates) > self.inline:
-            self.hist = BlockHistory.of(self.store, self.hist, self.block)
-        if isinstance(self.hist, BlockHistory):
+        r = np.array([math.nan if v is None else v for v in vals], np.float64)
+        return (self.mrn, self.known, age, self.sex, np.array(dates, np.int64).tobytes(), r.tobytes(), self.held, None)
+
+    def state(self) -> tuple:
+        if self._hist is None:
+            if self._st is None:
+                return self._packed([], [])
+            return (*self._packed([], [])[:4], bytes(self._st[4]), bytes(self._st[5]), self.held,
+                    None if self._st[7] is None else tuple(self._st[7]))
+        if isinstance(self._hist, History) and self.store is not None and len(self._hist.dates) > self.inline:
+            self._hist = BlockHistory.of(self.store, self._hist, self.block)
+        if isinstance(self._hist, BlockHistory):
             self.store.flush()
-            return (self.known, age, self.sex, [], [], self.held, self.hist.summary())
-        return (self.known, age, self.sex, list(self.hist.dates), list(self.hist.vals), self.held, None)
+            return (*self._packed([], [])[:7], self._hist.summary())
+        return self._packed(self._hist.dates, self._hist.vals)
 
-    def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, value, age, sex, base_age, base_sex):
+    def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, micros, value, age, sex, base_age, base_sex):
         if kind == "adm":
             if sex_ok:
                 self.known, self.age, self.sex = True, age, sex
                 held, self.held = self.held, []
-                for h in held:                 # in the order they arrived in
-                    self._accept("released", *h, age, sex)
+                for t, c, d, v in held:        # in the order they arrived in
+                    self._accept("released", pd.NaT if t is None else pd.Timestamp(t, unit="us"), c, pd.Timestamp(d, unit="us"), d, v, age, sex)
             return
         v = None if value != value else float(value)
         if not (self.known or base_known):
             out = self.out
-            for c, x in zip(("msg_time", "control_id", "creatinine_date", "status"), (msg_time, control_id, date, "unknown_patient")):
+            for c, x in zip(("mrn", "msg_time", "control_id", "creatinine_date", "status"), (self.mrn, msg_time, control_id, date, "unknown_patient")):
                 out[c].append(x)
             for c in ("repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS):
                 out[c].append(None)
             if self.defer:
-                self.held.append((pd.Timestamp(msg_time).to_pydatetime(), control_id, pd.Timestamp(date).to_pydatetime(), v))
+                self.held.append((None if pd.isna(msg_time) else pd.Timestamp(msg_time).value // 1000, control_id, micros, v))
             return
-        self._accept("accepted", msg_time, control_id, date, v, *((self.age, self.sex) if self.known else (base_age, base_sex)))
+        self._accept("accepted", msg_time, control_id, date, micros, v, *((self.age, self.sex) if self.known else (base_age, base_sex)))
 
-    def _accept(self, status, msg_time, control_id, date, v, a, sx):
+    def _accept(self, status, msg_time, control_id, date, micros, v, a, sx):
         out = self.out
+        out["mrn"].append(self.mrn)
         out["msg_time"].append(msg_time)
         out["control_id"].append(control_id)
         out["creatinine_date"].append(date)
-        repeat = self.hist.upsert(pd.Timestamp(date).to_pydatetime(), v)
+        repeat = self.hist.upsert(micros, v)
         f = self.hist.features()
         out["status"].append(status)
         out["repeat"].append(repeat)
@@ -459,68 +290,82 @@ class Replay:
             out[c].append(f[c])
 
 
-def _frame(mrns, out) -> pd.DataFrame:
+def _frame(out) -> pd.DataFrame:
     frame = pd.DataFrame(out)
-    frame.insert(0, "mrn", mrns)
     frame["age"] = frame["age"].astype("Int32")
     frame["sex"] = frame["sex"].astype("Int32")
     frame["repeat"] = frame["repeat"].astype("boolean")
     return frame
 
 
-def _columns(batch: pd.DataFrame, order=None):
-    col = {c: batch[c].to_numpy(dtype=object) for c in _IN_COLS}
-    vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)
-    if order is not None:
-        col = {c: a[order] for c, a in col.items()}
-        vals = vals[order]
-    return col, vals
+def _columns(batch: pd.DataFrame, order) -> list[list]:
+    """The columns ``Replay.feed`` takes, after the mrn, in the given order of rows."""
+    batch = batch.iloc[order]
+    col = {c: batch[c].to_numpy(dtype=object).tolist() for c in _IN_COLS}
+    vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan).tolist()
+    return [col["mrn"], *(col[c] for c in _IN_COLS[1:7]), _micros(batch["creatinine_date"]), vals, *(col[c] for c in _IN_COLS[7:])]
 
 
 class PatientHistory(StatefulProcessor):
-    """Rows in: kind ('adm' | 'res'), msg_time, control_id, base_known,
+    """Rows in: mrn, kind ('adm' | 'res'), msg_time, control_id, base_known,
     sex_ok, creatinine_date, creatinine_result, age / sex (admissions),
     base_age / base_sex (stored patient).
 
-    State per patient is one ValueState row (admitted flag, age, sex,
-    dates, results): one state read and one write per patient and
-    micro-batch, instead of a state call per reading (each call is a round
-    trip to the JVM state server).  A long history lies in two map states of
-    blocks, of which a micro-batch reads and writes only those it touches; the
-    row then holds one summary entry a block."""
+    Keyed by a cell, the patients with one remainder of a hash of their mrn.
+    State per cell is one ValueState row with an entry per patient (admitted
+    flag, age, sex, dates, results): a group costs some milliseconds (frames
+    in and out, round trips to the JVM state server), so a cell's patients
+    share them.  Patients of a cell do not see each other: each entry is
+    replayed by itself, and only of those with rows in the micro-batch.  A
+    long history lies in two map states of blocks, of which a micro-batch
+    reads and writes only those it touches; the entry then holds one summary
+    entry a block."""
 
     def __init__(self, defer: bool = False, inline: int = INLINE, block: int = BLOCK):
         self.defer, self.inline, self.block = defer, inline, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("patient", STATE_SCHEMA)
-        self.dates = handle.getMapState("dates", "id bigint", "d array<timestamp>, r array<double>")
-        self.values = handle.getMapState("values", "id bigint", "v array<double>")
+        self.state = handle.getValueState("cell", STATE_SCHEMA)
+        self.dates = handle.getMapState("dates", "mrn string, id bigint", "d array<bigint>, r array<double>")
+        self.values = handle.getMapState("values", "mrn string, id bigint", "v array<double>")
+
+    def _stored(self) -> dict:
+        st = self.state.get()
+        return {p[0]: p for p in st[0]} if st is not None else {}
+
+    def _replay(self, mrn, out, stored: dict) -> Replay:
+        return Replay(mrn, out, stored.get(mrn), self.defer, MapStore(self.dates, self.values, mrn), self.inline, self.block)
 
-    def _replay(self) -> Replay:
-        return Replay(self.state.get() if self.state.exists() else None, self.defer, MapStore(self.dates, self.values), self.inline, self.block)
+    def _keep(self, stored: dict, replays: dict) -> None:
+        entries = [replays[m].state() if m in replays else Replay(m, None, p).state() for m, p in stored.items()]
+        self.state.update((entries + [rp.state() for m, rp in replays.items() if m not in stored],))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
                             batch["msg_time"].to_numpy()))
-        col, vals = _columns(batch, order)
-        rp = self._replay()
-        for i in range(len(order)):
-            rp.feed(col["kind"][i], col["msg_time"][i], col["control_id"][i], col["base_known"][i],
-                    col["sex_ok"][i], col["creatinine_date"][i], vals[i], col["age"][i], col["sex"][i],
-                    col["base_age"][i], col["base_sex"][i])
-        self.state.update(rp.state())
-        if rp.out["status"]:
-            yield _frame(key[0], rp.out)
+        stored, replays, out = self._stored(), {}, {c: [] for c in _OUT_COLS}
+        for mrn, *row in zip(*_columns(batch, order)):
+            if mrn not in replays:
+                replays[mrn] = self._replay(mrn, out, stored)
+            replays[mrn].feed(*row)
+        self._keep(stored, replays)
+        if out["status"]:
+            yield _frame(out)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Stored readings of one patient, in one or several parts."""
-        rp = self._replay()
-        vals = initialState["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)
-        for date, value in zip(initialState["creatinine_date"], vals):
-            rp.hist.upsert(pd.Timestamp(date).to_pydatetime(), None if value != value else float(value))
-        self.state.update(rp.state())
+        """Stored readings of a cell's patients, in one or several parts."""
+        stored, given = self._stored(), {}
+        vals = initialState["creatinine_result"].to_numpy(dtype=float, na_value=np.nan).tolist()
+        for mrn, date, value in zip(initialState["mrn"].to_numpy(dtype=object).tolist(), _micros(initialState["creatinine_date"]), vals):
+            dates, values = given.setdefault(mrn, ([], []))
+            dates.append(date)
+            values.append(None if value != value else value)
+        replays = {}
+        for mrn, (dates, values) in given.items():
+            replays[mrn] = self._replay(mrn, None, stored)
+            replays[mrn].begin(dates, values)
+        self._keep(stored, replays)
 
     def close(self) -> None:
         pass
@@ -557,18 +402,20 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
-                   defer: bool = False, inline: int = INLINE, block: int = BLOCK) -> DataFrame:
+                   defer: bool = False, inline: int = INLINE, block: int = BLOCK, cells: int = CELLS) -> DataFrame:
     """T4: features per result message from per-patient state.  ``defer`` holds
     results of unknown patients back and releases them with their admission.
+    The state is keyed by ``cells`` groups of patients; a checkpoint keeps the number it began with.
 
     ``measurements`` are the readings stored before the stream starts: they
     begin each patient's state (read by the query's first batch only; a
     restart continues from its checkpoint)."""
-    inputs = keyed_inputs(parsed, patients)
+    cell = F.pmod(F.xxhash64("mrn"), F.lit(cells).cast("bigint"))
+    inputs = keyed_inputs(parsed, patients).withColumn("cell", cell)
     stored = None
     if measurements is not None:
-        stored = measurements.where("creatinine_date is not null").select("mrn", "creatinine_date", "creatinine_result").groupBy("mrn")
-    return inputs.groupBy("mrn").transformWithStateInPandas(
+        stored = measurements.where("creatinine_date is not null").select(cell.alias("cell"), "mrn", "creatinine_date", "creatinine_result").groupBy("cell")
+    return inputs.groupBy("cell").transformWithStateInPandas(
         statefulProcessor=PatientHistory(defer, inline, block), outputStructType=OUTPUT_SCHEMA,
         outputMode="Append", timeMode="None", initialState=stored)
 
