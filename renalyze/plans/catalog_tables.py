@@ -303,9 +303,11 @@ def q_what_if(spark, sf):
     pk = B.patients(spark, sf).join(cand.select("mrn"), "mrn", "left_semi")
     known = cand.join(pk.select("mrn"), "mrn", "left_semi")
     hk = hist.join(known.select("mrn"), "mrn", "left_semi")
+    # written once: on rows that still lie by patient, every step of the features would run, and hold its memory, in one stage
+    both = store.write_snapshot(spark, hk.withColumn("stored", F.lit(True)).unionByName(known.withColumn("stored", F.lit(False))), "what_if")
+    hk, merged = both.where("stored"), both.drop("stored")
     slots = known.select("mrn").join(hk.groupBy("mrn").agg(F.count(F.lit(1)).alias("n")), "mrn", "left") \
                  .select("mrn", F.coalesce(F.col("n"), F.lit(0)).cast("int").alias("next_slot"))
-    merged = hk.unionByName(known.select("mrn", "creatinine_date", "creatinine_result"))
     f = feat.features_serving(pk, merged, keep_counts=True)
     f = f.withColumns({c: round9(F.col(c)) for c in feat.FEATURE_COLUMNS})
     return f.join(slots, "mrn").select("mrn", "next_slot", "n_readings", *feat.FEATURE_COLUMNS)
