@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hl7
 from ..schemas import FEATURE_COLUMNS
+from .positions import written
 
 # Ratio of the latest reading to the lowest / median that flags a rise.
 RULE_RATIO = 1.5
@@ -57,14 +58,19 @@ def train_classifier(train: DataFrame, label: str = "label", seed: int = 7,
                      inputs: list[str] | None = None, max_iter: int = GBT_TREES):
     """M1: gradient-boosted trees with the upstream settings; positives are
     weighted 100.  Returns a fitted PipelineModel (assembler + GBT); inputs
-    are made finite first (``finite_inputs``)."""
+    are made finite first (``finite_inputs``).
+
+    Boosting runs some thousand stages, and every task of each answers to the
+    driver: the training rows are written once and read as at most one
+    partition a core, so that traffic does not grow with the rows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     cols = inputs or SERVING_INPUTS
-    data = finite_inputs(train, cols).withColumn(
+    data = finite_inputs(train.select(*cols, label), cols).withColumn(
         "_w", F.when(F.col(label) == 1, F.lit(POSITIVE_WEIGHT)).otherwise(F.lit(1.0)))
+    data = written(data, "train-rows").coalesce(train.sparkSession.sparkContext.defaultParallelism)
     asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="_w",
                         maxDepth=GBT_DEPTH, stepSize=GBT_RATE, maxIter=max_iter, seed=seed)
