@@ -24,15 +24,43 @@ def ratio(n: float, d: float) -> float:
 
 
 class ExactSums:
-    """Running sums ``s1``, ``s2`` of the finite readings as fractions, and the number ``odd`` of others."""
+    """Exact running sums of the finite readings and of their squares, and the
+    number ``odd`` of others.  A reading is an integer over a power of two, so
+    the sums are integers ``n1`` over 2**shift and ``n2`` over 4**shift (no
+    greatest common divisor a message, as fractions take)."""
+
+    n1 = n2 = shift = odd = 0
+
+    @property
+    def s1(self) -> Fraction:
+        return Fraction(self.n1, 1 << self.shift)
+
+    @property
+    def s2(self) -> Fraction:
+        return Fraction(self.n2, 1 << 2 * self.shift)
+
+    def _begin_sums(self, s1: Fraction, s2: Fraction) -> None:
+        bits = lambda x: x.denominator.bit_length() - 1          # noqa: E731 - both are powers of two
+        self.shift = max(bits(s1), (bits(s2) + 1) // 2)
+        self.n1, self.n2 = int(s1 * (1 << self.shift)), int(s2 * (1 << 2 * self.shift))
 
     def _count(self, v, sign):
-        if math.isfinite(v):
-            x = Fraction(v)
-            self.s1 += sign * x
-            self.s2 += sign * x * x
-        else:
+        if not math.isfinite(v):
             self.odd += sign
+            return
+        x, over = v.as_integer_ratio()
+        up = over.bit_length() - 1 - self.shift
+        if up > 0:
+            self.n1, self.n2, self.shift = self.n1 << up, self.n2 << 2 * up, self.shift + up
+        else:
+            x <<= -up
+        self.n1 += sign * x
+        self.n2 += sign * x * x
+
+    def _mean_std(self, n: int) -> tuple[float, float]:
+        """Mean and sample deviation of ``n`` finite readings, each rounded once."""
+        mean = self.n1 / (n << self.shift)
+        return mean, math.sqrt((self.n2 * n - self.n1 * self.n1) / (n * (n - 1) << 2 * self.shift)) if n > 1 else 0.0
 
 
 class MemoryStore:
@@ -107,14 +135,14 @@ class BlockHistory(ExactSums):
         s = dict(zip((*_DATE_FIELDS, *_VALUE_FIELDS, "s1", "s2", "odd", "next_id"), summary)) if summary is not None else {}
         for c in (*_DATE_FIELDS, *_VALUE_FIELDS):
             setattr(self, c, list(s.get(c) or []))
-        self.s1, self.s2 = Fraction(s.get("s1") or 0), Fraction(s.get("s2") or 0)
+        self._begin_sums(Fraction(s.get("s1") or 0), Fraction(s.get("s2") or 0))
         self.odd, self.next_id = s.get("odd") or 0, s.get("next_id") or 0
 
     @classmethod
     def of(cls, store, hist, block: int = BLOCK) -> BlockHistory:
         """The same history cut into blocks."""
         out = cls(store, None, block)
-        out.s1, out.s2, out.odd = hist.s1, hist.s2, hist.odd
+        out.n1, out.n2, out.shift, out.odd = hist.n1, hist.n2, hist.shift, hist.odd
         for k in range(0, len(hist.dates), block):
             out._new("d", len(out.did), [hist.dates[k:k + block], hist.vals[k:k + block]])
         for k in range(0, len(hist.sorted_vals), block):
@@ -215,8 +243,7 @@ class BlockHistory(ExactSums):
             sv = [x for k in self.vid for x in self.store.get("v", k)]
             mean, std = float(np.mean(sv)), float(np.std(sv, ddof=1)) if n > 1 else 0.0
         else:
-            mean = float(self.s1 / n)
-            std = math.sqrt((self.s2 - self.s1 * self.s1 / n) / (n - 1)) if n > 1 else 0.0
+            mean, std = self._mean_std(n)
         border = [b - a for a, b in zip(self.dtail, self.dhead[1:]) if a is not None and b is not None]
         step = max([s for s in self.dstep if s is not None] + border, default=None)
         recent = next(v for v in reversed(self.drecent) if v is not None)

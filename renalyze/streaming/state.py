@@ -24,11 +24,10 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -90,8 +89,6 @@ class History(ExactSums):
         self.vals = [v for _, v in pairs]
         self.sorted_vals = sorted(v for v in self.vals if v is not None)
         self.steps = sorted(b - a for a, b in zip(self.vals, self.vals[1:]) if a is not None and b is not None)
-        self.s1 = self.s2 = Fraction(0)
-        self.odd = 0                                           # readings that are not finite
         for v in self.sorted_vals:
             self._count(v, 1)
 
@@ -159,8 +156,7 @@ class History(ExactSums):
             mean = float(np.mean(sv))
             std = float(np.std(sv, ddof=1)) if n > 1 else 0.0
         else:
-            mean = float(self.s1 / n)
-            std = math.sqrt((self.s2 - self.s1 * self.s1 / n) / (n - 1)) if n > 1 else 0.0
+            mean, std = self._mean_std(n)
         recent = next(v for v in reversed(self.vals) if v is not None)
         mn, mx = float(sv[0]), float(sv[-1])
         return {
@@ -188,15 +184,27 @@ _OUT_COLS = ("mrn", "msg_time", "control_id", "creatinine_date", "status", "repe
              "n_readings", *FEATURE_COLUMNS)
 _IN_COLS = ("mrn", "kind", "msg_time", "control_id", "base_known", "sex_ok", "creatinine_date",
             "age", "sex", "base_age", "base_sex")
+_TIMES = ("msg_time", "creatinine_date")
 
 
-def _micros(times) -> list[int]:
-    return pd.to_datetime(pd.Series(times)).to_numpy("datetime64[us]").astype(np.int64).tolist()
+NO_TIME = np.iinfo(np.int64).min     # a missing time among microseconds, as in datetime64
+
+
+def _micros(times) -> np.ndarray:
+    """Times as microseconds; the stream hands them over as such (a timestamp
+    becomes an object of its own in each row of a group)."""
+    if pd.api.types.is_integer_dtype(times):
+        return times.to_numpy(np.int64)
+    return pd.to_datetime(pd.Series(times)).to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _as_micros(time) -> Column:
+    return F.coalesce(F.unix_micros(time), F.lit(NO_TIME))
 
 
 class Replay:
     """One patient's replay in arrival order: admission flag, demographics
-    and readings; ``out`` takes the output columns.  ``held`` are results
+    and readings; ``out`` takes the output rows (times in microseconds).  ``held`` are results
     waiting for the patient's admission (kept with ``defer`` only).  A
     history of more than ``inline`` readings is kept in blocks in ``store``.
     ``st`` is the patient's entry in the state; its readings are unpacked when one is needed."""
@@ -253,57 +261,46 @@ class Replay:
             return (*self._packed([], [])[:7], self._hist.summary())
         return self._packed(self._hist.dates, self._hist.vals)
 
-    def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, micros, value, age, sex, base_age, base_sex):
+    def feed(self, kind, msg_time, control_id, base_known, sex_ok, date, value, age, sex, base_age, base_sex):
         if kind == "adm":
             if sex_ok:
                 self.known, self.age, self.sex = True, age, sex
                 held, self.held = self.held, []
                 for t, c, d, v in held:        # in the order they arrived in
-                    self._accept("released", pd.NaT if t is None else pd.Timestamp(t, unit="us"), c, pd.Timestamp(d, unit="us"), d, v, age, sex)
+                    self._accept("released", t, c, d, v, age, sex)
             return
+        msg_time = None if msg_time == NO_TIME else msg_time
         v = None if value != value else float(value)
         if not (self.known or base_known):
-            out = self.out
-            for c, x in zip(("mrn", "msg_time", "control_id", "creatinine_date", "status"), (self.mrn, msg_time, control_id, date, "unknown_patient")):
-                out[c].append(x)
-            for c in ("repeat", "age", "sex", "n_readings", *FEATURE_COLUMNS):
-                out[c].append(None)
+            self.out.append((self.mrn, msg_time, control_id, date, "unknown_patient", *_UNKNOWN))
             if self.defer:
-                self.held.append((None if pd.isna(msg_time) else pd.Timestamp(msg_time).value // 1000, control_id, micros, v))
+                self.held.append((msg_time, control_id, date, v))
             return
-        self._accept("accepted", msg_time, control_id, date, micros, v, *((self.age, self.sex) if self.known else (base_age, base_sex)))
-
-    def _accept(self, status, msg_time, control_id, date, micros, v, a, sx):
-        out = self.out
-        out["mrn"].append(self.mrn)
-        out["msg_time"].append(msg_time)
-        out["control_id"].append(control_id)
-        out["creatinine_date"].append(date)
-        repeat = self.hist.upsert(micros, v)
+        self._accept("accepted", msg_time, control_id, date, v, *((self.age, self.sex) if self.known else (base_age, base_sex)))
+
+    def _accept(self, status, msg_time, control_id, date, v, a, sx):
+        repeat = self.hist.upsert(date, v)
         f = self.hist.features()
-        out["status"].append(status)
-        out["repeat"].append(repeat)
-        out["age"].append(0 if a is None or pd.isna(a) else int(a))
-        out["sex"].append(SEX_CODE.get(sx, 0))
-        out["n_readings"].append(f["n_readings"])
-        for c in FEATURE_COLUMNS:
-            out[c].append(f[c])
+        self.out.append((self.mrn, msg_time, control_id, date, status, repeat, 0 if a is None or pd.isna(a) else int(a), SEX_CODE.get(sx, 0),
+                         *f.values()))
+
+
+_UNKNOWN = (None,) * (len(_OUT_COLS) - 5)
 
 
 def _frame(out) -> pd.DataFrame:
-    frame = pd.DataFrame(out)
-    frame["age"] = frame["age"].astype("Int32")
-    frame["sex"] = frame["sex"].astype("Int32")
-    frame["repeat"] = frame["repeat"].astype("boolean")
-    return frame
+    col = dict(zip(_OUT_COLS, zip(*out)))
+    for c, kind in (("msg_time", "Int64"), ("creatinine_date", "Int64"), ("age", "Int32"), ("sex", "Int32"), ("repeat", "boolean")):
+        col[c] = pd.array(col[c], dtype=kind)
+    return pd.DataFrame(col)
 
 
 def _columns(batch: pd.DataFrame, order) -> list[list]:
     """The columns ``Replay.feed`` takes, after the mrn, in the given order of rows."""
-    batch = batch.iloc[order]
-    col = {c: batch[c].to_numpy(dtype=object).tolist() for c in _IN_COLS}
-    vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan).tolist()
-    return [col["mrn"], *(col[c] for c in _IN_COLS[1:7]), _micros(batch["creatinine_date"]), vals, *(col[c] for c in _IN_COLS[7:])]
+    col = {c: batch[c].to_numpy(dtype=object)[order].tolist() for c in _IN_COLS if c not in _TIMES}
+    col.update({c: _micros(batch[c])[order].tolist() for c in _TIMES})
+    vals = batch["creatinine_result"].to_numpy(dtype=float, na_value=np.nan)[order].tolist()
+    return [*(col[c] for c in _IN_COLS[:7]), vals, *(col[c] for c in _IN_COLS[7:])]
 
 
 class PatientHistory(StatefulProcessor):
@@ -343,21 +340,21 @@ class PatientHistory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
         order = np.lexsort((batch["control_id"].to_numpy(dtype=object).astype(str),
-                            batch["msg_time"].to_numpy()))
-        stored, replays, out = self._stored(), {}, {c: [] for c in _OUT_COLS}
+                            _micros(batch["msg_time"]).view("datetime64[us]")))
+        stored, replays, out = self._stored(), {}, []
         for mrn, *row in zip(*_columns(batch, order)):
             if mrn not in replays:
                 replays[mrn] = self._replay(mrn, out, stored)
             replays[mrn].feed(*row)
         self._keep(stored, replays)
-        if out["status"]:
+        if out:
             yield _frame(out)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         """Stored readings of a cell's patients, in one or several parts."""
         stored, given = self._stored(), {}
         vals = initialState["creatinine_result"].to_numpy(dtype=float, na_value=np.nan).tolist()
-        for mrn, date, value in zip(initialState["mrn"].to_numpy(dtype=object).tolist(), _micros(initialState["creatinine_date"]), vals):
+        for mrn, date, value in zip(initialState["mrn"].to_numpy(dtype=object).tolist(), _micros(initialState["creatinine_date"]).tolist(), vals):
             dates, values = given.setdefault(mrn, ([], []))
             dates.append(date)
             values.append(None if value != value else value)
@@ -379,22 +376,26 @@ def keyed_inputs(parsed: DataFrame, patients: DataFrame) -> DataFrame:
     """
     from ..functions.hl7 import hl7_time
     # one projection over the parse for both kinds (a union of two filtered
-    # branches would parse every message twice)
-    is_adm = F.col("route") == "admissions"
+    # branches would parse every message twice), its inputs generated columns
+    # as in ``parse_messages``: with the route written out in every column the
+    # generated method is too large for the JIT and runs interpreted
     t = F.get(F.col("tests"), 0)
-    both = (parsed.where(F.col("route").isin("admissions", "results"))
-                  .select(F.when(is_adm, F.col("mrn")).otherwise(t["mrn"].cast("string")).alias("mrn"),
-                          F.when(is_adm, F.lit("adm")).otherwise(F.lit("res")).alias("kind"),
-                          F.col("msg_id.msg_time").alias("msg_time"),
-                          F.col("msg_id.control_id").alias("control_id"),
-                          F.when(is_adm, F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES))
-                           .otherwise(F.lit(True)).alias("sex_ok"),
-                          F.when(is_adm, F.col("age").cast("int")).alias("age"),
-                          F.when(is_adm, F.col("sex")).alias("sex"),
-                          F.when(~is_adm, hl7_time(t["test_time"])).alias("creatinine_date"),
-                          F.when(~is_adm, t["test_value"]).alias("creatinine_result"))
-                  # undated results are quarantined by the table sink
-                  .where((F.col("kind") == "adm") | F.col("creatinine_date").isNotNull()))
+    once = parsed.select(F.inline(F.array(F.struct(
+        "route", "mrn", "age", "sex", F.col("msg_id.msg_time").alias("msg_time"), F.col("msg_id.control_id").alias("control_id"),
+        t["mrn"].cast("string").alias("test_mrn"), hl7_time(t["test_time"]).alias("test_time"), t["test_value"].alias("test_value")))))
+    is_adm = F.col("route") == "admissions"
+    both = (once.where(F.col("route").isin("admissions", "results"))
+                .select(F.when(is_adm, F.col("mrn")).otherwise(F.col("test_mrn")).alias("mrn"),
+                        F.when(is_adm, F.lit("adm")).otherwise(F.lit("res")).alias("kind"),
+                        "msg_time", "control_id",
+                        F.when(is_adm, F.col("sex").isNull() | F.col("sex").isin(SEX_VALUES))
+                         .otherwise(F.lit(True)).alias("sex_ok"),
+                        F.when(is_adm, F.col("age").cast("int")).alias("age"),
+                        F.when(is_adm, F.col("sex")).alias("sex"),
+                        F.when(~is_adm, F.col("test_time")).alias("creatinine_date"),
+                        F.when(~is_adm, F.col("test_value")).alias("creatinine_result"))
+                # undated results are quarantined by the table sink
+                .where((F.col("kind") == "adm") | F.col("creatinine_date").isNotNull()))
     known = patients.select("mrn", F.lit(True).alias("base_known"),
                             F.col("age").cast("int").alias("base_age"), F.col("sex").alias("base_sex"))
     return (both.join(known, "mrn", "left")
@@ -411,13 +412,14 @@ def history_stream(parsed: DataFrame, patients: DataFrame, measurements: DataFra
     begin each patient's state (read by the query's first batch only; a
     restart continues from its checkpoint)."""
     cell = F.pmod(F.xxhash64("mrn"), F.lit(cells).cast("bigint"))
-    inputs = keyed_inputs(parsed, patients).withColumn("cell", cell)
+    inputs = keyed_inputs(parsed, patients).withColumn("cell", cell).withColumns({c: _as_micros(c) for c in _TIMES})
     stored = None
     if measurements is not None:
-        stored = measurements.where("creatinine_date is not null").select(cell.alias("cell"), "mrn", "creatinine_date", "creatinine_result").groupBy("cell")
-    return inputs.groupBy("cell").transformWithStateInPandas(
-        statefulProcessor=PatientHistory(defer, inline, block), outputStructType=OUTPUT_SCHEMA,
+        stored = measurements.where("creatinine_date is not null").select(cell.alias("cell"), "mrn", _as_micros("creatinine_date").alias("creatinine_date"), "creatinine_result").groupBy("cell")
+    rows = inputs.groupBy("cell").transformWithStateInPandas(
+        statefulProcessor=PatientHistory(defer, inline, block), outputStructType=OUTPUT_SCHEMA.replace("timestamp", "bigint"),
         outputMode="Append", timeMode="None", initialState=stored)
+    return rows.withColumns({c: F.timestamp_micros(c) for c in _TIMES})
 
 
 def history_batch(parsed: DataFrame, patients: DataFrame, measurements: DataFrame | None = None,
